@@ -6,22 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import bpe, decontaminate, secrets, simhash, url_filter
+from treeloom.llm import ann, bpe, decontaminate, secrets, shards, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op3_sharding": shards.op3_sharding,
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_secret_scans": secrets.op6_secret_scans,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+        "op9_nearest_neighbours": ann.op9_nearest_neighbours,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.OP1_SQL,
+        "op3_sharding": shards.OP3_SQL,
         "op5_benchmark_decontamination": decontaminate.OP5_SQL,
         "op6_secret_scans": secrets.OP6_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
