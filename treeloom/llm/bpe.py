@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -40,6 +41,7 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines()) if a}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.packed = np.uint16 if max(self.ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def encode(self, text: str) -> list[int]:
         if len(text) >= LONG_SPACE and _long_space.search(text):  # the library's matcher overflows its stack on such runs
@@ -119,24 +121,25 @@ def encode_documents(
                     at = i * chunk_chars
                     piece = pa.array([text[at : at + chunk_chars + overlap_chars]], pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key]), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([row["n"]], pa.int64()), pa.array([row["id"]], batch.schema.field("id").type), piece],
-                        names=["key", "i", "n", "times", "id", "text"],
+                        [pa.array([key]), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([row["id"]], batch.schema.field("id").type), piece],
+                        names=["key", "i", "n", "id", "text"],
                     )
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
             heads, tails = [], []
-            for i, t in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for i, t in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 ends = own.boundaries(t)
                 heads.append([i * chunk_chars + e for e in ends if e <= overlap_chars])
                 tails.append([i * chunk_chars + e for e in ends if e > chunk_chars])
             more = [pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "head", "tail"])
 
-    chunk_fields = f"key string, i int, n int, times long, id {kind}, text string"
-    chunks = rows.where(long).groupBy("id", "text").agg(F.count("*").alias("n")).mapInArrow(cut, chunk_fields)
-    chunks = chunks.repartition("key", "i").mapInArrow(pretokenise, f"{chunk_fields}, head array<long>, tail array<long>")
+    chunk_fields = f"key string, i int, n int, id {kind}, text string"
+    # one shuffle spreads the chunks and counts repeated rows once
+    chunks = rows.where(long).mapInArrow(cut, chunk_fields).groupBy("key", "i", "n", "id", "text").agg(F.count("*").alias("times"))
+    chunks = chunks.mapInArrow(pretokenise, f"{chunk_fields}, times long, head array<long>, tail array<long>")
     chunks = materialize(chunks, "bpe-chunks")
 
     heads = chunks.where("i > 0").select("key", (F.col("i") - 1).alias("i"), "head")
@@ -155,13 +158,13 @@ def encode_documents(
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
-            ids = pa.array([own.encode(t) for t in batch.column(4).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([np.array(own.encode(t), own.packed).tobytes() for t in batch.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], names=["key", "i", "times", "id", "ids"])
 
-    ids = pieces.mapInArrow(encode_pieces, f"key string, i int, times long, id {kind}, ids array<int>")
+    ids = pieces.mapInArrow(encode_pieces, f"key string, i int, times long, id {kind}, ids binary")
     in_order = F.array_sort(F.collect_list(F.struct("i", "ids")))
     stitched = ids.groupBy("key").agg(F.first("id").alias("id"), F.first("times").alias("times"), in_order.alias("parts"))
-    stitched = stitched.select("id", "times", F.flatten(F.col("parts.ids")).alias("ids"))
+    stitched = stitched.select("id", "times", F.col("parts.ids").alias("ids"))
 
     core = F.when(F.col("i") < F.col("n") - 1, F.substr("text", F.lit(1), F.lit(chunk_chars))).otherwise(F.col("text"))
     joined = chunks.join(lost, "key", "left_semi").groupBy("key").agg(
@@ -172,15 +175,15 @@ def encode_documents(
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
-            made = pa.array([own.encode(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))
+            made = pa.array([[np.array(own.encode(t), own.packed).tobytes()] for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["id", "times", "ids"])
 
-    whole_ids = joined.mapInArrow(encode_whole, f"id {kind}, times long, ids array<int>")
+    whole_ids = joined.mapInArrow(encode_whole, f"id {kind}, times long, ids array<binary>")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
-            made = [shape(ids, own) for ids in batch.column(2).to_pylist()]
+            made = [shape(np.frombuffer(b"".join(parts), own.packed).tolist(), own) for parts in batch.column(2).to_pylist()]
             cols = [pa.array([m[k] for m in made], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "times", *names])
 
