@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import ann, bpe, decontaminate, secrets, shards, simhash, url_filter, warc
+from treeloom.llm import ann, bpe, decontaminate, langid, repeats, secrets, shards, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_language_id": langid.op2_language_id,
         "op3_sharding": shards.op3_sharding,
+        "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_secret_scans": secrets.op6_secret_scans,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
