@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +72,20 @@ def read_vocab(path: str) -> bytes:
         return f.read()
 
 
+def _pack(text: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text.encode("utf-8", "surrogatepass"))
+
+
+def _unpack(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _digests(ids: list[int], own: Codec) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
 _OUT = {
+    "full": ("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string()]),
     "ids": ("ids array<int>", [pa.list_(pa.int32())]),
     "digests": ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()]),
 }
@@ -92,13 +102,13 @@ def encode_documents(
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
 ) -> DataFrame:
-    """The id column and, by output, ids array<int>, or n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    """The id column and, by output (ids, digests, full), ids array<int>, or n_tokens, ids_sha256 and decoded_sha256, or both, of every row."""
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(read_vocab(vocab_path))
     kind = docs.schema[id_col].dataType.simpleString()
     fields, types = _OUT[output]
     names = [x.split()[0] for x in fields.split(", ")]
-    shape = (lambda ids, own: (ids,)) if output == "ids" else _digests
+    shape = {"ids": lambda ids, own: (ids,), "digests": _digests, "full": lambda ids, own: (ids, *_digests(ids, own))}[output]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
@@ -119,26 +129,26 @@ def encode_documents(
                 n = -(-len(text) // chunk_chars)
                 for i in range(n):
                     at = i * chunk_chars
-                    piece = pa.array([text[at : at + chunk_chars + overlap_chars]], pa.string())
+                    piece = pa.array([_pack(text[at : at + chunk_chars + overlap_chars])], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([key]), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([row["id"]], batch.schema.field("id").type), piece],
-                        names=["key", "i", "n", "id", "text"],
+                        names=["key", "i", "n", "id", "packed"],
                     )
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
             heads, tails = [], []
-            for i, t in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ends = own.boundaries(t)
+            for i, packed in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                ends = own.boundaries(_unpack(packed))
                 heads.append([i * chunk_chars + e for e in ends if e <= overlap_chars])
                 tails.append([i * chunk_chars + e for e in ends if e > chunk_chars])
             more = [pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "head", "tail"])
 
-    chunk_fields = f"key string, i int, n int, id {kind}, text string"
+    chunk_fields = f"key string, i int, n int, id {kind}, packed binary"
     # one shuffle spreads the chunks and counts repeated rows once
-    chunks = rows.where(long).mapInArrow(cut, chunk_fields).groupBy("key", "i", "n", "id", "text").agg(F.count("*").alias("times"))
+    chunks = rows.where(long).mapInArrow(cut, chunk_fields).groupBy("key", "i", "n", "id", "packed").agg(F.count("*").alias("times"))
     chunks = chunks.mapInArrow(pretokenise, f"{chunk_fields}, times long, head array<long>, tail array<long>")
     chunks = materialize(chunks, "bpe-chunks")
 
@@ -150,15 +160,13 @@ def encode_documents(
     starts = met.select("key", (F.col("i") + 1).alias("i"), F.col("to").alias("from"))
     pieces = chunks.drop("head", "tail").join(lost, "key", "left_anti").join(ends, ["key", "i"]).join(starts, ["key", "i"], "left")
     at = F.col("i").cast("long") * chunk_chars
-    begin = F.coalesce("from", F.lit(0)) - at
-    size = F.when(F.col("to").isNotNull(), F.col("to") - at - begin).otherwise(F.length("text") - begin)
-    piece = F.substr("text", (begin + 1).cast("int"), size.cast("int")).alias("text")
-    pieces = pieces.select("key", "i", "times", "id", piece)
+    pieces = pieces.select("key", "i", "times", "id", "packed", (F.coalesce("from", F.lit(0)) - at).alias("from"), (F.col("to") - at).alias("to"))
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
-            ids = pa.array([np.array(own.encode(t), own.packed).tobytes() for t in batch.column(4).to_pylist()], pa.binary())
+            cuts = zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True)
+            ids = pa.array([np.array(own.encode(_unpack(t)[a:b]), own.packed).tobytes() for t, a, b in cuts], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], names=["key", "i", "times", "id", "ids"])
 
     ids = pieces.mapInArrow(encode_pieces, f"key string, i int, times long, id {kind}, ids binary")
@@ -166,16 +174,15 @@ def encode_documents(
     stitched = ids.groupBy("key").agg(F.first("id").alias("id"), F.first("times").alias("times"), in_order.alias("parts"))
     stitched = stitched.select("id", "times", F.col("parts.ids").alias("ids"))
 
-    core = F.when(F.col("i") < F.col("n") - 1, F.substr("text", F.lit(1), F.lit(chunk_chars))).otherwise(F.col("text"))
-    joined = chunks.join(lost, "key", "left_semi").groupBy("key").agg(
-        F.first("id").alias("id"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("i", core.alias("t")))).alias("parts")
-    )
-    joined = joined.select("id", "times", F.array_join(F.col("parts.t"), "").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("i", "packed")))
+    joined = chunks.join(lost, "key", "left_semi").groupBy("key").agg(F.first("id").alias("id"), F.first("times").alias("times"), parts.alias("parts"))
+    joined = joined.select("id", "times", F.col("parts.packed").alias("parts"))
 
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in batches:
-            made = pa.array([[np.array(own.encode(t), own.packed).tobytes()] for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
+            texts = ["".join([*(_unpack(p)[:chunk_chars] for p in parts[:-1]), _unpack(parts[-1])]) for parts in batch.column(2).to_pylist()]
+            made = pa.array([[np.array(own.encode(t), own.packed).tobytes()] for t in texts], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["id", "times", "ids"])
 
     whole_ids = joined.mapInArrow(encode_whole, f"id {kind}, times long, ids array<binary>")
