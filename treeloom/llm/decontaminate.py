@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from treeloom.llm.common import table
+from treeloom.llm.common import materialize, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -153,11 +153,12 @@ def contaminated(
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "n_shared", "n_item")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that contain no item, in one pass: a row's own text decides."""
-    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    found = contaminated(docs, items, **kw).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs that contain no item; rows that share an id are judged by their own texts."""
+    key = F.xxhash64(id_col, text_col)
+    found = contaminated(docs.select(key.alias("_key"), text_col), items, id_col="_key", text_col=text_col, **kw)
+    found = materialize(found.select("_key").distinct(), "contaminated")
+    return docs.join(found, key == F.col("_key"), "left_anti")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
