@@ -1,17 +1,514 @@
-"""Registered queries of the tree engine."""
+"""Registered queries of the tree engine: each an operator over the sample tables, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from treeloom.dsl import rewrite
+from treeloom.dsl.parser import parse
+from treeloom.functions import columns as C
+from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, substring_dice_udf
+from treeloom.operators import matching, metrics, patterns, sampling, sets
+from treeloom.plans.compiler import NodePlanner, RelationalPlanner, run
+from treeloom.sources.files import parsed
+from treeloom.tree.relational import STAR, RelationalForest
 
 FLAGSHIP = "dsl_contain"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def forest(spark: SparkSession, d: str) -> RelationalForest:
+    return RelationalForest({e.table: table(spark, d, e.table) for e in STAR.values()})
+
+
+def dsl(spark: SparkSession, d: str, text: str) -> DataFrame:
+    f = forest(spark, d)
+    return run(text, RelationalPlanner(f), f.vocabulary)
+
+
+# the query language over the star schema
+
+
+@query("""SELECT c_custkey, c_name FROM customer c WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'O'
+  AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R'))""")
+def dsl_contain(spark, d):
+    q = 'customer c where and(c.mktsegment == "BUILDING", c contain orders o where and(o.orderstatus == "O", not(o contain lineitem l where l.returnflag == "R")));'
+    return dsl(spark, d, q).select("c_custkey", "c_name")
+
+
+@query("""SELECT r_regionkey, r_name FROM region r WHERE EXISTS (SELECT 1 FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey
+  WHERE n.n_regionkey = r.r_regionkey AND o.o_orderpriority = '1-URGENT' AND c.c_acctbal < 0)""")
+def dsl_contain_path(spark, d):
+    return dsl(spark, d, "region r where r contain customer c where and(c.inDebt, c contain orders o where o.isUrgent);").select("r_regionkey", "r_name")
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_custkey = c.c_custkey AND l.l_quantity = 50)")
+def dsl_not_contain(spark, d):
+    return dsl(spark, d, "customer c where not(c contain lineitem l where l.quantity == 50);").select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey = 1 AND o_orderstatus = 'F'")
+def dsl_in(spark, d):
+    return dsl(spark, d, 'orders o where and(o.orderstatus == "F", o in region r where r.regionkey == 1);').select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'MACHINERY') AND o_totalprice IS NOT NULL")
+def dsl_not_in(spark, d):
+    return dsl(spark, d, 'orders o where o notIn customer c where c.mktsegment == "MACHINERY";').select("o_orderkey")
+
+
+@query("""SELECT c_custkey FROM customer c WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')
+  OR NOT (c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F'))""")
+def dsl_and_or(spark, d):
+    q = 'customer c where or(c.inDebt, c contain orders o where o.isUrgent, not(or(c.mktsegment == "BUILDING", c contain orders p where p.orderstatus == "F")));'
+    return dsl(spark, d, q).select("c_custkey")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_full_match(p_brand, '.*#[12].') AND p_size <> 10")
+def dsl_match(spark, d):
+    return dsl(spark, d, 'part p where and(p.brand match ".*#[12].", p.size != 10);').select("p_partkey", "p_brand")
+
+
+@query("SELECT s_suppkey FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey WHERE n.n_regionkey <> 0")
+def dsl_is(spark, d):
+    return dsl(spark, d, "supplier s where and(s is supplier, s in alias_1 where and(alias_1 is region, alias_1.regionkey != 0));").select("s_suppkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O'")
+def dsl_flag(spark, d):
+    return dsl(spark, d, 'orders o where and(o.isUrgent, o.orderstatus != "O");').select("o_orderkey")
+
+
+@query("""SELECT o_orderkey FROM orders o WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'A' AND NOT l_linestatus = 'O')
+  AND NOT o_orderpriority = '5-LOW'""")
+def dsl_refined(spark, d):
+    q = parse('orders o_1 where and(o_1.orderstatus == "O", o_1 contain lineitem l_1 where and(l_1.returnflag == "A", l_1.quantity == 7));')
+    text = """Constraint 1:
+- Type: edit
+- Path: o_1.orderstatus
+- Operator: ==
+- Value: "F"
+
+Constraint 2:
+- Type: del
+- Path: l_1.quantity
+- Operator: ==
+
+Constraint 3:
+- Type: add
+- Path: l_1.linestatus
+- Operator: ==
+- Value: "O"
+- Is Negative: true
+
+Constraint 4:
+- Type: add
+- Path: o_1.orderpriority
+- Operator: ==
+- Value: "5-LOW"
+- Is Negative: yes
+"""
+    f = forest(spark, d)
+    sorted_out = rewrite.classify(rewrite.extract(text), q, f.vocabulary)
+    return RelationalPlanner(f).plan(rewrite.merge(q, sorted_out[rewrite.VALID])).select("o_orderkey")
+
+
+# trees
+
+_TREE_SQL = """WITH t AS (
+  SELECT c_custkey::VARCHAR AS tree_id, 'customer' AS node_type, 0 AS depth FROM customer
+  UNION ALL SELECT o_custkey::VARCHAR, 'orders', 1 FROM orders
+  UNION ALL SELECT o.o_custkey::VARCHAR, 'lineitem', 2 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey) """
+
+
+@query(_TREE_SQL + "SELECT tree_id, count(*) AS nodes, max(depth) AS max_depth FROM t GROUP BY tree_id")
+def tree_flatten(spark, d):
+    return forest(spark, d).node_table().groupBy("tree_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
+
+
+@query(_TREE_SQL + "SELECT node_type, depth, count(*) AS n FROM t GROUP BY ALL")
+def tree_depth(spark, d):
+    return forest(spark, d).node_table().groupBy("node_type", "depth").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+  u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  w AS (SELECT 'n3' AS node, 0 AS hops UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 2)
+  SELECT node, min(hops) AS hops FROM w GROUP BY node""")
+def tree_neighbourhood_k(spark, d):
+    from treeloom.tree.nodes import neighbourhood
+
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    nodes = n.select(key("n", "n_nationkey").alias("node_id"), key("r", "n_regionkey").alias("parent_id")).unionByName(
+        s.select(key("s", "s_suppkey").alias("node_id"), key("n", "s_nationkey").alias("parent_id"))
+    )
+    nodes = nodes.withColumn("tree_id", F.lit("t"))
+    seeds = spark.createDataFrame([("t", "n3")], "tree_id string, node_id string")
+    return neighbourhood(nodes, seeds, 2, data_deps=False).select(F.col("node_id").alias("node"), "hops")
+
+
+@query()
+def html_contain(spark, d):
+    """Articles with a paragraph, on pages whose navigation links somewhere."""
+    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html").where("parse_error IS NULL")
+    q = 'document d where and(d contain nav n where n contain a l where l.href match "/.+", d contain article a where a contain p q);'
+    return NodePlanner(nodes).plan(parse(q)).select("tree_id")
+
+
+@query()
+def html_detect(spark, d):
+    """Depth and size of every page's tree, from the parsed nodes."""
+    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html")
+    return nodes.groupBy("tree_id").agg(F.count("node_id").alias("nodes"), F.max("depth").alias("max_depth"), F.max("parse_error").alias("parse_error"))
+
+
+# metrics
+
+_RULE = "(o_totalprice > 150000)"
+
+
+@query(f"""WITH r AS (SELECT o_orderpriority AS checker, {_RULE} AS on_buggy, o_orderstatus = 'F' AS on_fixed FROM orders),
+  c AS (SELECT checker, count(*) FILTER (on_buggy) AS tp, count(*) FILTER (NOT on_buggy) AS fn, count(*) FILTER (on_fixed) AS fp, count(*) FILTER (NOT on_fixed) AS tn FROM r GROUP BY checker)
+  SELECT checker, tp, fp, fn, tn, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy FROM c""")
+def confusion_paired(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("checker"), F.expr(_RULE).alias("on_buggy"), (F.col("o_orderstatus") == "F").alias("on_fixed"))
+    out = matching.paired_confusion(o, ["checker"])
+    return out.select("checker", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy")])
+
+
+_LABEL_COUNTS = """WITH c AS (SELECT source AS tool, lang AS dataset, (quality = 1 AND toxic = 0)::INT AS tp, (quality = 1 AND toxic = 1)::INT AS fp, (quality = 0 AND toxic = 0)::INT AS fn,
+  (quality = 0 AND toxic = 1)::INT AS tn FROM labels JOIN documents USING (doc_id)) """
+_RATES = """round(CASE WHEN sum(tp) + sum(fp) = 0 THEN 0 ELSE sum(tp)::DOUBLE / (sum(tp) + sum(fp)) END, 4) AS precision,
+  round(CASE WHEN sum(tp) + sum(fn) = 0 THEN 0 ELSE sum(tp)::DOUBLE / (sum(tp) + sum(fn)) END, 4) AS recall,
+  round(CASE WHEN count(*) = 0 THEN 0 ELSE (sum(tp) + sum(tn))::DOUBLE / (sum(tp) + sum(fp) + sum(fn) + sum(tn)) END, 4) AS accuracy"""
+
+
+def _label_counts(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    n = lambda c, name: c.cast("int").alias(name)
+    return j.select(F.col("source").alias("tool"), F.col("lang").alias("dataset"), n(good & ~toxic, "tp"), n(good & toxic, "fp"), n(~good & ~toxic, "fn"), n(~good & toxic, "tn"))
+
+
+@query(_LABEL_COUNTS + f"SELECT dataset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, {_RATES} FROM c GROUP BY dataset")
+def metrics_micro(spark, d):
+    return matching.micro_average(_label_counts(spark, d), ["dataset"]).select("dataset", "tp", "fp", "fn", "tn", "precision", "recall", "accuracy")
+
+
+@query(_LABEL_COUNTS + f"SELECT tool, dataset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, {_RATES} FROM c GROUP BY ROLLUP (tool, dataset)")
+def metrics_rollup(spark, d):
+    return matching.rolled_up(_label_counts(spark, d), "tool", "dataset").select("tool", "dataset", "tp", "fp", "precision", "recall", "accuracy")
+
+
+@query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click'),
+  t AS (SELECT o_custkey AS user_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+  SELECT w.user_id, event_id, o_orderkey FROM w JOIN t ON w.user_id = t.user_id AND w.n = t.n""")
+def match_one_to_one(spark, d):
+    w = table(spark, d, "events").where("event_type = 'click'").select("user_id", "event_id")
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey")
+    return matching.ranked_one_to_one(w, t, ["user_id"], [F.col("event_id")], [F.col("o_orderkey")]).select("user_id", "event_id", "o_orderkey")
+
+
+_SHIP = "datediff('day', TIMESTAMP '1992-01-01', date_trunc('day', l_shipdate))"
+_ORDER = "datediff('day', TIMESTAMP '1992-01-01', date_trunc('day', o_orderdate))"
+
+
+def _days(c):
+    return F.datediff(F.col(c), F.lit("1992-01-01"))
+
+
+def _truths(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("truth_id"), _days("o_orderdate").alias("begin"), (_days("o_orderdate") + 60).alias("end"))
+
+
+def _warnings(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", _days("l_shipdate").alias("line"))
+
+
+@query(f"SELECT l_orderkey AS key, l_linenumber, l_partkey, l_suppkey, {_SHIP}::INT AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {_SHIP} BETWEEN {_ORDER} - 1 AND {_ORDER} + 61")
+def range_match_tol1(spark, d):
+    return matching.range_matches(_warnings(spark, d), _truths(spark, d), ["key"], 1).select("key", "l_linenumber", "l_partkey", "l_suppkey", "line")
+
+
+@query(f"SELECT count(*) AS n, sum({_SHIP})::BIGINT AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {_SHIP} BETWEEN {_ORDER} AND {_ORDER} + 60")
+def range_match_binned(spark, d):
+    return matching.binned_range_matches(_warnings(spark, d), _truths(spark, d), ["key"], 0).agg(F.count("*").alias("n"), F.sum("line").alias("days"))
+
+
+@query(f"""WITH w AS (SELECT event_id, user_id, day(ts) AS line FROM events), t AS (SELECT o_orderkey, o_custkey, day(o_orderdate) AS b FROM orders),
+  p AS (SELECT event_id, arg_min(o_orderkey, (b, o_orderkey)) AS truth_id FROM w JOIN t ON user_id = o_custkey WHERE line BETWEEN b - 1 AND b + 3 GROUP BY event_id)
+  SELECT event_id AS warning_id, truth_id FROM w LEFT JOIN p USING (event_id)""")
+def match_many_to_one(spark, d):
+    w = table(spark, d, "events").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"))
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("truth_id"), F.dayofmonth("o_orderdate").alias("begin"), (F.dayofmonth("o_orderdate") + 2).alias("end"))
+    return matching.many_to_one(w, t, ["file"], "warning_id", "truth_id").select("warning_id", "truth_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderstatus = 'P')")
+def semi_changed(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""WITH w AS (SELECT event_id AS warning_id, user_id AS file, day(ts) AS line FROM events),
+  f AS (SELECT c_custkey AS function_id, c_custkey AS file, 5 AS b, 20 AS e FROM customer),
+  t AS (SELECT o_orderkey AS truth_id, o_custkey AS file, day(o_orderdate) AS b, day(o_orderdate) + 2 AS e FROM orders),
+  s AS (SELECT warning_id, line, w.file, function_id FROM w JOIN f ON w.file = f.file WHERE line BETWEEN b - 1 AND e + 1),
+  h AS (SELECT warning_id, arg_min(truth_id, (b, truth_id)) AS truth_id FROM w JOIN t ON w.file = t.file WHERE line BETWEEN b - 1 AND e + 1 GROUP BY warning_id)
+  SELECT CASE WHEN truth_id IS NULL THEN 'fp' ELSE 'tp' END AS label, warning_id, truth_id, function_id FROM s LEFT JOIN h USING (warning_id)
+  UNION ALL SELECT 'fn', NULL, truth_id, function_id FROM t JOIN f ON t.file = f.file WHERE truth_id NOT IN (SELECT truth_id FROM h) AND f.b - 1 <= t.b AND t.e <= f.e + 1""")
+def label_tp_fp_fn(spark, d):
+    w = table(spark, d, "events").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("truth_id"), F.col("o_custkey").alias("file"), F.dayofmonth("o_orderdate").alias("begin"), (F.dayofmonth("o_orderdate") + 2).alias("end"))
+    f = table(spark, d, "customer").select(F.col("c_custkey").alias("function_id"), F.col("c_custkey").alias("file"), F.lit(5).alias("begin"), F.lit(20).alias("end"))
+    return matching.labelled(w, t, f, ["file"])
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def lookup_merge(spark, d):
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    r = table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return matching.lookup(c, (table(spark, d, "nation"), ["n_nationkey"]), (r, ["n_regionkey"])).select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("""SELECT 'docs' AS side, count(*) AS n FROM (SELECT regexp_replace(text, '\\s+', '', 'g') AS k, count(*) AS c FROM documents GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'benchmark', count(*) FROM benchmark b WHERE regexp_replace(text, '\\s+', '', 'g') IN (SELECT regexp_replace(text, '\\s+', '', 'g') FROM documents)""")
+def text_equal_nows(spark, d):
+    docs = table(spark, d, "documents").select(C.without_space(F.col("text")).alias("k"))
+    same = docs.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n")).select(F.lit("docs").alias("side"), "n")
+    items = table(spark, d, "benchmark").select(C.without_space(F.col("text")).alias("k")).join(docs, "k", "left_semi")
+    return same.unionByName(items.agg(F.count("*").alias("n")).select(F.lit("benchmark").alias("side"), "n"))
+
+
+@query("""SELECT c_mktsegment, n_nations, total, mean FROM (SELECT c_mktsegment, count(DISTINCT c_nationkey) AS n_nations, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 2) AS mean FROM customer GROUP BY 1)
+  ORDER BY n_nations DESC, total DESC LIMIT 3""")
+def group_nunique_topk(spark, d):
+    out = metrics.group_nunique(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", "c_acctbal")
+    out = out.select("c_mktsegment", F.col("n_distinct").alias("n_nations"), F.round("total", 2).alias("total"), "mean")
+    return sampling.top_k(out, 3, F.desc("n_nations"), F.desc("total"))
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min, round(median(o_totalprice), 4) AS median, max(o_totalprice) AS max
+  FROM orders GROUP BY 1""")
+def desc_stats(spark, d):
+    out = metrics.describe(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice")
+    return out.select("o_orderpriority", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", F.round("median", 4).alias("median"), "max")
+
+
+_BIN_SQL = """WITH v AS (SELECT {value} AS v FROM {table}), b(bin, label, lo, hi) AS (VALUES {rows}),
+  n AS (SELECT bin, label, count(v) AS n FROM b LEFT JOIN v ON {inside} GROUP BY bin, label)
+  SELECT bin, label, n, round(CASE WHEN sum(n) OVER () = 0 THEN 0 ELSE n / sum(n) OVER () END, 9) AS share FROM n"""
+
+
+@query(_BIN_SQL.format(value="p_size", table="part", rows="(0, '(0, 5]', 0, 5), (1, '(5, 10]', 5, 10), (2, '(10, 20]', 10, 20), (3, '(20, inf)', 20, 1e18)", inside="v > lo AND v <= hi"))
+def bins_right(spark, d):
+    return metrics.binned(table(spark, d, "part"), "p_size", [0, 5, 10, 20]).withColumn("share", F.round("share", 9))
+
+
+@query(_BIN_SQL.format(value="l_linenumber", table="lineitem", rows="(0, '[1, 2)', 1, 2), (1, '[2, 4)', 2, 4), (2, '[4, 6)', 4, 6), (3, '[6, 11)', 6, 11), (4, '[11, inf)', 11, 1e18)", inside="v >= lo AND v < hi"))
+def bins_left(spark, d):
+    return metrics.binned(table(spark, d, "lineitem"), "l_linenumber", [1, 2, 4, 6, 11], right=False).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY 1)
+  SELECT p_partkey, p_brand, p_retailprice FROM part JOIN q USING (p_brand) WHERE p_retailprice BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)""")
+def iqr_filter(spark, d):
+    return metrics.without_outliers(table(spark, d, "part"), ["p_brand"], "p_retailprice", 0.5).select("p_partkey", "p_brand", "p_retailprice")
+
+
+@query("""WITH c AS (SELECT o_orderstatus, o_orderkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+  SELECT o_orderstatus, round(sum(hits) / sum(total), 9) AS coverage, count(*) AS cases FROM c GROUP BY 1""")
+def coverage(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+    j = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    out = metrics.coverage(j, ["o_orderstatus"], "hits", "total")
+    return out.select("o_orderstatus", F.round("coverage", 9).alias("coverage"), F.size("rates").cast("long").alias("cases"))
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents), f AS (SELECT token, count(*) AS cnt FROM t WHERE token <> '' GROUP BY 1)
+  SELECT token, cnt, cnt / (SELECT count(*) FROM documents) < 0.005 AS considered FROM f WHERE cnt > 1""")
+def doc_freq_rare(spark, d):
+    docs = table(spark, d, "documents")
+    f = metrics.document_frequency(docs, "doc_id", "text").withColumn("kind", F.lit("text"))
+    n = docs.count()
+    return patterns.rare(f.select("kind", "token"), f, n).join(f.select("token", "cnt"), "token").where("cnt > 1").select("token", "cnt", "considered")
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0 * len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / (len(list_distinct(string_split(a.p_name, ' '))) + len(list_distinct(string_split(b.p_name, ' ')))), 9) AS score
+  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def sim_join_hard_soft(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split("p_name", " ")).alias("t"))
+    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
+    j = p.join(b, ["p_brand", "p_size"]).where("p_partkey < b")
+    score = 2.0 * F.size(F.array_intersect("t", "u")) / (F.size("t") + F.size("u"))
+    return j.select(F.col("p_partkey").alias("a"), "b", F.round(score, 9).alias("score"))
+
+
+@query()
+def sim_join_lcs(spark, d):
+    """Parts of a brand and size whose name tokens are alike in order."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.split("p_name", " ").alias("t"))
+    b = p.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
+    return p.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("score", lcs_dice_udf("t", "u")).where(F.col("score") > patterns.SCORE_THRESHOLD).select("a", "b", "score")
+
+
+@query()
+def lcs_substring_match(spark, d):
+    """Customers and suppliers of a nation whose names share a long substring."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), "c_custkey", F.col("c_name").alias("text"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", F.col("s_name").alias("element"))
+    return c.join(s, "key").withColumn("similarity", substring_dice_udf("text", "element")).where("similarity >= 0.6").select("c_custkey", "s_suppkey", "similarity")
+
+
+@query()
+def line_diff_counts(spark, d):
+    """Added, deleted and changed lines between turns of a conversation."""
+    t = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = t.select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.col("text").alias("after")).where("before IS NOT NULL")
+    return pairs.withColumn("x", line_changes_udf(F.col("before"), F.col("after"))).select("conv_id", "turn", "x.added", "x.deleted", "x.changed")
+
+
+@query()
+def html_edit_counts(spark, d):
+    """Edit operations between each page and the next one of its list of tags' heads; whole subtrees as one edit."""
+    from treeloom.operators.treediff import edit_counts, edit_scripts
+    from treeloom.tree.html import parse_html
+
+    head = F.regexp_extract("html", r"(?is)<head>(.*?)</head>", 1)
+    p = table(spark, d, "pages").select("page_id", head.alias("head"))
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("head").alias("after"))
+    pairs = p.join(nxt, "page_id").select(F.col("page_id").cast("string").alias("case_id"), F.col("head").alias("before"), "after")
+    return edit_counts(edit_scripts(pairs, parse_html, whole=True))
+
+
+@query("""SELECT conv_id, turn, string_agg(role || ': ' || length(text), '|' ) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS history
+  FROM (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn, role, text)""")
+def history_upto_step(spark, d):
+    t = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    out = sets.upto_step(t, "conv_id", "turn", F.concat("role", F.lit(": "), F.length("text")))
+    return out.select("conv_id", "turn", F.array_join("history", "|").alias("history"))
+
+
+@query("""SELECT conv_id, sum(n)::BIGINT AS tokens, round(sum(n * CASE WHEN role = 'assistant' THEN 10.0 ELSE 2.5 END) / 1e6, 12) AS cost
+  FROM (SELECT conv_id, role, length(coalesce(text, '')) AS n FROM conversations) GROUP BY 1""")
+def token_cost(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "role", F.lit("m").alias("model"), F.length(F.coalesce("text", F.lit(""))).alias("tokens"))
+    prices = spark.createDataFrame([("m", 2.5, 10.0)], "model string, input_price double, output_price double")
+    return metrics.token_cost(t, prices, ["conv_id"]).withColumn("cost", F.round("cost", 12))
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '#42'), c_custkey) = 1")
+def sample_one_per_group(spark, d):
+    return sampling.one_per_group(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '#42'), o_orderkey LIMIT 25")
+def sample_k(spark, d):
+    return sampling.sample_k(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 25)
+
+
+@query("""SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '#42'), c_custkey) <= floor(count(*) OVER (PARTITION BY c_nationkey) * 0.1)""")
+def sample_share(spark, d):
+    return sampling.share_of_rows(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 0.1)
+
+
+@query("SELECT event_id, props, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", "props", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT l_returnflag, measure, round(sum(v), 2) AS total FROM (SELECT l_returnflag, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS v FROM lineitem) GROUP BY 1, 2""")
+def melt(spark, d):
+    li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return li.unpivot(["l_returnflag"], ["quantity", "discount", "tax"], "measure", "v").groupBy("l_returnflag", "measure").agg(F.round(F.sum("v"), 2).alias("total"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY 1")
+def skip_done(spark, d):
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return sets.remaining(table(spark, d, "customer"), done, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, bool_and(o_orderstatus IN ('O', 'F')) AS all_there FROM orders GROUP BY 1")
+def contains_all(spark, d):
+    wanted = spark.createDataFrame([("O",), ("F",)], "o_orderstatus string")
+    return sets.contains_all(table(spark, d, "orders").select("o_custkey", "o_orderstatus"), wanted, "o_custkey", "o_orderstatus")
+
+
+@query("SELECT p_type, p_size FROM part GROUP BY 1, 2 HAVING count(*) <= 2")
+def few_or_none(spark, d):
+    return sampling.few_or_none(table(spark, d, "part"), ["p_type", "p_size"], 2).select("p_type", "p_size").distinct()
+
+
+@query("""SELECT CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'equal' ELSE 'other' END AS status, count(*) AS n
+  FROM (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k GROUP BY 1""")
+def key_alignment(spark, d):
+    o = table(spark, d, "orders")
+    n = lambda s: o.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").alias("v"))
+    return matching.aligned(n("O"), n("F"), "o_custkey", "v")
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def scan_aggregate(spark, d):
+    li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(disc), 2).alias("sum_disc"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, count(*) FILTER (l_quantity BETWEEN 10 AND 20) > 0 AS any_mid, min(l_linenumber) AS first_line FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def exists_first(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_quantity").between(10, 20)).alias("any_mid"), F.min("l_linenumber").alias("first_line"))
+    return table(spark, d, "orders").select("o_orderkey").join(li, "o_orderkey")
+
+
+@query("SELECT p_partkey, split_part(p_brand, '#', 1) AS head, nullif(split_part(p_brand, '#', 2), '') AS tail, p_size * 1.0 / nullif(p_size - 10, 0) AS ratio FROM part WHERE p_size <> 10")
+def scalar_strings(spark, d):
+    head, tail = C.split_once(F.col("p_brand"), "#")
+    return table(spark, d, "part").where("p_size <> 10").select("p_partkey", head.alias("head"), tail.alias("tail"), (F.col("p_size") * 1.0 / (F.col("p_size") - 10)).cast("double").alias("ratio"))
+
+
+@query()
+def dsl_validation(spark, d):
+    """Findings on a handful of queries, as a table."""
+    from treeloom.dsl.analyzer import report
+    from treeloom.dsl.vocabulary import JAVA_STRICT
+
+    texts = {
+        "ok": "binaryOperation b_1 where b_1 is instanceofExpression;",
+        "operator": "binaryOperation b_1 where b_1.operator is instanceof;",
+        "type": 'noSuchType n where n.name == "x";',
+        "alias": 'ifBlock i where j.condition contain literal l where l.value == "1";',
+        "syntax": "ifBlock i where and(i.condition);;",
+    }
+    return spark.createDataFrame(report(texts, JAVA_STRICT), "query_id string, valid boolean, kind string, message string, suggestion string")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
