@@ -7,13 +7,16 @@ times its size, so suffixes are narrowed down first, without loss:
    same one form a run. Equal windows pick the same gram at the same offset, so only runs with equal anchors can repeat
    each other. One partial aggregate per anchor tells anchors seen once (nothing repeats) and anchors whose runs are all equal
    (everything repeats) from mixed ones; runs of mixed anchors that have an equal run elsewhere are settled likewise.
-2. Suffixes. What is left, the ends of copies, is sorted as suffixes within each task (`suffixes.suffix_order`): neighbours
-   that share 400 bytes, verified byte by byte, are repeats. The tasks' sorted classes then merge by 128-bit hashes. One run of each
-   settled class takes part as a witness.
-3. The repeated windows come back to their documents, whose bytes are cut.
-
-Skew: counts are partial aggregates, and joins that bring them back have the unique side's key, so that Spark can split
-the other side; no group of equal strings is ever gathered. Equality across tasks rests on 128 bits (an anchor's and a run's hash, or
+2. Blocks. What is left are the runs at the ends of copies; one run of each settled class stays as a witness. Their windows are cut
+   into blocks of 8 by their offset from the anchor. Windows of a block share 393 bytes, its core, so a block whose core is met
+   nowhere else has no repeated window.
+3. Suffixes. The windows of the other blocks are sorted as suffixes within each task (`suffixes.suffix_order`): neighbours
+   that share 400 bytes, verified byte by byte, are repeats. The tasks' sorted classes then merge by 128-bit hashes.
+4. The repeated windows come back to their documents, whose bytes are cut.
+
+Skew: counts are partial aggregates. They are written before they are joined back, so that both sides of the join are plain
+shuffles and Spark can split a hot key's rows against its one count; no group of equal strings is ever gathered. Texts are
+compressed before they are shuffled to their spans. Equality across tasks rests on 128 bits (an anchor's and a run's hash, or
 two hashes of a window by different bases).
 
 Defined cases: null and empty texts, and those of under `length` bytes, lose nothing. Repeated rows repeat each other. Null ids
@@ -27,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import materialize, table
+from treeloom.llm.common import materialize, slices, table
 from treeloom.llm.suffixes import Buffer, equal_neighbours, suffix_order
 
 LENGTH = 400
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+BLOCK_WINDOWS = 8
 _PLACE_BITS = 24
 
 
@@ -82,7 +87,7 @@ def least_grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, run hash) of every run; windows count from their row's start.
+    """(row, first window, last window, anchor, anchor hash, run hash) of every run; places count from their row's start.
 
     The run hash covers all bytes of the run's windows, their number and the anchor's place among them.
     """
@@ -112,9 +117,9 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
         row = r0 + np.searchsorted(bounds[r0 + 1 : r1 + 1] - b0, low, "right")
         whole = buffer.hash(low, high - low + length, 1) + (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         shift = b0 - bounds[row]
-        found.append((row, low + shift, high + shift, hashes[anchor], whole))
+        found.append((row, low + shift, high + shift, anchor + shift, hashes[anchor], whole))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -132,13 +137,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are about to be shuffled."""
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in slices(batches):
         packed = [pack.compress(t.as_buffer()) if t.is_valid and len(t.as_buffer()) else b"" for t in batch.column(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["k1", "k2", "id", "packed"])
 
 
 def _unpack(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+    """A text's bytes, compressed or not: no UTF-8 begins as a compressed text does."""
+    return zstandard.ZstdDecompressor().decompress(packed) if packed.startswith(b"\x28\xb5\x2f\xfd") else packed
 
 
 def _spread(sorted_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +193,52 @@ def window_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tup
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def block_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
+    """(text, first, last, witness, core hash) of each block of the spans' windows."""
+    bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+    buffer = Buffer(np.frombuffer(b"".join(texts), np.uint8))
+    flat = [(i, s["low"], s["high"], s["anchor"], bool(s["witness"])) for i, own in enumerate(spans) for s in own]
+    text, low, high, anchor, witness = map(np.array, zip(*flat, strict=True))
+    # blocks count from the anchor backwards: the last window of a span is in its first block
+    first, last = (anchor - high) // BLOCK_WINDOWS, (anchor - low) // BLOCK_WINDOWS
+    n = last - first + 1
+    of = np.repeat(np.arange(len(n)), n)
+    block = first[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    core = anchor[of] - block * BLOCK_WINDOWS
+    begin = np.maximum(core - BLOCK_WINDOWS + 1, low[of])
+    hashes = buffer.hash(core + bounds[text[of]], length - BLOCK_WINDOWS + 1)
+    return text[of], begin, np.minimum(core, high[of]), witness[of], hashes
+
+
 _PLACE = "k1 long, k2 int, low int, high int"
 
 
+def _batched(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[list[dict]]]]:
+    """(first row, texts, spans) of about a piece of bytes each; one row at a time becomes Python objects."""
+    texts, spans, first, weight = [], [], 0, 0
+    for at in range(batch.num_rows):
+        texts.append(_unpack(batch.column(3)[at].as_py()))
+        spans.append(batch.column(2)[at].as_py())
+        weight += len(texts[-1])
+        if weight >= PIECE_BYTES:
+            yield first, texts, spans
+            texts, spans, first, weight = [], [], at + 1, 0
+    if texts:
+        yield first, texts, spans
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _with_text(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """k1, k2, spans, packed: each document's spans with its text; spans is written already."""
+    by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(*[c for c in spans.columns if c not in ("k1", "k2")])).alias("spans"))
+    long = keyed.where(F.octet_length("text") >= length).select("k1", "k2", F.lit(0).alias("id"), "text")
+    fields = "k1 long, k2 int, id int, packed binary"
+    return long.mapInArrow(_pack, fields).join(by_doc, ["k1", "k2"]).select("k1", "k2", "spans", "packed")
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, low, high): the starts, from low to high, of repeated windows of each document."""
     keyed = _keyed(docs, id_col, text_col)
@@ -197,49 +246,49 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = _utf8(batch.column(2))
-            row, low, high, anchor, whole = runs(data, bounds, length)
+            row, low, high, place, anchor, whole = runs(data, bounds, length)
             keys = [c.take(pa.array(row)) for c in batch.columns[:2]]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _signed(anchor), _signed(whole)], names=["k1", "k2", "low", "high", "anchor", "whole"])
+            yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), _ints(place), _signed(anchor), _signed(whole)], names=["k1", "k2", "low", "high", "place", "anchor", "whole"])
 
     able = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= length)
-    found = able.mapInArrow(find_runs, f"{_PLACE}, anchor long, whole long")
+    found = able.mapInArrow(find_runs, f"{_PLACE}, place int, anchor long, whole long")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    shared = found.join(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
-    shared = materialize(shared, "repeats-shared")
+    anchors = materialize(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeats-anchors")
+    shared = materialize(found.join(anchors, "anchor"), "repeats-shared")
     plain = shared.where(~F.col("mixed")).select("k1", "k2", "low", "high")
 
     mixed = shared.where("mixed")
     classes = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
-    settled = mixed.join(classes, ["anchor", "whole"])
+    classes = materialize(classes.where("n > 1").select("anchor", "whole", "first"), "repeats-classes")
+    settled = mixed.join(classes, ["anchor", "whole"], "left")
+    alone = F.col("first").isNull()
     is_first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("low") == F.col("first.low"))
-    settled = materialize(settled.select("k1", "k2", "low", "high", (F.col("n") > 1).alias("witness"), is_first.alias("open")), "repeats-mixed")
+    settled = materialize(settled.select("k1", "k2", "low", "high", "place", (~alone).alias("witness"), (alone | is_first).alias("open")), "repeats-mixed")
     equal = settled.where("witness").select("k1", "k2", "low", "high")
+    due = settled.where("open").select("k1", "k2", "low", "high", F.col("place").alias("anchor"), "witness")
 
-    due = settled.where("open").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high", "witness")).alias("spans"))
+    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts, spans in _batched(batch):
+                text, low, high, witness, core = block_rows(texts, spans, length)
+                keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), pa.array(witness), _signed(core)], names=["k1", "k2", "low", "high", "witness", "core"])
+
+    blocks = materialize(_with_text(keyed, due, length).mapInArrow(cut_blocks, f"{_PLACE}, witness boolean, core long"), "repeats-blocks")
+    cores = materialize(blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeats-cores")
+    near = materialize(blocks.join(cores, "core", "left_semi").select("k1", "k2", "low", "high", "witness"), "repeats-near")
 
     def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            at = 0
-            while at < len(rows):
-                texts, spans, take, weight = [], [], at, 0
-                while at < len(rows) and (not texts or weight < PIECE_BYTES):
-                    texts.append(_unpack(rows[at]["packed"]))
-                    spans.append(rows[at]["spans"])
-                    weight += len(texts[-1])
-                    at += 1
+            for first, texts, spans in _batched(batch):
                 text, low, high, w1, w2, kind = window_rows(texts, spans, length)
-                back = pa.array(text + take)
-                keys = [c.take(back) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _signed(w1), _signed(w2), pa.array(kind.astype(np.int32))], names=["k1", "k2", "low", "high", "w1", "w2", "kind"])
+                keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), _signed(w1), _signed(w2), _ints(kind)], names=["k1", "k2", "low", "high", "w1", "w2", "kind"])
 
-    long = keyed.where(F.octet_length("text") >= length).select("k1", "k2", F.lit(0).alias("id"), "text")
-    packed = long.mapInArrow(_pack, "k1 long, k2 int, id int, packed binary")
-    # of rows that repeat each other one is enough: their windows are witnesses or settled
-    opened = due.join(packed, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("packed").alias("packed"))
-    windows = materialize(opened.mapInArrow(sort_windows, f"{_PLACE}, w1 long, w2 long, kind int"), "repeats-windows")
+    windows = materialize(_with_text(keyed, near, length).mapInArrow(sort_windows, f"{_PLACE}, w1 long, w2 long, kind int"), "repeats-windows")
     here = windows.where("kind = 2").select("k1", "k2", "low", "high")
     met = windows.where("kind < 2").groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    met = materialize(met, "repeats-met")
     across = windows.where("kind = 0").join(met, ["w1", "w2"], "left_semi").select("k1", "k2", "low", "high")
     return plain.unionByName(equal).unionByName(here).unionByName(across)
 
@@ -274,11 +323,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
     last, last_type = ("kept_sha256 string", pa.string()) if digest else ("kept binary", pa.binary())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [])
-            for packed_text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = _unpack(packed_text)
-                removed, n, kept = cut(text, [(s["low"], s["high"]) for s in own or []], length)
+            lists = batch.column(2).fill_null([])
+            ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+            low, high = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in ("low", "high"))
+            for i in range(batch.num_rows):
+                text, own = _unpack(batch.column(1)[i].as_py()), slice(ends[i], ends[i + 1])
+                removed, n, kept = cut(text, list(zip(low[own].tolist(), high[own].tolist(), strict=True)), length)
                 for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept), strict=True):
                     c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), last_type]
