@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import table
+from treeloom.llm.common import slices, table
 
 ORDER = 5
 SAMPLE_ROWS = 800
@@ -83,7 +83,7 @@ def _grams(words: list[str]) -> _Grams:
     by_order = [np.zeros(len(codes), np.uint64), _mix((codes + np.uint64(1)) * _M1)]
     for k in range(2, ORDER + 1):
         longer = np.zeros(len(codes), np.uint64)
-        before = codes[: len(codes) - k + 1]
+        before = codes[: max(0, len(codes) - k + 1)]
         longer[k - 1 :] = _mix(by_order[k - 1][k - 1 :] * _M1 + before + np.uint64(k))
         longer[at < k - 1] = 0
         by_order.append(longer)
@@ -191,13 +191,13 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropies per character (nats) by language, and the characters that count, of each text."""
-        cut = [words_of(t) for t in texts]
         h = np.zeros((len(texts), len(self.model.langs)))
         n = np.zeros(len(texts), np.int64)
-        for at in range(0, len(cut), 512):
-            self._learn(cut[at : at + 512])
+        for at in range(0, len(texts), 64):
+            cut = [words_of(t) for t in texts[at : at + 64]]
+            self._learn(cut)
             get = self.index.__getitem__
-            for i, words in enumerate(cut[at : at + 512], at):
+            for i, words in enumerate(cut, at):
                 if words:
                     rows = np.fromiter(map(get, words), np.int64, len(words))
                     n[i] = self.chars[rows].sum()
@@ -297,15 +297,16 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
             _scorers.clear()
             _scorers[key] = Scorer(sent.value)
         scorer = _scorers[key]
-        for batch in batches:
-            made = scorer.predict(batch.column(0).to_pylist())
+        for batch in slices(batches):
+            made = scorer.predict(batch.column(text_at).to_pylist())
             cols = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*inner, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*inner, *names])
 
     inner = [f"k{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     shape = ", ".join([*(f"{n} {k}" for n, k in zip(inner, kinds, strict=True)), added])
-    rows = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)])
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)], *([] if text_col in keep else [F.col(text_col).alias("t")]))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
     out = rows.mapInArrow(run, shape)
     for n, c in zip(inner, keep, strict=True):
         out = out.withColumnRenamed(n, c)
