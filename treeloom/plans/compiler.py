@@ -174,7 +174,10 @@ class RelationalPlanner(Planner):
 
 
 class NodePlanner(Planner):
-    """Plans over a node table (tree.nodes): containment joins on exploded ancestors, so it stays an equi-join."""
+    """Plans over a node table (tree.nodes): containment joins on exploded ancestors, so it stays an equi-join.
+
+    What a relation is joined with starts from the node table, never from the plan so far, so a plan grows with its query.
+    """
 
     KEY = ["tree_id", "node_id"]
 
@@ -207,10 +210,11 @@ class NodePlanner(Planner):
             if not c.path.steps:
                 return df, above.select(self.KEY), self.KEY
             own = inner.select("tree_id", F.col("node_id").alias("_hit"), "node_id")
-            ends = self.walk(df, c.path.steps)
+            ends = self.walk(self.source(q), c.path.steps)
             hit = ends.join(above.unionByName(own).select(self.KEY), self.KEY, "left_semi")
             return df, hit.select("tree_id", F.col("start").alias("node_id")), self.KEY
-        start = self.walk(df, c.path.steps) if c.path.steps else df.select("tree_id", F.col("node_id").alias("start"), "node_id")
+        every = self.source(q)
+        start = self.walk(every, c.path.steps) if c.path.steps else every.select("tree_id", F.col("node_id").alias("start"), "node_id")
         up = start.join(self.nodes.select("tree_id", "node_id", "ancestors"), self.KEY).select("tree_id", "start", F.explode("ancestors").alias("node_id"))
         hit = up.join(inner.select(self.KEY), self.KEY, "left_semi")
         return df, hit.select("tree_id", F.col("start").alias("node_id")), self.KEY
@@ -223,7 +227,7 @@ class NodePlanner(Planner):
             steps, last = list(c.path.steps), ""
         if not steps:
             return df, self._test(last, c)
-        ends = self.walk(df, tuple(steps)).join(self.nodes, self.KEY).where(self._test(last, c))
+        ends = self.walk(self.source(q), tuple(steps)).join(self.nodes, self.KEY).where(self._test(last, c))
         name = f"_flag{len(flags)}"
         flags.append(name)
         hit = ends.select("tree_id", F.col("start").alias("node_id")).distinct().withColumn(name, F.lit(True))

@@ -774,5 +774,5 @@ def parse_method(source: str) -> Node:
 def signature(text: str) -> tuple[str | None, str, list[str]]:
     """(return type, name, argument types) of a method's header as text."""
     m = parse_method(text.rstrip().rstrip(";{").rstrip() + " {}")
-    ret, name, args = m.props["signature"].split("?")
-    return ret or None, name, args.split(",") if args else []
+    ret = next((c.label for c in m.children if c.role == "type"), None)
+    return ret, m.name, [p.props["type"] for p in m.children if p.role == "parameters"]
