@@ -88,7 +88,7 @@ def type_class(answer: Column) -> Column:
 def critical_lines(answer: Column) -> Column:
     """The parts of a "[critical lines]" section that ||| separates."""
     section = F.regexp_extract(answer, r"(?is)\[critical lines\]\s*:?\s*(.*?)(?:\n\s*\n|$)", 1)
-    return F.filter(F.transform(F.split(section, r"\|\|\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(section, r"\|\|\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def element_parts(text: Column) -> Column:

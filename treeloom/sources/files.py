@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from treeloom.functions.columns import decode_text
@@ -29,38 +32,37 @@ MAX_NODES = 200_000
 
 
 def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
-    """(path, text) of every file below path; text in the first charset that fits."""
+    """(path, text) of every file below path; text in the first charset that fits. Spark passes over empty and hidden files."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return raw.select("path", decode_text(F.col("content")).alias("text"))
 
 
 def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """NODE_FIELDS rows and parse_error of each text; one that can't be read gives a row with its error only. kind: java or html."""
-    columns = [x.split(" ")[0] for x in NODE_FIELDS.split(", ")]
+    fields = f"{NODE_FIELDS}, parse_error string"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from treeloom.tree.html import parse_html
         from treeloom.tree.java import parse_unit
         from treeloom.tree.nodes import rows_of
 
         parse = {"java": parse_unit, "html": parse_html}[kind]
         for batch in batches:
-            for key, text in zip(batch[id_col], batch[text_col], strict=True):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     if not text:
                         raise ValueError("empty")
                     rows = rows_of(str(key), parse(text))
                     if len(rows) > MAX_NODES:
                         raise ValueError(f"more than {MAX_NODES} nodes")
-                    frame = pd.DataFrame(rows, columns=columns)
-                    frame["parse_error"] = None
+                    for r in rows:
+                        r["props"], r["flags"] = list(r["props"].items()), list(r["flags"].items())
                 except (ValueError, RecursionError) as e:
-                    frame = pd.DataFrame([{"tree_id": str(key), "parse_error": str(e)}], columns=[*columns, "parse_error"])
-                for c in ("node_id", "parent_id", "pos", "depth", "pre", "post", "start_line", "end_line", "data_dep_id"):
-                    frame[c] = frame[c].astype("Int64")
-                yield frame
+                    rows = [{"tree_id": str(key), "parse_error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return texts.select(id_col, text_col).mapInPandas(run, f"{NODE_FIELDS}, parse_error string")
+    return texts.select(id_col, text_col).mapInArrow(run, fields)
 
 
 def code_pairs(files: DataFrame) -> DataFrame:
