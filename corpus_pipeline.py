@@ -13,8 +13,8 @@ from treeloom.llm.common import materialize, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go; the others carry the language predicted."""
-    found = langid.predict(docs, langid.train(docs))
-    return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = langid.predict(docs, langid.train(docs), prefix="_new_")
+    return found.where(~F.col("_new_rejected")).withColumn("lang", F.col("_new_lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars is that of the new text."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    found = secrets.scan_secrets(docs, keep=rest)
-    clean = found.withColumn("text", F.when(F.size("found") > 0, secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text")))
-    changed = F.when(F.size("found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    found = secrets.scan_secrets(docs, keep=rest, found_col="_found")
+    hit = F.size("_found") > 0
+    clean = found.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
+    changed = F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(docs.columns)
 
 

@@ -65,3 +65,11 @@ def test_stages_keep_the_columns(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).collect() == []
+
+
+def test_clashing_columns_pass_through(spark, folder):
+    d, rows, _ = folder
+    docs = spark.createDataFrame([(*r, "f", 0.5, True, "c") for r in rows[:40]], f"{SCHEMA}, found string, score double, rejected boolean, component_id string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {("f", 0.5, True, "c")}

@@ -284,13 +284,16 @@ def train(
 _scorers: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (all columns if not given) with lang_pred, score, rejected and cross_entropy added."""
-    keep = docs.columns if keep is None else keep
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """`keep` (if not given, all columns whose names the added ones leave free) and lang_pred, score, rejected, cross_entropy.
+
+    prefix goes before the added names.
+    """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    added = "lang_pred string, score double, rejected boolean, cross_entropy double"
+    added = ", ".join(prefix + x for x in ("lang_pred string", "score double", "rejected boolean", "cross_entropy double"))
     types = [pa.string(), pa.float64(), pa.bool_(), pa.float64()]
     names = [x.split()[0] for x in added.split(", ")]
+    keep = [c for c in docs.columns if c not in names] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:

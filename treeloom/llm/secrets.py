@@ -140,8 +140,9 @@ def scan_secrets(
     keep: Sequence[str] = (),
     block_docs: int = BLOCK_DOCS,
     broadcast_rows: int = BROADCAST_ROWS,
+    found_col: str = "found",
 ) -> DataFrame:
-    """The id, `keep`, and found: array<struct<start, order, kind, end>> by start, then the rules' order, of every row."""
+    """The id, `keep`, and found_col: array<struct<start, order, kind, end>> by start, then the rules' order, of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     keyed = docs.select(F.xxhash64(id_col, text).alias("key"), F.col(id_col).alias("id"), text.alias("text"), *kept)
@@ -158,7 +159,7 @@ def scan_secrets(
             due = (F.coalesce("mask", F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) & due
         spans.append(F.when(due, _spans(F.col("text"), rule, r)).otherwise(none))
     out = joined.select("id", *[f"keep_{i}" for i in range(len(keep))], F.array_sort(F.concat(*spans)).alias("found"))
-    return out.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "found")
+    return out.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("found").alias(found_col))
 
 
 def joined_spans(found: Column) -> Column:

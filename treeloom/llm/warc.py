@@ -376,6 +376,8 @@ def write_archive(
     keyed = pages.select("page_id", "url", "html", digest.alias("digest"))
     firsts = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = materialize(firsts.where("n > 1").select("digest", "first"), "warc-repeated")
+    # small payloads get keys of their own, so that they don't meet in one task
+    keyed = keyed.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
     if firsts.agg(F.count("*")).first()[0] <= broadcast_rows:
         firsts = F.broadcast(firsts)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
