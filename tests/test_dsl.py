@@ -121,3 +121,21 @@ def test_extraction_layouts(text):
     a, b = rewrite.extract(text)
     assert (a.path, a.op, a.value, a.action, a.negative) == ("a.name", "==", '"x"', "add", True)
     assert (b.path, b.op, b.action, b.negative) == ("b.name", "match", "del", False)
+
+
+def test_dialogue_repairs_stores_and_resumes():
+    from treeloom.dsl.dialogue import STEPS, Dialogue
+
+    answers = {
+        "analyse_query": "a", "analyse_false_positive": "b", "repair": "- Type: add\n- Path: i_1.name\n- Operator: ==\n- Value: \"x\"",
+        "extract": "- Type: add\n- Path: i_1.nam\n- Operator: ==\n- Value: \"x\"\n\n- Type: add\n- Path: zz.name\n- Operator: ==\n- Value: \"y\"",
+    }
+    stored = []
+    d = Dialogue("ifBlock i_1 where i_1.condition is literal;", lambda step, context: answers[step], JAVA, lambda step, context: stored.append((step, dict(context))))
+    refined = d.run()
+    assert refined.split() == 'ifBlock i_1 where and( i_1.condition is literal, i_1.name == "x" );'.split()
+    assert tuple(s for s, _ in stored) == STEPS
+    again = Dialogue(d.query, None, JAVA, context={"valid": stored[3][1]["valid"]})
+    assert again.run("construct") == refined
+    with pytest.raises(ValueError):
+        again.run("extract")

@@ -91,3 +91,20 @@ def test_arriving_files_are_scanned_once(spark, tmp_path):
     put(tmp_path, "in/b.java", "class B { int g() { return 1; } }")
     assert go()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_commit_files(spark, tmp_path):
+    import subprocess
+
+    from treeloom.sources.git import commit_files
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    put(tmp_path, "a/A.java", "class A {}")
+    put(tmp_path, "b/é B.java", "class B { String s = \"é\n\"; }")
+    put(tmp_path, "c.txt", "no")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    put(tmp_path, "a/A.java", "class Changed {}")
+    got = {r.path: r.text for r in commit_files(spark, str(tmp_path), "HEAD").collect()}
+    assert got == {"a/A.java": "class A {}", "b/é B.java": "class B { String s = \"é\n\"; }"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.dsl.ast import And, Compare, Condition, Not, Or, Query, Relate
+from treeloom.dsl.ast import And, Compare, Condition, Not, Query, Relate
 
 
 def show_atom(c: Compare) -> str:
@@ -12,7 +12,7 @@ def show_atom(c: Compare) -> str:
 
 
 def show_condition(c: Condition, depth: int = 0) -> str:
-    pad, inner = "\t" * depth, "\t" * (depth + 1)
+    pad = "\t" * depth
     if isinstance(c, Compare):
         return pad + show_atom(c)
     if isinstance(c, Relate):
@@ -20,9 +20,8 @@ def show_condition(c: Condition, depth: int = 0) -> str:
     if isinstance(c, Not):
         return f"{pad}not(\n{show_condition(c.part, depth + 1)}\n{pad})"
     word = "and" if isinstance(c, And) else "or"
-    assert isinstance(c, (And, Or))
     parts = ",\n".join(show_condition(p, depth + 1) for p in c.parts)
-    return f"{pad}{word}(\n{parts}\n{pad})" if inner else ""
+    return f"{pad}{word}(\n{parts}\n{pad})"
 
 
 def show_query(q: Query, depth: int = 0) -> str:

@@ -446,9 +446,9 @@ def melt(spark, d):
     return li.unpivot(["l_returnflag"], ["quantity", "discount", "tax"], "measure", "v").groupBy("l_returnflag", "measure").agg(F.round(F.sum("v"), 2).alias("total"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY 1")
+@query("SELECT c_mktsegment, count(*) AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P') GROUP BY 1")
 def skip_done(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return sets.remaining(table(spark, d, "customer"), done, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
@@ -506,6 +506,98 @@ def dsl_validation(spark, d):
     return spark.createDataFrame(report(texts, JAVA_STRICT), "query_id string, valid boolean, kind string, message string, suggestion string")
 
 
+@query("""WITH u AS (SELECT event_id, user_id, day(ts) AS place FROM events), f AS (SELECT o_orderkey, o_custkey, day(o_orderdate) AS a, day(o_orderdate) + o_orderkey % 5 AS b FROM orders),
+  p AS (SELECT event_id, arg_min(o_orderkey, (b - a, a, o_orderkey)) AS def_id FROM u JOIN f ON user_id = o_custkey WHERE a <= place AND b >= place GROUP BY event_id)
+  SELECT event_id AS use_id, def_id FROM u LEFT JOIN p USING (event_id)""")
+def scope_lookup(spark, d):
+    """Uses with the innermost scope that holds them: an interval join on equal keys."""
+    e, o = table(spark, d, "events"), table(spark, d, "orders")
+    uses = e.select(F.col("user_id").alias("tree_id"), F.lit("x").alias("name"), F.col("event_id").alias("use_id"), F.dayofmonth("ts").alias("start"), F.dayofmonth("ts").alias("end"))
+    first = F.dayofmonth("o_orderdate")
+    defs = o.select(F.col("o_custkey").alias("tree_id"), F.lit("x").alias("name"), F.col("o_orderkey").alias("def_id"), first.alias("scope_start"), (first + F.col("o_orderkey") % 5).alias("scope_end"), F.lit(False).alias("is_global"))
+    return patterns.identifier_definitions(uses, defs).select("use_id", "def_id")
+
+
+@query("""WITH r AS (SELECT r_regionkey AS k, r_regionkey % 3 AS v FROM region), n AS (SELECT n_nationkey AS k, n_regionkey AS p, n_nationkey % 3 AS v FROM nation)
+  SELECT 'r' || k AS node_id FROM r WHERE v = 1 UNION ALL SELECT 'n' || n.k FROM n JOIN r ON n.p = r.k WHERE r.v IN (1, 2) AND n.v = 1""")
+def verdict_walk(spark, d):
+    """A top-down walk that prunes by verdicts: 1 keeps and descends, 2 descends, anything else prunes."""
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    one = F.lit("t").alias("tree_id")
+    nodes = r.select(one, key("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("r_regionkey") % 3).alias("verdict"))
+    nodes = nodes.unionByName(n.select(one, key("n", "n_nationkey").alias("node_id"), key("r", "n_regionkey").alias("parent_id"), (F.col("n_nationkey") % 3).alias("verdict")))
+    return patterns.walk_verdicts(nodes.drop("verdict"), nodes.select("tree_id", "node_id", "verdict"), 3).select("node_id")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def latest_per_key(spark, d):
+    return sets.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@query("SELECT a.n_regionkey, a.n_nationkey AS rule_case, b.n_nationkey AS scanned_case FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def cross_cases(spark, d):
+    return sets.cross_cases(table(spark, d, "nation"), "n_regionkey", "n_nationkey")
+
+
+@query("""SELECT min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, count(*) FILTER (n < m) AS better, count(*) FILTER (n > m) AS worse
+  FROM (SELECT c_custkey, count(*) FILTER (o_orderstatus = 'O') AS n, count(*) FILTER (o_orderstatus = 'F') AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)""")
+def scan_summary(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("m"))
+    return metrics.scan_summary(o).withColumn("mean", F.round("mean", 9))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (f) AS detected, round(count(*) FILTER (f) / count(*), 9) AS rate, round(avg(n) FILTER (f), 9) AS mean_results, round(avg(s) FILTER (f), 6) AS mean_seconds
+  FROM (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS s, bool_or(l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)""")
+def detection_summary(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("detected"), F.count("*").alias("n_results"), F.max("l_quantity").alias("seconds"))
+    out = metrics.detection_summary(li)
+    return out.select("total", "detected", F.round("rate", 9).alias("rate"), F.round("mean_results", 9).alias("mean_results"), F.round("mean_seconds", 6).alias("mean_seconds"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (a) AS adapted, count(*) FILTER (c) AS success, count(*) FILTER (NOT c) AS failed
+  FROM (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS a, bool_or(o_totalprice > 250000) AS c FROM orders GROUP BY 1)""")
+def repair_summary(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("group"), (F.col("o_orderstatus") == "F").alias("adapted"), (F.col("o_totalprice") > 250000).alias("correct"))
+    return metrics.repair_summary(o)
+
+
+@query("SELECT r_name, n_name, count(DISTINCT c_custkey) AS cases FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def level_counts(spark, d):
+    f = forest(spark, d).tables
+    j = f["customer"].join(f["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(f["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return metrics.level_counts(j, ["r_name", "n_name"], "c_custkey")
+
+
+@query("SELECT o_custkey AS tree_id, o_orderpriority AS name, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS uses FROM orders GROUP BY 1, 2")
+def use_index(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("tree_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("use_id"))
+    return patterns.use_index(o).select("tree_id", "name", F.array_join(F.col("uses").cast("array<string>"), ",").alias("uses"))
+
+
+@query()
+def greedy_matching(spark, d):
+    """Clicks matched one to one with orders of a user within a window of days; each order is taken once."""
+    w = table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"))
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("truth_id"), F.dayofmonth("o_orderdate").alias("begin"), (F.dayofmonth("o_orderdate") + 5).alias("end"))
+    return matching.greedy_one_to_one(matching.range_matches(w, t, ["file"], 1), "file", "warning_id", "truth_id")
+
+
+@query()
+def html_pattern_detect(spark, d):
+    """Pages that a pattern (a footer with a text, in one tree) matches: candidates, assignment search, detection."""
+    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html").where("parse_error IS NULL")
+    on = lambda *names: F.create_map(*[x for n in ("location", "name", "exprType", "type", "token") for x in (F.lit(n), F.lit(n in names))])
+    rows = [("p", 0, None, "footer", "footer", "footer"), ("p", 1, 0, "text", None, "text")]
+    made = spark.createDataFrame(rows, "pattern_id string, node_id long, parent_id long, node_type string, name string, _t string").drop("_t")
+    made = made.withColumn("expr_type", F.lit(None).cast("string")).withColumn("tokens", F.array().cast("array<string>")).withColumn("considered_attrs", on("type", "name"))
+    few = nodes.where(F.col("node_type").isin("footer", "text"))
+    inside = few.where(F.col("node_type") == "footer").select("tree_id", F.col("node_id").alias("parent_id"))
+    few = few.join(inside, ["tree_id", "parent_id"], "left_semi").unionByName(few.where(F.col("node_type") == "footer"))
+    pairs = patterns.candidates(made.withColumn("parent_id", F.lit(0).cast("long")), few)
+    return patterns.detect(patterns.match_instances(pairs, made))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -776,3 +776,8 @@ def signature(text: str) -> tuple[str | None, str, list[str]]:
     m = parse_method(text.rstrip().rstrip(";{").rstrip() + " {}")
     ret = next((c.label for c in m.children if c.role == "type"), None)
     return ret, m.name, [p.props["type"] for p in m.children if p.role == "parameters"]
+
+
+def text_of(node: Node) -> str:
+    """A subtree's source text, one space between tokens."""
+    return " ".join(node.own_tokens)
