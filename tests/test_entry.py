@@ -30,3 +30,18 @@ def test_nothing_else_imports_them():
     for p in (ROOT / "treeloom").rglob("*.py"):
         if "llm" not in p.parts:
             assert "treeloom.llm" not in p.read_text()
+
+
+def test_flagship_plan_prunes_and_pushes_down(spark):
+    plan = e.entry(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_mktsegment,BUILDING)" in plan and "EqualTo(l_returnflag,R)" in plan
+    assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_mktsegment:string>" in plan
+    assert "LeftSemi" in plan and "LeftAnti" in plan
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_every_planned_query_stays_in_the_jvm(spark):
+    for name, make in e.queries().items():
+        if name.startswith("dsl_") and name != "dsl_validation":
+            plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan, name

@@ -24,8 +24,8 @@ class PlanError(ValueError):
     """A query that can't be planned over this source."""
 
 
-def compare(column: Column | None, op: str, value) -> Column:
-    """A comparison as a condition that is never null."""
+def compare(column: Column | None, op: str, value, plain: bool = False) -> Column:
+    """A comparison as a condition that is never null; plain leaves nulls, which a filter takes as false, so that it can be pushed down."""
     if column is None:
         return F.lit(False)
     if op == "match":
@@ -36,7 +36,7 @@ def compare(column: Column | None, op: str, value) -> Column:
         made = column != F.lit(value)
     else:
         raise PlanError(f"{op} asks for a node type")
-    return F.coalesce(made, F.lit(False))
+    return made if plain else F.coalesce(made, F.lit(False))
 
 
 def typed(q: Query) -> Query:
@@ -82,7 +82,8 @@ class Planner:
     def matching(self, q: Query) -> DataFrame:
         q = typed(q)
         df = self.source(q)
-        parts = q.where.parts if isinstance(q.where, And) else (q.where,) if q.where is not None else ()
+        flat = join(And, [q.where]) if q.where is not None else None
+        parts = flat.parts if isinstance(flat, And) else (flat,) if flat is not None else ()
         # own columns first: they are filters on the scan
         for p in sorted(parts, key=lambda p: any(isinstance(a, Relate) or a.path.steps[1:] for a in atoms(p))):
             df = self.apply(df, q, p)
@@ -98,7 +99,7 @@ class Planner:
                 negative = not negative
             return df.join(ids, key, "left_anti" if negative else "left_semi")
         flags: list[str] = []
-        df, made = self.expression(df, q, c, flags)
+        df, made = self.value(df, q, c, flags, plain=True) if isinstance(c, Compare) else self.expression(df, q, c, flags)
         return df.where(made).drop(*flags)
 
     def expression(self, df: DataFrame, q: Query, c: Condition, flags: list[str]) -> tuple[DataFrame, Column]:
@@ -129,7 +130,8 @@ class Planner:
         """df, the ids for which the relation holds, and the columns to join them on."""
         raise NotImplementedError
 
-    def value(self, df: DataFrame, q: Query, c: Compare, flags: list[str]) -> tuple[DataFrame, Column]:
+    def value(self, df: DataFrame, q: Query, c: Compare, flags: list[str], plain: bool = False) -> tuple[DataFrame, Column]:
+        """df, with a flag if need be, and the comparison; plain: it is a filter by itself, so null may stand for false."""
         raise NotImplementedError
 
 
@@ -159,14 +161,17 @@ class RelationalPlanner(Planner):
         ids = self.matching(inner).select(self.forest.key_column(inner.node_type).alias("_up"))
         return up, ids, ["_up"]
 
-    def value(self, df, q, c, flags):
+    def value(self, df, q, c, flags, plain=False):
         if c.path.alias != q.name:
             raise PlanError(f"alias {c.path.alias!r} is not the query's own")
         if not c.path.steps:
             if c.op != "is":
                 raise PlanError(f"no property: {c.path}")
             return df, F.lit(c.literal.text == q.node_type)
-        return df, compare(self.forest.column(q.node_type, c.path.steps[-1]), c.op, c.literal.value)
+        prop, value = c.path.steps[-1], c.literal.value
+        if plain and c.op == "==" and value is True and prop in self.forest.entities[q.node_type].flags:
+            return df, F.expr(self.forest.entities[q.node_type].flags[prop])
+        return df, compare(self.forest.column(q.node_type, prop), c.op, value, plain)
 
     def apply(self, df, q, c):
         out = super().apply(df, q, c)
@@ -219,29 +224,29 @@ class NodePlanner(Planner):
         hit = up.join(inner.select(self.KEY), self.KEY, "left_semi")
         return df, hit.select("tree_id", F.col("start").alias("node_id")), self.KEY
 
-    def value(self, df, q, c, flags):
+    def value(self, df, q, c, flags, plain=False):
         if c.path.alias != q.name:
             raise PlanError(f"alias {c.path.alias!r} is not the query's own")
         *steps, last = c.path.steps or ("",)
         if c.op == "is":
             steps, last = list(c.path.steps), ""
         if not steps:
-            return df, self._test(last, c)
+            return df, self._test(last, c, plain)
         ends = self.walk(self.source(q), tuple(steps)).join(self.nodes, self.KEY).where(self._test(last, c))
         name = f"_flag{len(flags)}"
         flags.append(name)
         hit = ends.select("tree_id", F.col("start").alias("node_id")).distinct().withColumn(name, F.lit(True))
         return df.join(hit, self.KEY, "left"), F.coalesce(F.col(name), F.lit(False))
 
-    def _test(self, prop: str, c: Compare) -> Column:
+    def _test(self, prop: str, c: Compare, plain: bool = False) -> Column:
         if c.op == "is":
-            return F.coalesce(F.col("dsl_type") == c.literal.text, F.lit(False))
+            return compare(F.col("dsl_type"), "==", c.literal.text, plain)
         if isinstance(c.literal.value, bool) and c.literal.kind == "boolean" and prop.startswith("is"):
             found = F.coalesce(F.try_element_at("flags", F.lit(prop)), F.lit(False))
             return found == c.literal.value if c.op == "==" else found != c.literal.value
         text = F.col("name") if prop == "name" else F.col("value") if prop == "value" else F.try_element_at("props", F.lit(prop))
         value = c.literal.text if c.literal.kind in ("number", "boolean", "name") else c.literal.value
-        return compare(text, c.op, value)
+        return compare(text, c.op, value, plain)
 
 
 def run(text: str, planner: Planner, vocabulary=None) -> DataFrame:
