@@ -1,6 +1,8 @@
 import gzip
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
+from pyspark.sql.types import StructType
 
 from treeloom.llm import warc
 from treeloom.llm.common import work_path
@@ -41,15 +43,43 @@ def test_round_trip(spark):
         assert {r.target_uri for r in warc.read_archive(spark, path).collect() if r.page_id in (0, 4)} == {"http://c/x%20y", "http://d/%0D%0AX:%201"}
 
 
-def test_pushed_filters_and_header_only_reads(spark):
+def test_pushed_predicates(spark):
     path = work_path(spark, "t")
     warc.write_archive(pages(spark), path)
-    df = warc.read_archive(spark, path).where((F.col("record_type") == "revisit") & (F.col("page_id") > 1))
-    assert sorted(r.page_id for r in df.collect()) == [2, 4]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" not in plan or "revisit" in plan
-    assert warc.read_archive(spark, path).where(F.col("page_id").isin(3, 5)).count() == 2
-    assert warc.read_archive(spark, path).where(F.col("target_uri").startswith("http://")).count() == 4
+    ids = lambda *p: sorted(r.page_id for r in warc.read_archive(spark, path, predicates=p).collect())
+    assert ids(("record_type", "=", "revisit"), ("page_id", ">", 1)) == [2, 4]
+    assert ids(("page_id", "in", [3, 5])) == [3, 5] and ids(("page_id", "<=", 0)) == [0]
+    assert len(ids(("target_uri", "starts", "http://"))) == 4 and ids(("refers_to", "there", None), ("page_id", "<", 2)) == [1]
+    with pytest.raises(Exception, match="no predicate"):
+        ids(("payload", "=", "x"))
+
+
+def test_one_dataframe_in_two_filters(spark):
+    path = work_path(spark, "t")
+    warc.write_archive(pages(spark), path)
+    df = warc.read_archive(spark, path)
+    both = df.where("record_type = 'response'").unionByName(df.where("record_type = 'revisit'"))
+    assert both.where("refers_to IS NOT NULL").count() == 5 and both.count() == len(ROWS) == df.count()
+
+
+def test_spark_filters_are_taken_or_given_back():
+    schema = StructType.fromDDL(warc.SCHEMA)
+    reader = warc.FilteringWarcReader(schema, {"path": "/nowhere"})
+    refused = EqualTo(("payload",), b"x"), StringContains(("target_uri",), "x")
+    assert list(reader.pushFilters([EqualTo(("record_type",), "response"), *refused, GreaterThan(("page_id",), 3)])) == list(refused)
+    assert reader.wanted({"record_type": "response", "page_id": 4}) and not reader.wanted({"record_type": "response", "page_id": None})
+
+
+def test_spark_pushes_filters_where_asked(spark):
+    path = work_path(spark, "t")
+    warc.write_archive(pages(spark), path)
+    warc.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("warc").schema(warc.HEADER_COLUMNS).option("sparkFilters", "true").load(path).where("record_type = 'revisit' AND page_id > 1")
+        assert sorted(r.page_id for r in df.collect()) == [2, 4]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_members_are_plain_gzip_and_foreign_files_are_read(spark, tmp_path):

@@ -39,10 +39,10 @@ class Codec:
     """Ranks and pattern of one vocabulary."""
 
     def __init__(self, vocab: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines()) if a}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocab.splitlines() if line)}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.packed = np.uint16 if max(self.ranks.values(), default=0) < 1 << 16 else np.uint32
+        self.packed = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def encode(self, text: str) -> list[int]:
         if len(text) >= LONG_SPACE and _long_space.search(text):  # the library's matcher overflows its stack on such runs

@@ -40,7 +40,7 @@ MAX_LANGS = 500
 REJECT_AT = 0.7
 REJECT_CHARS = 20
 UNKNOWN = "und"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 EVIDENCE_CHARS = 50  # characters that count for the score
 _BOS, _EOS = 2, 3
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -156,38 +156,36 @@ class Model:
                     p[rows[hit]] += values[at[hit]]
                 else:
                     p[rows[hit]] *= values[at[hit]]
-        logs = np.where((g.at > 0)[:, None], np.log(np.maximum(p, 1e-30)), 0)
-        out = np.zeros((len(words), len(self.langs)))
-        np.add.at(out, g.word, logs)
-        return out
+        logs = np.log(np.maximum(p, 1e-30))
+        logs[g.at == 0] = 0  # the start mark is given
+        return np.add.reduceat(logs, np.flatnonzero(g.at == 0), axis=0) if len(words) else np.zeros((0, len(self.langs)), np.float32)
 
 
 class Scorer:
     """A model with the words that it has scored."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.logs = np.zeros((1, len(model.langs)))  # row 0: no letter
-        self.chars = np.zeros(1, np.int64)
+        self.model, self.index, self.size = model, {}, 1
+        # row 0: no letter
+        self.logs, self.chars = np.zeros((1024, len(model.langs)), np.float32), np.zeros(1024, np.int64)
 
     def _learn(self, texts: list[list[str]]) -> None:
-        new = {w for words in texts for w in words if w not in self.index}
-        if not new:
-            return
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self.index, self.logs, self.chars = {}, self.logs[:1], self.chars[:1]
-            new = {w for words in texts for w in words}
-        new = sorted(new)
-        cleaned = [clean(w) for w in new]
-        good = [c for c in cleaned if c]
-        if good:
-            scored = [self.model.log_probs(good[at : at + 20_000]) for at in range(0, len(good), 20_000)]
-            self.logs = np.concatenate([self.logs, *scored])
-        row = len(self.chars)
-        self.chars = np.concatenate([self.chars, np.fromiter((len(c) + 1 for c in good), np.int64, len(good))])
-        for w, c in zip(new, cleaned, strict=True):
-            self.index[w] = row if c else 0
-            row += bool(c)
+        every = {w for words in texts for w in words}
+        new = every - self.index.keys()
+        if self.size + len(new) > CACHE_WORDS:
+            self.index, self.size, new = {}, 1, every
+        cleaned = [(w, clean(w)) for w in sorted(new)]
+        self.index.update((w, 0) for w, c in cleaned if not c)
+        good = [(w, c) for w, c in cleaned if c]
+        while len(self.chars) < self.size + len(good):
+            self.logs, self.chars = np.concatenate([self.logs, np.zeros_like(self.logs)]), np.concatenate([self.chars, np.zeros_like(self.chars)])
+        for at in range(0, len(good), 20_000):
+            part = good[at : at + 20_000]
+            rows = slice(self.size, self.size + len(part))
+            self.logs[rows] = self.model.log_probs([c for _, c in part])
+            self.chars[rows] = [len(c) + 1 for _, c in part]
+            self.index.update(zip((w for w, _ in part), range(rows.start, rows.stop), strict=True))
+            self.size = rows.stop
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropies per character (nats) by language, and the characters that count, of each text."""
@@ -202,7 +200,7 @@ class Scorer:
                     rows = np.fromiter(map(get, words), np.int64, len(words))
                     n[i] = self.chars[rows].sum()
                     if n[i]:
-                        h[i] = -self.logs[rows].sum(axis=0) / n[i]
+                        h[i] = -self.logs[rows].sum(axis=0, dtype=np.float64) / n[i]
         return h, n
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float]]:

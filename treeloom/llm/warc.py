@@ -9,6 +9,10 @@ on the columns that come from headers are pushed down and judged there; what fai
 `payload`, is skipped by seeking to the next member without inflating. Members without a length and plain .warc files are
 read through as well.
 
+Predicates are pushed by `read_archive(predicates=...)`, each call its own relation. With the option sparkFilters=true (and
+spark.sql.python.filterPushdown.enabled) Spark's own filters are pushed down, too; that is no default, as Spark 4.1 keeps the last
+pushed filters with the relation, so that two differently filtered uses of one DataFrame both get the filters of one.
+
 Repeated payloads: of the records with equal payloads of at least `min_payload_bytes` bytes the one with the smallest page_id is the
 response, the others are revisits of it that hold no payload. Only digests are shuffled for this, never payloads.
 
@@ -21,11 +25,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -54,6 +59,9 @@ from treeloom.llm.common import materialize, table, work_path
 
 HEADER_COLUMNS = "record_type string, record_id string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long"
 SCHEMA = f"{HEADER_COLUMNS}, payload binary"
+HEADER_NAMES = tuple(x.split()[0] for x in HEADER_COLUMNS.split(", "))
+#: Predicates that the headers decide.
+KINDS = {EqualTo: "=", In: "in", StringStartsWith: "starts", IsNotNull: "there", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 BROADCAST_ROWS = 1 << 20
 MAX_FILE_BYTES = 256 << 20
 PARTITION_BYTES = 64 << 20
@@ -235,16 +243,10 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.path = schema, options["path"]
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-        self.tests: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters):  # noqa: N802
-        kinds = {EqualTo: "=", In: "in", StringStartsWith: "starts", IsNotNull: "there", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for x in filters:
-            name = ".".join(x.attribute) if getattr(x, "attribute", None) else ""
-            if type(x) in kinds and name in self.schema.fieldNames() and name != "payload":
-                self.tests.append((name, kinds[type(x)], getattr(x, "value", None)))
-            else:
-                yield x
+        self.tests: list[tuple[str, str, object]] = [tuple(t) for t in json.loads(options.get("predicates", "[]"))]
+        for name, kind, _ in self.tests:
+            if name not in HEADER_NAMES or kind not in KINDS.values():
+                raise ValueError(f"no predicate: {name} {kind}")
 
     def wanted(self, row: dict) -> bool:
         for name, kind, value in self.tests:
@@ -293,6 +295,18 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class FilteringWarcReader(WarcReader):
+    """Takes Spark's own filters, too."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for x in filters:
+            name = ".".join(x.attribute) if getattr(x, "attribute", None) else ""
+            if type(x) in KINDS and name in HEADER_NAMES:
+                self.tests.append((name, KINDS[type(x)], getattr(x, "value", None)))
+            else:
+                yield x
+
+
 class WarcWriter(DataSourceArrowWriter):
     """Takes page_id, url, html and refers_to (null: a response)."""
 
@@ -340,7 +354,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path, partitionBytes (reading), maxFileBytes (writing)."""
+    """format("warc"): options path, partitionBytes, predicates (JSON) and sparkFilters (reading), maxFileBytes (writing)."""
 
     @classmethod
     def name(cls):
@@ -350,7 +364,8 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(schema, self.options)
+        kind = FilteringWarcReader if self.options.get("sparkFilters") == "true" else WarcReader
+        return kind(schema, self.options)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options, overwrite)
@@ -358,7 +373,6 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write_archive(
@@ -385,16 +399,20 @@ def write_archive(
     out.write.format("warc").option("path", path).mode("append").save()
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The archive's records; without payload none is inflated."""
+def read_archive(spark: SparkSession, path: str, payload: bool = False, predicates: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
+    """The archive's records; without payload none is inflated.
+
+    predicates: (header column, one of = in starts there > >= < <=, value), all of which a record has to fulfil; nulls fulfil none.
+    """
     register(spark)
-    return spark.read.format("warc").schema(SCHEMA if payload else HEADER_COLUMNS).load(path)
+    reader = spark.read.format("warc").schema(SCHEMA if payload else HEADER_COLUMNS)
+    return reader.option("predicates", json.dumps(list(predicates))).load(path)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    found = read_archive(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    found = read_archive(spark, path, predicates=[("record_type", "in", ["response", "revisit"])])
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
