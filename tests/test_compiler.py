@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from treeloom.dsl.ast import And, Compare, Not, Or, Relate
+from treeloom.dsl.ast import And, Not, Or, Relate
 from treeloom.dsl.parser import parse
 from treeloom.plans.compiler import NodePlanner, PlanError, hoist, run, typed
 from treeloom.tree.nodes import NODE_FIELDS, Node, preorder, rows_of

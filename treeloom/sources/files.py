@@ -99,6 +99,15 @@ def change_info(spark: SparkSession, path: str) -> DataFrame:
     return json_table(spark, path, CHANGE_INFO)
 
 
+def changed_methods(spark: SparkSession, path: str) -> DataFrame:
+    return json_table(spark, path, CHANGED_METHOD)
+
+
+def ground_truths(spark: SparkSession, path: str) -> DataFrame:
+    """Ranges by file; file names are written with # for /."""
+    return json_table(spark, path, GROUND_TRUTH).withColumn("file", F.regexp_replace("file", "#", "/"))
+
+
 def verdicts(spark: SparkSession, path: str) -> DataFrame:
     return json_table(spark, path, VERDICT)
 

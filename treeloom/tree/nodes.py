@@ -17,7 +17,6 @@ NODE_FIELDS = (
     "expr_type string, value string, tokens array<string>, props map<string,string>, flags map<string,boolean>, start_line int, "
     "end_line int, data_dep_id bigint, subtree_hash string"
 )
-NODE_COLUMNS = [x.strip().split(" ")[0] for x in NODE_FIELDS.split(", ")]
 
 
 @dataclass
