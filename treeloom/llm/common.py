@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,11 +50,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    found = re.match(r"\d+", str(spark.conf.get(key, str(default))))
-    return int(found[0]) if found else default
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts at a time become Python objects."""
     for batch in batches:
