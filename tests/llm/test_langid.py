@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -66,28 +68,33 @@ def test_without_labels_and_empty(spark):
 
 
 def test_models_are_distributions():
-    """Interpolated probabilities of all characters after any context add up to one."""
-    import numpy as np
-
+    """The probabilities of all characters after a word's beginning add up to one, but for characters never seen."""
     model = langid.fit([("en", say(random.Random(k), "en", 40)) for k in range(30)])
     chars = sorted({c for w in WORDS["en"] for c in w})
+    step = lambda word: model.log_steps([word])[:, 0]
     for context in ("", "t", "th", "whic", "zzz"):
-        total = 0.0
-        base = model.log_probs([context])[0]
-        for c in chars:
-            g = langid._grams([context + c])
-            p = np.full(len(g.at), 1.0 / model.alphabet)
-            for k, (keys, prob, contexts, back) in enumerate(model.orders, 1):
-                at = len(context) + 1
-                if at < max(1, k - 1):
-                    continue
-                ctx = langid._context(g, k)[at]
-                i = np.searchsorted(contexts, ctx)
-                if i < len(contexts) and contexts[i] == ctx:
-                    p[at] *= back[i, 0]
-                j = np.searchsorted(keys, g.by_order[k][at])
-                if j < len(keys) and keys[j] == g.by_order[k][at]:
-                    p[at] += prob[j, 0]
-            total += p[len(context) + 1]
-        assert base[0] <= 0
-        assert 0.5 < total <= 1.0 + 1e-6
+        total = sum(math.exp(step(context + c)[len(context) + 1]) for c in chars) + math.exp(step(context)[len(context) + 1])
+        assert 0.8 < total <= 1 + 1e-5
+
+
+def test_interpolation_by_hand():
+    """Two words: what Kneser-Ney gives is worked out order by order."""
+    model = langid.Model({"x": Counter({"ab": 3, "cb": 1})})
+    got = [math.exp(v) for v in model.log_steps(["ab"])[1:, 0]]
+    size = len({*"abc"}) + 2
+
+    def smooth(own, discount, char, lower):
+        total = sum(own.values())
+        held = sum(min(v, discount) for v in own.values())
+        return max(own.get(char, 0) - discount, 0) / total + held / total * lower
+
+    # discounts: from all adjusted counts of an order; n-grams that begin a word keep their raw counts
+    unigrams = {"a": 1, "c": 1, "b": 2, "$": 1}
+    d1 = min(max(3 / (3 + 2 * 1), 0.1), 0.9)
+    first = {"a": 3, "c": 1}
+    bigrams = [3, 1, 1, 1, 2]  # ^a ^c ab cb b$ (the last after two characters)
+    d2 = min(max(bigrams.count(1) / (bigrams.count(1) + 2 * bigrams.count(2)), 0.1), 0.9)
+    want = smooth(first, d2, "a", smooth(unigrams, d1, "a", 1 / size))
+    assert math.isclose(got[0], want, rel_tol=1e-5)
+
+

@@ -55,3 +55,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Rows of an Arrow batch: texts can be long, and a batch is held by the JVM and by Python, going in and coming out.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batch size to at most rows; a lower one stays."""
+    now = int(spark.conf.get(_BATCH_KEY, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH_KEY, str(rows))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import slices, table
+from treeloom.llm.common import bound_batches, slices, table
 
 ORDER = 5
 SAMPLE_ROWS = 800
@@ -40,7 +40,7 @@ MAX_LANGS = 500
 REJECT_AT = 0.7
 REJECT_CHARS = 20
 UNKNOWN = "und"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 EVIDENCE_CHARS = 50  # characters that count for the score
 _BOS, _EOS = 2, 3
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -131,34 +131,47 @@ class Model:
         self.langs = sorted(counts)
         self.alphabet = len({c for words in counts.values() for w in words for c in w}) + 2
         parts = [_one_language(counts[name]) for name in self.langs]
+        # per order: sorted hashes, what each adds as an n-gram, what each multiplies by as the context of the next order; the
+        # last row of either is that of hashes which aren't there
         self.orders = []
+        self.start = np.array([p[0][3][0] for p in parts], np.float32)
         for k in range(ORDER):
-            keys = np.unique(np.concatenate([p[k][0] for p in parts])) if parts else np.zeros(0, np.uint64)
-            contexts = np.unique(np.concatenate([p[k][2] for p in parts])) if parts else np.zeros(0, np.uint64)
-            prob = np.zeros((len(keys), len(parts)), np.float32)
-            back = np.ones((len(contexts), len(parts)), np.float32)
+            later = [p[k + 1] for p in parts] if k + 1 < ORDER else []
+            keys = np.unique(np.concatenate([*(p[k][0] for p in parts), *(c[2] for c in later)])) if parts else np.zeros(0, np.uint64)
+            prob = np.zeros((len(keys) + 1, len(parts)), np.float32)
+            back = np.ones((len(keys) + 1, len(parts)), np.float32)
             for j, p in enumerate(parts):
                 prob[np.searchsorted(keys, p[k][0]), j] = p[k][1]
-                back[np.searchsorted(contexts, p[k][2]), j] = p[k][3]
-            self.orders.append((keys, prob, contexts, back))
+            for j, c in enumerate(later):
+                back[np.searchsorted(keys, c[2]), j] = c[3]
+            self.orders.append((keys, prob, back))
         self.limits = np.full(len(self.langs), np.inf)  # cross-entropies beyond which a text is rejected
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         """The log-probability of each word, its end included, under each language."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        return np.add.reduceat(self.log_steps(words), np.cumsum(sizes) - sizes, axis=0)
+
+    def log_steps(self, words: list[str]) -> np.ndarray:
+        """The log-probability of each character of the words laid end to end, each from its start mark to its end."""
         g = _grams(words)
-        p = np.full((len(g.at), len(self.langs)), 1.0 / self.alphabet, np.float32)
-        for k, (keys, prob, contexts, back) in enumerate(self.orders, 1):
-            rows = np.flatnonzero(g.at >= max(1, k - 1))
-            for table_keys, values, asked, add in ((contexts, back, _context(g, k)[rows], False), (keys, prob, g.by_order[k][rows], True)):
-                at = np.minimum(np.searchsorted(table_keys, asked), len(table_keys) - 1)
-                hit = table_keys[at] == asked
-                if add:
-                    p[rows[hit]] += values[at[hit]]
-                else:
-                    p[rows[hit]] *= values[at[hit]]
+        p = np.full((len(g.at), len(self.langs)), 1.0 / self.alphabet, np.float32) * self.start
+        before = None  # rows of the context of each position, in the order below
+        for k, (keys, prob, back) in enumerate(self.orders, 1):
+            rows = np.flatnonzero(g.at >= k - 1)
+            at = np.minimum(np.searchsorted(keys, g.by_order[k][rows]), len(keys) - 1)
+            found = np.full(len(g.at), len(keys), np.int64)
+            found[rows] = np.where(keys[at] == g.by_order[k][rows], at, len(keys))
+            if before is not None:
+                p[1:] *= before[:-1]
+            p += prob[found]
+            before = back[found]
+            before[g.at < k - 1] = 1
         logs = np.log(np.maximum(p, 1e-30))
         logs[g.at == 0] = 0  # the start mark is given
-        return np.add.reduceat(logs, np.flatnonzero(g.at == 0), axis=0) if len(words) else np.zeros((0, len(self.langs)), np.float32)
+        return logs
 
 
 class Scorer:
@@ -287,6 +300,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
 
     prefix goes before the added names.
     """
+    bound_batches(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     added = ", ".join(prefix + x for x in ("lang_pred string", "score double", "rejected boolean", "cross_entropy double"))
     types = [pa.string(), pa.float64(), pa.bool_(), pa.float64()]
