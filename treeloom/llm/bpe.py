@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 1_024
@@ -104,6 +104,7 @@ def encode_documents(
 ) -> DataFrame:
     """The id column and, by output (ids, digests, full), ids array<int>, or n_tokens, ids_sha256 and decoded_sha256, or both, of every row."""
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     vocab = spark.sparkContext.broadcast(read_vocab(vocab_path))
     kind = docs.schema[id_col].dataType.simpleString()
     fields, types = _OUT[output]
@@ -178,23 +179,24 @@ def encode_documents(
     joined = chunks.join(lost, "key", "left_semi").groupBy("key").agg(F.first("id").alias("id"), F.first("times").alias("times"), parts.alias("parts"))
     joined = joined.select("id", "times", F.col("parts.packed").alias("parts"))
 
+    def shaped(batch: pa.RecordBatch, ids: Iterator[list[int]], own: Codec) -> pa.RecordBatch:
+        made = [shape(i, own) for i in ids]
+        cols = [pa.array([m[k] for m in made], types[k]) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "times", *names])
+
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in slices(batches):
-            texts = ["".join([*(_unpack(p)[:chunk_chars] for p in parts[:-1]), _unpack(parts[-1])]) for parts in batch.column(2).to_pylist()]
-            made = pa.array([[np.array(own.encode(t), own.packed).tobytes()] for t in texts], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["id", "times", "ids"])
-
-    whole_ids = joined.mapInArrow(encode_whole, f"id {kind}, times long, ids array<binary>")
+            texts = ("".join([*(_unpack(p)[:chunk_chars] for p in parts[:-1]), _unpack(parts[-1])]) for parts in batch.column(2).to_pylist())
+            yield shaped(batch, (own.encode(t) for t in texts), own)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value, pattern)
         for batch in slices(batches):
-            made = [shape(np.frombuffer(b"".join(parts), own.packed).tolist(), own) for parts in batch.column(2).to_pylist()]
-            cols = [pa.array([m[k] for m in made], types[k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "times", *names])
+            yield shaped(batch, (np.frombuffer(b"".join(parts), own.packed).tolist() for parts in batch.column(2).to_pylist()), own)
 
-    long_out = stitched.unionByName(whole_ids).mapInArrow(finish, f"id {kind}, times long, {fields}")
+    long_fields = f"id {kind}, times long, {fields}"
+    long_out = stitched.mapInArrow(finish, long_fields).unionByName(joined.mapInArrow(encode_whole, long_fields))
     long_out = long_out.select("id", *names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
     return short_out.unionByName(long_out).withColumnRenamed("id", id_col)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from treeloom.llm.common import materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -129,6 +129,7 @@ def contaminated(
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     fields = f"id {kind}, item {item_kind}, n_shared long, n_item long"
+    bound_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     item_type = to_arrow_type(items.schema[item_id_col].dataType)
 

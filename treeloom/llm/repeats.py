@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table
 from treeloom.llm.suffixes import Buffer, equal_neighbours, suffix_order
 
 LENGTH = 400
@@ -241,6 +241,7 @@ def _with_text(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, low, high): the starts, from low to high, of repeated windows of each document."""
+    bound_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

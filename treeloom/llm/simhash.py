@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table
 from treeloom.llm.components import connected_components
 
 SEED = 42
@@ -72,6 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return two.mapInArrow(_fingerprints, f"id {kind}, fp long")
 
