@@ -168,10 +168,17 @@ def tree_neighbourhood_k(spark, d):
     return neighbourhood(nodes, seeds, 2, data_deps=False).select(F.col("node_id").alias("node"), "hops")
 
 
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of all pages: files are dealt out first, as parsing outweighs moving them."""
+    pages = table(spark, d, "pages").select("page_id", "html").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    return parsed(pages, "html", "page_id", "html")
+
+
 @query()
 def html_contain(spark, d):
     """Articles with a paragraph, on pages whose navigation links somewhere."""
-    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html").where("parse_error IS NULL")
+    wanted = ["tree_id", "node_id", "parent_id", "role", "dsl_type", "ancestors", "name", "value", "props", "flags"]
+    nodes = page_nodes(spark, d).where("parse_error IS NULL").select(wanted).persist()  # each step of the query reads them again
     q = 'document d where and(d contain nav n where n contain a l where l.href match "/.+", d contain article a where a contain p q);'
     return NodePlanner(nodes).plan(parse(q)).select("tree_id")
 
@@ -179,7 +186,7 @@ def html_contain(spark, d):
 @query()
 def html_detect(spark, d):
     """Depth and size of every page's tree, from the parsed nodes."""
-    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html")
+    nodes = page_nodes(spark, d)
     return nodes.groupBy("tree_id").agg(F.count("node_id").alias("nodes"), F.max("depth").alias("max_depth"), F.max("parse_error").alias("parse_error"))
 
 
@@ -586,7 +593,8 @@ def greedy_matching(spark, d):
 @query()
 def html_pattern_detect(spark, d):
     """Pages that a pattern (a footer with a text, in one tree) matches: candidates, assignment search, detection."""
-    nodes = parsed(table(spark, d, "pages"), "html", "page_id", "html").where("parse_error IS NULL")
+    wanted = ["tree_id", "node_id", "parent_id", "node_type", "name", "expr_type", "tokens"]
+    nodes = page_nodes(spark, d).where("node_type IN ('footer', 'text')").select(wanted).persist()
     on = lambda *names: F.create_map(*[x for n in ("location", "name", "exprType", "type", "token") for x in (F.lit(n), F.lit(n in names))])
     rows = [("p", 0, None, "footer", "footer", "footer"), ("p", 1, 0, "text", None, "text")]
     made = spark.createDataFrame(rows, "pattern_id string, node_id long, parent_id long, node_type string, name string, _t string").drop("_t")
