@@ -54,3 +54,11 @@ def test_long_white_space(own):
     t = "a" + " " * (bpe.LONG_SPACE + 5) + "b"
     assert own.decode(own.encode(t)) == t.encode()
     assert own.encode(t) == own.encoding.encode_ordinary(t)
+
+
+def test_white_space_across_a_chunk_edge(spark, own):
+    gaps = ["\n\n", "\n\t", "\n\n\n", " \n\n", "\t "]
+    texts = ["ab cd " * 4 + "e" * k + g + "fg hi " * 8 for k in range(24) for g in gaps]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(bpe.encode_documents(docs, VOCAB, PATTERN, chunk_chars=32, overlap_chars=16).collect())
+    assert got == {i: own.encoding.encode_ordinary(t) for i, t in enumerate(texts)}

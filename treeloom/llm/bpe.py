@@ -3,8 +3,9 @@
 A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from its own start.
 Where two neighbours' pre-token boundaries meet inside their overlap they have resynchronised: from there on both see the same
 pre-tokens, so the texts between such cuts can be encoded apart and their ids concatenated. A text some of whose neighbours
-never meet (a pre-token longer than the overlap) is encoded whole. A text of one chunk is the case without a cut. Decoding
-concatenates the tokens' raw bytes.
+never meet (a pre-token longer than the overlap) is encoded whole. A piece is pre-tokenised again without what follows it, and
+patterns look ahead behind white space only (`\\s+(?!\\S)`), so texts are never cut behind white space. A text of one chunk is the
+case without a cut. Decoding concatenates the tokens' raw bytes.
 
 Defined cases: a null text counts as empty and has no ids. Repeated rows give a row each. Null ids are kept. Other columns
 are ignored. Special tokens are never recognised: their strings are ordinary text.
@@ -141,9 +142,10 @@ def encode_documents(
         for batch in slices(batches):
             heads, tails = [], []
             for i, packed in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ends = own.boundaries(_unpack(packed))
+                text = _unpack(packed)
+                ends = own.boundaries(text)
                 heads.append([i * chunk_chars + e for e in ends if e <= overlap_chars])
-                tails.append([i * chunk_chars + e for e in ends if e > chunk_chars])
+                tails.append([i * chunk_chars + e for e in ends if e > chunk_chars and not text[e - 1].isspace()])
             more = [pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "head", "tail"])
 
