@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom import registry
 from treeloom.functions import columns as C
 from treeloom.functions import sequences as S
 from treeloom.operators import matching, metrics, sampling, sets
@@ -115,3 +116,13 @@ def test_scalar_functions(spark):
     assert tuple(r)[:3] == (True, 2, ["x = 1", "y"]) and tuple(r[3]) == ("Name", "a.b", 12)
     t = spark.createDataFrame([("A", "A"), ("<UNKNOWN>", "B"), ("A", "B")], "x string, y string")
     assert [r[0] for r in t.select(C.type_equal(F.col("x"), F.col("y"))).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_html_edit_counts_sees_bodies(spark, tmp_path):
+    head = "<html><head><title>t</title></head>"
+    html = [f"{head}<body><p>a</p></body></html>", f"{head}<body><p>b</p><ul><li>c</li></ul></body></html>", "<p>no head</p>", "<p>other</p>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.case_id: r.asDict() for r in registry.queries()["html_edit_counts"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"0", "1", "2"}
+    assert (got["0"]["update"], got["0"]["insert"], got["0"]["total_edits"]) == (1, 1, 2)
+    assert (got["2"]["update"], got["2"]["total_edits"]) == (1, 1)

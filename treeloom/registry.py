@@ -400,14 +400,13 @@ def line_diff_counts(spark, d):
 
 @query()
 def html_edit_counts(spark, d):
-    """Edit operations between each page and the next one of its list of tags' heads; whole subtrees as one edit."""
+    """Edit operations between each page and the next one, over their whole html; whole subtrees as one edit."""
     from treeloom.operators.treediff import edit_counts, edit_scripts
     from treeloom.tree.html import parse_html
 
-    head = F.regexp_extract("html", r"(?is)<head>(.*?)</head>", 1)
-    p = table(spark, d, "pages").select("page_id", head.alias("head"))
-    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("head").alias("after"))
-    pairs = p.join(nxt, "page_id").select(F.col("page_id").cast("string").alias("case_id"), F.col("head").alias("before"), "after")
+    p = table(spark, d, "pages").select("page_id", F.col("html").alias("before"))
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("before").alias("after"))
+    pairs = p.join(nxt, "page_id").select(F.col("page_id").cast("string").alias("case_id"), "before", "after")
     return edit_counts(edit_scripts(pairs, parse_html, whole=True))
 
 
