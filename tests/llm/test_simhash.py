@@ -82,3 +82,23 @@ def test_null_ids_repeats_and_empty(spark):
     kept = sorted(((r[0], r[1]) for r in s.keep_one(docs).collect()), key=str)
     assert kept == [(3, "A B C D"), (None, "z y x w")]
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keep_one_goes_by_component_not_by_id(spark):
+    a, near = _near_pair()
+    docs = spark.createDataFrame(
+        [(1, "a b c d"), (1, "z y x w"), (1, "Z Y X W"), (2, "a b c d"), (5, "q r s t"), (5, "q r s t"), (None, a), (None, near), (None, None), (None, "")],
+        "doc_id long, text string",
+    )
+    kept = sorted(((r[0], r[1]) for r in s.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, "a b c d"), (1, "Z Y X W"), (5, "q r s t"), (None, min(a, near)), (None, "")], key=str)
+
+
+def _near_pair():
+    """Two texts whose fingerprints differ by one or two bits."""
+    rng = random.Random(9)
+    words = [str(rng.random()) for _ in range(400)]
+    for k in range(400):
+        other = [*words[:k], "other", *words[k + 1 :]]
+        if bin(s.fingerprint(" ".join(words)) ^ s.fingerprint(" ".join(other))).count("1") in (1, 2):
+            return " ".join(words), " ".join(other)

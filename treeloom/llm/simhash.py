@@ -122,33 +122,37 @@ def links(fps: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     return small.unionByName(large).select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id (smallest id that links reach, itself included) of every row."""
-    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
+def _components(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the distinct rows.fp; root is the component's own fingerprint, whatever ids it has."""
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    out = rows.join(by_fp, "fp")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fingerprint (16 hex digits) and component_id (smallest id that links reach, itself included) of every row."""
+    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    out = rows.join(_components(rows).drop("root"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id, once.
+    """The rows of docs that stay: of each component the row with the smallest (id, text), nulls last, once.
 
-    Rows without an id stay only where no row of their component has one, once a text.
+    Components are told apart by their fingerprints, so rows of different components that share an id, or have none, all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(id_col)).distinct()
-    named = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    lost = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    nameless = docs.where(F.col(id_col).isNull())
-    with_fp = fingerprints(nameless.select(F.col(text_col).alias("_key"), text_col), "_key", text_col)
-    with_fp = with_fp.select(F.col("id").alias("_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
-    kept_text = with_fp.join(lost, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("_text").alias("_text"), F.count("*").alias("_n"))
-    nameless = nameless.dropDuplicates([text_col]).join(kept_text, F.col(text_col).eqNullSafe(F.col("_text")), "left_semi")
-    return named.unionByName(nameless)
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("_row"), text_col)
+    rows = fingerprints(keyed, "_row", text_col).select("id.id", "id.digest", "fp")
+    rows = materialize(rows, "simhash")
+    least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    least = least.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("root").alias("_root")).distinct()
+    able = docs.join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
+    order = F.struct(F.col(text_col).isNull(), F.col(text_col))
+    kept = able.groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_kept"))
+    return kept.select("_kept.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
