@@ -28,9 +28,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars is that of the new text."""
+    """Secrets, private keys with their bodies, are replaced by a mark; n_chars is that of the new text."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    found = secrets.scan_secrets(docs, keep=rest, found_col="_found")
+    found = secrets.scan_secrets(docs, secrets.REDACT_RULES, keep=rest, found_col="_found")
     hit = F.size("_found") > 0
     clean = found.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
     changed = F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -70,3 +70,22 @@ def test_queries_are_mandatory_trigrams():
 def test_plan_is_native(spark):
     plan = s.scan_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_secrets_are_removed(spark):
+    import corpus_pipeline
+
+    body = "\n".join("MIIEow" + "Zk" * 29 for _ in range(60))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        "a " + head + body + end + " b-c": "a [SECRET] b-c",
+        "a " + head + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + body + end + " b": "a [SECRET] b",
+        "a " + head + body + "\nAbc=\nthe rest is prose": "a [SECRET]\nthe rest is prose",
+        "a " + head + "is how keys begin": "a [SECRET]\nis how keys begin",
+        head + body + end + "\nprose\n" + head + body + end: "[SECRET]\nprose\n[SECRET]",
+        "x ghp_" + "aZ" * 400 + " y": "x [SECRET] y",
+        "x xoxb-" + "1-z" * 400 + " y": "x [SECRET] y",
+    }
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.without_secrets(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in enumerate(texts.values())}

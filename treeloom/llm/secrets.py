@@ -47,6 +47,14 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
+_BODY = r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,1000}(?:\s{1,4}[A-Za-z0-9+/]+={1,2})?)"
+_WHOLE = {
+    "github": r"gh[oprsu]_[A-Za-z0-9]{36,}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _BODY,  # to its END line, without one to the end of its base64 lines
+}
+#: The same rules for removal: their matches span the whole secret, where some of RULES, as listed by op6, end earlier.
+REDACT_RULES = tuple(r._replace(pattern=_WHOLE.get(r.kind, r.pattern)) for r in RULES)
 BLOCK_DOCS = 4096
 BROADCAST_ROWS = 1 << 20
 _SUM_BLOCK = 128
