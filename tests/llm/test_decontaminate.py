@@ -52,3 +52,11 @@ def test_drop_keeps_clean_rows_and_empty_sides(spark):
     assert d.contaminated(left, none).collect() == []
     assert d.contaminated(left.limit(0), right).collect() == []
     assert d.drop_contaminated(left, none).count() == len(docs)
+
+
+def test_short_items_inside_longer_texts(spark):
+    left = spark.createDataFrame([(1, "we saw the Red, red rose there today"), (2, "the red and the rose of all of us"), (3, "red red rose"), (4, None)], "doc_id long, text string")
+    right = spark.createDataFrame([(1, "red red rose"), (2, "none of these words are here"), (3, "")], "item_id long, text string")
+    assert sorted(tuple(r) for r in d.contaminated(left, right, short_inside=True).collect()) == [(1, 1, 1, 1), (3, 1, 1, 1)]
+    assert [tuple(r) for r in d.contaminated(left, right).collect()] == [(3, 1, 1, 1)]
+    assert sorted(r.doc_id for r in d.drop_contaminated(left, right, short_inside=True).collect()) == [2, 4]

@@ -48,6 +48,12 @@ def shingles(text: str | None, k: int = SHINGLE_WORDS) -> set[str]:
     return set(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
+def short_runs(text: str | None, lengths: set[int]) -> set[str]:
+    """The text's runs of so many words each."""
+    words = _words((text or "").lower()) if lengths else []
+    return {" ".join(words[i : i + k]) for k in lengths for i in range(len(words) - k + 1)}
+
+
 def needed(n: int, threshold: float) -> int:
     """The least number of shared shingles of n that reaches the threshold."""
     return max(1, -int(-(n * threshold - 1e-9) // 1))
@@ -124,8 +130,13 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    short_inside: bool = False,
 ) -> DataFrame:
-    """doc id, item id, n_shared, n_item of every document that contains an item."""
+    """doc id, item id, n_shared, n_item of every document that contains an item.
+
+    short_inside: items of under five words are searched for inside longer documents too, by the documents' runs of their
+    length; else, as in OP5_SQL, they are found only in documents that are that sequence.
+    """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     fields = f"id {kind}, item {item_kind}, n_shared long, n_item long"
@@ -133,12 +144,12 @@ def contaminated(
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     item_type = to_arrow_type(items.schema[item_id_col].dataType)
 
-    def searcher(sent):
+    def searcher(sent, lengths):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows: tuple[list, list, list, list] = ([], [], [], [])
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item, shared, n in contained(shingles(text), sent.value):
+                    for item, shared, n in contained(shingles(text) | short_runs(text, lengths), sent.value):
                         for col, v in zip(rows, (doc_id, item, shared, n), strict=True):
                             col.append(v)
                 types = [batch.schema.field(0).type, item_type, pa.int64(), pa.int64()]
@@ -148,14 +159,15 @@ def contaminated(
 
     out = None
     for index in blocks(items, item_id_col, item_text_col, threshold, block_bytes):
-        found = two.mapInArrow(searcher(spark.sparkContext.broadcast(index.plain())), fields)
+        lengths = {len(s.split(" ")) for _, parts in index.items for s in parts} - {SHINGLE_WORDS} if short_inside else set()
+        found = two.mapInArrow(searcher(spark.sparkContext.broadcast(index.plain()), lengths), fields)
         out = found if out is None else out.unionByName(found)
     out = spark.createDataFrame([], fields) if out is None else out
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "n_shared", "n_item")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that contain no item; rows that share an id are judged by their own texts."""
+    """The rows of docs that contain no item; rows that share an id are judged by their own texts. kw: as of contaminated."""
     key = F.xxhash64(id_col, text_col)
     found = contaminated(docs.select(key.alias("_key"), text_col), items, id_col="_key", text_col=text_col, **kw)
     found = materialize(found.select("_key").distinct(), "contaminated")
