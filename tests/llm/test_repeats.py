@@ -27,7 +27,9 @@ def brute(rows, length):
 
 def run(spark, rows, length):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, k1 int, spans string").repartition(3)
-    return sorted(map(tuple, r.remove_repeats(docs, length, digest=True).collect()), key=str)
+    out = r.remove_repeats(docs, length, digest=True).collect()
+    assert all(x.n_kept == x.n_bytes - x.n_removed for x in out)
+    return sorted((tuple(x)[:5] for x in out), key=str)
 
 
 def corpus(seed, length):
@@ -83,6 +85,40 @@ def test_suffix_order_is_the_suffix_order():
             assert same.tolist() == [raw[a : a + limit] == raw[b : b + limit] for a, b in zip(order[:-1], order[1:])]
 
 
+def test_null_ids_with_like_texts_keep_to_themselves(spark):
+    """Very many rows without id: what one of them repeats is not cut from another."""
+    from pyspark.sql import functions as F
+
+    some = spark.range(3000).select(F.when(F.col("id") < 10, F.col("id")).alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat_ws("/", F.col("id") % 2990, F.lit(k))) for k in range(3)]).alias("text"))
+    out = r.remove_repeats(some, 60)
+    assert out.where("n_removed > 0").count() == 20 and out.where("doc_id IS NULL AND n_removed > 0").count() == 10
+    long, other = r._keyed(some, "doc_id", "text").select("k1", "k2").dtypes
+    assert long[1] == other[1] == "bigint"
+
+
+def test_hash_collisions_are_no_repeats(spark, monkeypatch):
+    """All polynomial hashes agree: digests and bytes still tell the strings apart."""
+    rows = corpus(3, 24)
+    monkeypatch.setattr(Buffer, "hash", lambda self, start, length: np.zeros(len(start), np.uint64))
+    texts = [(t or "").encode() for _, t in rows]
+    spans = [[{"low": 0, "high": len(t) - 24, "anchor": len(t) - 24, "witness": False}] if len(t) >= 24 else [] for t in texts]
+    text, low, high, w1, w2, kind = r.window_rows(texts, spans, 24)
+    strings = {}
+    for i, a, x, y, k in zip(text.tolist(), low.tolist(), w1.tolist(), w2.tolist(), kind.tolist()):
+        if k < 2:
+            strings.setdefault((x, y), set()).add(texts[i][a : a + 24])
+    assert len(strings) > 100 and all(len(v) == 1 for v in strings.values())
+
+
+def test_registered_query_on_sample_documents(spark):
+    from treeloom.llm.repeats import op4_suffix_dedup
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted((tuple(x)[:5] for x in op4_suffix_dedup(spark, d).collect()), key=str)
+    assert got == brute([tuple(x) for x in docs], 400)
+
+
 def test_extension_is_the_common_prefix():
     data = np.frombuffer(b"abcabcabdabcabcabc" * 4, np.uint8)
     raw, buffer = data.tobytes(), Buffer(data)

@@ -11,16 +11,20 @@ times its size, so suffixes are narrowed down first, without loss:
    into blocks of 8 by their offset from the anchor. Windows of a block share 393 bytes, its core, so a block whose core is met
    nowhere else has no repeated window.
 3. Suffixes. The windows of the other blocks are sorted as suffixes within each task (`suffixes.suffix_order`): neighbours
-   that share 400 bytes, verified byte by byte, are repeats. The tasks' sorted classes then merge by 128-bit hashes.
+   that share 400 bytes, verified byte by byte, are repeats. The tasks' sorted classes then merge by their digests.
 4. The repeated windows come back to their documents, whose bytes are cut.
 
 Skew: counts are partial aggregates. They are written before they are joined back, so that both sides of the join are plain
 shuffles and Spark can split a hot key's rows against its one count; no group of equal strings is ever gathered. Texts are
-compressed before they are shuffled to their spans. Equality across tasks rests on 128 bits (an anchor's and a run's hash, or
-two hashes of a window by different bases).
+compressed before they are shuffled to their spans.
 
-Defined cases: null and empty texts, and those of under `length` bytes, lose nothing. Repeated rows repeat each other. Null ids
-are kept. Other columns are ignored.
+Verification: polynomial hashes only propose. Runs count as equal, and windows of different tasks, if 128-bit BLAKE2b digests of
+their bytes agree; windows within a task are compared byte by byte.
+
+Defined cases: null and empty texts, and those of under `length` bytes, lose nothing. Repeated rows repeat each other, so all of
+their bytes go if there are `length` of them; no occurrence is preferred, so there are no ties. Texts may be of any length. Rows
+that share an id, or have none, are told apart by hashes of their texts (64 bits beside an id, 128 without). An empty table
+gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -86,10 +90,21 @@ def least_grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return (now & mask).astype(np.int64)
 
 
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+    """128-bit BLAKE2b digests, two 64-bit columns, of the bytes from each begin to its end and of the number that goes with them."""
+    raw, make = data.tobytes(), hashlib.blake2b
+    if extra is None:
+        found = [make(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    else:
+        keys = [x.to_bytes(4, "little") for x in extra.tolist()]
+        found = [make(raw[a:b], digest_size=16, key=k).digest() for a, b, k in zip(begin.tolist(), end.tolist(), keys, strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
+
 def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor, anchor hash, run hash) of every run; places count from their row's start.
+    """(row, first window, last window, anchor, anchor hash, digest, digest) of every run; places count from their row's start.
 
-    The run hash covers all bytes of the run's windows, their number and the anchor's place among them.
+    The digest covers all bytes of the run's windows, their number and the anchor's place among them.
     """
     k = length // 2
     found = []
@@ -115,19 +130,20 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
         last = np.r_[first[1:], len(at)] - 1
         low, high, anchor = at[first], at[last], anchor[first]
         row = r0 + np.searchsorted(bounds[r0 + 1 : r1 + 1] - b0, low, "right")
-        whole = buffer.hash(low, high - low + length, 1) + (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        whole = digests(part, low, high + length, anchor - low)
         shift = b0 - bounds[row]
-        found.append((row, low + shift, high + shift, anchor + shift, hashes[anchor], whole))
+        found.append((row, low + shift, high + shift, anchor + shift, hashes[anchor], whole[:, 0], whole[:, 1]))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1 and k2 name a row, or rows that repeat it: the id (or its hash) and a hash of the text."""
+    """k1 and k2 name a row, or rows that repeat it: the id (or its hash) and a hash of the text; two hashes where the id is null."""
     one = F.col(id_col).cast("long") if docs.schema[id_col].dataType.simpleString() in ("bigint", "int") else F.xxhash64(id_col)
-    two = F.hash(F.col(id_col).isNull(), F.col(text_col))
-    return docs.select(F.coalesce(one, F.lit(0).cast("long")).alias("k1"), two.alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    no_id = F.col(id_col).isNull()
+    keys = F.when(no_id, F.xxhash64(F.lit(1), text_col)).otherwise(one).alias("k1"), F.xxhash64(no_id, text_col).alias("k2")
+    return docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -180,7 +196,7 @@ def window_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tup
     heads = order[new]
     once = (count == 1) & ~np.bincount(group, witness[at]).astype(bool)
     kind = np.where(once, 0, 1)
-    w1, w2 = buffer.hash(heads, length, 0), buffer.hash(heads, length, 1)
+    w1, w2 = digests(buffer.data, heads, heads + length).T
     text = owner[at[new]]
     place = heads - bounds[text]
     out = [(text, place, place, w1, w2, kind)]
@@ -210,7 +226,7 @@ def block_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tupl
     return text[of], begin, np.minimum(core, high[of]), witness[of], hashes
 
 
-_PLACE = "k1 long, k2 int, low int, high int"
+_PLACE = "k1 long, k2 long, low int, high int"
 
 
 def _batched(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[list[dict]]]]:
@@ -235,7 +251,7 @@ def _with_text(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     """k1, k2, spans, packed: each document's spans with its text; spans is written already."""
     by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(*[c for c in spans.columns if c not in ("k1", "k2")])).alias("spans"))
     long = keyed.where(F.octet_length("text") >= length).select("k1", "k2", F.lit(0).alias("id"), "text")
-    fields = "k1 long, k2 int, id int, packed binary"
+    fields = "k1 long, k2 long, id int, packed binary"
     return long.mapInArrow(_pack, fields).join(by_doc, ["k1", "k2"]).select("k1", "k2", "spans", "packed")
 
 
@@ -247,21 +263,24 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = _utf8(batch.column(2))
-            row, low, high, place, anchor, whole = runs(data, bounds, length)
+            row, low, high, place, anchor, d1, d2 = runs(data, bounds, length)
             keys = [c.take(pa.array(row)) for c in batch.columns[:2]]
-            yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), _ints(place), _signed(anchor), _signed(whole)], names=["k1", "k2", "low", "high", "place", "anchor", "whole"])
+            values = [*keys, _ints(low), _ints(high), _ints(place), _signed(anchor), _signed(d1), _signed(d2)]
+            yield pa.RecordBatch.from_arrays(values, names=["k1", "k2", "low", "high", "place", "anchor", "d1", "d2"])
 
     able = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= length)
-    found = able.mapInArrow(find_runs, f"{_PLACE}, place int, anchor long, whole long")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    anchors = materialize(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeats-anchors")
+    found = able.mapInArrow(find_runs, f"{_PLACE}, place int, anchor long, d1 long, d2 long")
+    ends = [f(c).alias(n + c) for c in ("d1", "d2") for f, n in ((F.min, "least_"), (F.max, "most_"))]
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), *ends)
+    mixed_up = (F.col("least_d1") != F.col("most_d1")) | (F.col("least_d2") != F.col("most_d2"))
+    anchors = materialize(anchors.where("n > 1").select("anchor", mixed_up.alias("mixed")), "repeats-anchors")
     shared = materialize(found.join(anchors, "anchor"), "repeats-shared")
     plain = shared.where(~F.col("mixed")).select("k1", "k2", "low", "high")
 
     mixed = shared.where("mixed")
-    classes = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
-    classes = materialize(classes.where("n > 1").select("anchor", "whole", "first"), "repeats-classes")
-    settled = mixed.join(classes, ["anchor", "whole"], "left")
+    classes = mixed.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
+    classes = materialize(classes.where("n > 1").select("anchor", "d1", "d2", "first"), "repeats-classes")
+    settled = mixed.join(classes, ["anchor", "d1", "d2"], "left")
     alone = F.col("first").isNull()
     is_first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("low") == F.col("first.low"))
     settled = materialize(settled.select("k1", "k2", "low", "high", "place", (~alone).alias("witness"), (alone | is_first).alias("open")), "repeats-mixed")
@@ -316,29 +335,29 @@ def cut(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, in
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (binary), or with digest kept_sha256, of every row."""
+    """id, n_bytes, n_removed, n_spans, kept (binary) or with digest kept_sha256, and n_kept of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_windows(docs, length, id_col, text_col)
     by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    packed = _keyed(docs, id_col, text_col).mapInArrow(_pack, f"k1 long, k2 int, id {kind}, packed binary")
+    packed = _keyed(docs, id_col, text_col).mapInArrow(_pack, f"k1 long, k2 long, id {kind}, packed binary")
     last, last_type = ("kept_sha256 string", pa.string()) if digest else ("kept binary", pa.binary())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             lists = batch.column(2).fill_null([])
             ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
             low, high = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in ("low", "high"))
             for i in range(batch.num_rows):
                 text, own = _unpack(batch.column(1)[i].as_py()), slice(ends[i], ends[i + 1])
                 removed, n, kept = cut(text, list(zip(low[own].tolist(), high[own].tolist(), strict=True)), length)
-                for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept), strict=True):
+                for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept, len(kept)), strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), last_type]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], names=["id", "n_bytes", "n_removed", "n_spans", last.split()[0]])
+            types = [pa.int64(), pa.int64(), pa.int64(), last_type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], names=["id", "n_bytes", "n_removed", "n_spans", last.split()[0], "n_kept"])
 
     joined = packed.join(by_doc, ["k1", "k2"], "left").select("id", "packed", "spans")
-    return joined.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}, n_kept long").withColumnRenamed("id", id_col)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-_BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)  # odd, so that powers can be undone
+_BASE = 0x2545F4914F6CDD1D  # odd, so that powers can be undone
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -22,10 +22,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[which]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     made = []
-    for b in (base, pow(base, -1, 1 << 64)):
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(n, b, np.uint64)
         p[0] = 1
         made.append(np.multiply.accumulate(p))
@@ -33,35 +32,24 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Buffer:
-    """Bytes with the prefix sums of two polynomial hashes; the second is made when it is first asked for."""
+    """Bytes with the prefix sums of a polynomial hash."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        self.room = 1 << max(16, int(len(data) + 1).bit_length())
-        self._sums: dict[int, np.ndarray] = {}
-
-    def _sum(self, which: int) -> np.ndarray:
-        if which not in self._sums:
-            power, _ = _powers(self.room, which)
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
-            self._sums[which] = sums
-        return self._sums[which]
-
-    def hash(self, start: np.ndarray, length, which: int = 0) -> np.ndarray:
+        power, self.undo = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, length) -> np.ndarray:
         """The hash of the length bytes at each start: equal for equal bytes wherever they are."""
-        sums, (_, undo) = self._sum(which), _powers(self.room, which)
-        return mix((sums[start + length] - sums[start]) * undo[start])
+        return mix(self._raw(start, length))
 
     def gram_hashes(self, k: int) -> np.ndarray:
         """The hash of the k bytes at every position that has them."""
-        sums, (_, undo) = self._sum(0), _powers(self.room, 0)
-        n = len(self.data) - k + 1
-        return mix((sums[k:] - sums[:-k]) * undo[:n])
+        return mix((self.sums[k:] - self.sums[:-k]) * self.undo[: len(self.data) - k + 1])
 
     def _raw(self, start: np.ndarray, length) -> np.ndarray:
-        sums, (_, undo) = self._sum(0), _powers(self.room, 0)
-        return (sums[start + length] - sums[start]) * undo[start]
+        return (self.sums[start + length] - self.sums[start]) * self.undo[start]
 
     def extension(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """How many bytes at a and b agree, up to limit: all of them by one comparison, else by binary search."""
