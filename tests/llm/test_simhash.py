@@ -90,6 +90,11 @@ def test_keep_one_goes_by_component_not_by_id(spark):
         [(1, "a b c d"), (1, "z y x w"), (1, "Z Y X W"), (2, "a b c d"), (5, "q r s t"), (5, "q r s t"), (None, a), (None, near), (None, None), (None, "")],
         "doc_id long, text string",
     )
+    assert s.keep_one(docs.limit(0)).collect() == []
+    for few in ([(5, "a b c d"), (3, "a b c d"), (5, "z y x w")], [(5, "a b c d"), (5, "z y x w")]):
+        clash = spark.createDataFrame([(*r, 1, 2, 3) for r in few], "doc_id long, text string, _text int, id int, root int")
+        want = sorted((t, min(i for i, x in few if x == t)) for t in {x for _, x in few})
+        assert sorted((r[1], r[0]) for r in s.keep_one(clash).collect()) == want
     kept = sorted(((r[0], r[1]) for r in s.keep_one(docs).collect()), key=str)
     assert kept == sorted([(1, "a b c d"), (1, "Z Y X W"), (5, "q r s t"), (None, min(a, near)), (None, "")], key=str)
 

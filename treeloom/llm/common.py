@@ -15,17 +15,25 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temp folder where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temp folder where that is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; what is there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,9 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def whole_rows(df: DataFrame, *extra: Column) -> DataFrame:
+    """The column `row`, a struct of all columns, and the extra ones: a table's own names can't clash with those added later."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
+
+
+def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of whole_rows again."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def ascii_lower(col: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import bound_batches, materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table, unwrapped, whole_rows
 from treeloom.llm.components import connected_components
 
 SEED = 42
@@ -141,18 +141,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest (id, text), nulls last, once.
 
-    Components are told apart by their fingerprints, so rows of different components that share an id, or have none, all stay.
+    Components are told apart by their fingerprints, so rows of different components that share an id, or have none, all stay,
+    as does a row of each component whatever its text or other columns (whose names are free). An empty table stays empty.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("_row"), text_col)
-    rows = fingerprints(keyed, "_row", text_col).select("id.id", "id.digest", "fp")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    rows = fingerprints(keyed, "key", "text").select("id.id", "id.digest", "fp")
     rows = materialize(rows, "simhash")
     least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    least = least.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("root").alias("_root")).distinct()
-    able = docs.join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
-    order = F.struct(F.col(text_col).isNull(), F.col(text_col))
-    kept = able.groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_kept"))
-    return kept.select("_kept.*")
+    least = least.select("id", "digest", "root").distinct()
+    all_rows = whole_rows(docs, F.col(id_col).alias("own_id"), digest.alias("own_digest"), F.col(text_col).alias("own_text"))
+    able = all_rows.join(least, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
+    order = F.struct(F.col("own_text").isNull(), F.col("own_text"))
+    return unwrapped(able.groupBy("root").agg(F.min_by("row", order).alias("row")), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
