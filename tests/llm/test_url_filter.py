@@ -40,14 +40,22 @@ def rule(host, path):
     return best
 
 
+def canonical(url):
+    host, path = brute(url)
+    rest = url.split("://", 1)[1].split("#")[0] if url and "://" in url else ""
+    query = rest.split("?", 1)[1] if "?" in rest else ""
+    port = next((p for p in (":80", ":443", ":") if host.endswith(p)), "")
+    return host.removesuffix(port) + path.rstrip("/") + ("?" + "&".join(sorted(query.split("&"))) if query else "")
+
+
 def expected(rows, listed):
     verdicts = {r: v for v, r in u.RULES}
-    canon = {"".join(brute(x)).rstrip("/") if x else "" for x in listed} - {""}
+    canon = {canonical(x) for x in listed} - {""}
     out = []
     for i, url in rows:
         h, p = brute(url)
         r = rule(h, p)
-        v = verdicts[r] if r else "block" if h + p.rstrip("/") in canon else "allow"
+        v = verdicts[r] if r else "block" if canonical(url) in canon else "allow"
         out.append((i, h, p, r, v))
     return sorted(out, key=str)
 
@@ -64,6 +72,19 @@ def test_against_brute_force(spark):
         assert got(u.filter_urls(pages, list_df, max_blocks=max_blocks)) == expected(ROWS, listed)
 
 
+def test_another_query_is_another_url(spark):
+    pages = spark.createDataFrame([(1, "http://spam.org/p?id=1"), (2, "http://spam.org/p?id=2"), (3, "https://SPAM.org:443/p/?b=2&id=1"), (4, "http://spam.org/p?id=1&b=2#x"), (5, "http://spam.org/p")], "page_id long, url string")
+    one = spark.createDataFrame([("http://spam.org:80/p?id=1",), ("http://spam.org/p?id=1&b=2",)], "url string")
+    assert sorted(r.page_id for r in u.filter_urls(pages, one).where("verdict = 'block'").collect()) == [1, 3, 4]
+
+
+def test_kept_columns_meet_no_other(spark):
+    names = ("block", "canon", "hit", "w0", "kept", "listed")
+    pages = spark.createDataFrame([(1, "http://m.org/p", *"abcdef"), (2, "http://n.org/", *"ghijkl")], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    out = u.filter_urls(pages, pages.limit(1).select("url"), keep=names)
+    assert sorted(tuple(r[n] for n in names) for r in out.collect()) == [tuple("abcdef"), tuple("ghijkl")]
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "url string")
     pages = spark.createDataFrame(ROWS, "page_id long, url string")

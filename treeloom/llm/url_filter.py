@@ -5,10 +5,14 @@ words, two bits each), built with bit_or aggregates and probed by a broadcast jo
 to the exact hash join, which removes the false positives. The number of blocks is capped (`max_blocks`), so what is
 broadcast is bounded whatever the list's length; beyond the cap only the false positive rate grows, the verdicts stay exact.
 
+Two urls are the same if their canonical forms are: host (A-Z lower-cased, without default port), path without trailing
+slashes, and the query's parts in order. Another query is another url.
+
 Defined cases: a null url, or one without "://", has an empty host and path and an empty canonical form, fits no rule and
-is never listed (allow). Null, empty and repeated listed urls count once or not at all. An empty list blocks nothing.
-Repeated pages give a row each. Other columns of the pages, whatever their names, are left out of the result but for those
-in `keep`.
+is never listed (allow). Null, empty and repeated listed urls count once or not at all. An empty list blocks nothing. Of rules
+that fit equally long the one with the longer host, then the greater text, wins; a rule given twice has its last verdict.
+Repeated pages give a row each; urls may be of any length. Other columns of the pages, whatever their names, are left out of
+the result but for those in `keep`. A popular page meets a list of distinct urls, so it isn't gathered with others.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import ascii_lower, table
+from treeloom.llm.common import ascii_lower, materialize, table
 
 #: (verdict, rule); a rule is a host and a path that starts with "/".
 RULES = (
@@ -32,6 +36,8 @@ MAX_RULES = 1000
 BLOCK_BITS = 256
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 20
+#: Listed urls whose hash table one task of the exact join holds, about.
+KEYS_PER_TASK = 500_000
 
 
 def url_host(url: Column) -> Column:
@@ -46,9 +52,20 @@ def url_path(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def canonical_url(host: Column, path: Column) -> Column:
-    """Host and path without trailing slashes; scheme, query and fragment don't count."""
-    return F.concat(host, F.rtrim(path, F.lit("/")))
+def url_query(url: Column) -> Column:
+    """What is between the first "?" and "#" or the end; else empty."""
+    rest = F.substr(url, F.instr(url, "://") + F.lit(3))
+    return F.when(url.contains("://"), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)).otherwise("")
+
+
+def canonical_url(url: Column) -> Column:
+    """Host without a default port, path without trailing slashes, the query's parts in order; scheme and fragment don't count.
+
+    Null and urls without "://" give an empty form.
+    """
+    host = F.regexp_replace(url_host(url), r":(80|443)?$", "")
+    query = F.array_join(F.array_sort(F.split(url_query(url), "&")), "&")
+    return F.concat(host, F.rtrim(url_path(url), F.lit("/")), F.when(url_query(url) != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -96,50 +113,40 @@ def filter_urls(
     max_blocks: int = MAX_BLOCKS,
 ) -> DataFrame:
     """id, host, path, rule, verdict, reason (rule, list, none) of every page; listed holds the urls to block."""
-    list_url = F.col(listed_col)
-    list_keys = (
-        listed.select(canonical_url(url_host(list_url), url_path(list_url)).alias("canon"))
-        .where(F.col("canon") != "")
-        .distinct()
-    )
+    canon = canonical_url(F.col(listed_col)).alias("canon")
+    list_keys = materialize(listed.select(canon).where(F.col("canon") != "").distinct(), "listed-urls")
     # one small job: the filter's size follows the list's, up to the cap
     n_keys = list_keys.agg(F.count("*")).first()[0]
     n_blocks = blocks_for(n_keys, max_blocks)
     bloom = F.broadcast(bloom_filter(list_keys, "canon", n_blocks))
 
-    verdicts = {r: v for v, r in rules}
-    url = F.col(url_col)
-    base = pages.select(F.col(id_col), *keep, url_host(url).alias("host"), url_path(url).alias("path"))
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("canon", canonical_url(F.col("host"), F.col("path")))
-    head = [id_col, "host", "path", "rule"]
+    url, own = F.col(url_col), ["host", "path", "rule"]
+    kept = F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("kept")  # whatever their names, they meet no other column
+    base = pages.select(kept, url_host(url).alias("host"), url_path(url).alias("path"), F.coalesce(canonical_url(url), F.lit("")).alias("canon"))
+    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
-    for r, v in verdicts.items():
+    for v, r in rules:
         by_rule = F.when(F.col("rule") == r, F.lit(v)).otherwise(by_rule)
-    ask = F.when(F.col("rule").isNull() & (F.col("canon") != ""), F.col("canon"))
-    probed = base.withColumn("block", bloom_block(ask, n_blocks)).withColumn("block", F.when(ask.isNotNull(), F.col("block")))
-    probed = probed.join(bloom, "block", "left")
+    asked = F.col("rule").isNull() & (F.col("canon") != "")
+    probed = base.withColumn("block", F.when(asked, bloom_block(F.col("canon"), n_blocks))).join(bloom, "block", "left")
     hit = F.lit(True)
     for k in range(4):
         want = F.expr(bloom_word("canon", k))
         hit = hit & (F.col(f"w{k}").bitwiseAND(want) == want)
-    probed = probed.withColumn("hit", F.coalesce(hit, F.lit(False)) & F.col("rule").isNull())
+    probed = probed.withColumn("hit", F.coalesce(hit, F.lit(False)))
 
     passed = probed.where(~F.col("hit")).select(
-        *head,
-        F.coalesce(by_rule, F.lit("allow")).alias("verdict"),
-        F.when(F.col("rule").isNull(), "none").otherwise("rule").alias("reason"),
-        *keep,
+        "kept", *own, F.coalesce(by_rule, F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), "none").otherwise("rule").alias("reason")
     )
-    exact = list_keys.select("canon", F.lit(True).alias("listed")).hint("shuffle_hash")
-    judged = probed.where("hit").join(exact, "canon", "left")
+    # the exact join; a list too long for hash tables in memory is merged. Spark may split a popular url's rows in either
+    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exact = list_keys.select("canon", F.lit(True).alias("listed")).hint("shuffle_hash" if n_keys <= KEYS_PER_TASK * n_parts else "merge")
+    judged = probed.where("hit").select("kept", *own, "canon").join(exact, "canon", "left")
     judged = judged.select(
-        *head,
-        F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"),
-        F.when(F.col("listed"), "list").otherwise("none").alias("reason"),
-        *keep,
+        "kept", *own, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"), F.when(F.col("listed"), "list").otherwise("none").alias("reason")
     )
-    return passed.unionByName(judged)
+    field = lambda c: F.col("kept").getField(c).alias(c)
+    return passed.unionByName(judged).select(field(id_col), *own, "verdict", "reason", *[field(c) for c in keep])
 
 
 #: A host with such a label is a seed of the list.
@@ -158,16 +165,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOST = "CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+_QUERY = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*\\?([^#]*)', 1) ELSE '' END"
 
 OP1_SQL = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages),
+p AS (SELECT *, regexp_replace(host, ':(80|443)?$', '') || rtrim(path, '/') ||
+  CASE WHEN query <> '' THEN '?' || array_to_string(list_sort(string_split(query, '&')), '&') ELSE '' END AS canon FROM u),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for v, r in RULES)}) t(rule, rhost, rpath, verdict)),
 fit AS (
   SELECT p.*, (SELECT max_by(r.rule, length(r.rule)) FROM r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)) AS rule
   FROM p),
-listed AS (SELECT DISTINCT host || rtrim(path, '/') AS canon FROM p WHERE regexp_matches(host, '{SEED_LABEL}'))
+listed AS (SELECT DISTINCT canon FROM p WHERE regexp_matches(host, '{SEED_LABEL}'))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IS NOT NULL THEN (SELECT verdict FROM r WHERE r.rule = fit.rule)
-       WHEN host || rtrim(path, '/') IN (SELECT canon FROM listed WHERE canon <> '') THEN 'block' ELSE 'allow' END AS verdict
+       WHEN canon IN (SELECT canon FROM listed WHERE canon <> '') THEN 'block' ELSE 'allow' END AS verdict
 FROM fit
 """
