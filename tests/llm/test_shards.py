@@ -37,6 +37,20 @@ def test_append_compact_and_time_travel(spark):
     assert content(s.read()) == sorted(want, key=str)
 
 
+def test_columns_that_come_and_go_are_kept(spark):
+    s = store(spark, least_tier_bytes=1 << 20)
+    for k in range(4):
+        s.append(spark.createDataFrame([(k, f"x{k}")], "doc_id long, extra string"))
+    s.append(spark.createDataFrame([(9, 0.5)], "doc_id long, late double"))
+    s.compact()
+    s.vacuum()
+    assert s.read().columns == ["doc_id", "extra", "late"]
+    assert content(s.read()) == sorted([*((k, f"x{k}", None) for k in range(4)), (9, None, 0.5)], key=str)
+    with pytest.raises(ValueError, match="column extra"):
+        s.append(spark.createDataFrame([(1, 2)], "doc_id long, extra int"))
+    assert s.read().count() == 5
+
+
 def test_one_of_two_commits_wins(spark):
     s = store(spark)
     s.append(spark.createDataFrame(rows(0, 5), SCHEMA))

@@ -9,8 +9,10 @@ fails if that exists: of two writers one commits, the other reads the newer mani
 compaction only while its inputs are live). Readers see the files of one manifest, whole or not at all; files of failed jobs are
 in none. `vacuum` deletes what the last versions don't need.
 
-Defined cases: nulls, empty and long texts and repeated rows are kept as they are, with all their columns. An empty arrival adds
-no shard with rows. A store without versions reads as an empty table of the given schema.
+Defined cases: nulls, empty and long texts and repeated rows are kept as they are, with all their columns: a manifest's schema
+holds every column that ever arrived, and rows of arrivals without a column have null there; an arrival that gives a column
+another type is refused before its files are listed. Shards of equal size keep the order in which they came. An empty arrival
+adds no shard with rows. A store without versions reads as an empty table of the given schema.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from treeloom.llm.common import table, work_path
 
@@ -56,6 +58,15 @@ class Manifest:
         return cls(head["version"], json.dumps(head["schema"]), tuple(Shard(**s) for s in shards))
 
 
+def joint_schema(old: StructType, new: StructType) -> StructType:
+    """All columns of both, the old ones first; a column of two types is refused."""
+    kinds = {f.name: f.dataType for f in old}
+    for f in new:
+        if f.name in kinds and kinds[f.name].simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name}: {f.dataType.simpleString()} arrives, the store holds {kinds[f.name].simpleString()}")
+    return StructType([StructField(f.name, f.dataType, True) for f in [*old, *(f for f in new if f.name not in kinds)]])
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -129,14 +140,18 @@ class ShardStore:
 
     def append(self, df: DataFrame, rows_per_shard: int = ARRIVAL_ROWS) -> Manifest:
         """Writes df as small shards and commits them."""
+        if last := self.manifest():
+            joint_schema(StructType.fromJson(json.loads(last.schema)), df.schema)
         return self._add(self._write(df, 0, maxRecordsPerFile=rows_per_shard), df.schema)
 
     def append_by(self, df: DataFrame, arrival: str, rows_per_shard: int = ARRIVAL_ROWS) -> list[Manifest]:
         """Writes each value of the column `arrival` as an arrival of its own, in one pass, and commits one after another."""
+        schema = StructType([f for f in df.schema if f.name != arrival])
+        if last := self.manifest():
+            joint_schema(StructType.fromJson(json.loads(last.schema)), schema)
         below = f"data/{uuid.uuid4().hex}"
         df.write.partitionBy(arrival).option("maxRecordsPerFile", rows_per_shard).parquet(f"{self.path}/{below}")
         folders = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(below)) if s.isDirectory())
-        schema = StructType([f for f in df.schema if f.name != arrival])
         if not folders:
             return [self._add([], schema)]
         return [self._add(self._shards(f"{below}/{name}", 0), schema) for name in folders]
@@ -144,7 +159,8 @@ class ShardStore:
     def _add(self, shards: list[Shard], schema: StructType) -> Manifest:
         for _ in range(TRIES):
             last = self.manifest()
-            made = Manifest(last.version + 1 if last else 1, schema.json(), (last.shards if last else ()) + tuple(shards))
+            whole = joint_schema(StructType.fromJson(json.loads(last.schema)), schema) if last else schema
+            made = Manifest(last.version + 1 if last else 1, whole.json(), (last.shards if last else ()) + tuple(shards))
             try:
                 self._commit(made)
                 return made
