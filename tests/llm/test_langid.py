@@ -60,6 +60,41 @@ def test_noise_is_rejected(spark, rows):
     assert scorer.predict(["漢字かな交じり文とは何か、それを知りたい人はこの文章を読むべきである"])[0][2]
 
 
+def test_every_label_is_learned_and_long_texts_are_excerpted(spark):
+    """Many languages in one sample, one of them with long texts only; the sample keeps its bounds."""
+    rng = random.Random(5)
+    rows, words = [], {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(30)] for k in range(40)}
+    for k, (lang, own) in enumerate(words.items()):
+        rows += [(1000 * k + i, " ".join(rng.choices(own, k=3000 if k == 7 else 30)), lang) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit, langid.fit = langid.fit, lambda sample: fit(seen.extend(sample) or seen)
+    try:
+        model = langid.train(docs, sample_rows=6, sample_total=80, max_chars=500)
+    finally:
+        langid.fit = fit
+    assert model.langs == sorted(words) and max(len(t) for _, t in seen) == 500 and len(seen) <= 80
+    out = langid.predict(docs, langid.train(docs), keep=["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
+
+
+def test_false_rejections_are_bounded_at_every_length(rows):
+    pairs = [(lang, t) for _, t, lang in rows if t and lang and len(t) < 1000]
+    scorer = langid.Scorer(langid.fit(pairs))
+    for n in (1, 2, 5, 20, 100):
+        pieces = [" ".join(t.split()[:n]) for _, t in pairs]
+        assert sum(p[2] for p in scorer.predict(pieces)) <= 0.02 * len(pieces)
+
+
+def test_registered_query_on_sample_documents(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    out = langid.op2_language_id(spark, d).collect()
+    assert len(out) == len(lang)
+    held = [r for r in out if r.held_out and lang[r.doc_id]]
+    assert len(held) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.98
+
+
 def test_without_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.train(docs)

@@ -1,20 +1,24 @@
-"""Language identification with interpolated Kneser-Ney character models.
+"""Language identification with interpolated Kneser-Ney character models, one per language.
 
 Texts are lower-cased and cut into words (runs of letters). A language's model gives each character of a word, and its end, a
-probability from up to four characters before it, back to the word's start. All languages share one sorted array of n-gram
-hashes per order, with a row of discounted probabilities per n-gram, and one of context hashes with back-off weights. A text
-goes to the language with the lowest cross-entropy per character. Words are scored once per worker and then looked up.
+probability from up to four characters before it, back to the word's start. A language holds one sorted array of n-gram hashes per
+order, with a discounted probability and, as the context of longer ones, a back-off weight for each. A text goes to the language
+with the lowest cross-entropy per character. Words are scored once per worker and then looked up.
 
-The models are fitted on a bounded sample of labelled rows: `sample_rows` per language (`sample_total` over all) of at most
-`max_chars` characters each, chosen by a hash of the id. Whole texts are scored, whatever their length.
+The models are fitted on a bounded sample of labelled rows: up to `sample_rows` of each language, `sample_total` of all, but one row
+of each at least; of a text longer than `max_chars` characters the sample takes an excerpt of that length from a place that a hash
+of the id picks. Every label is learned. Predictions score whole texts, whatever their length.
 
-Rejection is calibrated on sample rows kept from the fit: a text is rejected if its cross-entropy is nearer to that of random
-letters than to that of its language (at `reject_at` of the way), or if it has no letter. Texts of under `reject_chars`
-characters are not rejected for their cross-entropy.
+Rejection is calibrated by language and length on sample rows kept from the fit: cut into pieces of a length, the rows give the
+cross-entropy that a share of `false_rejections` of them exceeds; a text of that length is rejected beyond the middle between it and
+what random letters reach, or if it has no letter. Where random letters are no worse, that share alone is the limit.
+
+The score is the share of the language in the likelihoods of all, as if the text had `EVIDENCE_CHARS` characters at most: over
+whole texts it would always be 0 or 1.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected. Without any labelled rows all are. Rows with
 a null id are predicted but teach nothing and are not held out. Ties go to the language first in order. Repeated rows give a
-row each; other columns are kept apart.
+row each; an empty table gives none; other columns are kept apart, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from treeloom.llm.common import bound_batches, slices, table
 
 ORDER = 5
 SAMPLE_ROWS = 800
 SAMPLE_TOTAL = 16_000
-MAX_CHARS = 20_000
-MAX_LANGS = 500
-REJECT_AT = 0.7
-REJECT_CHARS = 20
+MAX_CHARS = 4_000
+FALSE_REJECTIONS = 0.001
+#: Characters of the pieces that rejection is calibrated on; a text goes by the longest that isn't longer than itself.
+LENGTHS = (1, 8, 32, 128, 512, 2048)
 UNKNOWN = "und"
-CACHE_WORDS = 300_000
-EVIDENCE_CHARS = 50  # characters that count for the score
+CACHE_CELLS = 1_200_000  # log-probabilities of words that a worker keeps
+EVIDENCE_CHARS = 50
 _BOS, _EOS = 2, 3
 _letters = re.compile(r"[^\W\d_]+").findall
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -124,28 +130,43 @@ def _one_language(counts: Counter) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return out
 
 
+class Language:
+    """One language's sorted hash arrays: by order the hashes, what each adds as an n-gram and what it multiplies by as a context.
+
+    The last value of either array is that of hashes which aren't there.
+    """
+
+    def __init__(self, counts: Counter):
+        parts = _one_language(counts)
+        self.start = np.float32(parts[0][3][0])
+        self.orders = []
+        for k in range(ORDER):
+            grams, later = parts[k][0], parts[k + 1][2] if k + 1 < ORDER else np.zeros(0, np.uint64)
+            keys = np.union1d(grams, later)
+            prob, back = np.zeros(len(keys) + 1, np.float32), np.ones(len(keys) + 1, np.float32)
+            prob[np.searchsorted(keys, grams)] = parts[k][1]
+            if k + 1 < ORDER:
+                back[np.searchsorted(keys, later)] = parts[k + 1][3]
+            self.orders.append((keys, prob, back))
+
+    def values(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each of the sorted hashes adds and multiplies by in order k + 1."""
+        keys, prob, back = self.orders[k]
+        at = np.searchsorted(keys, hashes)
+        there = at < len(keys)
+        there[there] = keys[at[there]] == hashes[there]
+        at = np.where(there, at, len(keys))
+        return prob[at], back[at]
+
+
 class Model:
-    """Sorted hash arrays of all languages."""
+    """The languages' models, and the cross-entropies beyond which a text is rejected, by language and length."""
 
     def __init__(self, counts: dict[str, Counter]):
         self.langs = sorted(counts)
         self.alphabet = len({c for words in counts.values() for w in words for c in w}) + 2
-        parts = [_one_language(counts[name]) for name in self.langs]
-        # per order: sorted hashes, what each adds as an n-gram, what each multiplies by as the context of the next order; the
-        # last row of either is that of hashes which aren't there
-        self.orders = []
-        self.start = np.array([p[0][3][0] for p in parts], np.float32)
-        for k in range(ORDER):
-            later = [p[k + 1] for p in parts] if k + 1 < ORDER else []
-            keys = np.unique(np.concatenate([*(p[k][0] for p in parts), *(c[2] for c in later)])) if parts else np.zeros(0, np.uint64)
-            prob = np.zeros((len(keys) + 1, len(parts)), np.float32)
-            back = np.ones((len(keys) + 1, len(parts)), np.float32)
-            for j, p in enumerate(parts):
-                prob[np.searchsorted(keys, p[k][0]), j] = p[k][1]
-            for j, c in enumerate(later):
-                back[np.searchsorted(keys, c[2]), j] = c[3]
-            self.orders.append((keys, prob, back))
-        self.limits = np.full(len(self.langs), np.inf)  # cross-entropies beyond which a text is rejected
+        self.languages = [Language(counts[name]) for name in self.langs]
+        self.limits = np.full((len(self.langs), len(LENGTHS)), np.inf)
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         """The log-probability of each word, its end included, under each language."""
@@ -157,19 +178,20 @@ class Model:
     def log_steps(self, words: list[str]) -> np.ndarray:
         """The log-probability of each character of the words laid end to end, each from its start mark to its end."""
         g = _grams(words)
-        p = np.full((len(g.at), len(self.langs)), 1.0 / self.alphabet, np.float32) * self.start
-        before = None  # rows of the context of each position, in the order below
-        for k, (keys, prob, back) in enumerate(self.orders, 1):
-            rows = np.flatnonzero(g.at >= k - 1)
-            at = np.minimum(np.searchsorted(keys, g.by_order[k][rows]), len(keys) - 1)
-            found = np.full(len(g.at), len(keys), np.int64)
-            found[rows] = np.where(keys[at] == g.by_order[k][rows], at, len(keys))
-            if before is not None:
-                p[1:] *= before[:-1]
-            p += prob[found]
-            before = back[found]
-            before[g.at < k - 1] = 1
-        logs = np.log(np.maximum(p, 1e-30))
+        # the distinct hashes of an order are looked up once a language, in order
+        distinct = [np.unique(h, return_inverse=True) for h in g.by_order[1:]]
+        inside = [g.at >= k for k in range(ORDER)]
+        logs = np.empty((len(g.at), len(self.langs)), np.float32)
+        for j, language in enumerate(self.languages):
+            p = np.full(len(g.at), language.start / self.alphabet, np.float32)
+            before = None  # the back-off weight of the context of each position, in the order below
+            for k, ((hashes, which), there) in enumerate(zip(distinct, inside, strict=True)):
+                prob, back = language.values(k, hashes)
+                if before is not None:
+                    p[1:] *= before[:-1]
+                p += np.where(there, prob[which], 0)
+                before = np.where(there, back[which], 1)
+            logs[:, j] = np.log(np.maximum(p, 1e-30))
         logs[g.at == 0] = 0  # the start mark is given
         return logs
 
@@ -179,42 +201,72 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.index, self.size = model, {}, 1
+        n = max(1, len(model.langs))
+        self.room, self.part = max(20_000, CACHE_CELLS // n), max(500, 80_000 // n)
         # row 0: no letter
         self.logs, self.chars = np.zeros((1024, len(model.langs)), np.float32), np.zeros(1024, np.int64)
 
-    def _learn(self, texts: list[list[str]]) -> None:
-        every = {w for words in texts for w in words}
-        new = every - self.index.keys()
-        if self.size + len(new) > CACHE_WORDS:
-            self.index, self.size, new = {}, 1, every
+    def _learn(self, words: set[str]) -> None:
+        new = words - self.index.keys()
+        if self.size + len(new) > self.room:
+            self.index, self.size, new = {}, 1, words
         cleaned = [(w, clean(w)) for w in sorted(new)]
         self.index.update((w, 0) for w, c in cleaned if not c)
         good = [(w, c) for w, c in cleaned if c]
         while len(self.chars) < self.size + len(good):
             self.logs, self.chars = np.concatenate([self.logs, np.zeros_like(self.logs)]), np.concatenate([self.chars, np.zeros_like(self.chars)])
-        for at in range(0, len(good), 20_000):
-            part = good[at : at + 20_000]
+        for at in range(0, len(good), self.part):
+            part = good[at : at + self.part]
             rows = slice(self.size, self.size + len(part))
             self.logs[rows] = self.model.log_probs([c for _, c in part])
             self.chars[rows] = [len(c) + 1 for _, c in part]
             self.index.update(zip((w for w, _ in part), range(rows.start, rows.stop), strict=True))
             self.size = rows.stop
 
+    def steps(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, log-probabilities by language, characters) of the words of each text, or of a stretch of a long one."""
+
+        def flush():
+            self._learn({w for _, words in held for w in words})
+            for i, words in held:
+                rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                yield i, self.logs[rows], self.chars[rows]
+
+        held, n = [], 0
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            for at in range(0, len(words), self.room // 2):
+                held.append((i, words[at : at + self.room // 2]))
+                n += len(held[-1][1])
+                if n >= self.room // 2 or len(held) >= 64:
+                    yield from flush()
+                    held, n = [], 0
+        yield from flush()
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropies per character (nats) by language, and the characters that count, of each text."""
         h = np.zeros((len(texts), len(self.model.langs)))
         n = np.zeros(len(texts), np.int64)
-        for at in range(0, len(texts), 64):
-            cut = [words_of(t) for t in texts[at : at + 64]]
-            self._learn(cut)
-            get = self.index.__getitem__
-            for i, words in enumerate(cut, at):
-                if words:
-                    rows = np.fromiter(map(get, words), np.int64, len(words))
-                    n[i] = self.chars[rows].sum()
-                    if n[i]:
-                        h[i] = -self.logs[rows].sum(axis=0, dtype=np.float64) / n[i]
-        return h, n
+        for i, logs, chars in self.steps(texts):
+            h[i] -= logs.sum(axis=0, dtype=np.float64)
+            n[i] += chars.sum()
+        return h / np.maximum(n, 1)[:, None], n
+
+    def pieces(self, texts: list[str], length: int) -> np.ndarray:
+        """Cross-entropies by language of the texts cut into pieces of at least so many characters."""
+        found = []
+        for _, logs, chars in self.steps(texts):
+            ends, total = [], 0
+            for k, c in enumerate(chars.tolist(), 1):
+                total += c
+                if total >= length:
+                    ends.append(k)
+                    total = 0
+            if ends:
+                sums = lambda x: np.diff(np.cumsum(np.r_[np.zeros((1, *x.shape[1:])), x], axis=0, dtype=np.float64)[[0, *ends]], axis=0)
+                n = sums(chars)
+                found.append(-sums(logs)[n > 0] / n[n > 0][:, None])
+        return np.concatenate(found) if found else np.zeros((0, len(self.model.langs)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float]]:
         """(language, score, rejected, cross-entropy) of each text."""
@@ -225,14 +277,15 @@ class Scorer:
         low = h[np.arange(len(h)), best]
         odds = np.exp(-(h - low[:, None]) * np.minimum(n, EVIDENCE_CHARS)[:, None])
         score = 1 / odds.sum(axis=1)
-        rejected = (low > self.model.limits[best]) & (n >= REJECT_CHARS)
+        kind = np.maximum(np.searchsorted(LENGTHS, n, "right") - 1, 0)
+        rejected = low > self.model.limits[best, kind]
         return [
             (self.model.langs[b], float(s), bool(r), float(e)) if m else (UNKNOWN, 0.0, True, 0.0)
             for b, s, r, e, m in zip(best, score, rejected, low, n, strict=True)
         ]
 
 
-def fit(rows: Iterable[tuple[str, str]], reject_at: float = REJECT_AT) -> Model:
+def fit(rows: Iterable[tuple[str, str]], false_rejections: float = FALSE_REJECTIONS) -> Model:
     """A model from (language, text) rows; every fifth row of a language only calibrates the rejection."""
     counts: dict[str, Counter] = {}
     kept: dict[str, list[str]] = {}
@@ -250,14 +303,16 @@ def fit(rows: Iterable[tuple[str, str]], reject_at: float = REJECT_AT) -> Model:
     scorer = Scorer(model)
     letters = sorted({c for words in counts.values() for w in words for c in w})
     rng = np.random.default_rng(3)
-    noise = [" ".join("".join(rng.choice(letters, 6)) for _ in range(100)) for _ in range(20)]
-    h_noise = scorer.entropies(noise)[0].min(axis=1).mean()
-    for j, lang in enumerate(model.langs):
-        own = kept.get(lang) or [" ".join(counts[lang])]
-        h, n = scorer.entropies(own)
-        if n.sum():
-            usual = float((h[:, j] * n).sum() / n.sum())
-            model.limits[j] = usual + reject_at * max(0.0, h_noise - usual)
+    noise = [" ".join("".join(rng.choice(letters, 6)) for _ in range(400)) for _ in range(50)]
+    for k, length in enumerate(LENGTHS):
+        worst = np.quantile(scorer.pieces(noise, length).min(axis=1), false_rejections)
+        for j, lang in enumerate(model.langs):
+            own = scorer.pieces(kept.get(lang) or [" ".join(counts[lang])], length)[:, j]
+            if len(own):
+                usual = np.quantile(own, 1 - false_rejections, method="higher")
+                model.limits[j, k] = max(usual, (usual + worst) / 2)
+            elif k:  # no row of that length: as of shorter ones
+                model.limits[j, k] = model.limits[j, k - 1]
     return model
 
 
@@ -275,20 +330,23 @@ def train(
     sample_total: int = SAMPLE_TOTAL,
     max_chars: int = MAX_CHARS,
 ) -> Model:
-    """A model from a bounded sample of the labelled rows that are not held out."""
+    """A model from a bounded sample of the labelled rows that are not held out; a number a language comes to the driver before."""
+    spark = docs.sparkSession
     able = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
-    by_lang = docs.where(able).groupBy(lang_col).agg(F.count("*").alias("n"))
-    counts = {r[0]: r[1] for r in by_lang.orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()}
+    rows = docs.where(able).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return fit([])
     most = max(1, min(sample_rows, sample_total // len(counts)))
-    # a hash of the id decides, so that about `most` rows of a language come; the limit holds whatever the hash does
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.1 * most / n) * (1 << 30)))])
-    chosen = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) < F.try_element_at(share, F.col(lang_col))
-    rows = docs.where(able & chosen).where(F.length(text_col) <= max_chars).select(lang_col, text_col, id_col)
-    rows = rows.limit(2 * most * len(counts)).collect()
-    rows.sort(key=lambda r: (r[0], str(r[2]), r[1]))
-    return fit((r[0], r[1]) for r in rows)
+    # a hash of the id decides, so that some more than `most` rows of a language come; of these the `most` least are taken
+    shares = [(r[0], int(min(1.0, (1.1 * most + 20) / r[1]) * (1 << 30))) for r in counts]
+    shares = F.broadcast(spark.createDataFrame(shares, StructType([rows.schema["lang"], StructField("share", LongType())])))
+    order = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("id", F.lit(18)), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int")
+    few = rows.join(shares, "lang").where(order < F.col("share")).select("lang", "id", F.substr("text", place + 1, F.lit(max_chars)).alias("text"), order.alias("o"))
+    first = Window.partitionBy("lang").orderBy("o", "id", "text")
+    few = few.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "text", "r").collect()
+    return fit((r[0], r[1]) for r in sorted(few, key=lambda r: (r[0], r[2])))
 
 
 #: The worker's scorer of the model that it used last.
