@@ -10,31 +10,37 @@ most, so of its n - ceil(t n) + 1 smallest values one at least is among the docu
 complete whatever the document's length. A document with fewer than t times a partition's least size skips the partition.
 Candidates are verified by their exact shared shingles, compared as text.
 
-The index goes to the executors in blocks of bounded size (`block_bytes`), each with one pass over the documents, so neither a
-large benchmark nor a popular item is gathered in one place; nothing is shuffled. An item of many texts' copies is indexed like
-any other, once a row.
-
-Defined cases: null texts have no shingles, contain nothing and are contained nowhere. Repeated rows of either side give a row
-each. An empty side gives no rows. Other columns are ignored.
+The index is a table, a row a shingle. One pass over the documents lets through the shingles that a blocked Bloom filter of the
+index knows; its size follows the index up to `max_blocks` blocks of 32 bytes, beyond which only more shingles pass for nothing.
+What passes is written and joined with the index by hash: first with the indexed MinHash values, which gives candidates, then with
+all shingles, which counts what candidates share. Both joins are plain, so Spark broadcasts a small index and splits a shingle
+that very many documents hold; nothing is gathered by document or by item.
+
+Defined cases: null texts have no shingles, contain nothing and are contained nowhere. Texts may be of any length. Repeated rows
+of either side give a row each, as do several items in one document, in no order. An empty side gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from treeloom.llm.common import bound_batches, materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, slices, table, unwrapped, whole_rows
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BLOCK_BYTES = 32 << 20
+BITS_PER_KEY = 16
+MAX_BLOCKS = 1 << 20
 SEED = 7
 _words = re.compile(r"\w+").findall
 
@@ -63,61 +69,61 @@ def _value(shingle: str) -> int:
     return xxhash.xxh64_intdigest(shingle.encode("utf-8", "surrogatepass"), SEED)
 
 
-class Index:
-    """MinHash values to items, by size partition; items' shingles for verification."""
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-        self.items: list[tuple[object, set[str]]] = []
-        self.partitions: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.bytes = 0
-
-    def add(self, item_id, parts: set[str]) -> None:
-        n = len(parts)
-        smallest = sorted(map(_value, parts))[: n - needed(n, self.threshold) + 1]
-        partition = self.partitions[n.bit_length()]
-        for v in smallest:
-            partition[v].append(len(self.items))
-        self.items.append((item_id, parts))
-        self.bytes += 120 * len(smallest) + sum(80 + len(s) for s in parts)
-
-    def plain(self) -> tuple:
-        """What a worker needs, in types that pickle well."""
-        return self.threshold, self.items, {k: dict(v) for k, v in self.partitions.items()}
-
-
-def contained(parts: set[str], index: tuple) -> list[tuple[object, int, int]]:
-    """(item id, shared shingles, item's shingles) of the items that a document with these shingles contains."""
-    threshold, items, partitions = index
-    able = [p for k, p in partitions.items() if len(parts) >= needed(1 << (k - 1), threshold)]
-    if not able:
-        return []
-    candidates: set[int] = set()
-    values = set(map(_value, parts))
-    for p in able:
-        for v in values & p.keys():
-            candidates.update(p[v])
-    found = []
-    for c in sorted(candidates):
-        item_id, own = items[c]
-        shared = len(own & parts)
-        if shared >= needed(len(own), threshold):
-            found.append((item_id, shared, len(own)))
-    return found
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, threshold: float, block_bytes: int) -> Iterator[Index]:
-    """Indexes of at most about block_bytes each, in turn; the driver holds one at a time."""
-    index = Index(threshold)
-    for row in items.select(id_col, text_col).toLocalIterator():
-        parts = shingles(row[1])
-        if parts:
-            index.add(row[0], parts)
-        if index.bytes >= block_bytes:
-            yield index
-            index = Index(threshold)
-    if index.items:
-        yield index
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, str | None]]:
+    """(a number of its own in the table, id, text) of each row."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in slices(batches):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield row, key, text
+            row += 1
+
+
+def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
+
+
+def _table(df: DataFrame, make, key_name: str, more: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """The rows that make(numbered rows) yields: row, the key column and more."""
+    kind, key_type = df.schema["id"].dataType.simpleString(), to_arrow_type(df.schema["id"].dataType)
+    columns = [("row", "long", pa.int64()), (key_name, kind, key_type), *more]
+    types, names = [c[2] for c in columns], [c[0] for c in columns]
+    return df.mapInArrow(lambda batches: _batches(make(_numbered(batches)), types, names), ", ".join(f"{c[0]} {c[1]}" for c in columns))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def index_rows(key, parts: set[str], threshold: float) -> Iterator[tuple]:
+    """(item, n_item, need, least, h, s, sketch) of an item's shingles: sketch marks those with the smallest MinHash values.
+
+    need: shingles that a document has to share; least: those that it needs to be searched in the item's partition.
+    """
+    n = len(parts)
+    if not n:
+        return
+    need = needed(n, threshold)
+    least = needed(1 << (n.bit_length() - 1), threshold)
+    for k, (h, s) in enumerate(sorted((_value(s), s) for s in parts)):
+        yield key, n, need, least, signed(h), s, k <= n - need
+
+
+def bloom_words(index: DataFrame, n_blocks: int) -> np.ndarray:
+    """The blocked Bloom filter of index.h, four 64-bit words a block of which a value sets a bit each."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 40 + 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    blocks = index.groupBy(F.col("h").bitwiseAND(F.lit(n_blocks - 1)).alias("b")).agg(*[F.bit_or(bit(k)).alias(f"w{k}") for k in range(4)])
+    found = blocks.toPandas()
+    words = np.zeros((n_blocks, 4), np.uint64)
+    words[found["b"].to_numpy()] = found[[f"w{k}" for k in range(4)]].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def known(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the values that the filter lets through."""
+    own = words[(h & np.uint64(len(words) - 1)).astype(np.int64)]
+    shifts = (h[:, None] >> np.arange(40, 64, 6, dtype=np.uint64)) & np.uint64(63)
+    return np.flatnonzero(((own >> shifts) & np.uint64(1)).all(axis=1))
 
 
 def contaminated(
@@ -129,7 +135,7 @@ def contaminated(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    max_blocks: int = MAX_BLOCKS,
     short_inside: bool = False,
 ) -> DataFrame:
     """doc id, item id, n_shared, n_item of every document that contains an item.
@@ -138,40 +144,51 @@ def contaminated(
     length; else, as in OP5_SQL, they are found only in documents that are that sequence.
     """
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
-    fields = f"id {kind}, item {item_kind}, n_shared long, n_item long"
-    bound_batches(docs.sparkSession)
+    bound_batches(spark)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    item_type = to_arrow_type(items.schema[item_id_col].dataType)
-
-    def searcher(sent, lengths):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item, shared, n in contained(shingles(text) | short_runs(text, lengths), sent.value):
-                        for col, v in zip(rows, (doc_id, item, shared, n), strict=True):
-                            col.append(v)
-                types = [batch.schema.field(0).type, item_type, pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["id", "item", "n_shared", "n_item"])
-
-        return search
-
-    out = None
-    for index in blocks(items, item_id_col, item_text_col, threshold, block_bytes):
-        lengths = {len(s.split(" ")) for _, parts in index.items for s in parts} - {SHINGLE_WORDS} if short_inside else set()
-        found = two.mapInArrow(searcher(spark.sparkContext.broadcast(index.plain()), lengths), fields)
-        out = found if out is None else out.unionByName(found)
-    out = spark.createDataFrame([], fields) if out is None else out
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "n_shared", "n_item")
+    wanted = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text"))
+
+    def cut_items(rows):
+        for row, key, text in rows:
+            for found in index_rows(key, shingles(text), threshold):
+                yield (row, *found)
+
+    more = [(n, "long", pa.int64()) for n in ("n_item", "need", "least", "h")] + [("s", "string", pa.string()), ("sketch", "boolean", pa.bool_())]
+    index = materialize(_table(wanted, cut_items, "item", more), "benchmark-index")
+    n_words = F.size(F.split("s", " "))
+    about = index.agg(F.count("*").alias("n"), F.collect_set(F.when(n_words < SHINGLE_WORDS, n_words)).alias("lengths")).first()
+    n_blocks = min(max_blocks, 1 << max(0, (-(-about["n"] * BITS_PER_KEY // 256) - 1).bit_length()))
+    sent = spark.sparkContext.broadcast(bloom_words(index, n_blocks))
+    lengths = set(about["lengths"]) if short_inside else set()
+
+    def search(rows):
+        for row, key, text in rows:
+            parts = list(shingles(text) | short_runs(text, lengths))
+            h = np.fromiter(map(_value, parts), np.uint64, len(parts))
+            for k in known(sent.value, h).tolist():
+                yield row, key, len(parts), signed(int(h[k])), parts[k]
+
+    hits = materialize(_table(two, search, "doc", [("n_doc", "long", pa.int64()), ("h", "long", pa.int64()), ("s", "string", pa.string())]), "benchmark-hits")
+    hits = hits.withColumnRenamed("row", "doc_row")
+    index = index.withColumnRenamed("row", "item_row")
+    candidates = hits.select("doc_row", "n_doc", "h").join(index.where("sketch").select("item_row", "least", "h"), "h")
+    candidates = candidates.where("n_doc >= least").select("doc_row", "item_row").distinct()
+    shared = hits.join(index.drop("least", "sketch"), ["h", "s"]).join(candidates, ["doc_row", "item_row"], "left_semi")
+    one = [F.first(c).alias(c) for c in ("doc", "item", "n_item", "need")]
+    found = shared.groupBy("doc_row", "item_row").agg(F.count("*").alias("n_shared"), *one).where("n_shared >= need")
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "n_shared", "n_item")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that contain no item; rows that share an id are judged by their own texts. kw: as of contaminated."""
-    key = F.xxhash64(id_col, text_col)
-    found = contaminated(docs.select(key.alias("_key"), text_col), items, id_col="_key", text_col=text_col, **kw)
-    found = materialize(found.select("_key").distinct(), "contaminated")
-    return docs.join(found, key == F.col("_key"), "left_anti")
+    """The rows of docs, with all columns whatever their names, that contain no item. kw: as of contaminated.
+
+    Rows that share an id, or have none, are judged by their own texts; null and empty texts stay, as does every row if there are no
+    items. Repeated rows stay or go together.
+    """
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))))
+    found = contaminated(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, id_col="key", text_col="text", **kw)
+    found = materialize(found.select("key").distinct(), "contaminated")
+    return unwrapped(whole_rows(docs, key.alias("key")).join(found, "key", "left_anti"), docs.columns)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
