@@ -59,6 +59,36 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert ann.search(frame(spark, [(1, None), (2, [0.0] * 8)]), F.lit(True)).collect() == []
 
 
+def test_cells_hold_every_row_once():
+    for sizes in ([5, 0, 3, 40, 2, 2, 90, 1], [0], [7] * 30):
+        first, count = ann.cells(sizes, 10)
+        held = {}
+        for p, n in enumerate(sizes):
+            for c in range(first[p], first[p] + count[p]):
+                held.setdefault(c, []).append((p, n, count[p]))
+        assert all(len(v) == 1 or sum(n for _, n, _ in v) <= 10 for v in held.values())
+        assert all(-(-n // k) <= 10 for v in held.values() for _, n, k in v)
+
+
+def test_registered_query_on_sample_vectors(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    x, ids = np.array([v for _, v in rows], np.float64), np.array([i for i, _ in rows])
+    got = ann.op9_nearest_neighbours(spark, d).collect()
+    by_query, hits, total = {}, 0, 0
+    for r in got:
+        by_query.setdefault(r.query_id, []).append(r)
+    assert set(by_query) == {int(i) for i in ids if i % 20 == 0}
+    for q, found in by_query.items():
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        order = [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q]
+        found.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, 21)) and found == sorted(found, key=lambda r: (-r.score, r.vec_id))
+        assert np.allclose([r.score for r in found], [s[np.flatnonzero(ids == r.vec_id)[0]] for r in found], rtol=1e-12)
+        hits, total = hits + len({r.vec_id for r in found} & set(order[:20])), total + 20
+    assert hits / total >= 0.9
+
+
 def test_parts_are_balanced():
     x = np.array([v for _, v in vectors(1000, 5)])
     part = ann.balanced_parts(x, ann.neighbours(x, 10), 16)

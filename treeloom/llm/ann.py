@@ -6,9 +6,11 @@ capacity. A small classifier (one hidden layer) learns from a vector the shares
 of the table then belongs to its most probable part; a query searches its most probable parts, as many as gave `recall_target`
 on held-out vectors of the sample, and the vectors found there are reranked by exact inner products in double precision.
 
-Only the classifier (some hundred kilobytes) is broadcast. Parts are split into blocks of bounded size by a salt, queries into
-blocks likewise, and each pair of blocks gives at most k rows a query. Of equal vectors a block compares only the k + 1 smallest
-ids, as no more can be among the k nearest.
+Only the classifier (some hundred kilobytes) is broadcast. Parts are packed into cells of at most `block_rows` rows, a larger part
+is cut into several by a salt. A query goes once to each cell that holds rows of its parts, where it is compared with those parts
+only; a cell's queries are cut into blocks of about `query_rows`, for each of which the cell's rows are copied. Each block gives at most k
+rows a query. Of equal vectors a part compares only the k + 1 smallest ids, as no more can be among the k nearest. What a query
+costs is the rows of its parts: a few parts where vectors have structure, most of them where they have none.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as queries nor as
 candidates; nor do vectors of another length than the table's most frequent one. Rows with the query's own id are its own.
@@ -33,11 +35,10 @@ from treeloom.llm.common import table
 K = 20
 SAMPLE_ROWS = 8192
 PART_ROWS = 64  # of the sample, at least, in a part
-MAX_PARTS = 64
 GRAPH_NEIGHBOURS = 20
 RECALL_TARGET = 0.95
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 HIDDEN = 128
 
 
@@ -145,7 +146,7 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int =
 def fit(x: np.ndarray, *, k: int = K, n_parts: int | None = None, recall_target: float = RECALL_TARGET) -> Router:
     """A router from sample vectors (rows of x, in an order that doesn't depend on their values)."""
     n = len(x)
-    n_parts = n_parts or max(1, min(MAX_PARTS, n // PART_ROWS))
+    n_parts = n_parts or max(1, n // PART_ROWS)
     if n_parts < 2:
         d = x.shape[1]
         return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
@@ -182,13 +183,10 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_list(), dtype=np.float64) if len(column) else np.empty((0, 0))
 
 
-def best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query within a block: query_id, vec_id, score."""
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    if queries.empty or rows.empty:
-        return none
-    rows = rows.sort_values("id", kind="stable")
-    x, ids = _matrix(rows["vector"]), rows["id"].to_numpy()
+def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, score) of the k nearest rows of each query, and of some more where scores are close."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
     # of equal vectors the k + 1 smallest ids; the same pair of id and vector once
     keys = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
     kind = np.unique(keys, return_inverse=True)[1].ravel()
@@ -200,7 +198,6 @@ def best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
     rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
     order = order[rank <= k]
     x, ids = x[order], ids[order]
-    q, q_ids = _matrix(queries["vector"]), queries["id"].to_numpy()
     found = []
     for at in range(0, len(q), 256):
         part, part_ids = q[at : at + 256], q_ids[at : at + 256]
@@ -210,11 +207,42 @@ def best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
         least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
         i, j = np.nonzero((s >= (least - slack)[:, None]) & ~own)
-        found.append(pd.DataFrame({"query_id": part_ids[i], "vec_id": ids[j], "score": (part[i] * x[j]).sum(axis=1)}))
-    out = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        found.append((part_ids[i], ids[j], (part[i] * x[j]).sum(axis=1)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def best_of_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int, router: Router) -> pd.DataFrame:
+    """The k nearest rows of each query among those of its parts that lie in a cell: query_id, vec_id, score."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if not (queries.empty or rows.empty):
+        x, ids, part = _matrix(rows["vector"]), rows["id"].to_numpy(), rows["part"].to_numpy()
+        q, q_ids = _matrix(queries["vector"]), queries["id"].to_numpy()
+        probed = np.zeros((len(q), router.n_parts), bool)
+        np.put_along_axis(probed, router.parts(q, router.probes), True, axis=1)
+        for p in np.unique(part):
+            asks, here = probed[:, p], part == p
+            if asks.any():
+                found.append(nearest(q[asks], q_ids[asks], x[here], ids[here], k))
+    out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+    out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
     return out.groupby("query_id", sort=False).head(k).reset_index(drop=True)
 
 
+def cells(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of each part: parts share a cell while it has room, a larger part has several of its own."""
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    cell, held = 0, 0
+    for p, n in enumerate(sizes):
+        if held and held + n > most:
+            cell, held = cell + 1, 0
+        first[p], count[p] = cell, max(1, -(-n // most))
+        if count[p] > 1:
+            cell, held = cell + count[p], 0
+        else:
+            held += n
+    return first, count
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -247,42 +275,39 @@ def search(
         router = Router(np.zeros((sizes["d"], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
     sent = spark.sparkContext.broadcast(router)
 
-    def route(probe: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                parts = r.parts(flat, r.probes if probe else 1)
-                out = pa.ListArray.from_arrays(np.arange(0, parts.size + 1, parts.shape[1], dtype=np.int32), pa.array(parts.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["id", "vector", "parts"])
-
-        return run
-
-    routed = "id long, vector array<double>, parts array<int>"
-    members = rows.select("id", "vector").mapInArrow(route(False), routed).select("id", "vector", F.element_at("parts", 1).alias("part"))
-    asked = rows.where("q").select("id", "vector").dropDuplicates(["id"]).mapInArrow(route(True), routed)
-    # how many blocks each part needs: a number per part
-    n_rows = {r["part"]: r["n"] for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    n_asked = {r["part"]: r["n"] for r in asked.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
-
-    def blocks(counts: dict[int, int], size: int) -> Column:
-        wanted = F.array(*[F.lit(max(1, -(-counts.get(p, 0) // size))) for p in range(router.n_parts)])
-        return F.element_at(wanted, F.col("part") + 1)
-
+    def flat(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            part = sent.value.parts(flat(batch), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part)], names=["id", "vector", "part"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            own = []
+            for parts in sent.value.parts(flat(batch), sent.value.probes):
+                own.append(sorted({c for p in parts for c in range(first[p], first[p] + count[p])}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["id", "vector", "cells"])
+
+    members = rows.select("id", "vector").mapInArrow(home, "id long, vector array<double>, part int")
+    sizes = {r["part"]: r["n"] for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a number a part
+    first, count = cells([sizes.get(p, 0) for p in range(router.n_parts)], block_rows)
+    at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
     salt = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n.cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    row_blocks, query_blocks = blocks(n_rows, block_rows), blocks(n_asked, query_rows)
-    # a block of rows meets each of its part's blocks of queries
-    left = asked.select("id", "vector", F.explode("parts").alias("part"))
-    left = left.withColumn("qb", salt(query_blocks)).withColumn("rb", every(row_blocks))
-    right = members.withColumn("rb", salt(row_blocks)).withColumn("qb", every(query_blocks))
+    members = members.withColumn("cell", at(first) + salt(at(count)))
+    # a query goes once to each cell that holds rows of its parts, whatever their number there
+    asked = rows.where("q").select("id", "vector").dropDuplicates(["id"]).mapInArrow(ask, "id long, vector array<double>, cells array<int>")
+    asked = asked.select("id", "vector", F.explode("cells").alias("cell"))
+    n_asked = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a number a cell
+    blocks = F.broadcast(spark.createDataFrame([(int(c), max(1, -(-n // query_rows))) for c, n in n_asked.items()], "cell int, blocks int"))
+    left = asked.join(blocks, "cell").withColumn("qb", salt(F.col("blocks")))
+    right = members.join(blocks, "cell").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = (
-        left.groupBy("part", "rb", "qb")
-        .cogroup(right.groupBy("part", "rb", "qb"))
-        .applyInPandas(lambda a, b: best_of_block(a, b, k), "query_id long, vec_id long, score double")
-    )
+        left.select("id", "vector", "cell", "qb").groupBy("cell", "qb")
+        .cogroup(right.select("id", "vector", "part", "cell", "qb").groupBy("cell", "qb"))
+        .applyInPandas(lambda a, b: best_of_cell(a, b, k, sent.value), "query_id long, vec_id long, score double")
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
