@@ -96,3 +96,28 @@ def test_empty_archive(spark):
     path = work_path(spark, "t")
     warc.write_archive(pages(spark).limit(0), path)
     assert warc.read_archive(spark, path).collect() == []
+
+
+def test_payloads_are_verified(spark, tmp_path):
+    record = warc.record_bytes(9, "http://x/", b"body" * 10)
+    damaged = record.replace(b"bodybody", b"bodyBODY", 1)
+    for name, data in (("a.warc", damaged), ("a.warc.gz", warc.member(damaged))):
+        at = tmp_path / name.replace(".", "-")
+        at.mkdir()
+        (at / name).write_bytes(data)
+        assert [r.page_id for r in warc.read_archive(spark, str(at)).collect()] == [9]
+        with pytest.raises(Exception, match="payload_digest is"):
+            warc.read_archive(spark, str(at), verify=True).collect()
+
+
+def test_cut_archives_fail(spark, tmp_path):
+    record = warc.record_bytes(9, "http://x/", b"body" * 10)
+    head = record.index(b"\r\n\r\n")
+    cases = [(record + record[: head - 5], "a.warc"), (record[:-20], "a.warc"), (warc.member(record) + warc.member(record)[:-30], "a.warc.gz")]
+    for k, (data, name) in enumerate(cases):
+        at = tmp_path / str(k)
+        at.mkdir()
+        (at / name).write_bytes(data)
+        for kw in ({}, {"payload": True}):
+            with pytest.raises(Exception, match="record"):
+                warc.read_archive(spark, str(at), **kw).collect()

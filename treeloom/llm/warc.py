@@ -13,12 +13,18 @@ Predicates are pushed by `read_archive(predicates=...)`, each call its own relat
 spark.sql.python.filterPushdown.enabled) Spark's own filters are pushed down, too; that is no default, as Spark 4.1 keeps the last
 pushed filters with the relation, so that two differently filtered uses of one DataFrame both get the filters of one.
 
+With the option verify=true (`read_archive(verify=True)`) payloads are inflated, measured and hashed, whether the schema asks for
+them or not: `payload_bytes` and `payload_digest` of responses are then those of the bytes read, and a record whose headers state
+others fails the read. A record that ends early always does.
+
 Repeated payloads: of the records with equal payloads of at least `min_payload_bytes` bytes the one with the smallest page_id is the
-response, the others are revisits of it that hold no payload. Only digests are shuffled for this, never payloads.
+response, the others are revisits of it that hold no payload. Digests alone are grouped. If no more than `broadcast_rows` of them
+repeat they go to the pages, which then aren't shuffled; else pages, with their payloads, are shuffled to them once.
 
 Defined cases: a null html is an empty payload. A null url has no WARC-Target-URI and reads back as null; control characters
 in urls are percent-encoded. A null page_id never is the smallest; a group of null ids only has responses only. Rows that repeat
-the smallest page_id are responses too. An empty table makes an empty archive. Other columns are ignored.
+the smallest page_id are responses too, so a payload shared by a third of all rows has one response and no ties. Payloads may be of
+any length (one at a time is in memory). An empty table makes an empty archive. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -128,12 +134,25 @@ def header_row(h: dict[str, str]) -> dict:
     }
 
 
-def _payload(block: bytes, row: dict) -> bytes | None:
+def _payload(block: bytes, row: dict, n: int) -> bytes | None:
+    if len(block) < n:
+        raise ValueError(f"a record of {n} bytes ends after {len(block)}: {row['record_id']}")
     if row["record_type"] == "revisit":
         return None
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
+def verified(row: dict) -> dict:
+    """The row with size and digest of its payload, which have to be those that its headers state."""
+    if (payload := row["payload"]) is not None:
+        found = {"payload_bytes": len(payload), "payload_digest": base32_sha1(payload)}
+        for name, value in found.items():
+            if row[name] is not None and row[name] != value:
+                raise ValueError(f"{name} is {value}, the headers say {row[name]}: {row['record_id']}")
+        row |= found
+    return row
+
+
 class _Plain:
     """A stream's bytes with a small buffer, so that headers can be read without what follows."""
 
@@ -197,10 +216,13 @@ def _gzip_records(f, size: int, wanted, with_payload: bool) -> Iterator[dict]:
         row = header_row(headers)
         if wanted(row):
             if with_payload:
-                row["payload"] = _payload(stream.take(int(headers.get("content-length", 0))), row)
+                n = int(headers.get("content-length", 0))
+                row["payload"] = _payload(stream.take(n), row, n)
             yield row
         if stated:
             at += stated
+            if at > size:
+                raise ValueError(f"a record ends after the file, at byte {at}")
         else:
             while more():
                 pass
@@ -214,15 +236,19 @@ def _plain_records(f, size: int, wanted, with_payload: bool) -> Iterator[dict]:
         stream = _Plain(lambda: f.read(4096))
         head = stream.until(b"\r\n\r\n")
         if head is None:
-            return
+            if not stream.buffer.strip():
+                return
+            raise ValueError(f"a broken record at byte {at}")
         headers = parse_headers(head)
         row, n, body = header_row(headers), int(headers.get("content-length", 0)), at + len(head) + 4
         if wanted(row):
             if with_payload:
                 f.seek(body)
-                row["payload"] = _payload(f.read(n), row)
+                row["payload"] = _payload(f.read(n), row, n)
             yield row
         at = body + n + 4
+        if body + n > size:
+            raise ValueError(f"a record ends after the file, at byte {body + n}")
 
 
 @dataclass
@@ -242,6 +268,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.path = schema, options["path"]
+        self.verify = options.get("verify") == "true"
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
         self.tests: list[tuple[str, str, object]] = [tuple(t) for t in json.loads(options.get("predicates", "[]"))]
         for name, kind, _ in self.tests:
@@ -280,12 +307,15 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         fs, _ = _open(self.path)
         schema = to_arrow_schema(self.schema)
-        with_payload = "payload" in self.schema.fieldNames()
+        with_payload = self.verify or "payload" in self.schema.fieldNames()
         rows, held = [], 0
         for path, size in partition.files:
             with fs.open_input_file(path) as f:
                 records = _gzip_records if path.endswith(".gz") else _plain_records
                 for row in records(f, size, self.wanted, with_payload):
+                    if self.verify:
+                        row = verified(row)
+                        row = {n: row[n] for n in schema.names}
                     rows.append(row)
                     held += 200 + len(row.get("payload") or b"")
                     if len(rows) >= 4096 or held > 16 << 20:
@@ -354,7 +384,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path, partitionBytes, predicates (JSON) and sparkFilters (reading), maxFileBytes (writing)."""
+    """format("warc"): options path, partitionBytes, predicates (JSON), verify and sparkFilters (reading), maxFileBytes (writing)."""
 
     @classmethod
     def name(cls):
@@ -399,21 +429,25 @@ def write_archive(
     out.write.format("warc").option("path", path).mode("append").save()
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = False, predicates: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
-    """The archive's records; without payload none is inflated.
+def read_archive(
+    spark: SparkSession, path: str, payload: bool = False, predicates: Sequence[tuple[str, str, object]] = (), verify: bool = False
+) -> DataFrame:
+    """The archive's records; without payload and verify no payload is inflated.
 
     predicates: (header column, one of = in starts there > >= < <=, value), all of which a record has to fulfil; nulls fulfil none.
     """
     register(spark)
     reader = spark.read.format("warc").schema(SCHEMA if payload else HEADER_COLUMNS)
-    return reader.option("predicates", json.dumps(list(predicates))).load(path)
+    return reader.option("predicates", json.dumps(list(predicates))).option("verify", str(verify).lower()).load(path)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    found = read_archive(spark, path, predicates=[("record_type", "in", ["response", "revisit"])])
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses by their payloads, which are decoded and hashed; of revisits, which have none, only headers
+    responses = read_archive(spark, path, predicates=[("record_type", "=", "response")], verify=True)
+    revisits = read_archive(spark, path, predicates=[("record_type", "=", "revisit")])
+    return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: SQL has no base32: the hexadecimal digest is dealt out five bits at a time.
