@@ -98,6 +98,15 @@ def test_sets(spark):
 
 def test_sequences(spark):
     assert S.lcs_pairs("abcbd", "acbd") == [(0, 0), (2, 1), (3, 2), (4, 3)]
+    import random
+
+    rng = random.Random(1)
+    for _ in range(40):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in "ab")
+        whole, most = S.lcs_pairs(a, b), S.MAX_CELLS
+        S.MAX_CELLS = 8  # cut in two again and again
+        cut, S.MAX_CELLS = S.lcs_pairs(a, b), most
+        assert len(cut) == len(whole) == S.lcs_length(a, b) and all(a[i] == b[j] for i, j in cut) and cut == sorted(set(cut))
     assert S.lcs_length("abcbdab", "bdcaba") == 4 and S.lcs_dice([], []) == 0.0
     assert S.common_substring("xABCy", "zabcw") == 3 and S.substring_dice("", "") == 0.0
     assert S.line_changes("a\nb\nc", "a\nx\ny\nc\nd") == (1, 0, 2)
@@ -111,9 +120,13 @@ def test_scalar_functions(spark):
     r = df.select(C.strip_number(F.col("h")), C.strip_number(F.col("n")), C.strip_number(F.col("d")), C.without_space(F.col("s")), head, tail, C.signature_struct(F.col("sig"))).first()
     assert tuple(r)[:6] == ("1F", "1000", "2.5", "ab", "k", "v=w")
     assert tuple(r[6]) == ("int", "f", ["String", "int[]"])
-    a = spark.createDataFrame([("Yes, it is", "so [Type 1] or [Type 2]", "[critical lines]: x = 1 ||| y\n\nrest", "@@Name@@a.b@@12")], "a string, b string, c string, d string")
+    a = spark.createDataFrame([("Yes, it is", "so [Category 1]: x or [Type 2]", "[critical lines]: x = 1 ||| y\n\nrest", "@@Name@@a.b@@12")], "a string, b string, c string, d string")
     r = a.select(C.yes_no(F.col("a")), C.type_class(F.col("b")), C.critical_lines(F.col("c")), C.element_parts(F.col("d"))).first()
-    assert tuple(r)[:3] == (True, 2, ["x = 1", "y"]) and tuple(r[3]) == ("Name", "a.b", 12)
+    assert tuple(r)[:3] == (True, 1, ["x = 1", "y"]) and tuple(r[3]) == ("Name", "a.b", 12)
+    answers = spark.createDataFrame([("[2]: y",), ("[type 3] z",), ("none",)], "a string")
+    assert [r[0] for r in answers.select(C.type_class(F.col("a"))).collect()] == [2, 3, None]
+    deep = spark.createDataFrame([("Map<K, List<V>> f(Map<String, List<X>> a, int b)",)], "s string").select(C.signature_struct(F.col("s")).alias("s")).first().s
+    assert deep.name == "f" and [a.replace(" ", "") for a in deep.args] == ["Map<String,List<X>>", "int"]
     t = spark.createDataFrame([("A", "A"), ("<UNKNOWN>", "B"), ("A", "B")], "x string, y string")
     assert [r[0] for r in t.select(C.type_equal(F.col("x"), F.col("y"))).collect()] == [1.0, 1.0, 0.0]
 

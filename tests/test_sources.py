@@ -37,7 +37,7 @@ def test_code_trees_pairs_and_units(spark, tmp_path):
     assert "return 2" in pairs["c1"].after and "class B" in pairs["c2"].before
     cases = files.dataset_cases(src, str(tmp_path))
     assert {(r.dataset, r.group, r.case) for r in cases.collect()} >= {("d1", "g1", "c1"), ("d1", "g1", "c2")}
-    assert sorted((r.dir.rsplit("/", 1)[-1], r.files) for r in files.scan_units(src).collect()) == [("c1", 3), ("c2", 2)]
+    assert sorted((r.unit.rsplit("/", 1)[-1], r.files) for r in files.scan_units(src).collect()) == [("c1", 3), ("c2", 2)]
     found = NodePlanner(nodes.where("parse_error IS NULL"), JAVA).plan(parse('functionDeclaration f where f.body contain literal l where l.value == 2;'))
     assert [r["name"] for r in found.collect()] == ["f"]
 
@@ -46,7 +46,11 @@ def test_reports_and_tables(spark, tmp_path):
     xml = "<errors><error><defectInfo><function>f</function><fileName><![CDATA[a/B.java]]></fileName><reportLine>7</reportLine></defectInfo></error><error/></errors>"
     p = put(tmp_path, "r.xml", xml)
     errors = files.report_errors(spark, p)
-    assert [tuple(r) for r in errors.collect()] == [("f", "a/B.java", 7)]
+    assert [tuple(r)[:3] for r in errors.collect()] == [("f", "a/B.java", 7)]
+    put(tmp_path, "none.xml", "<errors></errors>")
+    per_file = files.report_errors(spark, str(tmp_path / "*.xml"))
+    counts = files.report_counts(per_file, ["report"], files.report_files(spark, str(tmp_path)))
+    assert sorted((r.report.rsplit("/", 1)[-1], r.n, r.has_error) for r in counts.collect()) == [("none.xml", 0, False), ("r.xml", 1, True)]
     p = put(tmp_path, "t.txt", "x\ta.java\tf()\t3#9\n")
     assert [tuple(r) for r in files.tabbed_results(spark, p).collect()] == [("a.java", "f()", 3, 9)]
     assert files.tabbed_results(spark, put(tmp_path, "e.txt", "Empty Pattern\n")).count() == 0
@@ -66,6 +70,30 @@ def test_reports_and_tables(spark, tmp_path):
     assert files.settings(put(tmp_path, "c.yaml", "# x\na: 1\nb:\n  c: 'd'\n")) == {"a": "1", "b.c": "d"}
 
 
+def test_scan_units_of_mixed_folders(spark):
+    paths = ["/r/a/A.java", "/r/a/B.java", "/r/b/C.java", "/r/b/pom.xml", "/r/c/D.java", "/r/c/in/E.java", "/r/.git/F.java", "/r/d/notes.txt"]
+    units = files.scan_units(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert sorted(map(tuple, units.collect())) == [("/r/a", 2), ("/r/b/C.java", 1), ("/r/c/D.java", 1), ("/r/c/in", 1)]
+
+
+def test_filters_and_labels(spark):
+    df = spark.createDataFrame([("x", "tp", "int Foo()", "a.java"), ("y", "fp", "g()", "FOO.java"), (None, "tp", None, "b.java")], "checker string, label string, signature string, file string")
+    assert sorted(r.file for r in files.without_denied(df, ["x"]).collect()) == ["FOO.java", "b.java"]
+    assert files.dashboard(df, "foo").count() == 2 and files.dashboard(df, "foo", label="tp").count() == 1
+    assert [r.code for r in files.labelled_codes(df, "tp", F.col("file"), 1).collect()] == ["a.java"]
+
+
+def test_edits_as_json(spark):
+    ops = spark.createDataFrame([("t", "insert", 5, 1, 0, "X", "v"), ("t", "move", 3, 2, 1, None, None), ("u", "delete", 3, 2, None, None, None)], "tree_id string, kind string, node_id long, parent_id long, pos int, node_type string, value string")
+    got = {r.tree_id: (json.loads(r.insertNodes), json.loads(r.moveParentNodes)) for r in sinks.edit_json(ops).collect()}
+    assert got["t"] == ([{"id": 5, "parent": 1, "pos": 0, "node_type": "X", "value": "v"}], [{"id": 3, "parent": 2, "pos": 1}]) and got["u"] == ([], [])
+
+
+def test_store_keeps_the_later_entry_of_one_write(spark, tmp_path):
+    sinks.append_store(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").coalesce(1), str(tmp_path / "s"))
+    assert sorted(map(tuple, sinks.read_store(spark, str(tmp_path / "s"), ["k"]).collect())) == [("a", 2), ("b", 3)]
+
+
 def test_sinks(spark, tmp_path):
     src = spark.createDataFrame([("m", "class A { int f() { return 1; } }")], "path string, text string")
     nodes = files.parsed(src, "java").drop("parse_error")

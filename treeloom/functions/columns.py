@@ -62,13 +62,23 @@ def path_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
 
+def _outer_commas(text: Column) -> Column:
+    """text with a mark for each comma that is in no angle brackets."""
+    marks = F.transform(F.split(text, ""), lambda c: F.struct(c.alias("c"), F.when(c == "<", 1).when(c == ">", -1).otherwise(0).alias("d")))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+    step = lambda s, x: F.struct(
+        F.concat(s["out"], F.when((x["c"] == ",") & (s["depth"] == 0), "\u0001").otherwise(x["c"])).alias("out"), (s["depth"] + x["d"]).alias("depth")
+    )
+    return F.aggregate(marks, start, step, lambda s: s["out"])
+
+
 def signature_struct(text: Column) -> Column:
-    """struct<ret, name, args> of "ret name(type arg, ...)" text; generics must not hold commas."""
+    """struct<ret, name, args> of "ret name(type arg, ...)" text; commas inside generics don't part arguments."""
     ret = F.nullif(F.regexp_extract(text, r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*([\w.<>\[\], ]+?)\s+\w+\s*\(", 1), F.lit(""))
     name = F.regexp_extract(text, r"(\w+)\s*\(", 1)
     inner = F.trim(F.regexp_extract(text, r"\((.*)\)", 1))
     args = F.when(inner == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(inner, r"\s*,\s*"), lambda a: F.regexp_replace(F.regexp_replace(F.trim(a), r"^final\s+", ""), r"\s+\w+$", ""))
+        F.transform(F.split(_outer_commas(inner), "\u0001"), lambda a: F.regexp_replace(F.regexp_replace(F.trim(a), r"^final\s+", ""), r"\s+\w+$", ""))
     )
     return F.struct(ret.alias("ret"), name.alias("name"), args.alias("args"))
 
@@ -80,9 +90,8 @@ def yes_no(answer: Column) -> Column:
 
 
 def type_class(answer: Column) -> Column:
-    """n of the last "[Type n]" in an answer."""
-    found = F.regexp_extract_all(answer, F.lit(r"\[Type\s+(\d+)\]"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).cast("int")
+    """n of the first "[Type n]", "[Category n]" or "[n]" in an answer, whatever its case."""
+    return F.nullif(F.regexp_extract(answer, r"(?i)\[\s*(?:type|category)?\s*(\d+)\s*\]", 1), F.lit("")).cast("int")
 
 
 def critical_lines(answer: Column) -> Column:

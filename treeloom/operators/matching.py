@@ -34,9 +34,10 @@ def binned_range_matches(warnings: DataFrame, truths: DataFrame, on: list[str],
     return own.join(cut, [*on, "_bin"]).where(in_range("line", "begin", "end", tolerance)).drop("_bin")
 
 
-def first_match(pairs: DataFrame, left: list[str], order: list) -> DataFrame:
-    """One row per left key: the first by order."""
-    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(left).orderBy(*order))).where("_r = 1").drop("_r")
+def first_match(pairs: DataFrame, left: list[str], order: list[str]) -> DataFrame:
+    """One row per left key: the first by order; a min_by aggregate, so that rows meet in partial results and no group is gathered."""
+    rest = [c for c in pairs.columns if c not in left]
+    return pairs.groupBy(*left).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*left, "_first.*")
 
 
 def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
@@ -87,7 +88,7 @@ def one_to_one_metrics(warnings: DataFrame, truths: DataFrame, matched: DataFram
 
 def many_to_one(warnings: DataFrame, truths: DataFrame, on: list[str], warning_id: str, truth_id: str, tolerance: int = 1) -> DataFrame:
     """Each warning with its first matching truth, or null; truths may be taken again."""
-    pairs = first_match(range_matches(warnings, truths, on, tolerance), [warning_id], ["begin", truth_id])
+    pairs = first_match(binned_range_matches(warnings, truths, on, tolerance), [warning_id], ["begin", truth_id])
     return warnings.join(pairs.select(warning_id, truth_id), warning_id, "left")
 
 
@@ -106,15 +107,14 @@ def changed_only(warnings: DataFrame, functions: DataFrame, on: list[str], toler
 
 def labelled(warnings: DataFrame, truths: DataFrame, functions: DataFrame, on: list[str], tolerance: int = 1) -> DataFrame:
     """(label, warning_id, truth_id, function_id): warnings in a function as tp or fp, truths without a warning as fn."""
-    f = functions.select(*on, "function_id", F.col("begin").alias("f_begin"), F.col("end").alias("f_end"))
-    w = warnings.join(f, on).where(in_range("line", "f_begin", "f_end", tolerance))
-    w = first_match(w, ["warning_id"], ["f_begin", "function_id"]).select(*on, "warning_id", "line", "function_id")
-    hit = first_match(range_matches(warnings, truths, on, tolerance), ["warning_id"], ["begin", "truth_id"]).select("warning_id", "truth_id")
-    seen = w.join(hit, "warning_id", "left")
+    f = functions.select(*on, "function_id", "begin", "end")
+    w = first_match(binned_range_matches(warnings.select(*on, "warning_id", "line"), f, on, tolerance), ["warning_id"], ["begin", "function_id"])
+    hit = first_match(binned_range_matches(warnings, truths, on, tolerance), ["warning_id"], ["begin", "truth_id"]).select("warning_id", "truth_id")
+    seen = w.select("warning_id", "function_id").join(hit, "warning_id", "left")
     seen = seen.select(F.when(F.col("truth_id").isNull(), "fp").otherwise("tp").alias("label"), "warning_id", "truth_id", "function_id")
-    alone = truths.join(hit.select("truth_id").distinct(), "truth_id", "left_anti")
-    alone = alone.join(f, on).where((F.col("f_begin") - tolerance <= F.col("begin")) & (F.col("end") <= F.col("f_end") + tolerance))
-    alone = first_match(alone, ["truth_id"], ["f_begin", "function_id"])
+    alone = truths.join(hit.select("truth_id").distinct(), "truth_id", "left_anti").select(*on, "truth_id", F.col("begin").alias("line"), F.col("end").alias("t_end"))
+    alone = binned_range_matches(alone, f, on, tolerance).where(F.col("t_end") <= F.col("end") + tolerance)
+    alone = first_match(alone, ["truth_id"], ["begin", "function_id"])
     return seen.unionByName(alone.select(F.lit("fn").alias("label"), F.lit(None).cast(dict(seen.dtypes)["warning_id"]).alias("warning_id"), "truth_id", "function_id"))
 
 

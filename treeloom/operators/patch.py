@@ -1,14 +1,51 @@
-"""Applying a pattern's edits to a tree that matches it."""
+"""Applying a pattern's edits to trees that match it, down to their source text."""
 
 from __future__ import annotations
 
-from treeloom.operators.treediff import Edit, Item, items
-from treeloom.tree.nodes import Node
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def apply_pattern(target: Node, edits: list[Edit], binding: dict[int, int], renames: dict[str, str] | None = None) -> Item:
+from treeloom.operators.treediff import Edit, Item, diff_with_origins, items
+from treeloom.tree.nodes import Node, allow_depth
+from treeloom.tree.printing import source_of
+
+
+@dataclass(frozen=True)
+class InsertAt:
+    """Where an inserted or moved node goes: a strategy by name, so that a plan can carry it.
+
+    "index": the index of the script, at the end if the parent has fewer children. "sibling": after the bound node that stood
+    before it in the pattern, else as "index".
+    """
+
+    name: str = "index"
+
+    def place(self, up: Item, pos: int, before: Item | None) -> int:
+        if self.name == "sibling" and before is not None and before in up.kids:
+            return up.kids.index(before) + 1
+        return min(pos, len(up.kids))
+
+
+STRATEGIES = {s.name: s for s in (InsertAt("index"), InsertAt("sibling"))}
+
+
+def apply_pattern(
+    target: Node,
+    edits: list[Edit],
+    binding: dict[int, int],
+    renames: dict[str, str] | None = None,
+    origins: dict[int, Node] | None = None,
+    pattern: Node | None = None,
+    strategy: InsertAt = STRATEGIES["index"],
+) -> Item:
     """target's items with a pattern's edits. binding: pattern keys to target keys (pre-order numbers).
 
+    origins: nodes that inserted ones come from, for printing. pattern: its before tree, which the strategy "sibling" needs.
+
     New labels that name the pattern's own variables are renamed to the target's. Edits of nodes that aren't bound are left out, as
     are moves of a node below itself. Positions beyond a parent's children mean its end.
     """
@@ -16,15 +53,37 @@ def apply_pattern(target: Node, edits: list[Edit], binding: dict[int, int], rena
     at: dict[int, Item] = {p: made[t] for p, t in binding.items()}
     at.setdefault(-1, made[-1])
     label = lambda s: (renames or {}).get(s, s)
+    own = {x.key: x for x in items(pattern)} if pattern is not None else {}
+
+    def left_of(e: Edit) -> Item | None:
+        """The target's node for what stands before place pos in the pattern, whose tree follows the edits, too."""
+        up = own.get(e.parent)
+        left = up.kids[e.pos - 1] if up is not None and 0 < e.pos <= len(up.kids) else None
+        return at.get(left.key) if left is not None else None
+
+    def follow(e: Edit) -> None:
+        if not own:
+            return
+        if e.kind in ("insert", "tree-insert"):
+            own[e.node] = Item(e.node, e.type, e.label, e.role, own[e.parent])
+            own[e.parent].kids.insert(e.pos, own[e.node])
+        elif e.kind == "move":
+            x = own[e.node]
+            x.parent.kids.remove(x)
+            x.parent = own[e.parent]
+            x.parent.kids.insert(e.pos, x)
+        elif e.kind in ("delete", "tree-delete"):
+            own[e.node].parent.kids.remove(own[e.node])
+
     for e in edits:
         if e.kind in ("insert", "tree-insert"):
             if e.parent in at:
                 up = at[e.parent]
-                x = Item(e.node, e.type, label(e.label), e.role, up)
-                up.kids.insert(min(e.pos, len(up.kids)), x)
+                x = Item(e.node, e.type, label(e.label), e.role, up, origin=(origins or {}).get(e.node))
+                up.kids.insert(strategy.place(up, e.pos, left_of(e)), x)
                 at[e.node] = x
         elif e.node not in at:
-            continue
+            pass
         elif e.kind == "update":
             at[e.node].label = label(e.label)
         elif e.kind == "move":
@@ -32,18 +91,58 @@ def apply_pattern(target: Node, edits: list[Edit], binding: dict[int, int], rena
             up = to
             while up is not None and up is not x:
                 up = up.parent
-            if to is None or up is x or x.parent is None:
-                continue
-            x.parent.kids.remove(x)
-            x.parent, x.role = to, e.role
-            to.kids.insert(min(e.pos, len(to.kids)), x)
+            if not (to is None or up is x or x.parent is None):
+                left = left_of(e)
+                x.parent.kids.remove(x)
+                x.parent, x.role = to, e.role
+                to.kids.insert(strategy.place(to, e.pos, left), x)
         elif at[e.node].parent is not None:
             x = at[e.node]
             if x in x.parent.kids:
                 x.parent.kids.remove(x)
+        follow(e)
     return made[-1]
 
 
+PATCHED = "pattern_id string, tree_id string, instance int, patched string, skipped int, error string"
+
+
+def patched(texts: DataFrame, instances: DataFrame, changes: dict[str, tuple[str, str]], parse, strategy: str = "index") -> DataFrame:
+    """PATCHED rows: the text of each tree after a pattern's change, for each instance of the pattern in it.
+
+    texts: (tree_id, text); instances: (pattern_id, tree_id, instance, p_node, t_node) over the trees that parse gives; changes:
+    the before and after texts of each pattern (a bounded number of them). skipped counts edits whose nodes aren't bound; a
+    text that can't be read gives a row with its error.
+    """
+    bound = instances.groupBy("pattern_id", "tree_id", "instance").agg(F.map_from_entries(F.collect_list(F.struct("p_node", "t_node"))).alias("binding"))
+    rows = texts.select("tree_id", "text").join(bound, "tree_id").select("pattern_id", "tree_id", "instance", "text", "binding")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {}
+        allow_depth()
+        for key, (before, after) in changes.items():
+            a = parse(before)
+            known[key] = (a, *diff_with_origins(a, parse(after)))
+        for batch in batches:
+            out = []
+            for key, tree, k, text, binding in batch.itertuples(index=False):
+                a, edits, _, origins = known[key]
+                binding = {int(p): int(t) for p, t in dict(binding).items()}
+                try:
+                    target = parse(text)
+                    top = apply_pattern(target, edits, binding, variable_renames(a, target, binding), origins, a, STRATEGIES[strategy])
+                except ValueError as e:
+                    out.append((key, tree, k, None, None, str(e)))
+                    continue
+                new = {e.node for e in edits if e.kind == "insert"}
+                away = lambda x: x is not None and x != -1 and x not in binding and x not in new  # noqa: E731, B023
+                skipped = sum(away(e.parent if e.kind == "insert" else e.node) for e in edits)
+                out.append((key, tree, k, source_of(top), skipped, None))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PATCHED.split(", ")]).astype({"skipped": "Int32"})
+
+    return rows.mapInPandas(run, PATCHED)
+
+
 def variable_renames(pattern: Node, target: Node, binding: dict[int, int]) -> dict[str, str]:
     """The target's names for the pattern's local variables, from bound declarations and names."""
     p, t = items(pattern), items(target)

@@ -60,10 +60,15 @@ def attributes(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree_id", "node_id", F.col("role").alias("location"), F.col("node_type").alias("type"), "name", "expr_type", "tokens")
 
 
+def is_rare(cnt: Column, files: int, share: float = RARE_SHARE) -> Column:
+    """Whether a token that is in cnt of the files is in under a share of them; an unknown one counts once."""
+    return F.coalesce(cnt, F.lit(1)) / F.lit(files) < share
+
+
 def rare(tokens: DataFrame, frequencies: DataFrame, files: int = CORPUS_FILES, share: float = RARE_SHARE) -> DataFrame:
     """tokens (kind, token, ...) with `considered`: whether a token is in under a share of the files; unknown ones count once."""
-    known = frequencies.groupBy("kind", "token").agg(F.last("cnt").alias("_cnt"))
-    return tokens.join(known, ["kind", "token"], "left").withColumn("considered", F.coalesce("_cnt", F.lit(1)) / F.lit(files) < share).drop("_cnt")
+    known = frequencies.groupBy("kind", "token").agg(F.max("cnt").alias("_cnt"))
+    return tokens.join(known, ["kind", "token"], "left").withColumn("considered", is_rare(F.col("_cnt"), files, share)).drop("_cnt")
 
 
 def consider(nodes: DataFrame, frequencies: DataFrame, near: DataFrame, by_choice: DataFrame | None = None) -> DataFrame:
@@ -95,6 +100,69 @@ def consider(nodes: DataFrame, frequencies: DataFrame, near: DataFrame, by_choic
     )
 
 
+def consider_edits(operations: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Inserts and moves (tree_id, kind, node_id, ...) with considered and considered_attrs from verdicts.
+
+    verdicts: (tree_id, kind, node_id, attrs array<string>); what none names isn't considered, and none of its attributes is.
+    """
+    given = verdicts.groupBy("tree_id", "kind", "node_id").agg(F.array_distinct(F.flatten(F.collect_list("attrs"))).alias("_attrs"))
+    found = operations.where(F.col("kind").isin("insert", "tree-insert", "move")).withColumn("_kind", F.regexp_replace("kind", "^tree-", ""))
+    found = found.join(given.withColumnRenamed("kind", "_kind"), ["tree_id", "_kind", "node_id"], "left")
+    flags = F.create_map(*[x for a in REGISTRY for x in (F.lit(a), F.coalesce(F.array_contains("_attrs", a), F.lit(False)))])
+    return found.select(*operations.columns, F.col("_attrs").isNotNull().alias("considered"), flags.alias("considered_attrs"))
+
+
+#: Policies by name: each gives nodes with considered and considered_attrs. A policy takes (nodes, **what it needs).
+POLICIES: dict[str, Callable[..., DataFrame]] = {}
+
+
+def policy(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    def put(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        POLICIES[name] = f
+        return f
+
+    return put
+
+
+def abstracted(name: str, nodes: DataFrame, **needs) -> DataFrame:
+    """nodes as the named policy considers them."""
+    if name not in POLICIES:
+        raise ValueError(f"no policy {name!r}; there are {', '.join(sorted(POLICIES))}")
+    return POLICIES[name](nodes, **needs)
+
+
+def _all_attributes(on: Column) -> Column:
+    return F.create_map(*[x for a in REGISTRY for x in (F.lit(a), on)])
+
+
+@policy("frequency")
+def _by_frequency(nodes: DataFrame, frequencies: DataFrame, near: DataFrame) -> DataFrame:
+    return consider(nodes, frequencies, near)
+
+
+@policy("random")
+def _by_chance(nodes: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
+    return random_consider(nodes, share, seed)
+
+
+@policy("verdicts")
+def _by_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int) -> DataFrame:
+    """Nodes that the walk keeps, with all their attributes."""
+    kept = walk_verdicts(nodes, verdicts, depth).withColumn("considered", F.lit(True))
+    out = nodes.join(kept, ["tree_id", "node_id"], "left").withColumn("considered", F.coalesce("considered", F.lit(False)))
+    return out.select(*nodes.columns, "considered", _all_attributes(F.col("considered")).alias("considered_attrs"))
+
+
+@policy("rounds")
+def _by_rounds(nodes: DataFrame, lines: DataFrame, named: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Four rounds: important lines (tree_id, lines), key elements (tree_id, text) among their nodes, the most similar nodes, all attributes."""
+    inside = in_important_lines(nodes.join(lines, "tree_id"), F.col("lines"))
+    elements = inside.select(F.col("tree_id").alias("key"), "node_id", F.array_join("tokens", " ").alias("element"))
+    kept = similar_elements(named.select(F.col("tree_id").alias("key"), "text"), elements, threshold).select(F.col("key").alias("tree_id"), "node_id").distinct()
+    out = nodes.join(kept.withColumn("considered", F.lit(True)), ["tree_id", "node_id"], "left").withColumn("considered", F.coalesce("considered", F.lit(False)))
+    return out.select(*nodes.columns, "considered", _all_attributes(F.col("considered")).alias("considered_attrs"))
+
+
 def random_consider(nodes: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
     """The baseline: a share of each tree's nodes counts, none of their attributes does."""
     order = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id")
@@ -211,6 +279,31 @@ def match_instances(pairs: DataFrame, patterns: DataFrame, lenient: bool = False
     return seen.groupBy("pattern_id", "tree_id").applyInPandas(search, schema)
 
 
+def expected_found(results: DataFrame, expected: DataFrame, on: tuple[str, ...] = ("file", "signature")) -> DataFrame:
+    """The results that are expected ones; nulls are equal, as a file without a signature is."""
+    wanted = expected.select(*[F.col(c).alias(f"_{c}") for c in on]).distinct()
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return results.join(wanted, same, "left_semi")
+
+
+def edit_places(operations: DataFrame, mapping: DataFrame, binding: DataFrame) -> DataFrame:
+    """operations (tree_id, parent_id, ...) with place: the target's node for the parent an edit names, and place_type.
+
+    mapping: (tree_id, after_id, before_id) of the pattern; binding: (tree_id, p_node, t_node) of pattern and target. A parent that is
+    a node of the before tree leads to its target (type 1), one of the after tree to that of its before node (type 2); one that an
+    earlier edit inserts has none (type 3).
+    """
+    own = binding.select("tree_id", F.col("p_node").alias("parent_id"), F.col("t_node").alias("_direct"))
+    via = mapping.join(binding, (mapping.tree_id == binding.tree_id) & (mapping.before_id == binding.p_node)).select(
+        mapping.tree_id, F.col("after_id").alias("parent_id"), F.col("t_node").alias("_mapped")
+    )
+    out = operations.join(own, ["tree_id", "parent_id"], "left").join(via, ["tree_id", "parent_id"], "left")
+    kind = F.when(F.col("_direct").isNotNull(), 1).when(F.col("_mapped").isNotNull(), 2).otherwise(3)
+    return out.select(*operations.columns, F.coalesce("_direct", "_mapped").alias("place"), kind.alias("place_type"))
+
+
 def detect(instances: DataFrame, used: int = USED_INSTANCES) -> DataFrame:
     """(pattern_id, tree_id) with a legal instance among the first few; every instance is legal."""
     return instances.where(F.col("instance") < used).select("pattern_id", "tree_id").distinct()
@@ -230,11 +323,20 @@ def action_related(operations: DataFrame, mapping: DataFrame) -> DataFrame:
 def not_logic(operations: DataFrame, nodes: DataFrame, most: int = MAX_NOT_LOGIC) -> DataFrame:
     """(tree_id, kind, node_id, parent_id, node_type) of inserts and of moves into structure nodes; more than a few say nothing.
 
-    Inserted blocks and expression statements stand for what they hold; what goes into a moved parent is left out.
+    operations: an edit script that isn't simplified, so that what inserted blocks and expression statements hold is in it: it stands
+    for them, at the first parent above that isn't one. What goes into a moved parent is left out.
     """
     moved = operations.where("kind = 'move'").select("tree_id", F.col("node_id").alias("parent_id"))
-    ins = operations.where(F.col("kind").isin("insert", "tree-insert") & ~F.col("node_type").isin("Block", "ExpressionStatement"))
-    ins = ins.join(moved, ["tree_id", "parent_id"], "left_anti").select("tree_id", F.lit("insert").alias("kind"), "node_id", "parent_id", "node_type")
+    every = operations.where(F.col("kind").isin("insert", "tree-insert")).select("tree_id", "node_id", "parent_id", "node_type")
+    wrapper = F.col("node_type").isin("Block", "ExpressionStatement")
+    wrappers = every.where(wrapper).select("tree_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_above"))
+    ins = every.where(~wrapper)
+    for _ in range(2):  # a block around expression statements
+        ins = ins.join(wrappers, ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.coalesce("_above", "parent_id").alias("parent_id"), "node_type")
+    # a node below another inserted one comes with it
+    above = every.where(~wrapper).select("tree_id", F.col("node_id").alias("parent_id"))
+    ins = ins.join(above, ["tree_id", "parent_id"], "left_anti").join(moved, ["tree_id", "parent_id"], "left_anti")
+    ins = ins.select("tree_id", F.lit("insert").alias("kind"), "node_id", "parent_id", "node_type")
     kinds = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"), F.col("parent_id").alias("_up"))
     into = operations.where("kind = 'move'").select("tree_id", "node_id", "parent_id").join(kinds, ["tree_id", "parent_id"])
     above = nodes.select("tree_id", F.col("node_id").alias("_up"), F.col("node_type").alias("up_type"))

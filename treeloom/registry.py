@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom import registry_java
 from treeloom.dsl import rewrite
 from treeloom.dsl.parser import parse
 from treeloom.functions import columns as C
@@ -15,6 +16,7 @@ from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, substri
 from treeloom.operators import matching, metrics, patterns, sampling, sets
 from treeloom.plans.compiler import NodePlanner, RelationalPlanner, run
 from treeloom.sources.files import parsed
+from treeloom.sources.work import written
 from treeloom.tree.relational import STAR, RelationalForest
 
 FLAGSHIP = "dsl_contain"
@@ -174,20 +176,26 @@ def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     return parsed(pages, "html", "page_id", "html")
 
 
-@query()
+# pages as SQL sees them: scripts and styles hold one text each, comments part texts
+_PAGE_SQL = """WITH h AS (SELECT page_id::VARCHAR AS tree_id, regexp_replace(regexp_replace(html, '(?s)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\\1x\\2', 'g'), '(?s)<!--.*?-->', '<!>', 'g') AS h FROM pages) """
+
+
+@query(_PAGE_SQL + """SELECT tree_id FROM h WHERE regexp_matches(regexp_extract(h, '(?s)<nav[ >].*?</nav>'), '(?s)<a [^>]*href="/.+"') AND regexp_matches(regexp_extract(h, '(?s)<article[ >].*?</article>'), '<p[ >]')""")
 def html_contain(spark, d):
     """Articles with a paragraph, on pages whose navigation links somewhere."""
     wanted = ["tree_id", "node_id", "parent_id", "role", "dsl_type", "ancestors", "name", "value", "props", "flags"]
-    nodes = page_nodes(spark, d).where("parse_error IS NULL").select(wanted).persist()  # each step of the query reads them again
+    nodes = written(page_nodes(spark, d).where("parse_error IS NULL").select(wanted), "page-nodes")  # each step of the query reads them again
     q = 'document d where and(d contain nav n where n contain a l where l.href match "/.+", d contain article a where a contain p q);'
     return NodePlanner(nodes).plan(parse(q)).select("tree_id")
 
 
-@query()
+@query(_PAGE_SQL + """SELECT tree_id, 1 + len(regexp_extract_all(h, '<[a-zA-Z]')) + len(list_filter(regexp_extract_all(h, '>([^<]*)', 1), lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS nodes,
+  len(regexp_extract_all(h, '<p[ >]')) AS paragraphs, len(regexp_extract_all(h, '<a[ >]')) AS links, NULL::VARCHAR AS parse_error FROM h""")
 def html_detect(spark, d):
-    """Depth and size of every page's tree, from the parsed nodes."""
+    """Size of every page's tree, its paragraphs and links, from the parsed nodes."""
     nodes = page_nodes(spark, d)
-    return nodes.groupBy("tree_id").agg(F.count("node_id").alias("nodes"), F.max("depth").alias("max_depth"), F.max("parse_error").alias("parse_error"))
+    n = lambda kind: F.count_if(F.col("node_type") == kind)
+    return nodes.groupBy("tree_id").agg(F.count("node_id").alias("nodes"), n("p").alias("paragraphs"), n("a").alias("links"), F.max("parse_error").alias("parse_error"))
 
 
 # metrics
@@ -197,18 +205,23 @@ _RULE = "(o_totalprice > 150000)"
 
 @query(f"""WITH r AS (SELECT o_orderpriority AS checker, {_RULE} AS on_buggy, o_orderstatus = 'F' AS on_fixed FROM orders),
   c AS (SELECT checker, count(*) FILTER (on_buggy) AS tp, count(*) FILTER (NOT on_buggy) AS fn, count(*) FILTER (on_fixed) AS fp, count(*) FILTER (NOT on_fixed) AS tn FROM r GROUP BY checker)
-  SELECT checker, tp, fp, fn, tn, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy FROM c""")
+  SELECT checker, tp, fp, fn, tn, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy,
+  round(2 * tp::DOUBLE / (2 * tp + fp + fn), 9) AS f1, round(fp::DOUBLE / (fp + tn), 9) AS fpr, round(fn::DOUBLE / (fn + tp), 9) AS fnr FROM c""")
 def confusion_paired(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("checker"), F.expr(_RULE).alias("on_buggy"), (F.col("o_orderstatus") == "F").alias("on_fixed"))
     out = matching.paired_confusion(o, ["checker"])
-    return out.select("checker", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy")])
+    return out.select("checker", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy", "f1", "fpr", "fnr")])
 
 
 _LABEL_COUNTS = """WITH c AS (SELECT source AS tool, lang AS dataset, (quality = 1 AND toxic = 0)::INT AS tp, (quality = 1 AND toxic = 1)::INT AS fp, (quality = 0 AND toxic = 0)::INT AS fn,
   (quality = 0 AND toxic = 1)::INT AS tn FROM labels JOIN documents USING (doc_id)) """
 _RATES = """round(CASE WHEN sum(tp) + sum(fp) = 0 THEN 0 ELSE sum(tp)::DOUBLE / (sum(tp) + sum(fp)) END, 4) AS precision,
   round(CASE WHEN sum(tp) + sum(fn) = 0 THEN 0 ELSE sum(tp)::DOUBLE / (sum(tp) + sum(fn)) END, 4) AS recall,
-  round(CASE WHEN count(*) = 0 THEN 0 ELSE (sum(tp) + sum(tn))::DOUBLE / (sum(tp) + sum(fp) + sum(fn) + sum(tn)) END, 4) AS accuracy"""
+  round(CASE WHEN count(*) = 0 THEN 0 ELSE (sum(tp) + sum(tn))::DOUBLE / (sum(tp) + sum(fp) + sum(fn) + sum(tn)) END, 4) AS accuracy,
+  round(CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 OR sum(tp) = 0 THEN 0 ELSE 2 * sum(tp)::DOUBLE / (2 * sum(tp) + sum(fp) + sum(fn)) END, 4) AS f1,
+  round(CASE WHEN sum(fp) + sum(tn) = 0 THEN 0 ELSE sum(fp)::DOUBLE / (sum(fp) + sum(tn)) END, 4) AS fpr,
+  round(CASE WHEN sum(tp) + sum(fn) = 0 THEN 0 ELSE sum(fn)::DOUBLE / (sum(tp) + sum(fn)) END, 4) AS fnr"""
+_RATE_NAMES = ("precision", "recall", "accuracy", "f1", "fpr", "fnr")
 
 
 def _label_counts(spark, d):
@@ -220,12 +233,12 @@ def _label_counts(spark, d):
 
 @query(_LABEL_COUNTS + f"SELECT dataset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, {_RATES} FROM c GROUP BY dataset")
 def metrics_micro(spark, d):
-    return matching.micro_average(_label_counts(spark, d), ["dataset"]).select("dataset", "tp", "fp", "fn", "tn", "precision", "recall", "accuracy")
+    return matching.micro_average(_label_counts(spark, d), ["dataset"]).select("dataset", "tp", "fp", "fn", "tn", *_RATE_NAMES)
 
 
 @query(_LABEL_COUNTS + f"SELECT tool, dataset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, {_RATES} FROM c GROUP BY ROLLUP (tool, dataset)")
 def metrics_rollup(spark, d):
-    return matching.rolled_up(_label_counts(spark, d), "tool", "dataset").select("tool", "dataset", "tp", "fp", "precision", "recall", "accuracy")
+    return matching.rolled_up(_label_counts(spark, d), "tool", "dataset").select("tool", "dataset", "tp", "fp", *_RATE_NAMES)
 
 
 @query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click'),
@@ -355,12 +368,11 @@ def coverage(spark, d):
 
 
 @query("""WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents), f AS (SELECT token, count(*) AS cnt FROM t WHERE token <> '' GROUP BY 1)
-  SELECT token, cnt, cnt / (SELECT count(*) FROM documents) < 0.005 AS considered FROM f WHERE cnt > 1""")
+  SELECT token, cnt, cnt / (SELECT count(*) FROM documents) < 0.005 AS considered FROM f""")
 def doc_freq_rare(spark, d):
+    """In how many documents each token occurs, and whether that is rare."""
     docs = table(spark, d, "documents")
-    f = metrics.document_frequency(docs, "doc_id", "text").withColumn("kind", F.lit("text"))
-    n = docs.count()
-    return patterns.rare(f.select("kind", "token"), f, n).join(f.select("token", "cnt"), "token").where("cnt > 1").select("token", "cnt", "considered")
+    return metrics.document_frequency(docs, "doc_id", "text").withColumn("considered", patterns.is_rare(F.col("cnt"), docs.count()))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0 * len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / (len(list_distinct(string_split(a.p_name, ' '))) + len(list_distinct(string_split(b.p_name, ' ')))), 9) AS score
@@ -373,20 +385,27 @@ def sim_join_hard_soft(spark, d):
     return j.select(F.col("p_partkey").alias("a"), "b", F.round(score, 9).alias("score"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey, p_brand, p_size, string_split(p_name, ' ') AS t FROM part),
+  s AS (SELECT *, list_transform(range(1, (1 << len(t))::INT), lambda m: list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS subs FROM t),
+  j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 2.0 * coalesce(list_max(list_transform(list_intersect(a.subs, b.subs), lambda x: len(x))), 0) / (len(a.t) + len(b.t)) AS score
+    FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+  SELECT a, b, round(score::DOUBLE, 9) AS score FROM j WHERE score > 0.2""")
 def sim_join_lcs(spark, d):
     """Parts of a brand and size whose name tokens are alike in order."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.split("p_name", " ").alias("t"))
     b = p.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
-    return p.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("score", lcs_dice_udf("t", "u")).where(F.col("score") > patterns.SCORE_THRESHOLD).select("a", "b", "score")
+    return p.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("score", lcs_dice_udf("t", "u")).where(F.col("score") > patterns.SCORE_THRESHOLD).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, lower(c_name) AS c, lower(s_name) AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+  m AS (SELECT c_custkey, s_suppkey, any_value(c) AS c, any_value(s) AS s, max(CASE WHEN contains(c, substr(s, i, n)) THEN n ELSE 0 END) AS l
+    FROM p, range(1, 41) a(i), range(1, 41) b(n) WHERE i + n - 1 <= length(s) GROUP BY 1, 2)
+  SELECT c_custkey, s_suppkey, round((2.0 * l / (length(c) + length(s)))::DOUBLE, 9) AS similarity FROM m WHERE 2.0 * l / (length(c) + length(s)) >= 0.6""")
 def lcs_substring_match(spark, d):
     """Customers and suppliers of a nation whose names share a long substring."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), "c_custkey", F.col("c_name").alias("text"))
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", F.col("s_name").alias("element"))
-    return c.join(s, "key").withColumn("similarity", substring_dice_udf("text", "element")).where("similarity >= 0.6").select("c_custkey", "s_suppkey", "similarity")
+    return c.join(s, "key").withColumn("similarity", substring_dice_udf("text", "element")).where("similarity >= 0.6").select("c_custkey", "s_suppkey", F.round("similarity", 9).alias("similarity"))
 
 
 @query()
@@ -496,7 +515,12 @@ def scalar_strings(spark, d):
     return table(spark, d, "part").where("p_size <> 10").select("p_partkey", head.alias("head"), tail.alias("tail"), (F.col("p_size") * 1.0 / (F.col("p_size") - 10)).cast("double").alias("ratio"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('ok', true, '', '', ''),
+  ('operator', false, 'unsupported_property_path', 'unsupported property ''operator'' of binaryOperation', 'ask for the node''s type, or for what it contains'),
+  ('operator', false, 'invalid_value_for_property', 'instanceof is no value of ''operator''; ask whether b_1 is instanceofExpression', 'ask whether b_1 is instanceofExpression'),
+  ('type', false, 'invalid_node_type', 'invalid node type ''noSuchType''', 'use one of the vocabulary''s node types'),
+  ('alias', false, 'missing_alias', 'alias ''j'' is not defined', 'bind the alias in a query around the condition'),
+  ('syntax', false, 'syntax', 'expected '','', found '')''', 'see the grammar')) t(query_id, valid, kind, message, suggestion)""")
 def dsl_validation(spark, d):
     """Findings on a handful of queries, as a table."""
     from treeloom.dsl.analyzer import report
@@ -581,7 +605,15 @@ def use_index(spark, d):
     return patterns.use_index(o).select("tree_id", "name", F.array_join(F.col("uses").cast("array<string>"), ",").alias("uses"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT event_id AS warning_id, user_id AS file, day(ts) AS line FROM events WHERE event_type = 'click'),
+  t AS (SELECT o_custkey AS file, o_orderkey AS truth_id, day(o_orderdate) AS b FROM orders),
+  p AS (SELECT w.file, warning_id, list_sort(list(truth_id)) AS options FROM w JOIN t ON w.file = t.file WHERE line BETWEEN b - 1 AND b + 6 GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY warning_id) AS n FROM p),
+  g AS (SELECT file, 0::BIGINT AS n, NULL::BIGINT AS warning_id, NULL::BIGINT AS truth_id, []::BIGINT[] AS taken FROM (SELECT DISTINCT file FROM n)
+    UNION ALL SELECT n.file, n.n, n.warning_id, list_filter(options, lambda x: NOT list_contains(taken, x))[1],
+      CASE WHEN list_filter(options, lambda x: NOT list_contains(taken, x))[1] IS NULL THEN taken ELSE list_append(taken, list_filter(options, lambda x: NOT list_contains(taken, x))[1]) END
+    FROM g JOIN n ON n.file = g.file AND n.n = g.n + 1)
+  SELECT file, warning_id, truth_id FROM g WHERE truth_id IS NOT NULL""")
 def greedy_matching(spark, d):
     """Clicks matched one to one with orders of a user within a window of days; each order is taken once."""
     w = table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"))
@@ -589,11 +621,11 @@ def greedy_matching(spark, d):
     return matching.greedy_one_to_one(matching.range_matches(w, t, ["file"], 1), "file", "warning_id", "truth_id")
 
 
-@query()
+@query(_PAGE_SQL + "SELECT 'p' AS pattern_id, tree_id FROM h WHERE regexp_matches(h, '(?s)<footer[^>]*>[^<]*[^<[:space:]]')")
 def html_pattern_detect(spark, d):
     """Pages that a pattern (a footer with a text, in one tree) matches: candidates, assignment search, detection."""
     wanted = ["tree_id", "node_id", "parent_id", "node_type", "name", "expr_type", "tokens"]
-    nodes = page_nodes(spark, d).where("node_type IN ('footer', 'text')").select(wanted).persist()
+    nodes = written(page_nodes(spark, d).select(wanted), "page-nodes")
     on = lambda *names: F.create_map(*[x for n in ("location", "name", "exprType", "type", "token") for x in (F.lit(n), F.lit(n in names))])
     rows = [("p", 0, None, "footer", "footer", "footer"), ("p", 1, 0, "text", None, "text")]
     made = spark.createDataFrame(rows, "pattern_id string, node_id long, parent_id long, node_type string, name string, _t string").drop("_t")
@@ -606,8 +638,8 @@ def html_pattern_detect(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | registry_java.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | registry_java.SQL

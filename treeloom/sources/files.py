@@ -28,7 +28,6 @@ VERDICT = (
 CHANGED_METHOD = "file_name string, begin_line int, end_line int, method_signature string, method_source string"
 GROUND_TRUTH = "file string, begin_line int, end_line int"
 PATTERN = "FileName string, ErrorInfo string, BeforeCode array<string>, AfterCode array<string>, Before0Tree string, insertNodes string, moveParentNodes string, Attrs string"
-MAX_NODES = 200_000
 
 
 def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
@@ -45,8 +44,9 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from treeloom.tree.html import parse_html
         from treeloom.tree.java import parse_unit
-        from treeloom.tree.nodes import rows_of
+        from treeloom.tree.nodes import allow_depth, rows_of
 
+        allow_depth()
         parse = {"java": parse_unit, "html": parse_html}[kind]
         for batch in batches:
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -54,11 +54,9 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
                     if not text:
                         raise ValueError("empty")
                     rows = rows_of(str(key), parse(text))
-                    if len(rows) > MAX_NODES:
-                        raise ValueError(f"more than {MAX_NODES} nodes")
                     for r in rows:
                         r["props"], r["flags"] = list(r["props"].items()), list(r["flags"].items())
-                except (ValueError, RecursionError) as e:
+                except ValueError as e:
                     rows = [{"tree_id": str(key), "parse_error": str(e)}]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -81,7 +79,10 @@ def code_pairs(files: DataFrame) -> DataFrame:
 
 
 def method_by_signature(methods: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Of each tree the method whose signature is wanted (tree_id, signature), or its first method where none is named."""
+    """Of each tree the method whose signature is wanted (tree_id, signature), or its first method where none is named.
+
+    Signatures are return type, name and ordered argument types; a constructor has no return type, which equals none.
+    """
     first = methods.withColumn("_r", F.row_number().over(Window.partitionBy("tree_id").orderBy("pre"))).where("_r = 1").drop("_r")
     if wanted is None:
         return first
@@ -160,15 +161,25 @@ def dataset_cases(files: DataFrame, root: str, grouped: bool = True, only: list[
 
 
 def report_errors(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """(function, fileName, reportLine) of an engine's XML reports; broken reports have none."""
+    """(function, fileName, reportLine, report) of an engine's XML reports; report is the file's name. Broken reports have none."""
     schema = "defectInfo struct<function:string,fileName:string,reportLine:int>"
     df = spark.read.format("xml").option("rowTag", "error").option("charset", charset).option("mode", "DROPMALFORMED").schema(schema).load(path)
-    info = df.where("defectInfo IS NOT NULL")
-    return info.select(F.trim("defectInfo.function").alias("function"), F.trim("defectInfo.fileName").alias("fileName"), F.col("defectInfo.reportLine").alias("reportLine"))
+    info = df.select("defectInfo", F.regexp_replace(F.input_file_name(), r"^file:/+", "/").alias("report")).where("defectInfo IS NOT NULL")
+    return info.select(F.trim("defectInfo.function").alias("function"), F.trim("defectInfo.fileName").alias("fileName"), F.col("defectInfo.reportLine").alias("reportLine"), "report")
+
+
+def report_counts(errors: DataFrame, by: list[str], reports: DataFrame | None = None) -> DataFrame:
+    """(by, n, has_error): errors by report; reports (by) names those that may have none, see report_files."""
+    n = errors.groupBy(by).agg(F.count("*").alias("n"))
+    if reports is not None:
+        n = reports.select(by).distinct().join(n, by, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return n.withColumn("has_error", F.col("n") > 0)
 
 
-def report_counts(errors: DataFrame, by: list[str]) -> DataFrame:
-    return errors.groupBy(by).agg(F.count("*").alias("n"), (F.count("*") > 0).alias("has_error"))
+def report_files(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
+    """(report): the names of all reports, those without errors included; nothing of them is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_replace("path", r"^file:/+", "/").alias("report"))
 
 
 def tabbed_results(spark: SparkSession, path: str) -> DataFrame:
@@ -194,10 +205,17 @@ def sectioned(spark: SparkSession, path: str, header: str = r"^hash#") -> DataFr
 
 
 def scan_units(files: DataFrame) -> DataFrame:
-    """(dir, files): folders that hold .java files only; hidden folders are passed over."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    seen = files.where(~F.col("path").rlike(r"/\.[^/]+/")).groupBy(folder.alias("dir"))
-    return seen.agg(F.every(F.col("path").endswith(".java")).alias("pure"), F.count("*").alias("files")).where("pure").drop("pure")
+    """(unit, files): folders that hold .java files and nothing else are a unit; of others each .java file is one.
+
+    Folders inside a folder are something else, so its own files are single units then. Hidden folders are passed over.
+    """
+    parent = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+    seen = files.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", parent(F.col("path")).alias("dir"))
+    parents = seen.select(parent(F.col("dir")).alias("dir")).where("dir <> ''").distinct().withColumn("inner", F.lit(True))
+    folders = seen.groupBy("dir").agg(F.every(F.col("path").endswith(".java")).alias("only"), F.count("*").alias("files"))
+    folders = folders.join(parents, "dir", "left").withColumn("pure", F.col("only") & F.col("inner").isNull())
+    single = seen.where(F.col("path").endswith(".java")).join(folders.where("NOT pure").select("dir"), "dir", "left_semi")
+    return folders.where("pure").select(F.col("dir").alias("unit"), "files").unionByName(single.select(F.col("path").alias("unit"), F.lit(1).cast("long").alias("files")))
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -219,8 +237,28 @@ def refine_inputs(dsl: DataFrame, pairs: DataFrame, causes: DataFrame, false_pos
 
 
 def labelled_codes(df: DataFrame, label: str, column: Column, most: int) -> DataFrame:
-    """The first rows of a label."""
-    return df.where(F.col("label") == label).select(column.alias("code")).limit(most)
+    """The first rows of a label, by their code."""
+    return df.where(F.col("label") == label).select(column.alias("code")).orderBy("code").limit(most)
+
+
+def without_denied(df: DataFrame, deny: list[str], column: str = "checker") -> DataFrame:
+    """Rows whose checker isn't on the deny-list; rows without one stay."""
+    return df.where(~F.coalesce(F.col(column).isin(deny), F.lit(False)))
+
+
+def dashboard(df: DataFrame, text: str | None = None, **equal: str) -> DataFrame:
+    """Rows with the given label, dataset, checker, group, case, and text in signature or file whatever its case."""
+    for name, value in equal.items():
+        df = df.where(F.col(name) == value)
+    if text:
+        inside = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(text.lower())), F.lit(False))
+        df = df.where(inside("signature") | inside("file"))
+    return df
+
+
+def labelled_results(spark: SparkSession, path: str) -> DataFrame:
+    """(checker, group, case, file, signature, label) rows of labelled results; label is tp, fp, fn or none yet."""
+    return json_table(spark, path, "checker string, group string, case string, file string, signature string, label string")
 
 
 def settings(path: str) -> dict[str, str]:

@@ -23,6 +23,15 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def edit_json(operations: DataFrame) -> DataFrame:
+    """(tree_id, insertNodes, moveParentNodes): JSON lists of inserted nodes with their parents and of moved ones with their new parents."""
+    ins = F.col("kind").isin("insert", "tree-insert")
+    one = F.struct(F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), "pos", "node_type", "value")
+    moved = F.struct(F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), "pos")
+    lists = [F.to_json(F.array_sort(F.collect_list(F.when(w, s)))).alias(n) for w, s, n in ((ins, one, "insertNodes"), (F.col("kind") == "move", moved, "moveParentNodes"))]
+    return operations.groupBy("tree_id").agg(*lists)
+
+
 def node_json(nodes: DataFrame) -> DataFrame:
     """(tree_id, json): a tree's nodes as a list of flat objects."""
     row = F.struct(F.col("node_id").alias("id"), "parent_id", F.col("node_type").alias("type"), F.col("is_expr").alias("isExpr"), "value", F.col("is_leaf").alias("leaf"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"))
@@ -49,7 +58,8 @@ def write_texts(df: DataFrame, path: str, text: str, by: list[str], mode: str =
 
 def append_store(df: DataFrame, path: str) -> None:
     """Adds to a store; `read_store` shows the last entry per key."""
-    df.withColumn("_at", F.current_timestamp()).write.mode("append").parquet(path)
+    when = F.struct(F.current_timestamp().alias("at"), F.monotonically_increasing_id().alias("no"))
+    df.withColumn("_at", when).write.mode("append").parquet(path)  # of one write's entries the later one counts
 
 
 def read_store(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
@@ -66,5 +76,5 @@ def save_context(spark: SparkSession, path: str, step: str, entries: dict[str, s
 
 
 def load_context(spark: SparkSession, path: str, step: str) -> dict[str, str]:
-    """The state saved at a step; a handful of entries."""
-    return {r["key"]: r["value"] for r in read_store(spark, path, ["step", "key"]).where(F.col("step") == step).limit(10_000).collect()}
+    """All of the state saved at a step: as much as save_context was given."""
+    return {r["key"]: r["value"] for r in read_store(spark, path, ["step", "key"]).where(F.col("step") == step).collect()}

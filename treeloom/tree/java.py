@@ -112,6 +112,7 @@ class JavaParser:
     def done(self, n: Node, start: int) -> Node:
         n.end_line = self.toks[self.i - 1].line if self.i else n.start_line
         n.own_tokens = [t.text for t in self.toks[start : self.i]]
+        n.at = start
         return n
 
     def trying(self, f):

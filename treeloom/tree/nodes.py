@@ -38,6 +38,7 @@ class Node:
     end_line: int | None = None
     children: list[Node] = field(default_factory=list)
     own_tokens: list[str] = field(default_factory=list)
+    at: int = 0  # the place of its first token in its source
 
     def add(self, child: Node, role: str = "", child_kind: str | None = None) -> Node:
         child.role = role or child.role
@@ -46,6 +47,13 @@ class Node:
         return child
 
 
+def allow_depth(frames: int = 1_000_000) -> None:
+    """Lets the interpreter recurse as deep as trees are; its frames lie on the heap, not on the stack of the thread."""
+    import sys
+
+    sys.setrecursionlimit(max(frames, sys.getrecursionlimit()))
+
+
 def preorder(root: Node):
     """(node, parent) pairs; without recursion, as trees may be deep."""
     stack = [(root, None)]
