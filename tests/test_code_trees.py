@@ -128,6 +128,28 @@ def test_insert_strategies():
     assert "a ( ) ; b ( ) ; c ( ) ; y ( ) ;" in texts["sibling"] and "x ( ) ; a ( ) ; c ( ) ; b ( ) ;" in texts["index"]
 
 
+def test_further_kinds_of_nodes():
+    text = """class A<T extends B & C> { enum E { X(1) { void f() {} }, @D Y; int z; }
+      <U> void f(Map<String, ? extends List<int[]>> m, int k[]) { int a = 1, b[] = {2}, c; try { g(); } catch (P | Q e) { h(A.class, int.class, super::f, int[]::new); }
+      class L { } Object o = (Runnable & X) r; a.B<C>.D d = null; } }"""
+    root = java.parse_unit(text)
+    kinds = [n.node_type for n, _ in preorder(root)]
+    assert "Opaque" not in kinds
+    for kind in ("TypeParameter", "EnumConstantDeclaration", "WildcardType", "ParameterizedType", "VariableDeclarationFragment", "Dimension", "UnionType", "TypeLiteral",
+                 "SuperMethodReference", "CreationReference", "TypeDeclarationStatement", "IntersectionType", "QualifiedType"):
+        assert kind in kinds, kind
+    assert [n.name for n, _ in preorder(root) if n.node_type in ("VariableDeclarationStatement", "VariableDeclarationFragment")] == ["a", "b", "c", "o", "d"]
+    assert printed(text, text.replace("int a = 1", "long a = 2").replace("P | Q", "P | R")) == plain(text.replace("int a = 1", "long a = 2").replace("P | Q", "P | R"))
+
+
+def test_renames_and_fragments(spark):
+    p, t = nodes(spark, "class P { void f() { int a = 1, b = 2; use(a, b); } }"), nodes(spark, "class P { void f() { int x = 1, y = 2; use(x, y); } }")
+    assert sorted(r.name for r in scopes.definitions(p).collect()) == ["a", "b"] and {r.type for r in scopes.definitions(p).collect()} == {"int"}
+    assert scopes.resolved(p).where("def_id IS NOT NULL").count() == 2
+    binding = p.select(F.lit("0").alias("pattern_id"), "tree_id", F.col("node_id").alias("p_node"), F.col("node_id").alias("t_node"))
+    assert sorted((r.name, r.new_name) for r in scopes.renames(p, t, binding).collect()) == [("a", "x"), ("b", "y")]
+
+
 def test_very_deep_trees_are_parsed_and_compared(spark):
     deep = "class A { void f() { " + "if (a) { " * 400 + "b();" + "}" * 400 + " } }"
     df = spark.createDataFrame([("d", deep, deep.replace("b()", "c()"))], "case_id string, before string, after string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from treeloom.operators.patterns import identifier_definitions
 
 # Nodes that define a variable.
-LOCAL = ("SingleVariableDeclaration", "VariableDeclarationStatement", "VariableDeclarationExpression")
+LOCAL = ("SingleVariableDeclaration", "VariableDeclarationFragment", "VariableDeclarationStatement", "VariableDeclarationExpression")
 GLOBAL = ("FieldDeclaration",)
 USES = ("SimpleName",)
 
@@ -28,10 +28,14 @@ def definitions(nodes: DataFrame) -> DataFrame:
     A local one holds from its declaration to the end of the node around it, a parameter in all of it, a field in the whole tree.
     """
     own = nodes.where(F.col("node_type").isin(*LOCAL, *GLOBAL) & F.col("name").isNotNull())
+    # a fragment belongs to a declaration, whose scope and type it has
+    own = own.withColumn("_of", F.when(F.col("node_type") == "VariableDeclarationFragment", F.col("parent_id")).otherwise(F.col("node_id")))
+    around = F.when(F.col("node_type") == "VariableDeclarationFragment", F.try_element_at("ancestors", F.lit(-2))).otherwise(F.col("parent_id"))
+    own = own.withColumn("parent_id", around)
     up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("_from"), last_below().alias("_to"))
-    kind = nodes.where("role = 'type'").select("tree_id", F.col("parent_id").alias("node_id"), F.col("label").alias("type")).groupBy("tree_id", "node_id").agg(F.first("type").alias("type"))
+    kind = nodes.where("role = 'type'").select("tree_id", F.col("parent_id").alias("_of"), F.col("label").alias("type")).groupBy("tree_id", "_of").agg(F.first("type").alias("type"))
     is_global, is_parameter = F.col("node_type").isin(*GLOBAL), F.col("node_type") == "SingleVariableDeclaration"
-    found = own.join(up, ["tree_id", "parent_id"]).join(kind, ["tree_id", "node_id"], "left")
+    found = own.join(up, ["tree_id", "parent_id"]).join(kind, ["tree_id", "_of"], "left")
     return found.select(
         "tree_id", "name", F.col("node_id").alias("def_id"),
         F.when(is_global, F.lit(0).cast("long")).when(is_parameter, F.col("_from")).otherwise(F.col("pre")).alias("scope_start"),
@@ -55,6 +59,18 @@ def with_data_deps(nodes: DataFrame) -> DataFrame:
     return nodes.join(found, ["tree_id", "node_id"], "left").withColumn("data_dep_id", F.col("_dep")).select(*nodes.columns)
 
 
+def renames(pattern: DataFrame, target: DataFrame, binding: DataFrame) -> DataFrame:
+    """(pattern_id, tree_id, name, new_name, scope_start, scope_end): the target's names for a pattern's local variables.
+
+    pattern: nodes whose tree_id is the pattern's; binding: (pattern_id, tree_id, p_node, t_node). Where a name is used it has the
+    new one only if the target's scope holds the place.
+    """
+    own = definitions(pattern).where("NOT is_global").select(F.col("tree_id").alias("pattern_id"), F.col("def_id").alias("p_node"), "name")
+    other = definitions(target).where("NOT is_global").select("tree_id", F.col("def_id").alias("t_node"), F.col("name").alias("new_name"), "scope_start", "scope_end")
+    found = binding.join(own, ["pattern_id", "p_node"]).join(other, ["tree_id", "t_node"])
+    return found.select("pattern_id", "tree_id", "name", "new_name", "scope_start", "scope_end").distinct()
+
+
 def by_statement(nodes: DataFrame) -> DataFrame:
     """(tree_id, statement_id, statement_type, node_ids): the nodes below each statement or method, by the innermost one around them."""
     is_statement = F.col("node_type").endswith("Statement") | F.col("node_type").isin("MethodDeclaration", "CatchClause", "SwitchCase", "ConstructorInvocation", "SuperConstructorInvocation")

@@ -42,6 +42,10 @@ DSL_TYPES = {
     "TryStatement": "exceptionBlock", "TypeMethodReference": "methodReferenceExpression", "VariableDeclarationExpression": "valueDeclaration",
     "VariableDeclarationStatement": "valueDeclaration", "WhileStatement": "whileBlock",
 }
+# Node types that are attributes of the node they belong to (its label, operator or flags), not nodes of their own.
+ATTRIBUTE_ONLY = ("AssignmentOperator", "InfixOperator", "Modifier", "PostfixOperator", "PrefixOperator")
+# Node types of comments, which the tokens leave out, and of groups that no tree holds.
+LEFT_OUT = ("BlockComment", "Javadoc", "LineComment", "MethodInvocationArguments", "MethodInvocationTarget", "TagElement", "TextElement")
 
 
 @dataclass(frozen=True)
@@ -204,11 +208,16 @@ class JavaParser:
         n.node_type = "EnumDeclaration" if word == "enum" else "TypeDeclaration"
         n.name = self.ident()
         n.label = n.name
+        if self.text() == "<":
+            self.type_parameters(n)
         while self.kind() != "end" and self.text() != "{":
             self.i += 1
         self.need("{")
         self.scopes.append({})
         if word == "enum":
+            while self.kind() == "word" or self.text() == "@":
+                n.add(self.constant(), "enumConstants")
+                self.take(",")
             while self.kind() != "end" and self.text() not in (";", "}"):
                 self.i += 1
             self.take(";")
@@ -216,6 +225,52 @@ class JavaParser:
         self.scopes.pop()
         return self.done(n, start)
 
+    def constant(self) -> Node:
+        start = self.i
+        n = self.node("EnumConstantDeclaration", start)
+        self.modifiers(n)
+        n.name = n.label = self.ident()
+        if self.text() == "(":
+            self.arguments(n)
+        if self.text() == "{":
+            n.add(self.anonymous(), "anonymousClassBody", "Body")
+        return self.done(n, start)
+
+    def anonymous(self) -> Node:
+        at = self.i
+        self.need("{")
+        body = self.node("AnonymousClassDeclaration", at)
+        self.scopes.append({})
+        self.members(body)
+        self.scopes.pop()
+        return self.done(body, at)
+
+    def type_parameters(self, owner: Node) -> None:
+        """<T extends A & B, U> as TypeParameter nodes, or as plain tokens where they are something else."""
+
+        def read() -> list[Node]:
+            found = []
+            self.need("<")
+            while not self.take(">"):
+                start = self.i
+                p = self.node("TypeParameter", start)
+                self.modifiers(p)
+                p.name = p.label = self.ident()
+                if self.take("extends"):
+                    p.add(self.type(), "typeBounds")
+                    while self.take("&"):
+                        p.add(self.type(), "typeBounds")
+                found.append(self.done(p, start))
+                if not self.take(",") and self.text() != ">":
+                    raise _Stop("not a type parameter")
+            return found
+
+        found = self.trying(read)
+        if found is None:
+            self.angles()
+        for p in found or []:
+            owner.add(p, "typeParameters")
+
     def members(self, owner: Node) -> None:
         while not self.take("}"):
             if self.kind() == "end":
@@ -234,7 +289,7 @@ class JavaParser:
             n.add(self.block(), "body", "Body")
             return self.done(n, start)
         if self.text() == "<":
-            self.angles()
+            self.type_parameters(n)
         if not (self.kind() == "word" and self.text(1) == "("):
             n.add(self.type(), "type")
         n.name = self.ident()
@@ -276,9 +331,15 @@ class JavaParser:
         start = self.i
         p = self.node("SingleVariableDeclaration", start)
         self.modifiers(p)
-        kind = p.add(self.type(), "type")
-        while self.take("|"):
-            kind.label += "|" + self.type().label
+        first = self.i
+        kind = self.type()
+        if self.text() == "|":
+            union = self.node("UnionType", first, label=kind.label)
+            union.add(kind, "types")
+            while self.take("|"):
+                union.label += "|" + union.add(self.type(), "types").label
+            kind = self.done(union, first)
+        p.add(kind, "type")
         if self.take("..."):
             kind.label += "..."
         p.name = self.ident()
@@ -314,6 +375,10 @@ class JavaParser:
                 label += "." + self.ident()
                 generic += self.angles() if self.text() == "<" else ""
             n = self.node("ParameterizedType" if generic else "SimpleType", start, label=label + generic)
+            if generic and self.toks[self.i - 1].text != ">":
+                n.node_type = "QualifiedType"
+            elif generic:
+                self.generics(n, start)
         while self.text() == "[" and self.text(1) == "]":
             self.i += 2
             n.node_type = "ArrayType"
@@ -321,6 +386,35 @@ class JavaParser:
         n.name = re.sub(r"<.*", "", n.label).rpartition(".")[2]
         return self.done(n, start)
 
+    def generics(self, owner: Node, start: int) -> None:
+        """The arguments of a parameterized type that has just been read, as types of their own."""
+        end, self.i = self.i, start
+
+        def read() -> list[Node]:
+            found = []
+            while self.text() != "<":
+                self.i += 1
+            self.need("<")
+            while not self.take(">"):
+                at = self.i
+                if self.take("?"):
+                    w = self.node("WildcardType", at, label="?")
+                    if self.text() in ("extends", "super"):
+                        w.label += " " + self.ident()
+                        w.add(self.type(), "bound")
+                    found.append(self.done(w, at))
+                else:
+                    found.append(self.type())
+                if not self.take(",") and self.text() != ">":
+                    raise _Stop("not a type argument")
+            return found
+
+        found = self.trying(read)
+        whole = self.i == end
+        self.i = end
+        for n in found if found and whole else []:
+            owner.add(n, "generics", "Collection")
+
     # statements
 
     def block(self) -> Node:
@@ -346,6 +440,10 @@ class JavaParser:
         start, word = self.i, self.text()
         if word == "{":
             return self.block()
+        if word in ("class", "interface", "enum") or (word in ("abstract", "final") and self.text(1) == "class"):
+            n = self.node("TypeDeclarationStatement", start)
+            n.add(self.type_declaration(), "declaration")
+            return self.done(n, start)
         if word == ";":
             self.i += 1
             return self.done(self.node("EmptyStatement", start), start)
@@ -397,21 +495,28 @@ class JavaParser:
         n = self.node(kind, start)
         self.modifiers(n)
         t = n.add(self.type(), "type")
-        while True:
-            name = self.ident()
-            n.name = n.name or name
-            n.label = n.label or name
-            while self.take("["):
-                self.need("]")
-            self.scopes[-1][name] = t.label
-            if self.take("="):
-                n.add(self.initializer(), "initializer")
-            if not self.take(","):
-                break
+        n.name = n.label = self.declared(n, t)
+        while self.take(","):  # the first variable is the declaration's own, others are fragments of it
+            at = self.i
+            part = self.node("VariableDeclarationFragment", at)
+            part.name = part.label = self.declared(part, t)
+            n.add(self.done(part, at), "fragments")
         if ends:
             self.need(";")
         return self.done(n, start)
 
+    def declared(self, owner: Node, kind: Node) -> str:
+        """A variable's name; its dimensions and its initializer go to owner."""
+        name = self.ident()
+        while self.text() == "[" and self.text(1) == "]":
+            at = self.i
+            self.i += 2
+            owner.add(self.done(self.node("Dimension", at, label="[]"), at), "extraDimensions")
+        self.scopes[-1][name] = kind.label
+        if self.take("="):
+            owner.add(self.initializer(), "initializer")
+        return name
+
     def initializer(self) -> Node:
         return self.array_values() if self.text() == "{" else self.expression()
 
@@ -620,7 +725,14 @@ class JavaParser:
     def cast(self) -> Node:
         start = self.i
         self.need("(")
+        first = self.i
         kind = self.type()
+        if self.text() == "&":
+            both = self.node("IntersectionType", first, label=kind.label)
+            both.add(kind, "types")
+            while self.take("&"):
+                both.label += "&" + both.add(self.type(), "types").label
+            kind = self.done(both, first)
         self.need(")")
         if kind.node_type != "PrimitiveType" and not (self.kind() in ("word", "string", "char", "number") or self.text() in ("(", "!", "~")):
             raise _Stop("not a cast")
@@ -660,6 +772,9 @@ class JavaParser:
             return self.made("ThisExpression", start, [], label="this")
         if t == "super":
             self.i += 1
+            if self.take("::"):
+                name = self.ident()
+                return self.made("SuperMethodReference", start, [], label=name, name=name)
             self.need(".")
             name = self.ident()
             n = self.node("SuperMethodInvocation" if self.text() == "(" else "SuperFieldAccess", start, label=name, name=name, is_expr=True, expr_type=UNKNOWN_TYPE)
@@ -672,9 +787,12 @@ class JavaParser:
             raise _Stop(f"expected an expression, found {t!r}")
         if t in PRIMITIVES:
             n = self.type()
-            self.need(".") if self.text() == "." else self.need("::")
-            self.ident()
-            return n
+            if self.take("::"):
+                name = self.ident()
+                return self.made("CreationReference" if name == "new" else "TypeMethodReference", start, [("type", n)], label=name, name=name)
+            self.need(".")
+            self.need("class")
+            return self.made("TypeLiteral", start, [("type", n)], label=n.label + ".class", expr_type="Class")
         name = self.ident()
         if self.text() == "(":
             n = self.node("MethodInvocation", start, label=name, name=name, is_expr=True, expr_type=UNKNOWN_TYPE)
@@ -708,13 +826,7 @@ class JavaParser:
         n.add(kind, "type")
         self.arguments(n)
         if self.text() == "{":
-            at = self.i
-            self.i += 1
-            body = self.node("AnonymousClassDeclaration", at)
-            self.scopes.append({})
-            self.members(body)
-            self.scopes.pop()
-            n.add(self.done(body, at), "anonymousClassBody", "Body")
+            n.add(self.anonymous(), "anonymousClassBody", "Body")
         return self.done(n, start)
 
     def postfix(self, left: Node, start: int) -> Node:
@@ -731,6 +843,8 @@ class JavaParser:
                     left = self.done(n, start)
                 elif name == "this":
                     left = self.made("ThisExpression", start, [], label="this")
+                elif name == "class":
+                    left = self.made("TypeLiteral", start, [("type", left)], label=f"{left.label}.class", expr_type="Class")
                 else:
                     kind = "QualifiedName" if left.node_type in ("SimpleName", "QualifiedName") else "FieldAccess"
                     label = f"{left.label}.{name}" if kind == "QualifiedName" else name
