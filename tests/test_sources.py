@@ -68,6 +68,9 @@ def test_reports_and_tables(spark, tmp_path):
     repos = spark.createDataFrame([({"Java": 30000}, False), ({"Java": 30000}, True), ({"C": 1}, False)], "languages map<string,bigint>, isArchived boolean")
     assert files.repositories(repos).count() == 1
     assert files.settings(put(tmp_path, "c.yaml", "# x\na: 1\nb:\n  c: 'd'\n")) == {"a": "1", "b.c": "d"}
+    text = "e: &v two\nlist:\n  - x\n  - 'y: z'\nobjs:\n- name: n1\n  v: 1\n- name: n2\nf: *v\nbase: &base\n  p: 1\nderived:\n  <<: *base\n  r: 3\ntext: |\n  l1\n  l2\nlast: ok\n"
+    want = {"e": "two", "list.0": "x", "list.1": "y: z", "objs.0.name": "n1", "objs.0.v": "1", "objs.1.name": "n2", "f": "two", "base.p": "1", "derived.p": "1", "derived.r": "3"}
+    assert files.settings(put(tmp_path, "d.yaml", text)) == want | {"text": "l1\nl2", "last": "ok"}
 
 
 def test_scan_units_of_mixed_folders(spark):

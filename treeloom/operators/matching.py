@@ -6,6 +6,8 @@ greedy one-to-one assignment, which depends on its own earlier choices, runs per
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,18 @@ def binned_range_matches(warnings: DataFrame, truths: DataFrame, on: list[str],
     return own.join(cut, [*on, "_bin"]).where(in_range("line", "begin", "end", tolerance)).drop("_bin")
 
 
+def matches(warnings: DataFrame, truths: DataFrame, on: list[str], match: Callable[[], Column]) -> DataFrame:
+    """Pairs with equal keys for which match(), a condition on their columns, holds."""
+    return warnings.join(truths, on).where(match())
+
+
+def equi_matches(warnings: DataFrame, truths: DataFrame, on: list[str], holds: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs with equal keys (file, name, parameters); holds: the first column's text has to contain the second's, as for paths."""
+    if holds is None:
+        return warnings.join(truths, on)
+    return matches(warnings, truths, on, lambda: F.contains(F.col(holds[0]), F.col(holds[1])))
+
+
 def first_match(pairs: DataFrame, left: list[str], order: list[str]) -> DataFrame:
     """One row per left key: the first by order; a min_by aggregate, so that rows meet in partial results and no group is gathered."""
     rest = [c for c in pairs.columns if c not in left]

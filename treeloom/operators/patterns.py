@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, type_equal
-from treeloom.functions.sequences import lcs_dice_udf
+from treeloom.functions.sequences import lcs_dice_udf, substring_dice_udf
 
 # Fixed values of the matcher and of the frequency abstraction.
 SCORE_THRESHOLD = 0.2
@@ -382,11 +382,9 @@ def use_index(uses: DataFrame) -> DataFrame:
     return uses.groupBy("tree_id", "name").agg(F.array_sort(F.collect_list("use_id")).alias("uses"))
 
 
-def similar_elements(named: DataFrame, elements: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs of a named element (key, text) and a tree element (key, element) whose common substring dice reaches the threshold."""
-    from treeloom.functions.sequences import substring_dice_udf
-
-    return named.join(elements, "key").withColumn("similarity", substring_dice_udf("text", "element")).where(F.col("similarity") >= threshold)
+def similar_elements(named: DataFrame, elements: DataFrame, threshold: float = 0.85, similarity: Callable[[str, str], Column] = substring_dice_udf) -> DataFrame:
+    """Pairs of a named element (key, text) and a tree element (key, element) whose similarity (common substring dice) reaches the threshold."""
+    return named.join(elements, "key").withColumn("similarity", similarity("text", "element")).where(F.col("similarity") >= threshold)
 
 
 def in_important_lines(nodes: DataFrame, lines: Column) -> DataFrame:

@@ -147,9 +147,14 @@ class RelationalPlanner(Planner):
         return self.forest.nodes(q.node_type)
 
     def related(self, df, q, c):
-        if c.path.alias != q.name or c.path.steps:
+        end = self.forest.path_end(q.node_type, c.path.steps) if c.path.alias == q.name else None
+        if end is None:
             raise PlanError(f"no such path: {c.path}")
         inner = typed(c.query)
+        if c.path.steps:  # the relation is that of a row above: its ids, met by each row's own
+            held, ids, key = self.related(self.forest.nodes(end), replace(q, node_type=end), replace(c, path=replace(c.path, steps=())))
+            ids = held.join(ids, key, "left_semi").select(self.forest.key_column(end).alias("_up"))
+            return self.forest.owner_ids(df, end, q.node_type), ids, ["_up"]
         if c.op == "contain":
             if self.forest.chain(q.node_type, inner.node_type) is None:
                 return df, df.sparkSession.createDataFrame([], df.select("_id").schema), ["_id"]
@@ -168,7 +173,19 @@ class RelationalPlanner(Planner):
             if c.op != "is":
                 raise PlanError(f"no property: {c.path}")
             return df, F.lit(c.literal.text == q.node_type)
-        prop, value = c.path.steps[-1], c.literal.value
+        steps, prop, value = c.path.steps[:-1], c.path.steps[-1], c.literal.value
+        if c.op == "is":
+            steps, prop = c.path.steps, ""
+        if steps:  # a property of a row above, met by its id; the table above is read for it once
+            end = self.forest.path_end(q.node_type, steps)
+            if end is None:
+                raise PlanError(f"no such path: {c.path}")
+            made = F.lit(c.literal.text == end) if c.op == "is" else compare(self.forest.column(end, prop), c.op, value)
+            name = f"_flag{len(flags)}"
+            flags.append(name)
+            hits = self.forest.nodes(end).where(made).select(self.forest.key_column(end).alias("_up"), F.lit(True).alias(name))
+            df = self.forest.owner_ids(df, end, q.node_type).join(hits, "_up", "left").drop("_up")
+            return df, F.coalesce(F.col(name), F.lit(False))
         if plain and c.op == "==" and value is True and prop in self.forest.entities[q.node_type].flags:
             return df, F.expr(self.forest.entities[q.node_type].flags[prop])
         return df, compare(self.forest.column(q.node_type, prop), c.op, value, plain)

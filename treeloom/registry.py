@@ -96,6 +96,14 @@ def dsl_is(spark, d):
     return dsl(spark, d, "supplier s where and(s is supplier, s in alias_1 where and(alias_1 is region, alias_1.regionkey != 0));").select("s_suppkey")
 
 
+@query("""SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  WHERE r_name = 'ASIA' AND (c_acctbal < 0 OR o_orderstatus = 'P') AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n_nationkey AND s.s_acctbal > -100000)""")
+def dsl_role_path(spark, d):
+    """Properties and relations of rows above, by paths of parents."""
+    q = 'orders o where and(o.customer.nation.region.name == "ASIA", or(o.customer.inDebt, o.orderstatus == "P"), o.customer.nation contain supplier s where s.acctbal != 1e300);'
+    return dsl(spark, d, q.replace("1e300", "123456789")).select("o_orderkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O'")
 def dsl_flag(spark, d):
     return dsl(spark, d, 'orders o where and(o.isUrgent, o.orderstatus != "O");').select("o_orderkey")
@@ -292,6 +300,14 @@ def semi_changed(spark, d):
     return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p_partkey FROM lineitem l JOIN part ON p_partkey = l_partkey AND p_size = l_linenumber WHERE contains(p_name, 'ring')""")
+def equi_match_substring(spark, d):
+    """Equal keys, and a name that holds the other's."""
+    w = table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("params"), F.lit("ring").alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("params"), F.col("p_name").alias("path"), "p_partkey")
+    return matching.equi_matches(w, t, ["name", "params"], ("path", "file")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_partkey")
+
+
 @query("""WITH w AS (SELECT event_id AS warning_id, user_id AS file, day(ts) AS line FROM events),
   f AS (SELECT c_custkey AS function_id, c_custkey AS file, 5 AS b, 20 AS e FROM customer),
   t AS (SELECT o_orderkey AS truth_id, o_custkey AS file, day(o_orderdate) AS b, day(o_orderdate) + 2 AS e FROM orders),

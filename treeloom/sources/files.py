@@ -23,7 +23,7 @@ CHANGE_INFO = (
 )
 VERDICT = (
     "considered_elements array<string>, considered_attrs map<string,array<string>>, regex map<string,string>, insert_elements map<string,array<string>>, "
-    "move_elements map<string,array<string>>"
+    "move_elements map<string,array<string>>, roughly_line array<int>, histories map<string,array<struct<role:string,content:string>>>"
 )
 CHANGED_METHOD = "file_name string, begin_line int, end_line int, method_signature string, method_source string"
 GROUND_TRUTH = "file string, begin_line int, end_line int"
@@ -262,20 +262,61 @@ def labelled_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def settings(path: str) -> dict[str, str]:
-    """Flat `key: value` settings; nested keys are joined by dots. Anchors, lists and multi-line values are not read."""
+    """`key: value` settings; nested keys are joined by dots, list items are numbered from 0.
+
+    Texts behind | keep their lines, those behind > become one line. A value or a whole block may have an anchor (&name), which
+    *name repeats elsewhere; `<<: *name` takes a block's keys over.
+    """
     out: dict[str, str] = {}
-    stack: list[tuple[int, str]] = []
+    stack: list[tuple[int, str]] = []  # (indent, key) of the blocks around a line
+    items: dict[str, int] = {}
+    anchors: dict[str, str] = {}
+
+    def put(key: str, value: str) -> None:
+        if value.startswith("&"):
+            name, _, value = value[1:].partition(" ")
+            anchors[name] = key
+        if value.startswith("*") and value[1:] in anchors:
+            source = anchors[value[1:]]
+            to = key.removesuffix(".<<")
+            out.update({to + k[len(source) :]: v for k, v in list(out.items()) if k == source or k.startswith(source + ".")})
+        elif value:
+            out[key] = value.strip().strip("'\"")
+
     with open(path, encoding="utf-8") as f:
-        for line in f:
-            text = line.split(" #")[0].rstrip()
-            if not text.strip() or text.lstrip().startswith("#") or ":" not in text:
+        lines = f.read().splitlines()
+    k = 0
+    while k < len(lines):
+        text = lines[k].split(" #")[0].rstrip()
+        k += 1
+        if not text.strip() or text.lstrip().startswith("#"):
+            continue
+        depth, body = len(text) - len(text.lstrip()), text.strip()
+        while stack and (stack[-1][0] > depth or (stack[-1][0] == depth and not (body.startswith("- ") and not stack[-1][1].isdigit()))):
+            stack.pop()
+        if body.startswith("- "):
+            around = ".".join(name for _, name in stack)
+            number = items.get(around, 0)
+            items[around] = number + 1
+            body = body[2:].strip()
+            if ":" not in body or body[0] in "'\"":
+                put(f"{around}.{number}", body)
                 continue
-            depth = len(text) - len(text.lstrip())
-            key, _, value = text.strip().partition(":")
-            while stack and stack[-1][0] >= depth:
-                stack.pop()
-            if value.strip():
-                out[".".join([*(k for _, k in stack), key])] = value.strip().strip("'\"")
-            else:
-                stack.append((depth, key))
+            stack.append((depth, str(number)))
+            depth += 2
+        key, mark, value = body.partition(":")
+        if not mark:
+            continue
+        name, value = ".".join([*(x for _, x in stack), key]), value.strip()
+        if value in ("|", ">"):
+            block = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip()) > depth):
+                block.append(lines[k].strip())
+                k += 1
+            out[name] = ("\n" if value == "|" else " ").join(block).strip()
+        elif value and not (value.startswith("&") and " " not in value):
+            put(name, value)
+        else:
+            put(name, value)
+            stack.append((depth, key))
     return out

@@ -42,9 +42,9 @@ class RelationalForest:
         self.vocabulary = Vocabulary(
             name="relational",
             types=frozenset(entities),
-            properties=frozenset(c for e in entities.values() for c in e.columns),
+            properties=frozenset(c for e in entities.values() for c in e.columns) | frozenset(entities),
             actions={c: SIMPLE for e in entities.values() for c in e.columns},
-            type_properties={t: frozenset(e.columns) for t, e in entities.items()},
+            type_properties={t: frozenset(e.columns) | ({e.parent[0]} if e.parent else frozenset()) for t, e in entities.items()},
             flags=frozenset(f for e in entities.values() for f in e.flags),
         )
 
@@ -74,6 +74,15 @@ class RelationalForest:
             path.append(parent[0])
         return path if len(path) > 1 else None
 
+    def path_end(self, kind: str, steps: tuple[str, ...]) -> str | None:
+        """The type that a path of parents leads to from a type; None if a step isn't the parent of the one before."""
+        for step in steps:
+            parent = self.entities[kind].parent
+            if parent is None or parent[0] != step:
+                return None
+            kind = step
+        return kind
+
     def owner_ids(self, df: DataFrame, above: str, below: str) -> DataFrame:
         """df (rows of below) with `_up`: the id of the row of above that contains each."""
         path = self.chain(above, below)
