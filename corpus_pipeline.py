@@ -15,15 +15,21 @@ from treeloom.llm import bpe, decontaminate, langid, secrets, simhash
 from treeloom.llm.common import materialize, table
 
 
+def free_name(docs: DataFrame) -> str:
+    """A name that no column of docs begins with."""
+    name = "_found_"
+    while any(c.startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go; the others carry the language predicted.
 
     Null texts and texts without a letter are rejected. Without any labelled document nothing can be learned, and all go. Ties go to
     the language first in order. Repeated rows share their fate.
     """
-    prefix = "_found_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
+    prefix = free_name(docs)
     found = langid.predict(docs, langid.train(docs), prefix=prefix)
     return found.where(~F.col(f"{prefix}rejected")).withColumn("lang", F.col(f"{prefix}lang_pred")).select(docs.columns)
 
@@ -52,9 +58,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Overlapping secrets become one mark. Texts without any, null ones included, stay as they are, n_chars with them.
     """
     rest = [c for c in docs.columns if c != "doc_id"]
-    found = secrets.scan_secrets(docs, secrets.REDACT_RULES, keep=rest, found_col="_found")
-    hit = F.size("_found") > 0
-    clean = found.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
+    name = free_name(docs)
+    found = secrets.scan_secrets(docs, secrets.REDACT_RULES, keep=rest, found_col=name)
+    hit = F.size(name) > 0
+    clean = found.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col(name))).otherwise(F.col("text")))
     changed = F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(docs.columns)
 
