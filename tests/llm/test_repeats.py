@@ -100,23 +100,55 @@ def test_hash_collisions_are_no_repeats(spark, monkeypatch):
     """All polynomial hashes agree: digests and bytes still tell the strings apart."""
     rows = corpus(3, 24)
     monkeypatch.setattr(Buffer, "hash", lambda self, start, length: np.zeros(len(start), np.uint64))
-    texts = [(t or "").encode() for _, t in rows]
+    texts = [np.frombuffer((t or "").encode(), np.uint8) for _, t in rows]
     spans = [[{"low": 0, "high": len(t) - 24, "anchor": len(t) - 24, "witness": False}] if len(t) >= 24 else [] for t in texts]
     text, low, high, w1, w2, kind = r.window_rows(texts, spans, 24)
     strings = {}
     for i, a, x, y, k in zip(text.tolist(), low.tolist(), w1.tolist(), w2.tolist(), kind.tolist()):
         if k < 2:
-            strings.setdefault((x, y), set()).add(texts[i][a : a + 24])
+            strings.setdefault((x, y), set()).add(texts[i][a : a + 24].tobytes())
     assert len(strings) > 100 and all(len(v) == 1 for v in strings.values())
 
 
+def brute_words(rows, n):
+    seen = {}
+    for _, t in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] = seen.get(tuple(w[i : i + n]), 0) + 1
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        inside = {k for a in range(len(w) - n + 1) if seen[tuple(w[a : a + n])] > 1 for k in range(a, a + n)}
+        out.append((i, len(inside)))
+    return sorted(out, key=str)
+
+
+def test_passages_of_words_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["ab", "c", "dé", "ef", "g"]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, loop = say(60), say(3) * 30
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, " ".join(loop))]
+    for k in range(25):
+        own = passage[rng.randint(0, 30) : rng.randint(30, 60)]
+        rows.append((10 + k, rng.choice([" ", "\n", "  "]).join(say(rng.randint(0, 40)) + own + say(rng.randint(0, 40)))))
+    rows += [(50, rows[9][1]), (None, rows[9][1]), (None, " ".join(passage))]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_passage_words int, words string").repartition(3)
+    for n in (8, 20):
+        out = r.remove_repeats(docs, 500, passage_words=n).collect()
+        assert sorted(((x.doc_id, x.n_passage_words) for x in out), key=str) == brute_words(rows, n)
+        assert all(x.n_removed == 0 for x in out)
+
+
 def test_registered_query_on_sample_documents(spark):
     from treeloom.llm.repeats import op4_suffix_dedup
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
-    got = sorted((tuple(x)[:5] for x in op4_suffix_dedup(spark, d).collect()), key=str)
-    assert got == brute([tuple(x) for x in docs], 400)
+    out = op4_suffix_dedup(spark, d).collect()
+    assert sorted((tuple(x)[:5] for x in out), key=str) == brute([tuple(x) for x in docs], 400)
+    assert sorted(((x.doc_id, x.n_passage_words) for x in out), key=str) == brute_words([tuple(x) for x in docs], 50)
 
 
 def test_extension_is_the_common_prefix():

@@ -14,6 +14,10 @@ times its size, so suffixes are narrowed down first, without loss:
    that share 400 bytes, verified byte by byte, are repeats. The tasks' sorted classes then merge by their digests.
 4. The repeated windows come back to their documents, whose bytes are cut.
 
+Strings can be counted in words instead (`Unit`): a text is then the sequence of its words' 64-bit hashes, and all of the above holds
+for these. A passage of 50 words often has under 400 bytes, so the removal of 400-byte strings leaves it; the query reports
+such passages as n_passage_words and removes what its contract says.
+
 Skew: counts are partial aggregates. They are written before they are joined back, so that both sides of the join are plain
 shuffles and Spark can split a hot key's rows against its one count; no group of equal strings is ever gathered. Texts are
 compressed before they are shuffled to their spans.
@@ -30,11 +34,13 @@ gives no rows. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +49,8 @@ from treeloom.llm.common import bound_batches, materialize, slices, table
 from treeloom.llm.suffixes import Buffer, equal_neighbours, suffix_order
 
 LENGTH = 400
+#: Words of a string that the query reports as a repeated passage, whatever its bytes.
+PASSAGE_WORDS = 50
 PIECE_BYTES = 1 << 18
 BLOCK_WINDOWS = 8
 _PLACE_BITS = 24
@@ -58,6 +66,33 @@ def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
+def word_codes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, words being what white space parts."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a string column as hashes, and each value's bounds in them."""
+    parts = [word_codes(t.as_buffer().to_pybytes()) if t.is_valid else np.zeros(0, np.uint64) for t in column]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: how a column and a text become arrays, and the least bytes of a text with so many."""
+
+    column: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    array: Callable[[bytes], np.ndarray]
+    least_bytes: Callable[[int], int]
+
+
+UNITS = {
+    "bytes": Unit(_utf8, lambda t: np.frombuffer(t, np.uint8), lambda n: n),
+    "words": Unit(_codes, word_codes, lambda n: 2 * n - 1),
+}
+
+
 def pieces(bounds: np.ndarray, length: int, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row + 1, first byte, last byte + 1): whole rows up to about size bytes, or parts of a long row.
 
@@ -92,7 +127,8 @@ def least_grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
     """128-bit BLAKE2b digests, two 64-bit columns, of the bytes from each begin to its end and of the number that goes with them."""
-    raw, make = data.tobytes(), hashlib.blake2b
+    raw, make, w = data.tobytes(), hashlib.blake2b, data.itemsize
+    begin, end = begin * w, end * w
     if extra is None:
         found = [make(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     else:
@@ -108,7 +144,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     """
     k = length // 2
     found = []
-    for r0, r1, b0, b1 in pieces(bounds, length):
+    for r0, r1, b0, b1 in pieces(bounds, length, PIECE_BYTES // data.itemsize):
         part = data[b0:b1]
         if len(part) < length:
             continue
@@ -169,7 +205,7 @@ def _spread(sorted_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_places[np.r_[0, breaks + 1]], sorted_places[np.r_[breaks, len(sorted_places) - 1]]
 
 
-def window_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
+def window_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
     """Sorts the suffixes at the windows of spans; (text, first, last, w1, w2, kind) rows.
 
     kind 0: a window met once here; 1: one of a class met before or of a witness, which others may match; 2: windows
@@ -177,7 +213,7 @@ def window_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tup
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.r_[0, np.cumsum(sizes)]
-    buffer = Buffer(np.frombuffer(b"".join(texts), np.uint8))
+    buffer = Buffer(np.concatenate(texts))
     starts, owner, witness = [], [], []
     for i, own in enumerate(spans):
         for s in own:
@@ -209,10 +245,10 @@ def window_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tup
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def block_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
+def block_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
     """(text, first, last, witness, core hash) of each block of the spans' windows."""
     bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
-    buffer = Buffer(np.frombuffer(b"".join(texts), np.uint8))
+    buffer = Buffer(np.concatenate(texts))
     flat = [(i, s["low"], s["high"], s["anchor"], bool(s["witness"])) for i, own in enumerate(spans) for s in own]
     text, low, high, anchor, witness = map(np.array, zip(*flat, strict=True))
     # blocks count from the anchor backwards: the last window of a span is in its first block
@@ -229,13 +265,13 @@ def block_rows(texts: list[bytes], spans: list[list[dict]], length: int) -> tupl
 _PLACE = "k1 long, k2 long, low int, high int"
 
 
-def _batched(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[list[dict]]]]:
+def _batched(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, list[np.ndarray], list[list[dict]]]]:
     """(first row, texts, spans) of about a piece of bytes each; one row at a time becomes Python objects."""
     texts, spans, first, weight = [], [], 0, 0
     for at in range(batch.num_rows):
-        texts.append(_unpack(batch.column(3)[at].as_py()))
+        texts.append(unit.array(_unpack(batch.column(3)[at].as_py())))
         spans.append(batch.column(2)[at].as_py())
-        weight += len(texts[-1])
+        weight += texts[-1].nbytes
         if weight >= PIECE_BYTES:
             yield first, texts, spans
             texts, spans, first, weight = [], [], at + 1, 0
@@ -247,28 +283,30 @@ def _ints(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int32))
 
 
-def _with_text(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+def _with_text(keyed: DataFrame, spans: DataFrame, least_bytes: int) -> DataFrame:
     """k1, k2, spans, packed: each document's spans with its text; spans is written already."""
     by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(*[c for c in spans.columns if c not in ("k1", "k2")])).alias("spans"))
-    long = keyed.where(F.octet_length("text") >= length).select("k1", "k2", F.lit(0).alias("id"), "text")
+    long = keyed.where(F.octet_length("text") >= least_bytes).select("k1", "k2", F.lit(0).alias("id"), "text")
     fields = "k1 long, k2 long, id int, packed binary"
     return long.mapInArrow(_pack, fields).join(by_doc, ["k1", "k2"]).select("k1", "k2", "spans", "packed")
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, low, high): the starts, from low to high, of repeated windows of each document."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes") -> DataFrame:
+    """(k1, k2, low, high): the starts, from low to high, of repeated windows of each document, counted in bytes or words."""
+    of = UNITS[unit]
+    least_bytes = of.least_bytes(length)
     bound_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = _utf8(batch.column(2))
+            data, bounds = of.column(batch.column(2))
             row, low, high, place, anchor, d1, d2 = runs(data, bounds, length)
             keys = [c.take(pa.array(row)) for c in batch.columns[:2]]
             values = [*keys, _ints(low), _ints(high), _ints(place), _signed(anchor), _signed(d1), _signed(d2)]
             yield pa.RecordBatch.from_arrays(values, names=["k1", "k2", "low", "high", "place", "anchor", "d1", "d2"])
 
-    able = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= length)
+    able = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= least_bytes)
     found = able.mapInArrow(find_runs, f"{_PLACE}, place int, anchor long, d1 long, d2 long")
     ends = [f(c).alias(n + c) for c in ("d1", "d2") for f, n in ((F.min, "least_"), (F.max, "most_"))]
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), *ends)
@@ -289,23 +327,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts, spans in _batched(batch):
+            for first, texts, spans in _batched(batch, of):
                 text, low, high, witness, core = block_rows(texts, spans, length)
                 keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), pa.array(witness), _signed(core)], names=["k1", "k2", "low", "high", "witness", "core"])
 
-    blocks = materialize(_with_text(keyed, due, length).mapInArrow(cut_blocks, f"{_PLACE}, witness boolean, core long"), "repeats-blocks")
+    blocks = materialize(_with_text(keyed, due, least_bytes).mapInArrow(cut_blocks, f"{_PLACE}, witness boolean, core long"), "repeats-blocks")
     cores = materialize(blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeats-cores")
     near = materialize(blocks.join(cores, "core", "left_semi").select("k1", "k2", "low", "high", "witness"), "repeats-near")
 
     def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts, spans in _batched(batch):
+            for first, texts, spans in _batched(batch, of):
                 text, low, high, w1, w2, kind = window_rows(texts, spans, length)
                 keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), _signed(w1), _signed(w2), _ints(kind)], names=["k1", "k2", "low", "high", "w1", "w2", "kind"])
 
-    windows = materialize(_with_text(keyed, near, length).mapInArrow(sort_windows, f"{_PLACE}, w1 long, w2 long, kind int"), "repeats-windows")
+    windows = materialize(_with_text(keyed, near, least_bytes).mapInArrow(sort_windows, f"{_PLACE}, w1 long, w2 long, kind int"), "repeats-windows")
     here = windows.where("kind = 2").select("k1", "k2", "low", "high")
     met = windows.where("kind < 2").groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     met = materialize(met, "repeats-met")
@@ -334,31 +372,53 @@ def cut(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, in
     return removed, n, b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary) or with digest kept_sha256, and n_kept of every row."""
+def covered(low: np.ndarray, high: np.ndarray, length: int) -> int:
+    """How many places the windows that start from each low to its high cover."""
+    total = at = 0
+    for a, b in sorted(zip(low.tolist(), high.tolist(), strict=True)):
+        total += max(0, b + length - max(a, at))
+        at = max(at, b + length)
+    return total
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, passage_words: int | None = None
+) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept (binary) or with digest kept_sha256, and n_kept of every row.
+
+    passage_words: also n_passage_words, the words within strings of so many words that start anywhere else, too; null without it.
+    They are counted only: passages shorter than `length` bytes stay in the text.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_windows(docs, length, id_col, text_col)
-    by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = repeated_windows(docs, length, id_col, text_col).withColumn("words", F.lit(False))
+    if passage_words:
+        spans = spans.unionByName(repeated_windows(docs, passage_words, id_col, text_col, "words").withColumn("words", F.lit(True)))
+    by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("words", "low", "high")).alias("spans"))
     packed = _keyed(docs, id_col, text_col).mapInArrow(_pack, f"k1 long, k2 long, id {kind}, packed binary")
     last, last_type = ("kept_sha256 string", pa.string()) if digest else ("kept binary", pa.binary())
+    fields = f"n_bytes long, n_removed long, n_spans long, {last}, n_kept long, n_passage_words long"
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            rows = []
             lists = batch.column(2).fill_null([])
             ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-            low, high = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in ("low", "high"))
+            words, low, high = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in ("words", "low", "high"))
+            words = words.astype(bool)
             for i in range(batch.num_rows):
                 text, own = _unpack(batch.column(1)[i].as_py()), slice(ends[i], ends[i + 1])
-                removed, n, kept = cut(text, list(zip(low[own].tolist(), high[own].tolist(), strict=True)), length)
-                for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept, len(kept)), strict=True):
-                    c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), last_type, pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], names=["id", "n_bytes", "n_removed", "n_spans", last.split()[0], "n_kept"])
+                as_bytes, as_words = (np.flatnonzero(words[own] == w) + ends[i] for w in (False, True))
+                removed, n, kept = cut(text, list(zip(low[as_bytes].tolist(), high[as_bytes].tolist(), strict=True)), length)
+                passages = covered(low[as_words], high[as_words], passage_words) if passage_words else None
+                rows.append((len(text), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept, len(kept), passages))
+            types = [pa.int64(), pa.int64(), pa.int64(), last_type, pa.int64(), pa.int64()]
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
 
     joined = packed.join(by_doc, ["k1", "k2"], "left").select("id", "packed", "spans")
-    return joined.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}, n_kept long").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(finish, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True, passage_words=PASSAGE_WORDS)

@@ -1,6 +1,7 @@
 """Suffix sorting by hashes: prefix polynomial hashes, common extensions by binary search, a mergesort of suffixes.
 
-All arrays are over one buffer of bytes. Arithmetic is modulo 2^64; hashes that are equal are verified by the bytes.
+All arrays are over one buffer of bytes, or of 64-bit codes. Arithmetic is modulo 2^64; hashes that are equal are verified by the
+buffer itself.
 """
 
 from __future__ import annotations
@@ -74,15 +75,18 @@ class Buffer:
 def suffix_order(buffer: Buffer, starts: np.ndarray, limit: int) -> np.ndarray:
     """The distinct starts in the order of their suffixes of limit bytes, equal ones by place.
 
-    The first eight bytes come first; what they leave equal is mergesorted from runs of one. A merge finds each suffix's rank in
+    The first eight bytes (or the first code) come first; what they leave equal is mergesorted from runs of one. A merge finds each suffix's rank in
     the other run by binary search, so a merge level is a few array operations whatever its number of runs.
     """
     if not len(starts):
         return starts
     starts = np.sort(starts)
-    head = np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        head = (head << np.uint64(8)) | buffer.data[starts + k].astype(np.uint64)
+    if buffer.data.itemsize == 8:
+        head = buffer.data[starts]
+    else:
+        head = np.zeros(len(starts), np.uint64)
+        for k in range(8):
+            head = (head << np.uint64(8)) | buffer.data[starts + k].astype(np.uint64)
     order = np.argsort(head, kind="stable")
     out, head = starts[order], head[order]
     bounds = np.flatnonzero(np.r_[True, head[1:] != head[:-1], True])
