@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import ascii_lower, materialize, table
+from treeloom.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, materialize, table
 
 #: (verdict, rule); a rule is a host and a path that starts with "/".
 RULES = (
@@ -154,8 +154,12 @@ SEED_LABEL = r"(^|\.)(spam|casino)-"
 
 
 def seed_list(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """The list that the query takes: every url of a host with a spam- or casino- label."""
-    return pages.where(url_host(F.col(url_col)).rlike(SEED_LABEL)).select(F.col(url_col).alias("url"))
+    """The list that the query takes: every url of a host with a spam- or casino- label, spelled as a list from elsewhere might be."""
+    url = F.col(url_col)
+    host, query = url_host(url), url_query(url)
+    port = F.when(F.contains(host, F.lit(":")), "").otherwise(":80")
+    spelled = F.concat(F.lit("HTTP://"), F.translate(host, ASCII_LOWER, ASCII_UPPER), port, url_path(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.lit("#listed"))
+    return pages.where(host.rlike(SEED_LABEL)).select(spelled.alias("url"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
