@@ -9,8 +9,9 @@ regular expression. A rule without mandatory trigrams (hex) has no query and sca
 Matches are leftmost and do not overlap within a rule. A rule may ask a least length of the match or of a group: shorter
 matches still take their place, but are dropped. Spans are counted in code points, ends exclusive.
 
-Defined cases: a null text counts as empty and has no spans. Repeated rows give a row each, as do rows with null ids. Other
-columns pass through `keep` or are left out.
+Defined cases: a null text counts as empty and has no spans. Texts may be of any length. Of matches that start at one place all
+are listed, in the rules' order. Repeated rows give a row each, as do rows with null ids; an empty table gives none. Other
+columns, whatever their names, pass through `keep` or are left out.
 """
 
 from __future__ import annotations
@@ -40,19 +41,15 @@ BASE_RULES = (
 )
 #: Rules of this operator's own.
 MORE_RULES = (
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 _BODY = r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,1000}(?:\s{1,4}[A-Za-z0-9+/]+={1,2})?)"
-_WHOLE = {
-    "github": r"gh[oprsu]_[A-Za-z0-9]{36,}",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _BODY,  # to its END line, without one to the end of its base64 lines
-}
+_WHOLE = {"pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _BODY}  # to its END line, without one to the end of its base64 lines
 #: The same rules for removal: their matches span the whole secret, where some of RULES, as listed by op6, end earlier.
 REDACT_RULES = tuple(r._replace(pattern=_WHOLE.get(r.kind, r.pattern)) for r in RULES)
 BLOCK_DOCS = 4096
