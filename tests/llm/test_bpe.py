@@ -50,6 +50,14 @@ def test_empty_table(spark):
     assert bpe.encode_documents(docs, VOCAB, PATTERN).collect() == []
 
 
+def test_registered_query_and_small_chunks_on_sample_documents(spark, own):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = sorted((i, *expected(own, t)) for i, t in docs.select("doc_id", "text").collect())
+    assert sorted(map(tuple, bpe.op7_bpe_round_trip(spark, d).collect())) == want
+    assert sorted(map(tuple, bpe.encode_documents(docs, VOCAB, PATTERN, output="digests", chunk_chars=700, overlap_chars=150).collect())) == want
+
+
 def test_long_white_space(own):
     t = "a" + " " * (bpe.LONG_SPACE + 5) + "b"
     assert own.decode(own.encode(t)) == t.encode()

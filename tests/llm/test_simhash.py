@@ -50,6 +50,13 @@ def test_documents_against_brute_force(spark):
     assert got == {i: (format(fps[i], "016x"), comp[i]) for i in fps}
 
 
+def test_registered_query_on_sample_documents(spark):
+    d = "/root/testdata/sf0.001"
+    fps = {i: brute_fp(t) for i, t in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    comp = components(fps)
+    assert {tuple(r) for r in s.op8_simhash_near_dedup(spark, d).collect()} == {(i, format(fps[i], "016x"), comp[i]) for i in fps}
+
+
 def test_links_find_every_close_pair_whatever_the_bucket_size(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(6)]

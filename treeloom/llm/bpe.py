@@ -7,8 +7,9 @@ never meet (a pre-token longer than the overlap) is encoded whole. A piece is pr
 patterns look ahead behind white space only (`\\s+(?!\\S)`), so texts are never cut behind white space. A text of one chunk is the
 case without a cut. Decoding concatenates the tokens' raw bytes.
 
-Defined cases: a null text counts as empty and has no ids. Repeated rows give a row each. Null ids are kept. Other columns
-are ignored. Special tokens are never recognised: their strings are ordinary text.
+Defined cases: a null text counts as empty and has no ids. Repeated rows give a row each. Null ids are kept. An empty table gives
+no rows. A text's ids are put together in one task, so texts may be as long as a task's memory holds. Other columns, whatever
+their names, are ignored. Special tokens are never recognised: their strings are ordinary text.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ square of its size; there the ball of the other segment is enumerated instead an
 work stays linear in the bucket and no link is lost.
 
 Defined cases: a null text counts as empty; all empty texts share fingerprint zero, which links like any other. A null id
-never names a component unless every id in it is null. Repeated rows give a row each. Other columns are ignored.
+never names a component unless every id in it is null. Texts may be of any length. Repeated rows give a row each; an empty table
+gives none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
