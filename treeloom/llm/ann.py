@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product over learned partitions.
 
-A bounded sample of the vectors (`sample_rows`) gives an exact neighbour graph, which is cut into balanced parts: median cuts along
+A bounded sample of the vectors (`sample_rows`, or one of 256 rows up to `max_sample_rows`) gives an exact neighbour graph, which is cut into balanced parts: median cuts along
 principal directions, then moves of single vectors to the part that holds most of their neighbours while parts stay within their
 capacity. A small classifier (one hidden layer) learns from a vector the shares of the parts among its neighbours. Every row
 of the table then belongs to its most probable part; a query searches its most probable parts, as many as gave `recall_target`
@@ -34,10 +34,13 @@ from treeloom.llm.common import table
 
 K = 20
 SAMPLE_ROWS = 8192
+#: Larger tables have larger samples, and so more parts: a row of so many, up to a bound that the driver can hold.
+SAMPLE_SHARE = 256
+MAX_SAMPLE_ROWS = 32_768
 PART_ROWS = 64  # of the sample, at least, in a part
 GRAPH_NEIGHBOURS = 20
 RECALL_TARGET = 0.95
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 HIDDEN = 128
 
@@ -153,7 +156,7 @@ def fit(x: np.ndarray, *, k: int = K, n_parts: int | None = None, recall_target:
     x = x.astype(np.float32)
     graph = neighbours(x, GRAPH_NEIGHBOURS)
     part = balanced_parts(x, graph, n_parts)
-    target = np.zeros((n, n_parts))
+    target = np.zeros((n, n_parts), np.float32)
     np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 1)
     np.add.at(target, (np.arange(n), part), 1)
     target /= target.sum(axis=1, keepdims=True)
@@ -251,6 +254,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = SAMPLE_ROWS,
+    max_sample_rows: int = MAX_SAMPLE_ROWS,
     n_parts: int | None = None,
     recall_target: float = RECALL_TARGET,
     block_rows: int = BLOCK_ROWS,
@@ -266,6 +270,7 @@ def search(
         return spark.createDataFrame([], fields)
     rows = rows.where(F.size("vector") == sizes["d"])
     # a bounded sample: a hash of the id decides; about sample_rows rows, never over twice as many
+    sample_rows = max(sample_rows, min(max_sample_rows, sizes["n"] // SAMPLE_SHARE))
     share = min(1.0, sample_rows / sizes["n"])
     chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
     sample = rows.where(chosen).select("id", "vector").limit(2 * sample_rows).toPandas()
