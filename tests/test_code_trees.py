@@ -182,3 +182,32 @@ def test_registered_queries_without_sql_equal_plain_python(spark):
 
 def test_code_tree_queries_have_sql():
     assert len(registry_java.QUERIES) >= 20 and set(registry_java.SQL) == set(registry_java.QUERIES) <= set(registry.queries())
+
+
+def test_candidates_against_all_pairs(spark):
+    from treeloom.functions.sequences import lcs_dice
+
+    rng = random.Random(4)
+    kinds, marks = ["A", "B"], ["(", ")", ";", "x", "y", "z"]
+    made = lambda k: [(f"{k}{i % 3}", i, None if i % 3 == 0 else i - 1, rng.choice(kinds), rng.choice(["n", "m", None]), rng.choice(["int", "long", None]), rng.choices(marks, [5, 5, 5, 1, 1, 1], k=rng.randint(0, 9))) for i in range(30)]
+    fields = "node_id long, parent_id long, node_type string, name string, expr_type string, tokens array<string>"
+    p, t = made("p"), made("t")
+    names = ("location", "name", "exprType", "type", "token")
+    flags = [{a: rng.random() < 0.6 for a in names} for _ in p]
+    left = spark.createDataFrame([(*r, f) for r, f in zip(p, flags)], f"pattern_id string, {fields}, considered_attrs map<string,boolean>")
+    right = spark.createDataFrame(t, f"tree_id string, {fields}")
+    want = set()
+    for a, f in zip(p, flags):
+        for b in t:
+            if f["location"] and (a[2] is None) != (b[2] is None):
+                continue
+            if f["name"] and a[4] != b[4]:
+                continue
+            if f["exprType"] and a[5] != b[5] and a[5] and b[5]:
+                continue
+            bottom = 0.5 * f["type"] + 0.5 * f["token"]
+            score = (0.5 * f["type"] * (a[3] == b[3]) + 0.5 * f["token"] * lcs_dice(a[6], b[6])) / bottom if bottom else 1.0
+            if score > 0.2:
+                want.add((a[0], a[1], b[0], b[1], round(score, 9)))
+    got = {(r.pattern_id, r.p_node, r.tree_id, r.t_node, round(r.score, 9)) for r in patterns.candidates(left, right).collect()}
+    assert got == want and len(want) > 100

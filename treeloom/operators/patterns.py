@@ -172,12 +172,36 @@ def random_consider(nodes: DataFrame, share: float = 0.1, seed: int = 42) -> Dat
     return nodes.withColumn("_r", rank).withColumn("_n", n).withColumn("considered", F.col("_r") <= F.floor(F.col("_n") * share)).withColumn("considered_attrs", off).drop("_r", "_n")
 
 
+def _least_dice(type_counts: Column, threshold: float, registry: dict[str, Attribute]) -> Column:
+    """What the token similarity of nodes of different types has to exceed; 0 where other soft attributes may give a score."""
+    soft = {a.name: a.weight for a in registry.values() if not a.hard}
+    if set(soft) != {"type", "token"}:
+        return F.lit(0.0)
+    both = threshold * (soft["type"] + soft["token"]) / soft["token"]
+    return F.when(type_counts, both).otherwise(threshold)
+
+
+def _rarest_tokens(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row with _k for each token by which a pattern node has to meet its targets.
+
+    A dice over d of n tokens and m others asks for more than d (n + m) / 2 common ones, so for more than n d / (2 - d). Of any n less
+    that many tokens one at least is common then; the ones that fewest targets hold are taken.
+    """
+    every = nodes.select("*", F.posexplode("p_tokens").alias("_at", "_k"))
+    held = targets.select(F.explode(F.array_distinct("t_tokens")).alias("_k")).join(every.select("_k").distinct(), "_k", "left_semi").groupBy("_k").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("pattern_id", "p_node_id").orderBy(F.coalesce("_n", F.lit(0)), "_k", "_at")
+    n, d = F.size("p_tokens"), F.col("_d")
+    kept = every.join(held, "_k", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n - F.floor(n * d / (2 - d) + 1e-9))
+    return kept.select("pattern_id", "p_node_id", "_k").distinct()
+
+
 def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE_THRESHOLD, registry: dict[str, Attribute] | None = None) -> DataFrame:
     """(pattern_id, p_node, p_parent, tree_id, t_node, t_parent, score) of pairs whose hard attributes agree and whose score is over the threshold.
 
     patterns: considered nodes with pattern_id and considered_attrs. Pairs meet by equi-joins: on the name where it counts, else
-    on the node type; pairs of different types need a common token for a score, so they meet on tokens. Nodes none of whose
-    attributes count fit every node and score 1: they meet all nodes, as the contract has it, from the pattern's few nodes.
+    on the node type; pairs of different types need common tokens for a score, so they meet on tokens, the most frequent of which
+    (brackets, commas) aren't needed as keys. Nodes none of whose attributes count fit every node and score 1: they meet all
+    nodes, as the contract has it, from the pattern's few nodes.
     """
     registry = registry or REGISTRY
     p = patterns.select(F.col("pattern_id"), "considered_attrs", *[F.col(c).alias(f"p_{c}") for c in ("node_id", "parent_id", "name", "expr_type", "node_type", "tokens")])
@@ -185,14 +209,20 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     counts = lambda a: F.coalesce(F.try_element_at("considered_attrs", F.lit(a)), F.lit(False))
     by_name = p.where(counts("name") & F.col("p_name").isNotNull()).join(t, F.col("p_name") == F.col("t_name"))
     rest = p.where(~(counts("name") & F.col("p_name").isNotNull()))
-    free = ~(counts("type") | counts("token") | counts("exprType"))
-    by_type = rest.where(~free).join(t, F.col("p_node_type") == F.col("t_node_type"))
-    token = rest.where(~free & counts("token")).withColumn("_k", F.explode(F.array_distinct("p_tokens")))
+    scored = counts("type") | counts("token")
+    kind = lambda c: F.coalesce(c, F.lit(UNKNOWN_TYPE))
+    typed = counts("exprType") & (kind("p_expr_type") != UNKNOWN_TYPE)
+    by_type = rest.where(scored).join(t, F.col("p_node_type") == F.col("t_node_type"))
+    # no score, but an expression type: it meets its own and unknown ones
+    by_expr = rest.where(~scored & typed).withColumn("_k", F.explode(F.array("p_expr_type", F.lit(UNKNOWN_TYPE))))
+    by_expr = by_expr.join(t, F.col("_k") == kind("t_expr_type")).drop("_k")
+    least = _least_dice(counts("type"), threshold, registry)
+    token = _rarest_tokens(rest.where(counts("token")).withColumn("_d", least), t)
     other = t.withColumn("_k", F.explode(F.array_distinct("t_tokens")))
     met = token.select("pattern_id", "p_node_id", "_k").join(other.select("t_tree_id", "t_node_id", "_k"), "_k").select("pattern_id", "p_node_id", "t_tree_id", "t_node_id").distinct()
     by_token = rest.join(met, ["pattern_id", "p_node_id"]).join(t, ["t_tree_id", "t_node_id"]).where(F.col("p_node_type") != F.col("t_node_type"))
-    any_node = rest.where(free).join(t)
-    pairs = by_name.unionByName(by_type).unionByName(by_token).unionByName(any_node)
+    any_node = rest.where(~scored & ~typed).join(t)
+    pairs = by_name.unionByName(by_type).unionByName(by_expr).unionByName(by_token).unionByName(any_node)
     ok = F.lit(True)
     top = bottom = F.lit(0.0)
     for a in registry.values():
