@@ -182,9 +182,9 @@ def java_edit_counts(spark, d):
 
 
 @query(f"""SELECT c_custkey::VARCHAR AS case_id, 'update' AS kind, 'NumberLiteral' AS node_type, '3' AS value, NULL::INT AS pos FROM customer WHERE {_UPDATE}
-  UNION ALL SELECT c_custkey::VARCHAR, 'tree-insert', 'ExpressionStatement', '', 1 + ({_IF})::INT + ({_LOOP})::INT + ({_LOG})::INT + ({_TRY})::INT FROM customer WHERE {_INSERT}""")
+  UNION ALL SELECT c_custkey::VARCHAR, 'tree-insert', 'ExpressionStatement', '', 1 + ({_IF})::INT + ({_LOOP})::INT + ({_LOG})::INT + ({_TRY})::INT + ({_WRAP})::INT FROM customer WHERE {_INSERT}""")
 def java_edit_places(spark, d):
-    """Where statements are inserted and what literals become: positions count among the statements as they are by then."""
+    """Where statements are inserted and what literals become: positions count among the statements as they are by then (a wrapped loop moves later)."""
     pairs = dealt(changes(spark, d), "case_id")
     found = treediff.edit_scripts(pairs, parse_unit, whole=True).where("kind = 'update' OR (kind = 'tree-insert' AND node_type = 'ExpressionStatement')")
     return found.select("case_id", "kind", "node_type", "value", F.when(F.col("kind") != "update", F.col("pos")).alias("pos"))
