@@ -140,21 +140,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest (id, text), nulls last, once.
+    """The rows of docs that stay: of each component one row with the smallest id, nulls last.
 
     Components are told apart by their fingerprints, so rows of different components that share an id, or have none, all stay,
-    as does a row of each component whatever its text or other columns (whose names are free). An empty table stays empty.
+    as does a row of each component whatever its text or other columns (whose names are free). Of different texts under a
+    component's smallest id the one with the smallest MD5 stays, of equal rows one. An empty table stays empty.
+
+    Repeated rows meet in partial aggregates before the one shuffle that moves texts.
     """
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
-    rows = fingerprints(keyed, "key", "text").select("id.id", "id.digest", "fp")
-    rows = materialize(rows, "simhash")
+    no_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    key = F.md5(F.concat_ws("/", no_id, F.coalesce(F.md5(text_col), F.lit("-"))))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("both"), F.col(text_col).alias("text"))
+    rows = materialize(fingerprints(keyed, "both", "text").select("id.id", "id.key", "fp"), "simhash")
     least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    least = least.select("id", "digest", "root").distinct()
-    all_rows = whole_rows(docs, F.col(id_col).alias("own_id"), digest.alias("own_digest"), F.col(text_col).alias("own_text"))
-    able = all_rows.join(least, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
-    order = F.struct(F.col("own_text").isNull(), F.col("own_text"))
-    return unwrapped(able.groupBy("root").agg(F.min_by("row", order).alias("row")), docs.columns)
+    least = least.groupBy("root").agg(F.min("key").alias("key")).select("key")
+    once = whole_rows(docs, key.alias("key")).groupBy("key").agg(F.first("row").alias("row"))
+    return unwrapped(once.join(least, "key", "left_semi"), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
