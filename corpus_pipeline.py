@@ -37,8 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    Groups go by texts, not by ids: of a group's rows that share the smallest id the one with the smallest text stays, null ids come last, and
-    rows of other groups with that id stay, too. Null and empty texts are one group. Of equal rows one stays.
+    Groups go by texts, not by ids: of a group's rows that share the smallest id one stays, null ids come last, and rows of other groups
+    with that id stay, too. Null and empty texts are one group. Of equal rows one stays.
     """
     return simhash.keep_one(docs).select(docs.columns)
 
