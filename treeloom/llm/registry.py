@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import ann, bpe, decontaminate, langid, repeats, secrets, shards, simhash, url_filter, warc
+from treeloom.llm import ann, bpe, decontaminate, langid, phrases, repeats, secrets, shards, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_warc": warc.op10_warc,
+        "op11_phrase_mining": phrases.op11_phrase_mining,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_benchmark_decontamination": decontaminate.OP5_SQL,
         "op6_secret_scans": secrets.OP6_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op11_phrase_mining": phrases.OP11_SQL,
     }
