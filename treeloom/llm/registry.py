@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import ann, bpe, decontaminate, langid, phrases, repeats, secrets, shards, simhash, url_filter, warc
+from treeloom.llm import ann, bpe, decontaminate, langid, phrases, repeats, secrets, shards, simhash, url_filter, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_warc": warc.op10_warc,
         "op11_phrase_mining": phrases.op11_phrase_mining,
+        "op12_spelling_variants": variants.op12_spelling_variants,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_scans": secrets.OP6_SQL,
         "op10_warc": warc.OP10_SQL,
         "op11_phrase_mining": phrases.OP11_SQL,
+        "op12_spelling_variants": variants.OP12_SQL,
     }
