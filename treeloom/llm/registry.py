@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import ann, bpe, decontaminate, langid, phrases, repeats, secrets, shards, simhash, url_filter, variants, warc
+from treeloom.llm import ann, bpe, chat, decontaminate, langid, phrases, repeats, secrets, shards, simhash, url_filter, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": warc.op10_warc,
         "op11_phrase_mining": phrases.op11_phrase_mining,
         "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_chat_format": chat.op13_chat_format,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_warc": warc.OP10_SQL,
         "op11_phrase_mining": phrases.OP11_SQL,
         "op12_spelling_variants": variants.OP12_SQL,
+        "op13_chat_format": chat.OP13_SQL,
     }
