@@ -83,6 +83,14 @@ def test_whole_secrets_are_removed(spark):
         "a " + head + body + "\nAbc=\nthe rest is prose": "a [SECRET]\nthe rest is prose",
         "a " + head + "is how keys begin": "a [SECRET]\nis how keys begin",
         head + body + end + "\nprose\n" + head + body + end: "[SECRET]\nprose\n[SECRET]",
+        "a " + head + "\n".join("MIIEow" + "Zk" * 29 for _ in range(5000)) + "\nthe rest is prose": "a [SECRET]\nthe rest is prose",
+        "a " + head + body + "\n- x" * 100 + end + " b": "a [SECRET] b",
+        '{"key": "' + (head + body + end).replace("\n", "\\n") + '\\n", "b": 1}': '{"key": "[SECRET]\\n", "b": 1}',
+        "KEY=" + (head + body).replace("\n", "\\n") + "\\nQw==\nB=2": "KEY=[SECRET]\nB=2",
+        head + "\n".join(["aB3dE", "Zz9+/"] * 40) + "\nThanks\nto all": "[SECRET]\nThanks\nto all",
+        "-----BEGIN PRIVATE KEY-----" + "Zk9" * 600 + "-----END PRIVATE KEY----- x": "[SECRET] x",
+        "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n" + body + "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK----- x": "[SECRET] x",
+        (head + "is how keys begin. ") * 300 + "x": "[SECRET]\nis how keys begin. " * 300 + "x",
         "x ghp_" + "aZ" * 400 + " y": "x [SECRET] y",
         "x xoxb-" + "1-z" * 400 + " y": "x [SECRET] y",
     }

@@ -9,7 +9,7 @@ regular expression. A rule without mandatory trigrams (hex) has no query and sca
 Matches are leftmost and do not overlap within a rule. A rule may ask a least length of the match or of a group: shorter
 matches still take their place, but are dropped. Spans are counted in code points, ends exclusive.
 
-Defined cases: a null text counts as empty and has no spans. Texts may be of any length. Of matches that start at one place all
+Defined cases: a null text counts as empty and has no spans. Texts may be of any length, and so may secrets. Of matches that start at one place all
 are listed, in the rules' order. Repeated rows give a row each, as do rows with null ids; an empty table gives none. Other
 columns, whatever their names, pass through `keep` or are left out.
 """
@@ -48,8 +48,19 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-_BODY = r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,1000}(?:\s{1,4}[A-Za-z0-9+/]+={1,2})?)"
-_WHOLE = {"pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _BODY}  # to its END line, without one to the end of its base64 lines
+_PEM_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_LINE_END = r"(?:\r?\n|\\++[nr])"  # also as written in JSON and settings
+_GAP = r"(?:\s|\\++[nrt])"
+_CODE = r"(?:[A-Za-z0-9+/]|\\++/)"
+_PEM_HEADERS = rf"(?:{_GAP}++[A-Z][A-Za-z]*-[A-Za-z-]++:\x20[^\n\\]*+)*+"
+_PEM_SHORT = rf"(?:[ \t]*+{_LINE_END})++[ \t]*+(?=[A-Za-z]*+[0-9+/=]|[A-Z]*[a-z]+[A-Z]){_CODE}++={{0,2}}+(?=[ \t]*+(?:{_LINE_END}|(?![\s\S])))"
+#: To the END line of this key, whatever stands before it; without one to the end of the base64: runs of 16 letters, and shorter lines
+#: that don't look like a word. All repeats are possessive, so none is counted and none can overflow the matcher's stack.
+_PEM_BODY = (
+    rf"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_PEM_NAME}"
+    rf"|{_PEM_HEADERS}(?:{_CODE}{{16,}}+)?+(?:{_GAP}++{_CODE}{{16,}}+={{0,2}}+|{_PEM_SHORT})*+)"
+)
+_WHOLE = {"pem": rf"-----BEGIN {_PEM_NAME}{_PEM_BODY}"}
 #: The same rules for removal: their matches span the whole secret, where some of RULES, as listed by op6, end earlier.
 REDACT_RULES = tuple(r._replace(pattern=_WHOLE.get(r.kind, r.pattern)) for r in RULES)
 BLOCK_DOCS = 4096

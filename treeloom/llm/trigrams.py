@@ -11,6 +11,7 @@ import re._constants as c
 import re._parser as parser
 
 MAX_STRINGS = 64
+_REPEATS = (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT)
 Query = tuple[tuple[frozenset[str], ...], ...]
 
 
@@ -35,7 +36,7 @@ def _strings(node) -> set[str] | None:
                 return None
             found |= part
         return found if len(found) <= MAX_STRINGS else None
-    if op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[1] is not c.MAXREPEAT and arg[1] <= 4:
+    if op in _REPEATS and arg[1] is not c.MAXREPEAT and arg[1] <= 4:
         one = _sequence(arg[2])
         if one is None:
             return None
@@ -92,7 +93,7 @@ def trigram_query(pattern: str) -> Query | None:
             op, arg = node
             if part is None and op is c.SUBPATTERN:
                 walk(arg[-1])
-            elif part is None and op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] >= 1:
+            elif part is None and op in _REPEATS and arg[0] >= 1:
                 walk(arg[2])
         add(run)
 
