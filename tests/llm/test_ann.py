@@ -41,6 +41,19 @@ def test_exact_when_all_parts_are_searched(spark):
         same(got, want)
 
 
+def test_ids_that_repeat_with_other_vectors(spark):
+    rows = vectors(200) + [(20, v) for _, v in vectors(40, 7)] + [(40, v) for _, v in vectors(30, 8)]
+    is_query = lambda i: i % 20 == 0
+    least = {i: min(v for j, v in rows if j == i) for i, _ in rows}
+    want = []
+    for q in sorted(filter(is_query, least)):
+        scored = sorted((-float(np.dot(np.float64(least[q]), np.float64(w))), i) for i, w in rows if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:20])]
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[90:] + rows[:90], 5)):
+        got = ann.search(frame(spark, order).repartition(parts), F.col("vec_id") % 20 == 0, n_parts=5, recall_target=1.1, block_rows=37).collect()
+        same(got, want)
+
+
 def test_recall_with_learned_parts(spark):
     rows = vectors(4000, 3)
     want = brute(rows, lambda i: i % 20 == 0, 20)

@@ -14,7 +14,8 @@ costs is the rows of its parts: a few parts where vectors have structure, most o
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as queries nor as
 candidates; nor do vectors of another length than the table's most frequent one. Rows with the query's own id are its own.
-Rows that repeat id and vector count once. Ties go to the smaller id. Fewer candidates than k are all returned, as all parts
+Rows that repeat id and vector count once. An id with several vectors asks with the smallest of them (compared component by
+component), and each of its vectors is a candidate of other ids; the order of rows plays no part. Ties go to the smaller id. Fewer candidates than k are all returned, as all parts
 are searched when the sample holds everything that small. An empty table gives no rows.
 """
 
@@ -269,12 +270,11 @@ def search(
     if sizes is None:
         return spark.createDataFrame([], fields)
     rows = rows.where(F.size("vector") == sizes["d"])
-    # a bounded sample: a hash of the id decides; about sample_rows rows, never over twice as many
+    # a bounded sample: a hash of the row decides; about sample_rows rows, never over twice as many
     sample_rows = max(sample_rows, min(max_sample_rows, sizes["n"] // SAMPLE_SHARE))
     share = min(1.0, sample_rows / sizes["n"])
-    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
-    sample = rows.where(chosen).select("id", "vector").limit(2 * sample_rows).toPandas()
-    sample = sample.iloc[np.argsort((sample["id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")]
+    chosen = F.pmod(F.xxhash64("id", "vector", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
+    sample = rows.where(chosen).select("vector", F.xxhash64("id", "vector").alias("h")).limit(2 * sample_rows).toPandas().sort_values("h")
     router = fit(_matrix(sample["vector"]), k=k, n_parts=n_parts, recall_target=recall_target) if len(sample) else None
     if router is None:
         router = Router(np.zeros((sizes["d"], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
@@ -299,10 +299,10 @@ def search(
     sizes = {r["part"]: r["n"] for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a number a part
     first, count = cells([sizes.get(p, 0) for p in range(router.n_parts)], block_rows)
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
-    salt = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n.cast("long")).cast("int")
+    salt = lambda n: F.pmod(F.xxhash64("id", "vector", F.lit(3)), n.cast("long")).cast("int")
     members = members.withColumn("cell", at(first) + salt(at(count)))
     # a query goes once to each cell that holds rows of its parts, whatever their number there
-    asked = rows.where("q").select("id", "vector").dropDuplicates(["id"]).mapInArrow(ask, "id long, vector array<double>, cells array<int>")
+    asked = rows.where("q").groupBy("id").agg(F.min("vector").alias("vector")).mapInArrow(ask, "id long, vector array<double>, cells array<int>")
     asked = asked.select("id", "vector", F.explode("cells").alias("cell"))
     n_asked = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a number a cell
     blocks = F.broadcast(spark.createDataFrame([(int(c), max(1, -(-n // query_rows))) for c, n in n_asked.items()], "cell int, blocks int"))
