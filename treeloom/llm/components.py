@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import delete_path, work_path
 
 
-def _towards_least(pairs: DataFrame, node: str) -> DataFrame:
+def _least(pairs: DataFrame, node: str) -> DataFrame:
     return pairs.groupBy(node).agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+class _Scratch:
+    """Tables of a round; all but the one that goes on are deleted after it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.paths.append(work_path(self.spark, "components"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop_but_last(self) -> None:
+        for path in self.paths[:-1]:
+            delete_path(self.spark, path)
+        del self.paths[:-1]
+
+
+def _large_star(edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _towards_least(both, "u").select("u", F.least("u", "m").alias("m"))
+    # written, so that both sides of the join are plain shuffles and a node with very many edges can be split
+    least = put(_least(both, "u").select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _towards_least(down, "u")
+def _small_star(edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    down = put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = put(_least(down, "u"))
     linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -31,24 +52,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: u, v of one ordered type without nulls, u <> v; direction and repeats don't matter. No edges: no rows. A node
     with very many edges is met by partial min aggregates and by joins that can be split, never gathered.
     """
-    spark = edges.sparkSession
-
-    def put(df: DataFrame) -> tuple[DataFrame, str, tuple]:
-        path = work_path(spark, "components")
-        df.write.parquet(path)
-        back = spark.read.schema(df.schema).parquet(path)
-        mark = back.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
-        return back, path, tuple(mark)
-
-    now, path, mark = put(edges.select("u", "v"))
+    scratch = _Scratch(edges.sparkSession)
+    marked = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+    now = scratch.put(edges.select("u", "v"))
+    mark = marked(now)
     if not mark[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
-        after, new_path, new_mark = put(_small_star(_large_star(now)))
-        delete_path(spark, path)
-        done = new_mark == mark
-        now, path, mark = after, new_path, new_mark
-        if done:
+        now = scratch.put(_small_star(_large_star(now, scratch.put), scratch.put))
+        scratch.drop_but_last()
+        before, mark = mark, marked(now)
+        if mark == before:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

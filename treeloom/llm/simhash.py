@@ -125,10 +125,10 @@ def links(fps: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
 
 def _components(rows: DataFrame) -> DataFrame:
     """(fp, root, component_id) of the distinct rows.fp; root is the component's own fingerprint, whatever ids it has."""
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
@@ -146,16 +146,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     as does a row of each component whatever its text or other columns (whose names are free). Of different texts under a
     component's smallest id the one with the smallest MD5 stays, of equal rows one. An empty table stays empty.
 
-    Repeated rows meet in partial aggregates before the one shuffle that moves texts.
+    Rows are written with a number of their own, which settles between equal rows; texts are shuffled once, by these numbers.
     """
     no_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
     key = F.md5(F.concat_ws("/", no_id, F.coalesce(F.md5(text_col), F.lit("-"))))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("both"), F.col(text_col).alias("text"))
-    rows = materialize(fingerprints(keyed, "both", "text").select("id.id", "id.key", "fp"), "simhash")
+    stored = materialize(whole_rows(docs, key.alias("key")).withColumn("at", F.monotonically_increasing_id()), "simhash-rows")
+    own = lambda c, name: F.col("row").getField(c).alias(name)
+    rows = stored.select(F.struct(own(id_col, "id"), "key", "at").alias("both"), own(text_col, "text"))
+    rows = materialize(fingerprints(rows, "both", "text").select("id.id", "id.key", "id.at", "fp"), "simhash")
     least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    least = least.groupBy("root").agg(F.min("key").alias("key")).select("key")
-    once = whole_rows(docs, key.alias("key")).groupBy("key").agg(F.first("row").alias("row"))
-    return unwrapped(once.join(least, "key", "left_semi"), docs.columns)
+    least = materialize(least.groupBy("root").agg(F.min(F.struct("key", "at")).alias("first")).select("first.at"), "simhash-kept")
+    return unwrapped(stored.select("row", "at").join(least, "at", "left_semi"), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
