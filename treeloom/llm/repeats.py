@@ -286,6 +286,7 @@ def _ints(x: np.ndarray) -> pa.Array:
 def _with_text(keyed: DataFrame, spans: DataFrame, least_bytes: int) -> DataFrame:
     """k1, k2, spans, packed: each document's spans with its text; spans is written already."""
     by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(*[c for c in spans.columns if c not in ("k1", "k2")])).alias("spans"))
+    by_doc = materialize(by_doc, "repeats-spans")  # so that rows that repeat a text under one key can be split
     long = keyed.where(F.octet_length("text") >= least_bytes).select("k1", "k2", F.lit(0).alias("id"), "text")
     fields = "k1 long, k2 long, id int, packed binary"
     return long.mapInArrow(_pack, fields).join(by_doc, ["k1", "k2"]).select("k1", "k2", "spans", "packed")
@@ -393,7 +394,7 @@ def remove_repeats(
     spans = repeated_windows(docs, length, id_col, text_col).withColumn("words", F.lit(False))
     if passage_words:
         spans = spans.unionByName(repeated_windows(docs, passage_words, id_col, text_col, "words").withColumn("words", F.lit(True)))
-    by_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("words", "low", "high")).alias("spans"))
+    by_doc = materialize(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("words", "low", "high")).alias("spans")), "repeats-spans")
     packed = _keyed(docs, id_col, text_col).mapInArrow(_pack, f"k1 long, k2 long, id {kind}, packed binary")
     last, last_type = ("kept_sha256 string", pa.string()) if digest else ("kept binary", pa.binary())
     fields = f"n_bytes long, n_removed long, n_spans long, {last}, n_kept long, n_passage_words long"
