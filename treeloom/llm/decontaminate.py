@@ -173,7 +173,8 @@ def contaminated(
     index = index.withColumnRenamed("row", "item_row")
     candidates = hits.select("doc_row", "n_doc", "h").join(index.where("sketch").select("item_row", "least", "h"), "h")
     candidates = candidates.where("n_doc >= least").select("doc_row", "item_row").distinct()
-    shared = hits.join(index.drop("least", "sketch"), ["h", "s"]).join(candidates, ["doc_row", "item_row"], "left_semi")
+    # a shingle of many items meets those that its document may contain, not all of them
+    shared = hits.join(candidates, "doc_row").join(index.drop("least", "sketch"), ["item_row", "h", "s"])
     one = [F.first(c).alias(c) for c in ("doc", "item", "n_item", "need")]
     found = shared.groupBy("doc_row", "item_row").agg(F.count("*").alias("n_shared"), *one).where("n_shared >= need")
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "n_shared", "n_item")
