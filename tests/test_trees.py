@@ -103,7 +103,7 @@ def test_rows_and_back():
     assert [r["pre"] for r in rows] == list(range(len(rows))) and sorted(r["post"] for r in rows) == list(range(len(rows)))
     for r in rows:
         inside = {x["node_id"] for x in rows if r["pre"] < x["pre"] and x["post"] < r["post"]}
-        assert inside == {x["node_id"] for x in rows if r["node_id"] in x["ancestors"]}
+        assert inside == {x["node_id"] for x in rows if r["pre"] < x["pre"] <= r["post"] + r["depth"]}
     again = rows_of("t", tree_of(rows))
     assert [r["subtree_hash"] for r in again] == [r["subtree_hash"] for r in rows]
     assert rows[0]["tokens"][:3] == ["public", "static", "int"]

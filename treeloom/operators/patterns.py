@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, type_equal
 from treeloom.functions.sequences import lcs_dice_udf, substring_dice_udf
+from treeloom.plans.structural import innermost
 
 # Fixed values of the matcher and of the frequency abstraction.
 SCORE_THRESHOLD = 0.2
@@ -398,13 +399,18 @@ def walk_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int) -> DataFram
 def identifier_definitions(uses: DataFrame, defs: DataFrame) -> DataFrame:
     """Each use (tree_id, use_id, name, start, end) with the definition (def_id, scope_start, scope_end, is_global) it means.
 
-    The scope has to hold the use; local ones come before global ones, the innermost first, then the earliest. The join is on
-    tree and name, so the range condition only filters.
+    The scope has to hold the use; local ones come before global ones, the innermost first, then the earliest. One sweep over the
+    sorted places of a name finds the local ones; global ones are few and meet only what is left.
     """
-    pairs = uses.join(defs, ["tree_id", "name"], "left").where(F.col("def_id").isNull() | ((F.col("scope_start") <= F.col("start")) & (F.col("scope_end") >= F.col("end"))))
-    best = Window.partitionBy("tree_id", "use_id").orderBy("is_global", F.col("scope_end") - F.col("scope_start"), "scope_start", "def_id")
-    first = pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("tree_id", "use_id", "def_id")
-    return uses.join(first, ["tree_id", "use_id"], "left")
+    key = ["tree_id", "name"]
+    local = defs.where(~F.col("is_global")).select(*key, F.col("def_id").alias("range_id"), F.col("scope_start").alias("start"), F.col("scope_end").alias("end"))
+    points = uses.select(*key, F.col("use_id").alias("point_id"), F.col("start").alias("at"), F.col("end").alias("until"))
+    found = innermost(points, local, key).select(*key, F.col("point_id").alias("use_id"), F.col("range_id").alias("def_id"))
+    left = uses.select(*key, "use_id", "start", "end").join(found.select(*key, "use_id"), [*key, "use_id"], "left_anti")
+    wide = left.join(defs.where("is_global").select(*key, "def_id", "scope_start", "scope_end"), key).where((F.col("scope_start") <= F.col("start")) & (F.col("scope_end") >= F.col("end")))
+    first = wide.groupBy(*key, "use_id").agg(F.min(F.struct((F.col("scope_end") - F.col("scope_start")).alias("size"), "scope_start", "def_id")).alias("first"))
+    found = found.unionByName(first.select(*key, "use_id", F.col("first.def_id").alias("def_id")))
+    return uses.join(found, [*key, "use_id"], "left")
 
 
 def use_index(uses: DataFrame) -> DataFrame:

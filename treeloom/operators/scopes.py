@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.operators.patterns import identifier_definitions
+from treeloom.plans.structural import innermost, last_below
 
 # Nodes that define a variable.
 LOCAL = ("SingleVariableDeclaration", "VariableDeclarationFragment", "VariableDeclarationStatement", "VariableDeclarationExpression")
@@ -17,11 +18,6 @@ GLOBAL = ("FieldDeclaration",)
 USES = ("SimpleName",)
 
 
-def last_below() -> F.Column:
-    """The rank of the last node of a node's subtree."""
-    return F.col("post") + F.col("depth")
-
-
 def definitions(nodes: DataFrame) -> DataFrame:
     """(tree_id, name, def_id, scope_start, scope_end, is_global, type) of variables, parameters and fields.
 
@@ -30,8 +26,9 @@ def definitions(nodes: DataFrame) -> DataFrame:
     own = nodes.where(F.col("node_type").isin(*LOCAL, *GLOBAL) & F.col("name").isNotNull())
     # a fragment belongs to a declaration, whose scope and type it has
     own = own.withColumn("_of", F.when(F.col("node_type") == "VariableDeclarationFragment", F.col("parent_id")).otherwise(F.col("node_id")))
-    around = F.when(F.col("node_type") == "VariableDeclarationFragment", F.try_element_at("ancestors", F.lit(-2))).otherwise(F.col("parent_id"))
-    own = own.withColumn("parent_id", around)
+    above = nodes.select("tree_id", F.col("node_id").alias("_of"), F.col("parent_id").alias("_above"))
+    around = F.when(F.col("node_type") == "VariableDeclarationFragment", F.col("_above")).otherwise(F.col("parent_id"))
+    own = own.join(above, ["tree_id", "_of"], "left").withColumn("parent_id", around)
     up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("_from"), last_below().alias("_to"))
     kind = nodes.where("role = 'type'").select("tree_id", F.col("parent_id").alias("_of"), F.col("label").alias("type")).groupBy("tree_id", "_of").agg(F.first("type").alias("type"))
     is_global, is_parameter = F.col("node_type").isin(*GLOBAL), F.col("node_type") == "SingleVariableDeclaration"
@@ -75,6 +72,7 @@ def by_statement(nodes: DataFrame) -> DataFrame:
     """(tree_id, statement_id, statement_type, node_ids): the nodes below each statement or method, by the innermost one around them."""
     is_statement = F.col("node_type").endswith("Statement") | F.col("node_type").isin("MethodDeclaration", "CatchClause", "SwitchCase", "ConstructorInvocation", "SuperConstructorInvocation")
     heads = nodes.where(is_statement).select("tree_id", F.col("node_id").alias("statement_id"), F.col("node_type").alias("statement_type"))
-    around = nodes.select("tree_id", "node_id", F.explode(F.concat("ancestors", F.array("node_id"))).alias("statement_id"))
-    inner = around.join(heads, ["tree_id", "statement_id"]).groupBy("tree_id", "node_id").agg(F.max_by(F.struct("statement_id", "statement_type"), "statement_id").alias("s"))
-    return inner.groupBy("tree_id", F.col("s.statement_id").alias("statement_id"), F.col("s.statement_type").alias("statement_type")).agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"))
+    ranges = nodes.where(is_statement).select("tree_id", F.col("node_id").alias("range_id"), F.col("pre").alias("start"), last_below().alias("end"))
+    inner = innermost(nodes.select("tree_id", F.col("node_id").alias("point_id"), F.col("pre").alias("at")), ranges, ["tree_id"])
+    inner = inner.select("tree_id", F.col("point_id").alias("node_id"), F.col("range_id").alias("statement_id")).join(heads, ["tree_id", "statement_id"])
+    return inner.groupBy("tree_id", "statement_id", "statement_type").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"))

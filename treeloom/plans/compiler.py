@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from treeloom.dsl.analyzer import errors
 from treeloom.dsl.ast import And, Compare, Condition, Not, Or, Query, Relate, atoms, join
 from treeloom.dsl.parser import parse
+from treeloom.plans.structural import holding, inside
 from treeloom.tree.relational import RelationalForest
 
 
@@ -196,7 +197,7 @@ class RelationalPlanner(Planner):
 
 
 class NodePlanner(Planner):
-    """Plans over a node table (tree.nodes): containment joins on exploded ancestors, so it stays an equi-join.
+    """Plans over a node table (tree.nodes): containment by one pass over sorted ranks (structural.py).
 
     What a relation is joined with starts from the node table, never from the plan so far, so a plan grows with its query.
     """
@@ -226,19 +227,19 @@ class NodePlanner(Planner):
 
     def related(self, df, q, c):
         inner = self.matching(typed(c.query))
-        if c.op == "contain":
-            # (tree, ancestor) of every match; with a path the match may be what the path leads to
-            above = inner.select("tree_id", F.col("node_id").alias("_hit"), F.explode("ancestors").alias("node_id"))
-            if not c.path.steps:
-                return df, above.select(self.KEY), self.KEY
-            own = inner.select("tree_id", F.col("node_id").alias("_hit"), "node_id")
-            ends = self.walk(self.source(q), c.path.steps)
-            hit = ends.join(above.unionByName(own).select(self.KEY), self.KEY, "left_semi")
-            return df, hit.select("tree_id", F.col("start").alias("node_id")), self.KEY
         every = self.source(q)
-        start = self.walk(every, c.path.steps) if c.path.steps else every.select("tree_id", F.col("node_id").alias("start"), "node_id")
-        up = start.join(self.nodes.select("tree_id", "node_id", "ancestors"), self.KEY).select("tree_id", "start", F.explode("ancestors").alias("node_id"))
-        hit = up.join(inner.select(self.KEY), self.KEY, "left_semi")
+        ends = self.walk(every, c.path.steps) if c.path.steps else None
+        own = self.nodes.join(ends.select(self.KEY).distinct(), self.KEY, "left_semi") if c.path.steps else every
+        if c.op == "contain":
+            found = holding(own, inner)
+            if ends is None:
+                return df, found, self.KEY
+            found = found.unionByName(inner.select(self.KEY))  # with a path the match may be what the path leads to
+        else:
+            found = inside(own, inner)
+            if ends is None:
+                return df, found, self.KEY
+        hit = ends.join(found, self.KEY, "left_semi")
         return df, hit.select("tree_id", F.col("start").alias("node_id")), self.KEY
 
     def value(self, df, q, c, flags, plain=False):

@@ -191,7 +191,7 @@ _PAGE_SQL = """WITH h AS (SELECT page_id::VARCHAR AS tree_id, regexp_replace(reg
 @query(_PAGE_SQL + """SELECT tree_id FROM h WHERE regexp_matches(regexp_extract(h, '(?s)<nav[ >].*?</nav>'), '(?s)<a [^>]*href="/.+"') AND regexp_matches(regexp_extract(h, '(?s)<article[ >].*?</article>'), '<p[ >]')""")
 def html_contain(spark, d):
     """Articles with a paragraph, on pages whose navigation links somewhere."""
-    wanted = ["tree_id", "node_id", "parent_id", "role", "dsl_type", "ancestors", "name", "value", "props", "flags"]
+    wanted = ["tree_id", "node_id", "parent_id", "role", "dsl_type", "depth", "pre", "post", "name", "value", "props", "flags"]
     nodes = written(page_nodes(spark, d).where("parse_error IS NULL").select(wanted), "page-nodes")  # each step of the query reads them again
     q = 'document d where and(d contain nav n where n contain a l where l.href match "/.+", d contain article a where a contain p q);'
     return NodePlanner(nodes).plan(parse(q)).select("tree_id")

@@ -1,7 +1,7 @@
 """The node table that every adapter fills and every operator reads.
 
-Node ids are pre-order ranks within a tree. `ancestors` (root first) makes containment an equi-join after explode; `pre` and
-`post` are the range form of the same.
+Node ids are pre-order ranks within a tree. A node's subtree is the ranks from `pre` to `post` + `depth`, so what lies inside what is told by
+ranges (plans/structural.py), and no row grows with its depth but by the tokens below it.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.plans.structural import inside
+
 NODE_FIELDS = (
     "tree_id string, node_id bigint, parent_id bigint, role string, child_kind string, pos int, node_type string, dsl_type string, "
-    "is_expr boolean, is_leaf boolean, depth int, pre bigint, post bigint, ancestors array<bigint>, label string, name string, "
+    "is_expr boolean, is_leaf boolean, depth int, pre bigint, post bigint, label string, name string, "
     "expr_type string, value string, tokens array<string>, props map<string,string>, flags map<string,boolean>, start_line int, "
     "end_line int, data_dep_id bigint, subtree_hash string"
 )
@@ -88,19 +90,19 @@ def rows_of(tree_id: str, root: Node) -> list[dict]:
             continue
         stack.append((i, True))
         stack += [(ids[id(c)], False) for c in reversed(order[i][0].children)]
-    ancestors: list[list[int]] = []
+    depth: list[int] = []
     rows = []
     position: dict[tuple[int | None, str], int] = {}
     for i, (n, _) in enumerate(order):
         p = parent_of[i]
-        ancestors.append([] if p is None else [*ancestors[p], p])
+        depth.append(0 if p is None else depth[p] + 1)
         at = position.get((p, n.role), 0)
         position[p, n.role] = at + 1
         rows.append(
             {
                 "tree_id": tree_id, "node_id": i, "parent_id": p, "role": n.role, "child_kind": n.child_kind, "pos": at,
-                "node_type": n.node_type, "dsl_type": n.dsl_type, "is_expr": n.is_expr, "is_leaf": not n.children, "depth": len(ancestors[i]),
-                "pre": i, "post": post[i], "ancestors": ancestors[i], "label": n.label, "name": n.name, "expr_type": n.expr_type, "value": n.value,
+                "node_type": n.node_type, "dsl_type": n.dsl_type, "is_expr": n.is_expr, "is_leaf": not n.children, "depth": depth[i],
+                "pre": i, "post": post[i], "label": n.label, "name": n.name, "expr_type": n.expr_type, "value": n.value,
                 "tokens": tokens[i], "props": n.props, "flags": n.flags, "start_line": n.start_line, "end_line": n.end_line,
                 "data_dep_id": None, "subtree_hash": digest[i],
             }
@@ -126,9 +128,7 @@ def tree_of(rows: list[dict]) -> Node | None:
 def methods(nodes: DataFrame, node_type: str = "MethodDeclaration") -> DataFrame:
     """Nodes of a type that have no ancestor of it."""
     own = nodes.where(F.col("node_type") == node_type)
-    above = nodes.select("tree_id", F.col("node_id").alias("a"), F.col("node_type").alias("t")).where(F.col("t") == node_type)
-    inner = own.select("tree_id", "node_id", F.explode("ancestors").alias("a")).join(above, ["tree_id", "a"]).select("tree_id", "node_id").distinct()
-    return own.join(inner, ["tree_id", "node_id"], "left_anti")
+    return own.join(inside(own, own), ["tree_id", "node_id"], "left_anti")
 
 
 def flatten(nodes: DataFrame) -> DataFrame:
