@@ -146,7 +146,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     as does a row of each component whatever its text or other columns (whose names are free). Of different texts under a
     component's smallest id the one with the smallest MD5 stays, of equal rows one. An empty table stays empty.
 
-    Rows are written with a number of their own, which settles between equal rows; texts are shuffled once, by these numbers.
+    Rows are written with a number of their own, which settles between equal rows. Texts meet the numbers of the rows that go, which are the
+    fewer ones: they are broadcast where Spark finds them small, else texts are shuffled once.
     """
     no_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
     key = F.md5(F.concat_ws("/", no_id, F.coalesce(F.md5(text_col), F.lit("-"))))
@@ -155,8 +156,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = stored.select(F.struct(own(id_col, "id"), "key", "at").alias("both"), own(text_col, "text"))
     rows = materialize(fingerprints(rows, "both", "text").select("id.id", "id.key", "id.at", "fp"), "simhash")
     least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    least = materialize(least.groupBy("root").agg(F.min(F.struct("key", "at")).alias("first")).select("first.at"), "simhash-kept")
-    return unwrapped(stored.select("row", "at").join(least, "at", "left_semi"), docs.columns)
+    kept = materialize(least.groupBy("root").agg(F.min(F.struct("key", "at")).alias("first")).select("first.at"), "simhash-kept")
+    gone = materialize(rows.select("at").join(kept, "at", "left_anti"), "simhash-gone")
+    return unwrapped(stored.select("row", "at").join(gone, "at", "left_anti"), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
