@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from treeloom import registry
 from treeloom.functions import columns as C
 from treeloom.functions import sequences as S
-from treeloom.operators import matching, metrics, sampling, sets
+from treeloom.operators import matching, metrics, patterns, sampling, sets
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +139,100 @@ def test_html_edit_counts_sees_bodies(spark, tmp_path):
     assert set(got) == {"0", "1", "2"}
     assert (got["0"]["update"], got["0"]["insert"], got["0"]["total_edits"]) == (1, 1, 2)
     assert (got["2"]["update"], got["2"]["total_edits"]) == (1, 1)
+
+
+@pytest.mark.parametrize("group_pairs", [0, 7, 1 << 18])
+def test_greedy_rounds_are_the_sequential_matching(spark, group_pairs):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, rng.randint(0, 12), rng.randint(0, 12)) for g in ("a", "b", None) for _ in range(40)] + [("hot", i, j) for i in range(9) for j in range(i, i + 3)]
+    rows += [("hot", 3, 3), ("a", None, 1), ("b", 1, None)]
+    want = set()
+    for g in {r[0] for r in rows}:
+        taken = set()
+        own = [(left, right) for x, left, right in rows if x == g and left is not None and right is not None]
+        for left in sorted({x for x, _ in own}):
+            free = min((r for x, r in own if x == left and r not in taken), default=None)
+            if free is not None:
+                taken.add(free)
+                want.add((g, left, free))
+    df = spark.createDataFrame(rows, "file string, w long, t long")
+    if group_pairs == 1 << 18:
+        df = df.where("file IS NOT NULL")  # pandas groups have no null key
+        want = {x for x in want if x[0] is not None}
+    got = matching.greedy_one_to_one(df.where("file IS NOT NULL") if group_pairs == 7 else df, "file", "w", "t", group_pairs)
+    assert {tuple(r) for r in got.collect()} == (want if group_pairs != 7 else {x for x in want if x[0] is not None})
+
+
+def test_similar_texts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abA") for _ in range(rng.randint(0, 14)))
+    named, elements = [(k % 2, k, word()) for k in range(120)], [(k % 2, k, word()) for k in range(120)]
+    a, b = spark.createDataFrame(named, "key int, i int, text string"), spark.createDataFrame(elements, "key int, j int, element string")
+    for t in (0.35, 0.6, 0.85, 1.0):
+        want = {(i, j): S.substring_dice(x, y) for k, i, x in named for g, j, y in elements if k == g and S.substring_dice(x, y) >= t}
+        got = {(r.i, r.j): r.similarity for r in patterns.similar_texts(a, b, t).collect()}
+        assert got == want, t
+
+
+def test_common_substring_of_long_texts():
+    a, b = "ab" * 4000 + "the middle" + "c" * 5000, "d" * 3000 + "xTHE MIDDLEc" + "e" * 4000
+    assert S.common_substring(a, b) == len("the middlec")
+
+
+@pytest.mark.parametrize("limit, bins", [(1 << 18, 1024), (5, 4), (0, 3)])
+def test_quantiles_by_selection(spark, limit, bins):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [("a", rng.choice([1.0, 2.0, 2.0, -3.5])) for _ in range(60)] + [("b", rng.gauss(0, 1e6)) for _ in range(77)] + [(None, float(k)) for k in range(10)] + [("one", 4.0), ("same", 5.0), ("same", 5.0)]
+    rows += [("b", None), ("b", float("nan")), ("wide", -1.7e308), ("wide", 1.7e308), ("wide", 0.0), ("wide", 1e-300)]
+    got = metrics.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q1": 0.25, "mid": 0.5, "q3": 0.75, "end": 1.0}, limit, bins)
+    out = {r["k"]: tuple(r)[1:] for r in got.collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted(v for x, v in rows if x == k and v is not None and v == v)
+        want = [float(np.quantile(np.array(own, np.longdouble), q)) for q in (0.25, 0.5, 0.75, 1.0)]
+        assert np.allclose(out[k], want, rtol=1e-12), (k, out[k], want)
+
+
+def test_walks_of_any_depth(spark):
+    n = 1000
+    nodes = spark.createDataFrame([("t", k, k - 1 if k else None) for k in range(n)] + [("u", 0, None), ("u", 1, 0)], "tree_id string, node_id long, parent_id long")
+    verdicts = spark.createDataFrame([("t", k, 1 if k % 3 else 2) for k in range(n)] + [("u", 0, 3), ("u", 1, 1)], "tree_id string, node_id long, verdict int")
+    want = {("t", k) for k in range(n) if k % 3}
+    assert {tuple(r) for r in patterns.walk_verdicts(nodes, verdicts).collect()} == want
+    assert {tuple(r) for r in patterns.walk_verdicts(nodes, verdicts, 10).collect()} == {x for x in want if x[1] <= 10}
+    ranked = nodes.withColumns({"pre": F.col("node_id"), "depth": F.col("node_id").cast("int"), "post": F.when(F.col("tree_id") == "t", n - 1 - F.col("node_id")).otherwise(1 - F.col("node_id"))})
+    assert {tuple(r) for r in patterns.walk_verdicts(ranked, verdicts).collect()} == want
+    cut = verdicts.withColumn("verdict", F.when(F.col("node_id") == 500, 0).otherwise(F.col("verdict")))
+    for df in (nodes, ranked):
+        assert {tuple(r) for r in patterns.walk_verdicts(df, cut).collect()} == {x for x in want if x[1] < 500}
+
+
+def test_neighbourhood_to_its_end(spark):
+    from treeloom.tree.nodes import neighbourhood
+
+    nodes = spark.createDataFrame([("t", k, (k - 1) // 2 if k else None, k + 5 if k == 3 else None) for k in range(15)] + [("t", 99, None, None)], "tree_id string, node_id long, parent_id long, data_dep_id long")
+    edges = {(a, b) for k in range(1, 15) for a, b in ((k, (k - 1) // 2), ((k - 1) // 2, k))} | {(3, 8), (8, 3)}
+    want, k = {3: 0}, 0
+    while any(v == k for v in want.values()):
+        want |= {b: k + 1 for a, b in edges if want.get(a) == k and b not in want}
+        k += 1
+    seeds = spark.createDataFrame([("t", 3)], "tree_id string, node_id long")
+    assert {r.node_id: r.hops for r in neighbourhood(nodes, seeds, None).collect()} == want
+    for hops in (1, 2, 4):
+        assert {r.node_id: r.hops for r in neighbourhood(nodes, seeds, hops).collect()} == {k: v for k, v in want.items() if v <= hops}
+
+
+def test_line_differences_of_long_texts():
+    a = [f"line {k}" for k in range(50_000)]
+    b = [x for k, x in enumerate(a) if k % 10] + ["new"] * 7
+    assert S.line_totals("\n".join(a), "\n".join(b)) == (7, 5000)
+    added, deleted, changed = S.line_changes("\n".join(a), "\n".join(b))
+    assert (added, deleted, changed) == (7, 5000, 0)
+    assert S.line_changes("a\nb\nc", "a\nx\ny\nc\nd") == (1, 0, 2) and S.line_totals(None, "a\nb") == (2, 0)

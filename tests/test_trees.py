@@ -186,3 +186,49 @@ def test_definitions_take_the_innermost_scope(spark):
     defs = spark.createDataFrame([("t", 7, "x", 1, 99, False), ("t", 8, "x", 8, 20, False), ("t", 9, "x", 9, 12, True)], "tree_id string, def_id int, name string, scope_start int, scope_end int, is_global boolean")
     got = {r.use_id: r.def_id for r in patterns.identifier_definitions(uses, defs).collect()}
     assert got == {1: 8, 2: 7, 3: None}
+
+
+def grown(rng, n):
+    made = [Node(rng.choice("abc"), label=rng.choice("xyz"))]
+    for _ in range(n - 1):
+        made.append(rng.choice(made[-8:]).add(Node(rng.choice("abc"), label=rng.choice("xyz")), rng.choice("rs")))
+    return made[0]
+
+
+def test_bijection_is_kept_through_the_script():
+    import random
+
+    from treeloom.operators.treediff import full_diff
+
+    rng = random.Random(4)
+    for _ in range(120):
+        before, after = grown(rng, rng.randint(1, 60)), grown(rng, rng.randint(1, 60))
+        found = full_diff(before, after)
+        both = found.pairs + found.inserted
+        assert len({x for x, _ in both}) == len({y for _, y in both}) == len(both)
+        assert sorted(y for _, y in both) == list(range(len(items(after)) - 1))  # every after node has its partner
+        gone = {e.node for e in found.edits if e.kind == "delete"}
+        assert {x for x, _ in found.pairs} | gone == set(range(len(items(before)) - 1))
+        to = dict(both) | {-1: -1}
+        assert all(to[e.parent] == e.after for e in found.edits if e.kind in ("insert", "move"))
+        assert apply_script(before, found.edits).shape() == items(after)[0].shape()
+
+
+def test_large_and_deep_trees():
+    def page(n, changed):
+        top = Node("ul")
+        for i in range(n):
+            if not (changed and i % 7 == 0):
+                top.add(Node("li"), "children").add(Node("t", label=f"text {i + 100_000 * (changed and i % 5 == 0)}"), "children")
+        return top
+
+    edits, pairs = diff(page(20_000, False), page(20_000, True))
+    assert len([e for e in edits if e.kind == "delete"]) == 2 * (20_000 // 7 + 1) and len(pairs) == 40_001 - 2 * (20_000 // 7 + 1)
+    deep = [Node("d"), Node("d")]
+    for k, top in enumerate(deep):
+        at = top
+        for i in range(20_000):
+            at = at.add(Node("d", label="" if i % 10 else f"{k}-{i}"), "children")
+        at.add(Node("t", label="end"), "children")
+    edits, pairs = diff(*deep)
+    assert len(pairs) == 20_002 and {e.kind for e in edits} == {"update"} and len(edits) == 2000

@@ -1,12 +1,13 @@
 """Matching of warnings to ground truth and what follows from it: one-to-one, many-to-one, ranges, labels, metrics.
 
-Warnings and truths are met by equi-joins (file, group) with the range as a filter, so Catalyst can hash or sort them; only the
-greedy one-to-one assignment, which depends on its own earlier choices, runs per group in pandas.
+Warnings and truths are met by equi-joins (file, group) with the range as a filter, so Catalyst can hash or sort them; the
+greedy one-to-one assignment, which depends on its own earlier choices, goes in rounds until groups are small enough for a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeloom.functions.columns import safe_div
+from treeloom.sources.work import written
+
+#: Pairs of a group that one task may hold.
+GROUP_PAIRS = 1 << 18
 
 
 def in_range(line: str | Column, begin: str | Column, end: str | Column, tolerance: int = 0) -> Column:
@@ -54,8 +59,8 @@ def first_match(pairs: DataFrame, left: list[str], order: list[str]) -> DataFram
     return pairs.groupBy(*left).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*left, "_first.*")
 
 
-def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
-    """(group, left, right): lefts in order, each takes its first right that is free."""
+def _greedy_groups(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
+    """Lefts in order, each takes its first right that is free; a group of bounded size is one task's work."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
@@ -71,6 +76,34 @@ def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str) -> Da
     return pairs.select(group, left, right).groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right)))
 
 
+def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """(group, left, right): lefts in order, each takes its first right that is free. Repeated pairs count once; nulls take no part.
+
+    Groups of over group_pairs pairs are matched in rounds of joins and min aggregates: a left gets its first free right if it is the first
+    of all lefts that could still take that one, since nobody before it can claim it then. The first left of all is always such a pair, so each
+    round matches some, and what is left is smaller. A group that has become small is finished by one task.
+    """
+    left_, rows, done = written(pairs.select(group, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct(), "greedy-pairs"), None, []
+    while True:
+        sizes = left_.groupBy(group).agg(F.count("*").alias("_n"))
+        large = written(sizes.where(F.col("_n") > group_pairs).select(group), "greedy-large")
+        if large.limit(1).count() == 0:
+            done.append(_greedy_groups(left_, group, left, right))
+            break
+        same = lambda df, *on: [df[c].eqNullSafe(left_[c]) for c in on]  # noqa: E731, B023
+        done.append(_greedy_groups(left_.join(large, same(large, group), "left_anti"), group, left, right))
+        rows = written(left_.join(large, same(large, group), "left_semi"), "greedy-pairs")
+        first_right = rows.groupBy(group, left).agg(F.min(right).alias(right))
+        first_left = rows.groupBy(group, right).agg(F.min(left).alias(left)).select(*[F.col(c).alias(f"_{c}") for c in (group, left, right)])
+        meet = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (group, left, right)]
+        won = written(first_right.join(first_left, meet).select(group, left, right), "greedy-won")
+        done.append(won)
+        taken = lambda col: won.select(*[F.col(c).alias(f"_{c}") for c in (group, col)])  # noqa: E731, B023
+        on = lambda col: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (group, col)]
+        left_ = written(rows.join(taken(left), on(left), "left_anti").join(taken(right), on(right), "left_anti"), "greedy-pairs")
+    return reduce(DataFrame.unionByName, done)
+
+
 def ranked_one_to_one(lefts: DataFrame, rights: DataFrame, on: list[str], left_order: list, right_order: list) -> DataFrame:
     """The same where all lefts and rights of a key match each other: the n-th left takes the n-th right."""
     a = lefts.withColumn("_n", F.row_number().over(Window.partitionBy(on).orderBy(*left_order)))

@@ -2,17 +2,76 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treeloom.functions.columns import safe_div
+from treeloom.sources.work import written
+
+
+#: Values of a group that one task may hold.
+GROUP_VALUES = 1 << 18
+BINS = 1024
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], group_values: int = GROUP_VALUES, bins: int = BINS) -> DataFrame:
+    """by and a column for each share: exact quantiles, linear between neighbours, of the values that aren't null or NaN.
+
+    Groups of up to group_values values are one aggregate. In larger ones each quantile's two neighbours are selected by rank: rounds of
+    histograms over the range that still holds the rank, until few values or equal ones are left there. A round is one partial aggregate
+    of bounded size; no group's values meet in one task.
+    """
+    rows = df.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    key = [f"_by{i}" for i in range(len(by))]
+    named = [F.col(k).alias(c) for k, c in zip(key, by, strict=True)]
+    sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-groups")
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key], F.lit(True))
+    columns = [F.percentile("_v", p).alias(name) for name, p in shares.items()]
+    large = sizes.where(F.col("_n") > group_values)
+    if large.limit(1).count() == 0:
+        return rows.groupBy(*key).agg(*columns).select(*named, *shares)
+    # a rank (from 0) for each neighbour of each quantile, what lies below its range, and the range
+    places = [F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), end(F.lit(p) * (F.col("_n") - 1)).cast("long").alias("rank")) for name, p in shares.items() for end in (F.floor, F.ceil)]
+    targets = large.select(*key, "_n", "_lo", "_hi", F.explode(F.array(*places)).alias("t")).select(*key, "t.rank", "_lo", "_hi", "_n", F.lit(0).cast("long").alias("below"))
+    targets = written(targets.distinct().withColumnRenamed("_n", "inside"), "quantile-ranks")
+    while targets.where((F.col("inside") > group_values) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        wide = targets.where((F.col("inside") > group_values) & (F.col("_lo") < F.col("_hi")))
+        met = rows.join(wide, same(rows, wide)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        place = F.least(F.lit(bins - 1), F.floor((F.col("_v") / bins - F.col("_lo") / bins) / (F.col("_hi") / bins - F.col("_lo") / bins) * bins)).cast("int")
+        of = [*[wide[k] for k in key], "rank", "below"]
+        counted = written(met.groupBy(*of, place.alias("bin")).agg(F.count("*").alias("inside"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-bins")
+        order = Window.partitionBy(*key, "rank", "below").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.col("below") + F.coalesce(F.sum("inside").over(order), F.lit(0))
+        narrowed = counted.withColumn("_before", before).where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("inside")))
+        narrowed = narrowed.select(*key, "rank", "_lo", "_hi", "inside", F.col("_before").alias("below"))
+        targets = written(targets.where(~((F.col("inside") > group_values) & (F.col("_lo") < F.col("_hi")))).unionByName(narrowed), "quantile-ranks")
+    settled = targets.where(F.col("_lo") == F.col("_hi")).select(*key, "rank", F.col("_lo").alias("v"))
+    few = targets.where(F.col("_lo") < F.col("_hi"))
+    met = rows.join(few, same(rows, few)).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*[few[k] for k in key], "rank", "below", "_v")
+    at = F.row_number().over(Window.partitionBy(*key, "rank").orderBy("_v")) - 1 + F.col("below")
+    selected = settled.unionByName(met.withColumn("_at", at).where("_at = rank").select(*key, "rank", F.col("_v").alias("v")))
+    selected = written(selected, "quantile-values")
+    out = large.select(*key, "_n").join(selected.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at")).select(*[F.col(k).alias(f"{k}_") for k in key], "_at"), reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key], F.lit(True)))
+
+    def between(p: float) -> Column:
+        x = F.lit(p) * (F.col("_n") - 1)
+        low, high = (F.element_at("_at", end(x).cast("long")) for end in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise(low * (F.ceil(x) - x) + high * (x - F.floor(x)))
+
+    big = out.select(*named, *[between(p).alias(name) for name, p in shares.items()])
+    small = sizes.where(F.col("_n") <= group_values)
+    return rows.join(small, same(rows, small), "left_semi").groupBy(*key).agg(*columns).select(*named, *shares).unionByName(big)
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, sample deviation, min, median, max."""
-    return df.groupBy(by).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max")
-    )
+    out = df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = quantiles(df, by, value, {"median": 0.5}).select(*[F.col(c).alias(f"_{c}") for c in by], "median")
+    joined = out.join(middle, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True)), "left")
+    return joined.select(*by, "mean", "std", "min", "median", "max")
 
 
 def group_nunique(df: DataFrame, by: str, distinct: str, value: str, digits: int = 2) -> DataFrame:
@@ -50,15 +109,19 @@ def binned(df: DataFrame, value: str, edges: list[float], right: bool = True) ->
 
 def without_outliers(df: DataFrame, by: list[str], value: str, k: float = 1.5) -> DataFrame:
     """Rows within k interquartile ranges of the quartiles (linear quantiles, bounds included)."""
-    q = df.groupBy(by).agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+    q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75})
     reach = (F.col("_q3") - F.col("_q1")) * k
     return df.join(q, by).where(F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)).drop("_q1", "_q3")
 
 
 def coverage(df: DataFrame, by: list[str], hits: str, total: str) -> DataFrame:
-    """Overall share of hits and the sorted shares of the cases."""
-    each = safe_div(F.col(hits), F.col(total))
-    return df.groupBy(by).agg(safe_div(F.sum(hits), F.sum(total)).alias("coverage"), F.array_sort(F.collect_list(each)).alias("rates"))
+    """Overall share of hits and the number of cases; coverage_rates has the cases' own."""
+    return df.groupBy(by).agg(safe_div(F.sum(hits), F.sum(total)).alias("coverage"), F.count("*").alias("cases"))
+
+
+def coverage_rates(df: DataFrame, by: list[str], hits: str, total: str) -> DataFrame:
+    """(by, rate, cases): the shares of the cases as rows, equal ones counted, for a distribution of any size."""
+    return df.groupBy(*by, safe_div(F.col(hits), F.col(total)).alias("rate")).agg(F.count("*").alias("cases"))
 
 
 def scan_summary(df: DataFrame, count: str = "n", other: str = "m", missing: int = -1) -> DataFrame:

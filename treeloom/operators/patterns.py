@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, type_equal
 from treeloom.functions.sequences import lcs_dice_udf, substring_dice_udf
-from treeloom.plans.structural import innermost
+from treeloom.plans.structural import innermost, inside
+from treeloom.sources.work import written
 
 # Fixed values of the matcher and of the frequency abstraction.
 SCORE_THRESHOLD = 0.2
@@ -147,7 +148,7 @@ def _by_chance(nodes: DataFrame, share: float = 0.1, seed: int = 42) -> DataFram
 
 
 @policy("verdicts")
-def _by_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int) -> DataFrame:
+def _by_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that the walk keeps, with all their attributes."""
     kept = walk_verdicts(nodes, verdicts, depth).withColumn("considered", F.lit(True))
     out = nodes.join(kept, ["tree_id", "node_id"], "left").withColumn("considered", F.coalesce("considered", F.lit(False)))
@@ -319,17 +320,19 @@ def expected_found(results: DataFrame, expected: DataFrame, on: tuple[str, ...]
     return results.join(wanted, same, "left_semi")
 
 
-def edit_places(operations: DataFrame, mapping: DataFrame, binding: DataFrame) -> DataFrame:
+def edit_places(operations: DataFrame, mapping: DataFrame, binding: DataFrame, named: str = "either") -> DataFrame:
     """operations (tree_id, parent_id, ...) with place: the target's node for the parent an edit names, and place_type.
 
     mapping: (tree_id, after_id, before_id) of the pattern; binding: (tree_id, p_node, t_node) of pattern and target. A parent that is
     a node of the before tree leads to its target (type 1), one of the after tree to that of its before node (type 2); one that an
-    earlier edit inserts has none (type 3).
+    earlier edit inserts has none (type 3). named: operations name parents by nodes of the `before` tree, of the `after` tree, or, where the two
+    have different ids, of either.
     """
     own = binding.select("tree_id", F.col("p_node").alias("parent_id"), F.col("t_node").alias("_direct"))
     via = mapping.join(binding, (mapping.tree_id == binding.tree_id) & (mapping.before_id == binding.p_node)).select(
         mapping.tree_id, F.col("after_id").alias("parent_id"), F.col("t_node").alias("_mapped")
     )
+    own, via = (own.limit(0), via) if named == "after" else (own, via.limit(0)) if named == "before" else (own, via)
     out = operations.join(own, ["tree_id", "parent_id"], "left").join(via, ["tree_id", "parent_id"], "left")
     kind = F.when(F.col("_direct").isNotNull(), 1).when(F.col("_mapped").isNotNull(), 2).otherwise(3)
     return out.select(*operations.columns, F.coalesce("_direct", "_mapped").alias("place"), kind.alias("place_type"))
@@ -381,19 +384,29 @@ def not_logic(operations: DataFrame, nodes: DataFrame, most: int = MAX_NOT_LOGIC
     return found.join(few, ["tree_id", "kind"], "left_semi")
 
 
-def walk_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int) -> DataFrame:
-    """Nodes kept by a top-down walk: class 1 keeps a node and goes on, class 2 only goes on, anything else ends there.
+def walk_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes kept by a top-down walk: class 1 keeps a node and goes on, class 2 only goes on, anything else ends there. Trees of any depth.
 
-    verdicts: (tree_id, node_id, verdict) as given by whoever judged the nodes.
+    verdicts: (tree_id, node_id, verdict) as given by whoever judged the nodes; depth: how far below a root the walk goes at most. A walk gets
+    to a node if no node above it ends it. With ranks (pre, post, depth) one sorted pass tells; with parents alone each round asks twice as
+    many nodes above, so rounds grow with the logarithm of the depth.
     """
-    judged = nodes.select("tree_id", "node_id", "parent_id").join(verdicts, ["tree_id", "node_id"]).where("verdict IN (1, 2)")
-    level = judged.where("parent_id IS NULL").select("tree_id", "node_id", "verdict")
-    found = level
-    for _ in range(depth):
-        up = level.select("tree_id", F.col("node_id").alias("parent_id"))
-        level = judged.join(up, ["tree_id", "parent_id"]).select("tree_id", "node_id", "verdict")
-        found = found.unionByName(level)
-    return found.where("verdict = 1").select("tree_id", "node_id")
+    key = ["tree_id", "node_id"]
+    judged = nodes.join(verdicts.select(*key, "verdict"), key, "left")
+    passes = F.coalesce(F.col("verdict").isin(1, 2), F.lit(False))
+    near = F.lit(True) if depth is None else F.col("depth") <= depth
+    if {"pre", "post", "depth"} <= set(nodes.columns):
+        return judged.where((F.col("verdict") == 1) & near).join(inside(nodes, judged.where(~passes)), key, "left_anti").select(*key)
+    # up: a node above, null at the root; depth: the steps to it; open: whether all nodes below that one pass, this one included
+    steps = F.when(F.col("parent_id").isNull(), 0).otherwise(1)
+    now = written(judged.select(*key, F.col("parent_id").alias("up"), steps.alias("depth"), passes.alias("open"), "verdict"), "walk")
+    while now.where("open AND up IS NOT NULL").limit(1).count():
+        above = now.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("open").alias("_open"))
+        stepped = now.join(above, ["tree_id", "up"], "left")
+        goes = F.coalesce(F.col("up").isNull() | F.col("_open"), F.lit(False))
+        depths = (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")
+        now = written(stepped.select(*key, F.col("_up").alias("up"), depths, (F.col("open") & goes).alias("open"), "verdict"), "walk")
+    return now.where(F.col("open") & (F.col("verdict") == 1) & near).select(*key)
 
 
 def identifier_definitions(uses: DataFrame, defs: DataFrame) -> DataFrame:
@@ -418,8 +431,44 @@ def use_index(uses: DataFrame) -> DataFrame:
     return uses.groupBy("tree_id", "name").agg(F.array_sort(F.collect_list("use_id")).alias("uses"))
 
 
+def _block_sizes(n: Column, share: float) -> Column:
+    """The block length for a text of n letters: a common substring as long as its similarity asks for holds a whole aligned block of it."""
+    need = F.ceil(n * (share / (2 - share)) - 1e-9)
+    return F.greatest(F.lit(1), F.floor((need + 1) / 2)).cast("int")
+
+
+def similar_texts(named: DataFrame, elements: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs of rows with equal keys whose `text` and `element` have a common-substring dice of threshold (over 0) or more; without all pairs.
+
+    Texts of n and m letters need a common substring of t (n + m) / 2 letters, so m is n (2 - t) / t at most, and the substring has
+    t n / (2 - t) letters at least. A substring of 2 q - 1 letters holds one of a text's aligned blocks of q letters, q rounded down to a power of
+    two; the element meets it by its grams of that length. Pairs that meet are verified by a suffix automaton.
+    """
+    t = threshold
+    own = named.withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", F.lower("text")).withColumn("_n", F.char_length("_low"))
+    other = elements.withColumn("_element_row", F.monotonically_increasing_id()).withColumn("_element_low", F.lower("element")).withColumn("_m", F.char_length("_element_low"))
+    own, other = written(own.where("_n > 0"), "similar-texts"), written(other.where("_m > 0"), "similar-elements")
+    power = lambda q: F.pow(F.lit(2), F.floor(F.log2(q.cast("double")))).cast("int")
+    q = power(_block_sizes(F.col("_n"), t))
+    cut = lambda col, starts, size: F.array_distinct(F.transform(starts, lambda i: F.substr(col, i.cast("int"), size)))
+    blocks = own.withColumn("_q", q).select("key", "_row", "_n", "_q", F.explode(cut(F.col("_low"), F.sequence(F.lit(1), F.col("_n") - F.col("_q") + 1, F.col("_q")), F.col("_q"))).alias("_g"))
+    # lengths of the texts that an element can be similar to, and the powers of two that they are cut by
+    least, most = F.ceil(F.col("_m") * (t / (2 - t)) - 1e-9), F.floor(F.col("_m") * ((2 - t) / t) + 1e-9)
+    logs = F.sequence(F.floor(F.log2(power(_block_sizes(least, t)).cast("double"))).cast("int"), F.floor(F.log2(power(_block_sizes(most, t)).cast("double"))).cast("int"))
+    sized = other.select("key", "_element_row", "_m", "_element_low", F.explode(F.transform(logs, lambda k: F.pow(F.lit(2), k).cast("int"))).alias("_q"))
+    grams = sized.where(F.col("_q") <= F.col("_m")).select("key", "_element_row", "_m", "_q", F.explode(cut(F.col("_element_low"), F.sequence(F.lit(1), F.col("_m") - F.col("_q") + 1), F.col("_q"))).alias("_g"))
+    met = blocks.join(grams, ["key", "_q", "_g"]).where(2 * F.least("_n", "_m") >= (t - 1e-9) * (F.col("_n") + F.col("_m"))).select("_row", "_element_row").distinct()
+    pairs = own.drop("_low", "_n").join(met, "_row").join(other.drop("key", "_element_low", "_m"), "_element_row").drop("_row", "_element_row")
+    return pairs.withColumn("similarity", substring_dice_udf("text", "element")).where(F.col("similarity") >= t)
+
+
 def similar_elements(named: DataFrame, elements: DataFrame, threshold: float = 0.85, similarity: Callable[[str, str], Column] = substring_dice_udf) -> DataFrame:
-    """Pairs of a named element (key, text) and a tree element (key, element) whose similarity (common substring dice) reaches the threshold."""
+    """Pairs of a named element (key, text) and a tree element (key, element) whose similarity (common substring dice) reaches the threshold.
+
+    The common substring has a filter of its own (similar_texts); another similarity is asked for every pair of a key.
+    """
+    if similarity is substring_dice_udf and threshold > 0:
+        return similar_texts(named, elements, threshold)
     return named.join(elements, "key").withColumn("similarity", similarity("text", "element")).where(F.col("similarity") >= threshold)
 
 

@@ -12,7 +12,7 @@ from treeloom import registry_java
 from treeloom.dsl import rewrite
 from treeloom.dsl.parser import parse
 from treeloom.functions import columns as C
-from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, substring_dice_udf
+from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, line_totals_udf
 from treeloom.operators import matching, metrics, patterns, sampling, sets
 from treeloom.plans.compiler import NodePlanner, RelationalPlanner, run
 from treeloom.sources.files import parsed
@@ -380,7 +380,16 @@ def coverage(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
     j = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     out = metrics.coverage(j, ["o_orderstatus"], "hits", "total")
-    return out.select("o_orderstatus", F.round("coverage", 9).alias("coverage"), F.size("rates").cast("long").alias("cases"))
+    return out.select("o_orderstatus", F.round("coverage", 9).alias("coverage"), "cases")
+
+
+@query("""WITH c AS (SELECT o_orderstatus, o_orderkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+  SELECT o_orderstatus, round(hits / total, 9) AS rate, count(*) AS cases FROM c GROUP BY 1, 2""")
+def coverage_rates(spark, d):
+    """How many orders of a status have each share of returned lines."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+    j = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return metrics.coverage_rates(j, ["o_orderstatus"], "hits", "total").withColumn("rate", F.round("rate", 9))
 
 
 @query("""WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents), f AS (SELECT token, count(*) AS cnt FROM t WHERE token <> '' GROUP BY 1)
@@ -421,18 +430,47 @@ def lcs_substring_match(spark, d):
     """Customers and suppliers of a nation whose names share a long substring."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), "c_custkey", F.col("c_name").alias("text"))
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", F.col("s_name").alias("element"))
-    return c.join(s, "key").withColumn("similarity", substring_dice_udf("text", "element")).where("similarity >= 0.6").select("c_custkey", "s_suppkey", F.round("similarity", 9).alias("similarity"))
+    return patterns.similar_elements(c, s, 0.6).select("c_custkey", "s_suppkey", F.round("similarity", 9).alias("similarity"))
+
+
+@query("""WITH p AS (SELECT a.c_custkey AS a, b.c_custkey AS b, lower(a.c_name) AS x, lower(b.c_name) AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey),
+  m AS (SELECT a, b, any_value(x) AS x, any_value(y) AS y, max(CASE WHEN contains(x, substr(y, i, n)) THEN n ELSE 0 END) AS l
+    FROM p, range(1, 41) s(i), range(1, 41) t(n) WHERE i + n - 1 <= length(y) AND 2 * n >= 0.85 * (length(x) + length(y)) GROUP BY 1, 2)
+  SELECT a, b, round((2.0 * l / (length(x) + length(y)))::DOUBLE, 9) AS similarity FROM m WHERE 2.0 * l / (length(x) + length(y)) >= 0.85""")
+def similar_names(spark, d):
+    """Customers of a nation whose names share a substring of the asked length: met by blocks and grams, not by all pairs."""
+    c = table(spark, d, "customer")
+    text = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("a"), F.col("c_name").alias("text"))
+    element = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("b"), F.col("c_name").alias("element"))
+    return patterns.similar_elements(text, element, 0.85).where("a < b").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query()
 def line_diff_counts(spark, d):
     """Added, deleted and changed lines between turns of a conversation."""
     t = table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")  # turns with one number have an order, too
     pairs = t.select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.col("text").alias("after")).where("before IS NOT NULL")
     return pairs.withColumn("x", line_changes_udf(F.col("before"), F.col("after"))).select("conv_id", "turn", "x.added", "x.deleted", "x.changed")
 
 
+# a row of common lengths with each beginning of b after each line of a: the running maximum of what the line before has and its match adds
+_LCS_SQL = """list_reduce(range(1, len(a) + 1), lambda row, i: list_reduce(range(1, len(b) + 1), lambda out, j: list_append(out,
+  greatest(out[-1], row[j + 1], row[j] + CASE WHEN a[i] = b[j] THEN 1 ELSE 0 END)), [0]), list_transform(range(0, len(b) + 1), lambda j: 0))[-1]"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, text AS after FROM conversations),
+  l AS (SELECT conv_id, turn, CASE WHEN before = '' THEN [] ELSE string_split(regexp_replace(before, '\n$', ''), chr(10)) END AS a,
+    CASE WHEN after = '' THEN [] ELSE string_split(regexp_replace(after, '\n$', ''), chr(10)) END AS b FROM t WHERE before IS NOT NULL),
+  n AS (SELECT conv_id, turn, len(a) AS na, len(b) AS nb, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE {_LCS_SQL} END AS same FROM l)
+  SELECT conv_id, turn, (nb - same)::BIGINT AS added, (na - same)::BIGINT AS deleted FROM n""")
+def line_diff_totals(spark, d):
+    """Lines of each turn that aren't in a longest common sequence with those of the turn before, and the other way round."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.col("text").alias("after")).where("before IS NOT NULL")
+    return pairs.withColumn("x", line_totals_udf("before", "after")).select("conv_id", "turn", "x.added", "x.deleted")
+
+
 @query()
 def html_edit_counts(spark, d):
     """Edit operations between each page and the next one, over their whole html; whole subtrees as one edit."""
@@ -573,7 +611,7 @@ def verdict_walk(spark, d):
     one = F.lit("t").alias("tree_id")
     nodes = r.select(one, key("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("r_regionkey") % 3).alias("verdict"))
     nodes = nodes.unionByName(n.select(one, key("n", "n_nationkey").alias("node_id"), key("r", "n_regionkey").alias("parent_id"), (F.col("n_nationkey") % 3).alias("verdict")))
-    return patterns.walk_verdicts(nodes.drop("verdict"), nodes.select("tree_id", "node_id", "verdict"), 3).select("node_id")
+    return patterns.walk_verdicts(nodes.drop("verdict"), nodes.select("tree_id", "node_id", "verdict")).select("node_id")
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -621,22 +659,49 @@ def use_index(spark, d):
     return patterns.use_index(o).select("tree_id", "name", F.array_join(F.col("uses").cast("array<string>"), ",").alias("uses"))
 
 
-@query("""WITH RECURSIVE w AS (SELECT event_id AS warning_id, user_id AS file, day(ts) AS line FROM events WHERE event_type = 'click'),
+_GREEDY_SQL = """WITH RECURSIVE w AS (SELECT event_id AS warning_id, user_id AS file, day(ts) AS line FROM events WHERE event_type = 'click'),
   t AS (SELECT o_custkey AS file, o_orderkey AS truth_id, day(o_orderdate) AS b FROM orders),
   p AS (SELECT w.file, warning_id, list_sort(list(truth_id)) AS options FROM w JOIN t ON w.file = t.file WHERE line BETWEEN b - 1 AND b + 6 GROUP BY 1, 2),
   n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY warning_id) AS n FROM p),
   g AS (SELECT file, 0::BIGINT AS n, NULL::BIGINT AS warning_id, NULL::BIGINT AS truth_id, []::BIGINT[] AS taken FROM (SELECT DISTINCT file FROM n)
     UNION ALL SELECT n.file, n.n, n.warning_id, list_filter(options, lambda x: NOT list_contains(taken, x))[1],
       CASE WHEN list_filter(options, lambda x: NOT list_contains(taken, x))[1] IS NULL THEN taken ELSE list_append(taken, list_filter(options, lambda x: NOT list_contains(taken, x))[1]) END
-    FROM g JOIN n ON n.file = g.file AND n.n = g.n + 1)
-  SELECT file, warning_id, truth_id FROM g WHERE truth_id IS NOT NULL""")
-def greedy_matching(spark, d):
-    """Clicks matched one to one with orders of a user within a window of days; each order is taken once."""
+    FROM g JOIN n ON n.file = g.file AND n.n = g.n + 1)"""
+
+
+def _clicks_and_orders(spark, d):
     w = table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"))
     t = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("truth_id"), F.dayofmonth("o_orderdate").alias("begin"), (F.dayofmonth("o_orderdate") + 5).alias("end"))
+    return w, t
+
+
+@query(_GREEDY_SQL + " SELECT file, warning_id, truth_id FROM g WHERE truth_id IS NOT NULL")
+def greedy_matching(spark, d):
+    """Clicks matched one to one with orders of a user within a window of days; each order is taken once."""
+    w, t = _clicks_and_orders(spark, d)
     return matching.greedy_one_to_one(matching.range_matches(w, t, ["file"], 1), "file", "warning_id", "truth_id")
 
 
+_N_SQL = "(SELECT {0} AS file, count(*) AS n FROM {1} GROUP BY 1)"
+
+
+@query(_GREEDY_SQL + f""",
+  m AS (SELECT coalesce(w.file, t.file) AS file, coalesce(w.n, 0) AS n_w, coalesce(t.n, 0) AS n_t, coalesce(x.n, 0) AS tp, coalesce(c.n, 0) AS n_c
+    FROM {_N_SQL.format("user_id", "events WHERE event_type = 'click'")} w FULL JOIN {_N_SQL.format("o_custkey", "orders")} t ON w.file = t.file
+    LEFT JOIN (SELECT file, count(*) AS n FROM g WHERE truth_id IS NOT NULL GROUP BY 1) x ON x.file = coalesce(w.file, t.file)
+    LEFT JOIN {_N_SQL.format("o_custkey", "orders JOIN lineitem ON l_orderkey = o_orderkey")} c ON c.file = coalesce(w.file, t.file)),
+  r AS (SELECT file, tp, n_w - tp AS fp, n_t - tp AS fn, greatest(n_c - tp - (n_w - tp) - (n_t - tp), 0) AS tn FROM m)
+  SELECT file, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) AS recall,
+    round(CASE WHEN tp + fp + fn + tn = 0 THEN 0 ELSE (tp + tn) / (tp + fp + fn + tn) END, 9) AS accuracy FROM r""")
+def greedy_metrics(spark, d):
+    """What the greedy matching finds by user, with as many true negatives as ordered lines leave."""
+    w, t = _clicks_and_orders(spark, d)
+    matched = matching.greedy_one_to_one(matching.range_matches(w, t, ["file"], 1), "file", "warning_id", "truth_id")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("file")), F.col("l_orderkey") == F.col("o_orderkey")).select("file")
+    out = matching.one_to_one_metrics(w, t, matched, "file", lines)
+    return out.select("file", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy")])
+
+
 @query(_PAGE_SQL + "SELECT 'p' AS pattern_id, tree_id FROM h WHERE regexp_matches(h, '(?s)<footer[^>]*>[^<]*[^<[:space:]]')")
 def html_pattern_detect(spark, d):
     """Pages that a pattern (a footer with a text, in one tree) matches: candidates, assignment search, detection."""

@@ -213,6 +213,51 @@ def java_not_logic(spark, d):
     return found.select(F.col("tree_id").alias("case_id"), "kind", "node_type")
 
 
+# Nodes of a log statement and of a class, as the front end makes them.
+_LOG_NODES = 4
+_CLASS_NODES = f"21 + ({_IF})::INT * 7 + ({_LOOP})::INT * 14 + ({_LOG})::INT * {_LOG_NODES} + ({_TRY})::INT * 13"
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS case_id, ({_CLASS_NODES}) - ({_DELETE})::INT * {_LOG_NODES} AS kept, ({_DELETE})::INT * {_LOG_NODES} AS gone,
+  ({_INSERT})::INT * 4 + ({_WRAP})::INT * 3 AS made FROM customer""")
+def java_mapping(spark, d):
+    """The bijection between the two versions of each class as a table: nodes that stay, that go, and that the script makes."""
+    edits, mapping = treediff.edits_and_mapping(dealt(changes(spark, d), "case_id"), parse_unit)
+    n = lambda df, what, name: df.groupBy("case_id").agg(F.count_if(what).cast("int").alias(name))
+    pairs = mapping.groupBy("case_id").agg(F.count_if(F.col("before_id") >= 0).cast("int").alias("kept"), F.count_if(F.col("before_id") < 0).cast("int").alias("made"))
+    out = pairs.join(n(edits, F.col("kind") == "delete", "gone"), "case_id", "left")
+    return out.select("case_id", "kept", F.coalesce("gone", F.lit(0)).alias("gone"), "made")
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS case_id, named, place_type, n FROM customer, (VALUES ('before', 1, 1), ('before', 3, 3), ('after', 2, 1), ('after', 3, 3)) t(named, place_type, n)
+  WHERE ({_INSERT}) <> ({_WRAP})""")
+def java_place_types(spark, d):
+    """Where inserts and moves go in a target (here the class itself): at a node of the before tree (1), by the after tree's node over the mapping (2), below a new node (3)."""
+    pairs = changes(spark, d).where(f"(({_INSERT}) <> ({_WRAP}))").select("case_id", "before", "after")
+    edits, mapping = treediff.edits_and_mapping(dealt(pairs, "case_id"), parse_unit)
+    edits = edits.where("kind IN ('insert', 'move')").withColumnRenamed("case_id", "tree_id")
+    mapping = mapping.withColumnRenamed("case_id", "tree_id")
+    same = nodes_of(spark, d).select("tree_id", F.col("node_id").alias("p_node"), F.col("node_id").alias("t_node"))
+    out = None
+    for named, parent in (("before", "parent_id"), ("after", "after_parent_id")):
+        ops = edits.select("tree_id", "kind", F.col(parent).alias("parent_id"))
+        # keys of the two trees are numbers alike, so operations named by after nodes bind through the mapping only
+        placed = patterns.edit_places(ops, mapping, same, named=named)
+        n = placed.groupBy(F.col("tree_id").alias("case_id"), F.lit(named).alias("named"), "place_type").agg(F.count("*").cast("int").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS case_id, ({_UPDATE})::INT + ({_DELETE})::INT * {_LOG_NODES} + (({_INSERT}) OR ({_WRAP}))::INT + ({_WRAP})::INT AS n FROM customer
+  WHERE {_UPDATE} OR {_DELETE} OR {_INSERT} OR {_WRAP}""")
+def java_action_related(spark, d):
+    """Nodes of the before tree that edits touch: what is updated, deleted or moved, and where inserts and moves go."""
+    edits, mapping = treediff.edits_and_mapping(dealt(changes(spark, d), "case_id"), parse_unit)
+    ops = edits.select(F.col("case_id").alias("tree_id"), "kind", "node_id", F.col("after_parent_id").alias("parent_id"))
+    found = patterns.action_related(ops, mapping.withColumnRenamed("case_id", "tree_id"))
+    return found.groupBy(F.col("tree_id").alias("case_id")).agg(F.count("*").cast("int").alias("n"))
+
+
 # patterns
 
 _BEFORE = 'class P { private int limit = 1; public int check(int balance, String segment) { int base = balance + limit; log(segment, "BUILDING"); return base * 2; } }'

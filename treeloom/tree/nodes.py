@@ -7,11 +7,13 @@ ranges (plans/structural.py), and no row grows with its depth but by the tokens
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.plans.structural import inside
+from treeloom.sources.work import written
 
 NODE_FIELDS = (
     "tree_id string, node_id bigint, parent_id bigint, role string, child_kind string, pos int, node_type string, dsl_type string, "
@@ -136,14 +138,37 @@ def flatten(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("tree_id").sortWithinPartitions("tree_id", "pre")
 
 
-def neighbourhood(nodes: DataFrame, seeds: DataFrame, hops: int = 1, data_deps: bool = True) -> DataFrame:
-    """(tree_id, node_id, hops): nodes within some steps of the seeds along parent, child and data dependency edges."""
-    edges = nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "node_id", F.col("parent_id").alias("to"))
+#: Hops up to which a neighbourhood is one plan of joins; longer walks write each frontier.
+PLAN_HOPS = 2
+
+
+def neighbourhood(nodes: DataFrame, seeds: DataFrame, hops: int | None = 1, data_deps: bool = True) -> DataFrame:
+    """(tree_id, node_id, hops): nodes within some steps of the seeds along parent, child and data dependency edges; hops None: all that are reached.
+
+    Beyond a few hops each frontier is written, and only nodes not met yet go on, so neither plan nor work grows with the hops given.
+    """
+    key = ["tree_id", "node_id"]
+    edges = nodes.where(F.col("parent_id").isNotNull()).select(*key, F.col("parent_id").alias("to"))
     if data_deps:
-        edges = edges.unionByName(nodes.where(F.col("data_dep_id").isNotNull()).select("tree_id", "node_id", F.col("data_dep_id").alias("to")))
+        edges = edges.unionByName(nodes.where(F.col("data_dep_id").isNotNull()).select(*key, F.col("data_dep_id").alias("to")))
     edges = edges.unionByName(edges.select("tree_id", F.col("to").alias("node_id"), F.col("node_id").alias("to")))
-    found = seeds.select("tree_id", "node_id").distinct().withColumn("hops", F.lit(0))
-    for k in range(hops):
-        nxt = found.join(edges, ["tree_id", "node_id"]).select("tree_id", F.col("to").alias("node_id"), F.lit(k + 1).alias("hops"))
-        found = found.unionByName(nxt).groupBy("tree_id", "node_id").agg(F.min("hops").alias("hops"))
-    return found
+    found = seeds.select(*key).distinct().withColumn("hops", F.lit(0))
+    step = lambda df, k: df.join(edges, key).select("tree_id", F.col("to").alias("node_id"), F.lit(k).alias("hops"))
+    if hops is not None and hops <= PLAN_HOPS:
+        for k in range(hops):
+            found = found.unionByName(step(found, k + 1)).groupBy(*key).agg(F.min("hops").alias("hops"))
+        return found
+    edges = written(edges, "edges")
+    frontier = written(found, "frontier")
+    met, k = [frontier], 0
+    while hops is None or k < hops:
+        k += 1
+        new = step(frontier, k).distinct()
+        # edges go both ways, so a node met before was met in the last two steps
+        for seen in met[-2:]:
+            new = new.join(seen.select(*key), key, "left_anti")
+        frontier = written(new, "frontier")
+        if frontier.limit(1).count() == 0:
+            break
+        met.append(frontier)
+    return reduce(DataFrame.unionByName, met)
