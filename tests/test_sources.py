@@ -139,3 +139,80 @@ def test_commit_files(spark, tmp_path):
     put(tmp_path, "a/A.java", "class Changed {}")
     got = {r.path: r.text for r in commit_files(spark, str(tmp_path), "HEAD").collect()}
     assert got == {"a/A.java": "class A {}", "b/é B.java": "class B { String s = \"é\n\"; }"}
+
+
+def test_reports_count_whole_or_not_at_all(spark, tmp_path):
+    error = "<error><defectInfo><function>{0}</function><fileName> a/B.java </fileName><reportLine>{1}</reportLine></defectInfo></error>"
+    two = error.format("f", 7) + error.format("<![CDATA[g<T>(int & x)]]>", 9)
+    texts = {
+        "whole.xml": f"<errors>{two}</errors>",
+        "cut.xml": f"<errors>{two}<error><defectInfo><function>h",
+        "no_end.xml": f"<errors>{two}",
+        "tail.xml": f"<errors>{two}</errors><more>",
+        "empty.xml": "",
+        "none.xml": "<errors/>",
+        "odd.xml": f"<errors>{error.format('k', 'x1')}<error/><error><defectInfo/></error></errors>",
+        "entity.xml": f'<!DOCTYPE e [<!ENTITY a "b">]><errors>{two}</errors>',
+    }
+    for name, text in texts.items():
+        put(tmp_path, name, text)
+    found = {}
+    for r in files.report_errors(spark, str(tmp_path / "*.xml")).collect():
+        found.setdefault(r.report.rsplit("/", 1)[-1], []).append(tuple(r)[:3])
+    want = [("f", "a/B.java", 7), ("g<T>(int & x)", "a/B.java", 9)]
+    assert found == {"whole.xml": want, "odd.xml": [("k", "a/B.java", None), (None, None, None)]}
+    latin = tmp_path / "latin"
+    latin.mkdir()
+    (latin / "said.xml").write_bytes(('<?xml version="1.0" encoding="ISO-8859-1"?><errors>' + error.format("größe", 1) + "</errors>").encode("latin-1"))
+    (latin / "unsaid.xml").write_bytes(("<errors>" + error.format("größe", 1) + "</errors>").encode("latin-1"))
+    assert [r.function for r in files.report_errors(spark, str(latin)).collect()] == ["größe"]
+    assert [r.function for r in files.report_errors(spark, str(latin), "iso-8859-1").collect()] == ["größe"] * 2
+
+
+def test_sections_over_many_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    texts = {}
+    for name in "abc":
+        lines = ["pre"] * rng.randint(0, 3)
+        for k in range(40):
+            lines += [f"hash#{name}{k}"] + [f"line {i} " + "x" * rng.randint(0, 60) for i in range(rng.choice((0, 1, 2, 60)))]
+        texts[name] = lines
+        put(tmp_path, f"{name}.txt", "\n".join(lines) + "\n")
+    put(tmp_path, "none.txt", "no header\nat all\n")
+    texts["none"] = ["no header", "at all"]
+    want = set()
+    for name, lines in texts.items():
+        section = 0
+        for k, line in enumerate(lines):
+            section += line.startswith("hash#")
+            want.add((name, section, k, line))
+    for size in ("97", "4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = files.sectioned(spark, str(tmp_path))
+            got = {(r.file.rsplit("/", 1)[-1][:-4], r.section, r.line_no, r.line) for r in found.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want, size
+
+
+def test_settings_in_quotes_and_in_one_line(tmp_path):
+    text = """a: "x # y"   # a comment
+b: 'it''s #1'
+c#d: e#f
+list: [1, "two, three", [4, 5], {k: v}]
+map: {d: 1, 'e f': "g: h", n: [x]}
+items:
+  - [p, q]
+  - {r: s}
+  - "t: # u"
+esc: "say \\"hi\\" \\\\ now"
+empty: []
+"""
+    want = {
+        "a": "x # y", "b": "it's #1", "c#d": "e#f", "list.0": "1", "list.1": "two, three", "list.2.0": "4", "list.2.1": "5", "list.3.k": "v", "map.d": "1", "map.e f": "g: h", "map.n.0": "x",
+        "items.0.0": "p", "items.0.1": "q", "items.1.r": "s", "items.2": "t: # u", "esc": 'say "hi" \\ now',
+    }
+    assert files.settings(put(tmp_path, "q.yaml", text)) == want

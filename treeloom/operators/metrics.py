@@ -17,6 +17,11 @@ GROUP_VALUES = 1 << 18
 BINS = 1024
 
 
+def _largest(df: DataFrame, by: list[str], value: str) -> int:
+    """How many values the largest group has; one partial aggregate."""
+    return df.groupBy(*by).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], group_values: int = GROUP_VALUES, bins: int = BINS) -> DataFrame:
     """by and a column for each share: exact quantiles, linear between neighbours, of the values that aren't null or NaN.
 
@@ -27,12 +32,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     rows = df.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     key = [f"_by{i}" for i in range(len(by))]
     named = [F.col(k).alias(c) for k, c in zip(key, by, strict=True)]
+    columns = [F.percentile("_v", p).alias(name) for name, p in shares.items()]
+    if _largest(rows, key, "_v") <= group_values:
+        return rows.groupBy(*key).agg(*columns).select(*named, *shares)
     sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-groups")
     same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key], F.lit(True))
-    columns = [F.percentile("_v", p).alias(name) for name, p in shares.items()]
     large = sizes.where(F.col("_n") > group_values)
-    if large.limit(1).count() == 0:
-        return rows.groupBy(*key).agg(*columns).select(*named, *shares)
     # a rank (from 0) for each neighbour of each quantile, what lies below its range, and the range
     places = [F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), end(F.lit(p) * (F.col("_n") - 1)).cast("long").alias("rank")) for name, p in shares.items() for end in (F.floor, F.ceil)]
     targets = large.select(*key, "_n", "_lo", "_hi", F.explode(F.array(*places)).alias("t")).select(*key, "t.rank", "_lo", "_hi", "_n", F.lit(0).cast("long").alias("below"))
@@ -68,7 +73,10 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, sample deviation, min, median, max."""
-    out = df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    own = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    if _largest(df, by, value) <= GROUP_VALUES:
+        return df.groupBy(by).agg(*own, F.median(value).alias("median")).select(*by, "mean", "std", "min", "median", "max")
+    out = df.groupBy(by).agg(*own)
     middle = quantiles(df, by, value, {"median": 0.5}).select(*[F.col(c).alias(f"_{c}") for c in by], "median")
     joined = out.join(middle, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True)), "left")
     return joined.select(*by, "mean", "std", "min", "median", "max")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom import registry_java
+from treeloom import registry_java, registry_reports
 from treeloom.dsl import rewrite
 from treeloom.dsl.parser import parse
 from treeloom.functions import columns as C
@@ -719,8 +719,8 @@ def html_pattern_detect(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | registry_java.QUERIES
+    return _QUERIES | registry_java.QUERIES | registry_reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | registry_java.SQL
+    return _SQL | registry_java.SQL | registry_reports.SQL

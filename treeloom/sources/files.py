@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from treeloom.functions.columns import decode_text
+from treeloom.sources.work import written
 from treeloom.tree.nodes import NODE_FIELDS
 
 # Accepted names of a pair's files, in order of preference.
@@ -142,13 +144,13 @@ def pattern_nodes(df: DataFrame, column: str = "Before0Tree", key: str = "FileNa
 
 
 def frequency_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(kind, token, cnt) of a file that alternates token and count lines; pairs without a number go, a later repeat wins."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    pairs = lines.groupBy(F.floor(F.col("n") / 2).alias("pair")).agg(
+    """(kind, token, cnt) of files that alternate token and count lines; pairs without a number go, a later repeat wins."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    pairs = lines.groupBy("file", F.floor(F.col("n") / 2).alias("pair")).agg(
         F.max(F.when(F.col("n") % 2 == 0, F.col("line"))).alias("token"), F.max(F.when(F.col("n") % 2 == 1, F.col("line"))).alias("count")
     )
     good = pairs.where(F.trim("count").rlike(r"^\d+$"))
-    return good.groupBy("token").agg(F.max_by(F.trim("count").cast("int"), "pair").alias("cnt")).select(F.lit(kind).alias("kind"), "token", "cnt")
+    return good.groupBy("token").agg(F.max_by(F.trim("count").cast("int"), F.struct("file", "pair")).alias("cnt")).select(F.lit(kind).alias("kind"), "token", "cnt")
 
 
 def dataset_cases(files: DataFrame, root: str, grouped: bool = True, only: list[str] | None = None) -> DataFrame:
@@ -160,12 +162,58 @@ def dataset_cases(files: DataFrame, root: str, grouped: bool = True, only: list[
     return out.where(F.col("dataset").isin(only)) if only else out
 
 
-def report_errors(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """(function, fileName, reportLine, report) of an engine's XML reports; report is the file's name. Broken reports have none."""
-    schema = "defectInfo struct<function:string,fileName:string,reportLine:int>"
-    df = spark.read.format("xml").option("rowTag", "error").option("charset", charset).option("mode", "DROPMALFORMED").schema(schema).load(path)
-    info = df.select("defectInfo", F.regexp_replace(F.input_file_name(), r"^file:/+", "/").alias("report")).where("defectInfo IS NOT NULL")
-    return info.select(F.trim("defectInfo.function").alias("function"), F.trim("defectInfo.fileName").alias("fileName"), F.col("defectInfo.reportLine").alias("reportLine"), "report")
+def errors_of(report: bytes, charset: str | None = None) -> list[tuple[str | None, str | None, int | None]]:
+    """(function, fileName, reportLine) of a report's errors, none unless the report is well formed to its end.
+
+    Markup is read as XML has it, CDATA included; charset stands above what the report says of itself. Reports that declare entities are refused.
+    """
+    from xml.parsers import expat
+
+    found: list[tuple] = []
+    path: list[str] = []
+    now: dict[str, list[str]] = {}
+
+    def begin(name: str, _) -> None:
+        path.append(name)
+        if name == "error":
+            now.clear()
+
+    def text(data: str) -> None:
+        if path[-3:-1] == ["error", "defectInfo"]:
+            now.setdefault(path[-1], []).append(data)
+
+    def end(name: str) -> None:
+        path.pop()
+        if name == "defectInfo" and path[-1:] == ["error"]:
+            function, file, line = ("".join(now[k]).strip() if k in now else None for k in ("function", "fileName", "reportLine"))
+            found.append((function, file, int(line) if line and line.lstrip("+-").isdecimal() else None))
+
+    def refuse(*_) -> None:
+        raise ValueError("an entity")
+
+    parser = expat.ParserCreate(charset)
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.EntityDeclHandler = begin, end, text, refuse
+    try:
+        parser.Parse(report, True)
+    except (expat.ExpatError, ValueError):
+        return []
+    return found
+
+
+def report_errors(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(function, fileName, reportLine, report) of an engine's XML reports; report is the file's name. Broken reports have none: each is read whole before it counts."""
+    fields = "function string, fileName string, reportLine int, report string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = errors_of(content.as_buffer().to_pybytes(), charset)
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+                types = (pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array([name] * len(rows), pa.string())], names=["function", "fileName", "reportLine", "report"])
+
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"^file:/+", "/").alias("report"), "content")
+    return raw.mapInArrow(run, fields)
 
 
 def report_counts(errors: DataFrame, by: list[str], reports: DataFrame | None = None) -> DataFrame:
@@ -197,11 +245,34 @@ def baseline_warnings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sectioned(spark: SparkSession, path: str, header: str = r"^hash#") -> DataFrame:
-    """(file, section, line_no, line); lines before the first header are section 0."""
-    from treeloom.operators.sets import sections
+    """(file, section, line_no, line); lines before a file's first header are section 0, line numbers count from 0.
 
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return sections(whole, F.col("line").rlike(header)).select("file", "section", "line_no", "line")
+    A file is read by as many tasks as it has splits: each numbers its own lines and headers, and what stands before a split comes from the
+    splits' totals, a row each. A section may go on over any number of splits.
+    """
+    fields = "file string, block long, at long, headers long, line string"
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.rlike("value", F.lit(header)).alias("is_header"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, headers = None, 0, 0
+        for batch in batches:  # the lines of a split come in their order, split after split
+            places, counts = [], []
+            for split in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if split[:2] != now:
+                    now, at, headers = split[:2], 0, 0
+                headers += bool(split[2])
+                places.append(at)
+                counts.append(headers)
+                at += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.int64()), pa.array(counts, pa.int64()), batch.column(3)], names=["file", "block", "at", "headers", "line"])
+
+    numbered = written(lines.mapInArrow(number, fields), "sections")
+    totals = numbered.groupBy("file", "block").agg(F.count("*").alias("lines"), F.max("headers").alias("_headers"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = totals.select("file", "block", so_far("lines").alias("first_line"), so_far("_headers").alias("first_section"))
+    placed = numbered.join(starts, ["file", "block"])
+    return placed.select("file", (F.col("first_section") + F.col("headers")).alias("section"), (F.col("first_line") + F.col("at")).alias("line_no"), "line")
 
 
 def scan_units(files: DataFrame) -> DataFrame:
@@ -261,10 +332,62 @@ def labelled_results(spark: SparkSession, path: str) -> DataFrame:
     return json_table(spark, path, "checker string, group string, case string, file string, signature string, label string")
 
 
+def _uncommented(line: str) -> str:
+    """The line without its comment; a # within quotes, or right after a letter, is none."""
+    quote = ""
+    for k, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and line[k - 1] == "\\") else quote
+        elif c in "'\"" and (k == 0 or line[k - 1] in " \t:,[{-'"):
+            quote = c
+        elif c == "#" and (k == 0 or line[k - 1] in " \t"):
+            return line[:k].rstrip()
+    return line.rstrip()
+
+
+def _unquoted(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), text[1:-1])
+    return text
+
+
+def _flow_parts(text: str) -> list[str]:
+    """What commas part within [...] or {...}, which may hold further ones and quoted texts."""
+    parts, depth, quote, begin = [], 0, "", 1
+    for k, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and text[k - 1] == "\\") else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}" or (c == "," and depth == 1):
+            depth -= c != ","
+            if depth == (1 if c == "," else 0):
+                parts.append(text[begin:k].strip())
+                begin = k + 1
+    return [p for p in parts if p]
+
+
+def _flow(key: str, text: str) -> dict[str, str]:
+    """The settings that a flow list or map writes in one line."""
+    if not (text[:1] + text[-1:] in ("[]", "{}")):
+        return {key: _unquoted(text)}
+    out: dict[str, str] = {}
+    for k, part in enumerate(_flow_parts(text)):
+        name, mark, value = part.partition(":") if text[0] == "{" else (str(k), ":", part)
+        if mark:
+            out |= _flow(f"{key}.{_unquoted(name)}", value.strip())
+    return out
+
+
 def settings(path: str) -> dict[str, str]:
     """`key: value` settings; nested keys are joined by dots, list items are numbered from 0.
 
-    Texts behind | keep their lines, those behind > become one line. A value or a whole block may have an anchor (&name), which
+    Lists and maps in one line ([a, b], {k: v}) are named alike. Quoted texts may hold anything. Texts behind | keep their lines, those behind > become one line. A value or a whole block may have an anchor (&name), which
     *name repeats elsewhere; `<<: *name` takes a block's keys over.
     """
     out: dict[str, str] = {}
@@ -281,13 +404,13 @@ def settings(path: str) -> dict[str, str]:
             to = key.removesuffix(".<<")
             out.update({to + k[len(source) :]: v for k, v in list(out.items()) if k == source or k.startswith(source + ".")})
         elif value:
-            out[key] = value.strip().strip("'\"")
+            out.update(_flow(key, value.strip()))
 
     with open(path, encoding="utf-8") as f:
         lines = f.read().splitlines()
     k = 0
     while k < len(lines):
-        text = lines[k].split(" #")[0].rstrip()
+        text = _uncommented(lines[k])
         k += 1
         if not text.strip() or text.lstrip().startswith("#"):
             continue
@@ -299,7 +422,7 @@ def settings(path: str) -> dict[str, str]:
             number = items.get(around, 0)
             items[around] = number + 1
             body = body[2:].strip()
-            if ":" not in body or body[0] in "'\"":
+            if ":" not in body or body[0] in "'\"[{":
                 put(f"{around}.{number}", body)
                 continue
             stack.append((depth, str(number)))
