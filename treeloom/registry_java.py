@@ -12,6 +12,7 @@ from treeloom.dsl.vocabulary import JAVA
 from treeloom.functions import columns as C
 from treeloom.operators import generate, patch, patterns, scopes, treediff
 from treeloom.plans.compiler import NodePlanner, run
+from treeloom.sources import sinks
 from treeloom.sources.files import method_by_signature, parsed
 from treeloom.sources.work import written
 from treeloom.tree.java import parse_unit
@@ -325,6 +326,131 @@ def java_patch(spark, d):
     return out.select("tree_id", "patched", "skipped")
 
 
+# Where the log goes into the loop before it.
+_MOVE = f"({_LOOP}) AND ({_LOG}) AND c_custkey % 4 = 0"
+
+
+def moved_logs(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, before, after): classes whose log moves to the end of the loop before it."""
+    s = sources(spark, d)
+    after = F.when(F.expr(_MOVE), F.regexp_replace("text", r"(\{ use\(i, base\);) \}\n    (log\([^\n]*\);)\n", "$1 $2 }\n")).otherwise(F.col("text"))
+    return s.select(F.col("tree_id").alias("case_id"), F.col("text").alias("before"), after.alias("after"))
+
+
+@query(f"SELECT c_custkey::VARCHAR AS case_id, 'move' AS kind, 'ExpressionStatement' AS node_type, 'ForStatement' AS into_type FROM customer WHERE {_MOVE}")
+def java_not_logic_moves(spark, d):
+    """What a move into a structure node asks not to be there yet: the statement, below the loop whose block it goes to."""
+    edits = treediff.edit_scripts(dealt(moved_logs(spark, d), "case_id"), parse_unit).withColumnRenamed("case_id", "tree_id")
+    nodes = nodes_of(spark, d)
+    found = patterns.not_logic(edits, nodes)
+    into = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("into_type"))
+    return found.join(into, ["tree_id", "parent_id"]).select(F.col("tree_id").alias("case_id"), "kind", "node_type", "into_type")
+
+
+@query(f"SELECT c_custkey::VARCHAR AS tree_id, 'check' AS name FROM customer WHERE {_LOG} AND NOT ({_MOVE})")
+def java_generated_not_in(spark, d):
+    """The query generated from a pattern that moves a call into a loop finds the classes where it hasn't been moved yet."""
+    unit = parse_unit('class P { int check(int balance, String segment) { for (int i = 0; i < 3; i++) { use(i, 3); } log(segment, "BUILDING"); return 1; } }')
+    method = next(n for n, _ in preorder(unit) if n.node_type == "MethodDeclaration")
+    order = [n for n, _ in preorder(method)]
+    call = next(i for i, n in enumerate(order) if n.node_type == "MethodInvocation" and n.name == "log")
+    loop = next(i for i, n in enumerate(order) if n.node_type == "ForStatement")
+    texts = moved_logs(spark, d).select(F.col("case_id").alias("tree_id"), F.col("after").alias("text"))
+    nodes = written(parsed(dealt(texts), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+    return run(generate.generate_text(method, {call}, moved=[(call, loop)]), NodePlanner(nodes, JAVA), JAVA).select("tree_id", "name")
+
+
+# Names in expressions: of `base = balance + limit` and `base * 2`, and of the parts.
+_NAMES = f"(3 + ({_IF})::INT * 2 + ({_LOOP})::INT * 5 + ({_LOG})::INT + ({_TRY})::INT * 2)"
+
+
+@query(f"""WITH n AS (SELECT c_custkey::VARCHAR AS tree_id, {_NAMES} AS n FROM customer)
+  SELECT tree_id, least({patterns.MAX_INSTANCES}, n * (n - 1) * (n - 2))::INT AS instances, least({patterns.USED_INSTANCES}, n * (n - 1) * (n - 2))::INT AS used, n AS options FROM n""")
+def java_instances(spark, d):
+    """Three names of a pattern fit any names of a class, each once: all assignments up to the cap, of which the first few are used."""
+    picked = [i for i, (n, _) in enumerate(preorder(parse_unit(_BEFORE))) if n.node_type == "SimpleName"][:3]
+    made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "SimpleName", ("type",)).where(F.col("node_id").isin(picked))
+    names = nodes_of(spark, d).where("node_type = 'SimpleName'")
+    found = patterns.match_instances(patterns.candidates(made, names), made)
+    each = found.select("tree_id", "instance").distinct().groupBy("tree_id").agg(
+        F.count("*").cast("int").alias("instances"), F.count_if(F.col("instance") < patterns.USED_INSTANCES).cast("int").alias("used")
+    )
+    return each.join(names.groupBy("tree_id").agg(F.count("*").cast("int").alias("options")), "tree_id")
+
+
+def _text_sql(log: str, factor: str = "2", early: str = "''") -> str:
+    """A class as the printer writes it, with something else for the log, and early behind the declaration."""
+    return f"""'class C' || c_custkey || ' {{ private int limit = ' || c_nationkey || ' ; public ' || CASE WHEN {_STATIC} THEN 'static ' ELSE '' END ||
+  'int check ( int balance , String segment ) {{ int base = balance + limit ; ' || {early} || CASE WHEN {_IF} THEN 'if ( balance > ' || c_nationkey || ' ) {{ return base ; }} ' ELSE '' END ||
+  CASE WHEN {_LOOP} THEN 'for ( int i = 0 ; i < base ; i ++ ) {{ use ( i , base ) ; }} ' ELSE '' END || {log} ||
+  CASE WHEN {_TRY} THEN 'try {{ send ( base ) ; }} catch ( Exception e ) {{ throw new RuntimeException ( e ) ; }} ' ELSE '' END || 'return base * {factor} ; }} }}'"""
+
+
+_LOG_TEXT = "'log ( segment , \"' || c_mktsegment || '\" ) ; '"
+_P_HEAD = "class P { private int limit = 1; public int check(int balance, String segment) { int "
+# of equal candidates the first one counts: where the limit is the same literal, that is the limit's
+_UPDATED = f"CASE WHEN c_nationkey = 2 THEN replace({_text_sql(_LOG_TEXT)}, 'limit = 2 ;', 'limit = 3 ;') ELSE {_text_sql(_LOG_TEXT, '3')} END"
+#: Changes by name: before, after, and the printed class.
+_CHANGES = {
+    "delete": (_P_HEAD + 'base = balance + limit; log(segment, "BUILDING"); return base * 2; } }', _P_HEAD + "base = balance + limit; return base * 2; } }", _text_sql("''")),
+    "update": (_P_HEAD + 'base = balance + limit; log(segment, "BUILDING"); return base * 2; } }', _P_HEAD + 'base = balance + limit; log(segment, "BUILDING"); return base * 3; } }', _UPDATED),
+    "move": (
+        _P_HEAD + 'base = balance + limit; log(segment, "BUILDING"); return base * 2; } }', _P_HEAD + 'base = balance + limit; while (ready) { log(segment, "BUILDING"); } return base * 2; } }',
+        _text_sql("''", early=f"'while ( ready ) {{ ' || {_LOG_TEXT} || '}} '"),  # the new statement goes behind what stands before it in the pattern
+    ),
+    "rename": (
+        _P_HEAD + 'sum = balance + limit; log(segment, "BUILDING"); return sum * 2; } }', _P_HEAD + 'sum = balance + limit; log(segment, "BUILDING"); audit(sum, 1); return sum * 2; } }',
+        _text_sql(f"{_LOG_TEXT} || 'audit ( base , 1 ) ; '"),
+    ),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS pattern_id, c_custkey::VARCHAR AS tree_id, {text} AS patched FROM customer WHERE {_LOG}" for name, (_, _, text) in _CHANGES.items()))
+def java_patch_kinds(spark, d):
+    """Patterns that delete, update, move and use another variable's name, applied to every class with their log, and printed."""
+    texts = sources(spark, d).select("tree_id", "text")
+    block = lambda n, p: n.node_type == "Block" and _method_and_call(n, p)
+    call = lambda n, p: n.node_type != "Block" and _method_and_call(n, p)
+    sums = lambda n, p: n.node_type in ("ReturnStatement", "InfixExpression", "NumberLiteral") and n.label != "1"
+    declared = lambda n, p: n.node_type == "VariableDeclarationStatement"
+    made = None
+    for name, (before, _, _) in _CHANGES.items():
+        # a short block may hold more of the pattern's tokens than the method's own, so tokens don't count there
+        part = pattern_table(spark, before, block, ("location", "type")).unionByName(pattern_table(spark, before, call, ("location", "name", "type", "token")))
+        if name == "update":
+            part = part.unionByName(pattern_table(spark, before, sums, ("location", "type", "token")))
+        if name == "rename":
+            part = part.unionByName(pattern_table(spark, before, declared, ("location", "type")))
+        part = part.withColumn("pattern_id", F.lit(name))
+        made = part if made is None else made.unionByName(part)
+    kinds = ("Block", "ExpressionStatement", "MethodInvocation", "ReturnStatement", "InfixExpression", "NumberLiteral", "VariableDeclarationStatement")
+    made = written(made, "patterns")
+    found = patterns.candidates(made, nodes_of(spark, d).where(F.col("node_type").isin(*kinds)))
+    first = patterns.match_instances(found, made).where("instance = 0")
+    return patch.patched(texts, first, {k: v[:2] for k, v in _CHANGES.items()}, parse_unit, strategy="sibling").select("pattern_id", "tree_id", "patched")
+
+
+@query(f"SELECT c_custkey::VARCHAR AS tree_id, '{{\"detected\":' || CASE WHEN {_LOG} THEN 'true' ELSE 'false' END || ',\"results\":[' || CASE WHEN {_LOG} THEN '{{\"file\":\"C' || c_custkey || '.java\",\"signature\":\"int?check?int,String\"}}' ELSE '' END || ']}}' AS json FROM customer")
+def java_detection_json(spark, d):
+    """Parse, match, detect, and what is written of it: one JSON object a class."""
+    made = pattern_table(spark, _BEFORE, _method_and_call, ("location", "name", "type"))
+    nodes = nodes_of(spark, d)
+    pairs = patterns.candidates(made, nodes.where("node_type IN ('Block', 'ExpressionStatement', 'MethodInvocation')"))
+    found = patterns.detect(patterns.match_instances(pairs, made)).select("tree_id", F.lit(True).alias("hit"))
+    signature = methods(nodes).select("tree_id", F.try_element_at("props", F.lit("signature")).alias("signature"))
+    rows = signature.join(found, "tree_id", "left")
+    file = F.when(F.col("hit"), F.concat(F.lit("C"), "tree_id", F.lit(".java")))
+    return sinks.detection_json(rows.select("tree_id", file.alias("file"), F.when(F.col("hit"), F.col("signature")).alias("signature")), ["tree_id"])
+
+
+@query(f"SELECT c_custkey::VARCHAR AS tree_id, {_CLASS_NODES} AS n, 1 AS roots FROM customer")
+def java_node_json(spark, d):
+    """A class's nodes as a JSON list, read back."""
+    lists = sinks.node_json(nodes_of(spark, d))
+    back = lists.select("tree_id", F.explode(F.from_json("json", "array<struct<id:long,parent_id:long,type:string,leaf:boolean>>")).alias("x"))
+    return back.groupBy("tree_id").agg(F.count_if(F.col("x.type").isNotNull()).cast("int").alias("n"), F.count_if(F.col("x.parent_id").isNull()).cast("int").alias("roots"))
+
+
 @query(f"SELECT c_custkey::VARCHAR AS tree_id, 'check' AS name FROM customer WHERE {_LOG} AND c_mktsegment = 'BUILDING' AND NOT ({_TRY})")
 def java_generated_query(spark, d):
     """The query generated from a pattern (a call with its literal, and no call of `send` yet) finds the classes it describes."""
