@@ -148,7 +148,7 @@ def many_to_one_counts(labelled: DataFrame, truths: DataFrame, truth_id: str) ->
 
 def changed_only(warnings: DataFrame, functions: DataFrame, on: list[str], tolerance: int = 1) -> DataFrame:
     """Warnings within a changed function (begin, end; `signature` holds the warning's function name)."""
-    pairs = range_matches(warnings, functions, on, tolerance).where(F.col("signature").contains(F.col("function")))
+    pairs = binned_range_matches(warnings, functions, on, tolerance).where(F.col("signature").contains(F.col("function")))
     return warnings.join(pairs.select("warning_id").distinct(), "warning_id", "left_semi")
 
 

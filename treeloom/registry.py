@@ -569,25 +569,58 @@ def scalar_strings(spark, d):
     return table(spark, d, "part").where("p_size <> 10").select("p_partkey", head.alias("head"), tail.alias("tail"), (F.col("p_size") * 1.0 / (F.col("p_size") - 10)).cast("double").alias("ratio"))
 
 
-@query("""SELECT * FROM (VALUES ('ok', true, '', '', ''),
-  ('operator', false, 'unsupported_property_path', 'unsupported property ''operator'' of binaryOperation', 'ask for the node''s type, or for what it contains'),
-  ('operator', false, 'invalid_value_for_property', 'instanceof is no value of ''operator''; ask whether b_1 is instanceofExpression', 'ask whether b_1 is instanceofExpression'),
-  ('type', false, 'invalid_node_type', 'invalid node type ''noSuchType''', 'use one of the vocabulary''s node types'),
-  ('alias', false, 'missing_alias', 'alias ''j'' is not defined', 'bind the alias in a query around the condition'),
-  ('syntax', false, 'syntax', 'expected '','', found '')''', 'see the grammar')) t(query_id, valid, kind, message, suggestion)""")
+# queries of each kind, by the customer's key k, and what is found in them
+_QUERY_TEXTS = (
+    'functionDeclaration f where f.name == "C{k}";', "binaryOperation b_{k} where b_{k}.operator is instanceof;", 'noSuchType{k} n where n.name == "x";',
+    'ifBlock i where j{k}.condition contain literal l where l.value == "1";', "ifBlock i{k} where and(i{k}.condition);;", 'ifBlock i where i.noSuch{k} == "x";',
+    'ifBlock i{k} where i{k} contain ifBlock i{k} where i{k}.name == "x";', "functionDeclaration f{k} where f{k}.condition contain literal l;",
+)
+_FINDINGS_SQL = """SELECT c_custkey AS query_id, valid, kind, replace(message, '{k}', c_custkey::VARCHAR) AS message, replace(suggestion, '{k}', c_custkey::VARCHAR) AS suggestion
+  FROM customer JOIN (VALUES (0, true, '', '', ''),
+    (1, false, 'unsupported_property_path', 'unsupported property ''operator'' of binaryOperation', 'ask for the node''s type, or for what it contains'),
+    (1, false, 'invalid_value_for_property', 'instanceof is no value of ''operator''; ask whether b_{k} is instanceofExpression', 'ask whether b_{k} is instanceofExpression'),
+    (2, false, 'invalid_node_type', 'invalid node type ''noSuchType{k}''', 'use one of the vocabulary''s node types'),
+    (3, false, 'missing_alias', 'alias ''j{k}'' is not defined', 'bind the alias in a query around the condition'),
+    (4, false, 'syntax', 'expected '','', found '')''', 'see the grammar'),
+    (5, false, 'invalid_property', 'unknown property ''noSuch{k}''', 'use one of the vocabulary''s properties'),
+    (6, false, 'duplicate_alias', 'alias ''i{k}'' is bound twice', 'number the aliases'),
+    (7, true, 'invalid_property', 'functionDeclaration usually has no ''condition''', 'use condition')) t(n, valid, kind, message, suggestion) ON n = c_custkey % 8"""
+
+
+def _query_texts(spark, d):
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    text = F.element_at(F.array(*map(F.lit, _QUERY_TEXTS)), (key % len(_QUERY_TEXTS)).cast("int") + 1)
+    return c.select(key.alias("query_id"), F.replace(text, F.lit("{k}"), key.cast("string")).alias("text"))
+
+
+@query(_FINDINGS_SQL)
 def dsl_validation(spark, d):
-    """Findings on a handful of queries, as a table."""
-    from treeloom.dsl.analyzer import report
+    """Findings on queries that are written from a table's keys."""
+    from treeloom.dsl.analyzer import findings
     from treeloom.dsl.vocabulary import JAVA_STRICT
 
-    texts = {
-        "ok": "binaryOperation b_1 where b_1 is instanceofExpression;",
-        "operator": "binaryOperation b_1 where b_1.operator is instanceof;",
-        "type": 'noSuchType n where n.name == "x";',
-        "alias": 'ifBlock i where j.condition contain literal l where l.value == "1";',
-        "syntax": "ifBlock i where and(i.condition);;",
-    }
-    return spark.createDataFrame(report(texts, JAVA_STRICT), "query_id string, valid boolean, kind string, message string, suggestion string")
+    return findings(_query_texts(spark, d), JAVA_STRICT)
+
+
+@query("SELECT c_nationkey AS author, count(*) FILTER (c_custkey % 8 <> 4) / count(*) AS rate FROM customer GROUP BY 1")
+def dsl_validity_rate(spark, d):
+    """The share of each author's queries that the grammar accepts."""
+    from treeloom.dsl.analyzer import findings
+    from treeloom.dsl.vocabulary import JAVA_STRICT
+
+    found = findings(_query_texts(spark, d), JAVA_STRICT).groupBy("query_id").agg(F.bool_and(F.col("kind") != "syntax").alias("parsed"))
+    authors = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").alias("author"))
+    return authors.join(found, "query_id").groupBy("author").agg((F.count_if("parsed") / F.count("*")).alias("rate"))
+
+
+@query("""WITH w AS (SELECT event_id, user_id, event_type, day(ts) AS line FROM events)
+  SELECT event_id AS warning_id FROM w JOIN customer ON user_id = c_custkey WHERE line BETWEEN 4 AND 16 AND event_type = CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END""")
+def changed_functions(spark, d):
+    """Warnings within a changed function of theirs: by file, lines and the function's name in the signature."""
+    w = table(spark, d, "events").select(F.col("event_id").alias("warning_id"), F.col("user_id").alias("file"), F.dayofmonth("ts").alias("line"), F.col("event_type").alias("function"))
+    name = F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("view")
+    f = table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.lit(5).alias("begin"), F.lit(15).alias("end"), F.concat(F.lit("void "), name, F.lit("(int x)")).alias("signature"))
+    return matching.changed_only(w, f, ["file"]).select("warning_id")
 
 
 @query("""WITH u AS (SELECT event_id, user_id, day(ts) AS place FROM events), f AS (SELECT o_orderkey, o_custkey, day(o_orderdate) AS a, day(o_orderdate) + o_orderkey % 5 AS b FROM orders),
