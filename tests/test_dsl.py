@@ -139,3 +139,15 @@ def test_dialogue_repairs_stores_and_resumes():
     assert again.run("construct") == refined
     with pytest.raises(ValueError):
         again.run("extract")
+
+
+def test_one_shot_refinement(spark):
+    from treeloom.dsl.oneshot import proposed, refined_once
+    from treeloom.dsl.vocabulary import JAVA_STRICT
+
+    assert proposed(None) is None and proposed("no query") is None
+    assert proposed('```\na x where x.name == "1";\n``` or\n```dsl\nb y where y.name == "2";\n```') == 'b y where y.name == "2";'
+    good = 'ifBlock i where i contain returnStatement r;'
+    rows = [(1, "q;", f"use {good} instead"), (2, "q;", None), (3, "q;", "```\nnoSuch n where n contain ifBlock i;\n```"), (4, None, "```\nifBlock where;\n```")]
+    got = {r.query_id: (r.refined, r.status) for r in refined_once(spark.createDataFrame(rows, "query_id long, query string, answer string"), JAVA_STRICT).collect()}
+    assert got == {1: (good, "refined"), 2: ("q;", "unchanged"), 3: ("q;", "invalid"), 4: ("", "invalid")}

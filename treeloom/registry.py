@@ -16,7 +16,7 @@ from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, line_to
 from treeloom.operators import matching, metrics, patterns, sampling, sets
 from treeloom.plans.compiler import NodePlanner, RelationalPlanner, run
 from treeloom.sources.files import parsed
-from treeloom.sources.work import written
+from treeloom.sources.work import dealt, written
 from treeloom.tree.relational import STAR, RelationalForest
 
 FLAGSHIP = "dsl_contain"
@@ -180,8 +180,7 @@ def tree_neighbourhood_k(spark, d):
 
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of all pages: files are dealt out first, as parsing outweighs moving them."""
-    pages = table(spark, d, "pages").select("page_id", "html").repartition(spark.sparkContext.defaultParallelism, "page_id")
-    return parsed(pages, "html", "page_id", "html")
+    return parsed(dealt(table(spark, d, "pages").select("page_id", "html"), "page_id"), "html", "page_id", "html")
 
 
 # pages as SQL sees them: scripts and styles hold one text each, comments part texts
@@ -613,6 +612,30 @@ def dsl_validity_rate(spark, d):
     return authors.join(found, "query_id").groupBy("author").agg((F.count_if("parsed") / F.count("*")).alias("rate"))
 
 
+# recorded answers of each kind, by the customer's key k
+_ANSWERS = (
+    'It should ask for the call, too:\n```dsl\nfunctionDeclaration f where and(f.name == "C{k}", f contain functionCall c);\n```\nas the report shows.',
+    'functionDeclaration g where g.name == "D{k}"; is narrower.', '```\nnoSuchType{k} n where n.name == "x";\n```', "The query is right as it is.",
+    '```\nfunctionDeclaration f where and(f.name == "C{k}");;\n```',
+)
+
+
+@query("""SELECT c_custkey AS query_id, status, replace(refined, '{k}', c_custkey::VARCHAR) AS refined, replace(message, '{k}', c_custkey::VARCHAR) AS message FROM customer JOIN (VALUES
+  (0, 'refined', 'functionDeclaration f where and( f.name == "C{k}", f contain functionCall c );', ''), (1, 'refined', 'functionDeclaration g where g.name == "D{k}";', ''),
+  (2, 'invalid', 'functionDeclaration f where f.name == "C{k}";', 'invalid node type ''noSuchType{k}'''), (3, 'unchanged', 'functionDeclaration f where f.name == "C{k}";', 'the answer has no query'),
+  (4, 'invalid', 'functionDeclaration f where f.name == "C{k}";', 'expected '','', found '')''')) t(n, status, refined, message) ON n = c_custkey % 5""")
+def dsl_one_shot(spark, d):
+    """Queries refined in one go by recorded answers; what neither grammar nor vocabulary accepts changes nothing."""
+    from treeloom.dsl.oneshot import refined_once
+    from treeloom.dsl.vocabulary import JAVA_STRICT
+
+    key = F.col("c_custkey")
+    fill = lambda c: F.replace(c, F.lit("{k}"), key.cast("string"))
+    answer = F.element_at(F.array(*map(F.lit, _ANSWERS)), (key % len(_ANSWERS)).cast("int") + 1)
+    rows = table(spark, d, "customer").select(key.alias("query_id"), fill(F.lit(_QUERY_TEXTS[0])).alias("query"), fill(answer).alias("answer"))
+    return refined_once(rows, JAVA_STRICT)
+
+
 @query("""WITH w AS (SELECT event_id, user_id, event_type, day(ts) AS line FROM events)
   SELECT event_id AS warning_id FROM w JOIN customer ON user_id = c_custkey WHERE line BETWEEN 4 AND 16 AND event_type = CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END""")
 def changed_functions(spark, d):

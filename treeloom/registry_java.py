@@ -14,7 +14,7 @@ from treeloom.operators import generate, patch, patterns, scopes, treediff
 from treeloom.plans.compiler import NodePlanner, run
 from treeloom.sources import sinks
 from treeloom.sources.files import method_by_signature, parsed
-from treeloom.sources.work import written
+from treeloom.sources.work import dealt, written
 from treeloom.tree.java import parse_unit
 from treeloom.tree.nodes import Node, methods, neighbourhood, preorder
 
@@ -58,14 +58,9 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("string").alias("tree_id"), text.alias("text"), *c.columns)
 
 
-def dealt(df: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Dealt out before parsing, which outweighs moving the texts."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def nodes_of(spark: SparkSession, d: str) -> DataFrame:
     """The node table of all classes, written: queries over it read it several times."""
-    return written(parsed(dealt(sources(spark, d).select("tree_id", "text")), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+    return written(parsed(dealt(sources(spark, d).select("tree_id", "text"), "tree_id"), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
 
 
 def ask(spark: SparkSession, d: str, text: str) -> DataFrame:
@@ -356,7 +351,7 @@ def java_generated_not_in(spark, d):
     call = next(i for i, n in enumerate(order) if n.node_type == "MethodInvocation" and n.name == "log")
     loop = next(i for i, n in enumerate(order) if n.node_type == "ForStatement")
     texts = moved_logs(spark, d).select(F.col("case_id").alias("tree_id"), F.col("after").alias("text"))
-    nodes = written(parsed(dealt(texts), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+    nodes = written(parsed(dealt(texts, "tree_id"), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
     return run(generate.generate_text(method, {call}, moved=[(call, loop)]), NodePlanner(nodes, JAVA), JAVA).select("tree_id", "name")
 
 
