@@ -86,3 +86,14 @@ def test_tiers_hold_like_sizes(spark):
     due = s.due(Manifest(1, "{}", shards))
     assert all(len(d) >= 4 and max(x.bytes for x in d) <= 4 * max(1 << 10, min(x.bytes for x in d)) for d in due)
     assert not any(x.bytes >= s.target / 2 for d in due for x in d)
+
+
+def test_repeated_rows_stay_repeated(spark):
+    """Rows that repeat each other, within an arrival and across arrivals, are all kept, through merges too."""
+    s = store(spark)
+    part = rows(0, 20) * 3 + [(None, None, None, None)] * 4
+    for _ in range(5):
+        s.append(spark.createDataFrame(part, SCHEMA).repartition(2), rows_per_shard=16)
+    s.compact()
+    s.vacuum()
+    assert content(s.read()) == sorted(part * 5, key=str)
