@@ -41,6 +41,18 @@ def binned_range_matches(warnings: DataFrame, truths: DataFrame, on: list[str],
     return own.join(cut, [*on, "_bin"]).where(in_range("line", "begin", "end", tolerance)).drop("_bin")
 
 
+def renamed_range_matches(warnings: DataFrame, truths: DataFrame, renames: DataFrame, tolerance: int = 1) -> DataFrame:
+    """Pairs by file, function name and range, where a warning may name its file by an old path (renames: old, new; each old one once).
+
+    Lines may be texts: they are compared as numbers, and what isn't one matches nothing.
+    """
+    paths = renames.select(F.col("old").alias("file"), F.col("new").alias("_new"))
+    number = lambda *names: {c: F.col(c).cast("string").try_cast("long") for c in names}
+    own = lookup(warnings, (paths, ["file"])).withColumn("file", F.coalesce("_new", "file")).drop("_new").withColumns(number("line"))
+    ranges = truths.withColumns(number("begin", "end")).where(F.col("begin") <= F.col("end"))
+    return binned_range_matches(own, ranges, ["file", "function"], tolerance)
+
+
 def matches(warnings: DataFrame, truths: DataFrame, on: list[str], match: Callable[[], Column]) -> DataFrame:
     """Pairs with equal keys for which match(), a condition on their columns, holds."""
     return warnings.join(truths, on).where(match())

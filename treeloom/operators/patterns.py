@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, type_equal
+from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, slot_fits, type_equal
 from treeloom.functions.sequences import lcs_dice_udf, substring_dice_udf
 from treeloom.plans.structural import innermost, inside
 from treeloom.sources.work import written
@@ -57,6 +57,12 @@ register("type", 0.5, False, lambda p, t: class_equal(F.col(f"{p}node_type"), F.
 register("token", 0.5, False, lambda p, t: lcs_dice_udf(F.col(f"{p}tokens"), F.col(f"{t}tokens")))
 
 
+def by_slot() -> dict[str, Attribute]:
+    """The attributes with the location that is meant: a node may stand where its role is, or both are roots. The registered one only tells roots from others."""
+    fits = lambda p, t: slot_fits(F.col(f"{p}role"), F.col(f"{t}role"), F.col(f"{p}parent_id"), F.col(f"{t}parent_id")).cast("double")
+    return REGISTRY | {"location": Attribute("location", REGISTRY["location"].weight, True, fits)}
+
+
 def attributes(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, location, type, name, expr_type, tokens): the five values of every node."""
     return nodes.select("tree_id", "node_id", F.col("role").alias("location"), F.col("node_type").alias("type"), "name", "expr_type", "tokens")
@@ -206,8 +212,9 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     nodes, as the contract has it, from the pattern's few nodes.
     """
     registry = registry or REGISTRY
-    p = patterns.select(F.col("pattern_id"), "considered_attrs", *[F.col(c).alias(f"p_{c}") for c in ("node_id", "parent_id", "name", "expr_type", "node_type", "tokens")])
-    t = targets.select(F.col("tree_id").alias("t_tree_id"), *[F.col(c).alias(f"t_{c}") for c in ("node_id", "parent_id", "name", "expr_type", "node_type", "tokens")])
+    own = ["node_id", "parent_id", "name", "expr_type", "node_type", "tokens", *(["role"] if "role" in patterns.columns and "role" in targets.columns else [])]
+    p = patterns.select(F.col("pattern_id"), "considered_attrs", *[F.col(c).alias(f"p_{c}") for c in own])
+    t = targets.select(F.col("tree_id").alias("t_tree_id"), *[F.col(c).alias(f"t_{c}") for c in own])
     counts = lambda a: F.coalesce(F.try_element_at("considered_attrs", F.lit(a)), F.lit(False))
     by_name = p.where(counts("name") & F.col("p_name").isNotNull()).join(t, F.col("p_name") == F.col("t_name"))
     rest = p.where(~(counts("name") & F.col("p_name").isNotNull()))

@@ -612,6 +612,21 @@ def dsl_validity_rate(spark, d):
     return authors.join(found, "query_id").groupBy("author").agg((F.count_if("parsed") / F.count("*")).alias("rate"))
 
 
+@query("""WITH w AS (SELECT event_id AS warning_id, CASE WHEN user_id % 3 = 0 THEN 'main/' ELSE 'src/' END || user_id AS file, day(ts) AS line, event_type AS function FROM events),
+  t AS (SELECT o_orderkey AS truth_id, CASE WHEN o_custkey % 3 = 0 THEN 'main/' ELSE 'src/' END || o_custkey AS file, day(o_orderdate) AS b, CASE o_orderstatus WHEN 'O' THEN 'click' WHEN 'F' THEN 'view' ELSE 'error' END AS function FROM orders)
+  SELECT warning_id, truth_id FROM w JOIN t ON w.file = t.file AND w.function = t.function WHERE line BETWEEN b - 1 AND b + 3""")
+def range_match_renamed(spark, d):
+    """Warnings and truths by file, function and lines, where a third of the files have been renamed since the warning and all lines are texts."""
+    text = lambda c: c.cast("string")
+    user = F.col("user_id")
+    w = table(spark, d, "events").select(F.col("event_id").alias("warning_id"), F.concat(F.lit("src/"), user).alias("file"), text(F.dayofmonth("ts")).alias("line"), F.col("event_type").alias("function"))
+    path = F.concat(F.when(F.col("o_custkey") % 3 == 0, "main/").otherwise("src/"), "o_custkey")
+    name = F.when(F.col("o_orderstatus") == "O", "click").when(F.col("o_orderstatus") == "F", "view").otherwise("error")
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("truth_id"), path.alias("file"), text(F.dayofmonth("o_orderdate")).alias("begin"), text(F.dayofmonth("o_orderdate") + 2).alias("end"), name.alias("function"))
+    renames = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("src/"), "c_custkey").alias("old"), F.concat(F.lit("main/"), "c_custkey").alias("new"))
+    return matching.renamed_range_matches(w, t, renames).select("warning_id", "truth_id")
+
+
 # recorded answers of each kind, by the customer's key k
 _ANSWERS = (
     'It should ask for the call, too:\n```dsl\nfunctionDeclaration f where and(f.name == "C{k}", f contain functionCall c);\n```\nas the report shows.',

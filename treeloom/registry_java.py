@@ -254,6 +254,10 @@ def java_action_related(spark, d):
     return found.groupBy(F.col("tree_id").alias("case_id")).agg(F.count("*").cast("int").alias("n"))
 
 
+# Names in expressions: of `base = balance + limit` and `base * 2`, and of the parts.
+_NAMES = f"(3 + ({_IF})::INT * 2 + ({_LOOP})::INT * 5 + ({_LOG})::INT + ({_TRY})::INT * 2)"
+
+
 # patterns
 
 _BEFORE = 'class P { private int limit = 1; public int check(int balance, String segment) { int base = balance + limit; log(segment, "BUILDING"); return base * 2; } }'
@@ -264,8 +268,8 @@ def pattern_table(spark: SparkSession, text: str, wanted, counts: tuple[str, ...
     """Considered nodes of a pattern with the attributes that count."""
     order = list(preorder(parse_unit(text)))
     number = {id(n): i for i, (n, _) in enumerate(order)}
-    rows = [("p", i, number.get(id(p)), n.node_type, n.name, n.expr_type, list(n.own_tokens)) for i, (n, p) in enumerate(order) if wanted(n, p)]
-    made = spark.createDataFrame(rows, "pattern_id string, node_id long, parent_id long, node_type string, name string, expr_type string, tokens array<string>")
+    rows = [("p", i, number.get(id(p)), n.node_type, n.name, n.expr_type, list(n.own_tokens), n.role) for i, (n, p) in enumerate(order) if wanted(n, p)]
+    made = spark.createDataFrame(rows, "pattern_id string, node_id long, parent_id long, node_type string, name string, expr_type string, tokens array<string>, role string")
     flags = [x for a in patterns.REGISTRY for x in (F.lit(a), F.lit(a in counts))]
     return made.withColumn("considered_attrs", F.create_map(*flags))
 
@@ -285,6 +289,15 @@ def java_candidates(spark, d):
     return pairs.select("pattern_id", "tree_id", F.round("score", 9).alias("score"))
 
 
+@query(f"""SELECT c_custkey::VARCHAR AS tree_id, 2 * ({_LOOP})::INT + ({_LOG})::INT + 2 * ({_TRY})::INT AS by_slot, {_NAMES} AS by_root FROM customer WHERE {_LOOP} OR {_LOG} OR {_TRY}""")
+def java_slots(spark, d):
+    """Names that may stand where the pattern's argument stands: those that are arguments; the location that only knows roots takes every name."""
+    made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "SimpleName" and n.role == "arguments" and n.name == "segment", ("location", "type"))
+    names = nodes_of(spark, d).where("node_type = 'SimpleName'")
+    n = lambda registry, name: patterns.candidates(made, names, registry=registry).groupBy("tree_id").agg(F.count("*").cast("int").alias(name))
+    return n(patterns.by_slot(), "by_slot").join(n(None, "by_root"), "tree_id")
+
+
 @query(f"SELECT 'p' AS pattern_id, c_custkey::VARCHAR AS tree_id FROM customer WHERE {_LOG}")
 def java_detect(spark, d):
     """Classes in which the pattern's block, statement and call are found together, each under its own parent."""
@@ -355,10 +368,6 @@ def java_generated_not_in(spark, d):
     return run(generate.generate_text(method, {call}, moved=[(call, loop)]), NodePlanner(nodes, JAVA), JAVA).select("tree_id", "name")
 
 
-# Names in expressions: of `base = balance + limit` and `base * 2`, and of the parts.
-_NAMES = f"(3 + ({_IF})::INT * 2 + ({_LOOP})::INT * 5 + ({_LOG})::INT + ({_TRY})::INT * 2)"
-
-
 @query(f"""WITH n AS (SELECT c_custkey::VARCHAR AS tree_id, {_NAMES} AS n FROM customer)
   SELECT tree_id, least({patterns.MAX_INSTANCES}, n * (n - 1) * (n - 2))::INT AS instances, least({patterns.USED_INSTANCES}, n * (n - 1) * (n - 2))::INT AS used, n AS options FROM n""")
 def java_instances(spark, d):
