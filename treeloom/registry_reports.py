@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom import registry_java
 from treeloom.operators import metrics
 from treeloom.sources import files, sinks
-from treeloom.sources.work import work_path
+from treeloom.sources.work import dealt, work_path
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +161,38 @@ def dataset_scan(spark, d):
     cases = files.dataset_cases(found, path.removeprefix("file://"))
     levels = metrics.level_counts(cases, ["dataset", "group"], "case")
     return levels.where("dataset IS NOT NULL AND `group` IS NOT NULL")
+
+
+@query("SELECT (c_custkey // 50)::INT AS block, count(*)::INT AS methods, 0 AS errors FROM customer GROUP BY 1")
+def java_source_files(spark, d):
+    """Source files of up to fifty classes each, listed, decoded and parsed."""
+    classes = registry_java.sources(spark, d)
+    units = classes.groupBy(F.floor(F.col("c_custkey") / 50).cast("int").alias("block")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("value"))
+    path = work_path(spark, "classes")
+    units.write.partitionBy("block").text(path)
+    nodes = files.parsed(dealt(files.source_files(spark, path, "*.txt"), "path"), "java")
+    block = F.regexp_extract("tree_id", "block=([0-9]+)/", 1).cast("int")
+    return nodes.groupBy(block.alias("block")).agg(F.count_if(F.col("node_type") == "MethodDeclaration").cast("int").alias("methods"), F.count("parse_error").cast("int").alias("errors"))
+
+
+@query("""SELECT 'd/' || c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE 'buggy' END || c_custkey AS before, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'fixed' END || c_custkey AS after
+  FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 <> 0""")
+def code_pairs(spark, d):
+    """The before and after file of each folder, by the most preferred pair of names that is whole."""
+    key = F.col("c_custkey").cast("string")
+    one = lambda name, text: F.struct(F.concat(F.lit("d/"), key, F.lit(f"/{name}")).alias("path"), F.concat(F.lit(text), key).alias("text"))
+    none = F.struct(F.lit("d/x/readme.md").alias("path"), F.lit("x").alias("text"))
+    even, whole = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 7 != 0
+    found = F.array(one("buggy.java", "buggy"), F.when(whole, one("fixed.java", "fixed")).otherwise(none), F.when(even, one("Before.java", "b")).otherwise(none), F.when(even, one("after.txt", "a")).otherwise(none))
+    return files.code_pairs(table(spark, d, "customer").select(F.explode(found).alias("x")).select("x.*"))
+
+
+@query("""SELECT 'case' || n_nationkey AS case_id, md5('b' || n_nationkey) AS before_commit_id, 'src/' || n_name || '.java' AS file_path, n_nationkey::VARCHAR AS before_start, (n_nationkey + n_regionkey)::VARCHAR AS before_end FROM nation""")
+def change_info(spark, d):
+    """Change metadata in JSON files, one a case, as it stands beside a pair of files."""
+    n, key = table(spark, d, "nation"), F.col("n_nationkey")
+    info = F.struct(F.md5(F.concat(F.lit("b"), key)).alias("before_commit_id"), F.concat(F.lit("src/"), "n_name", F.lit(".java")).alias("file_path"), key.cast("string").alias("before_start"), (key + F.col("n_regionkey")).cast("string").alias("before_end"))
+    path = work_path(spark, "changes")
+    n.select(F.concat(F.lit("case"), key).alias("case"), F.to_json(info).alias("value")).write.partitionBy("case").text(path)
+    found = files.change_info(spark, path + "/case=*").withColumn("case_id", F.regexp_extract(F.col("_metadata.file_path"), "case=([^/]+)/", 1))
+    return found.select("case_id", "before_commit_id", "file_path", "before_start", "before_end")
