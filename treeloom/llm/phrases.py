@@ -32,7 +32,7 @@ TOP = 2000
 BROADCAST_GRAMS = 1 << 18
 CHUNK_WORDS = 4096
 #: Entries that a task counts before it hands them on.
-HELD_COUNTS = 400_000
+HELD_COUNTS = 250_000
 SPLITS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: No byte of UTF-8; stands between pieces.
 _BOUNDARY = b"\xff"
@@ -57,10 +57,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = defaultdict(Counter)
     size = 0
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, w, f) for lang, counts in held.items() for w, f in counts.items()]
-        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[2] for r in rows], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "f"])
+    def out() -> Iterator[pa.RecordBatch]:
+        while held:  # a language's counts go as soon as they are arrays
+            lang, counts = held.popitem()
+            words, f = pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(f), np.int32))), words, f], names=["lang", "word", "f"])
 
     for lang, words in _texts(batches):
         counts = held[lang]
@@ -72,11 +73,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[None] += len(words) - boundaries
         size += len(counts) - before
         if size >= HELD_COUNTS:
-            yield out()
-            held.clear()
+            yield from out()
             size = 0
-    if held:
-        yield out()
+    yield from out()
 
 
 def _chunks(words: list, size: int, more: int) -> Iterator[tuple[int, list]]:
