@@ -211,3 +211,11 @@ def test_candidates_against_all_pairs(spark):
                 want.add((a[0], a[1], b[0], b[1], round(score, 9)))
     got = {(r.pattern_id, r.p_node, r.tree_id, r.t_node, round(r.score, 9)) for r in patterns.candidates(left, right).collect()}
     assert got == want and len(want) > 100
+
+
+def test_a_block_stays_with_the_method_if_most_of_its_statements_do():
+    loop = "for (int i = 0; i < base; i++) { use(i, base); }"
+    text = "class C { private int limit = 15; public static int check(int balance, String segment) { int base = balance + limit; %s return base * %s; } }"
+    one, two = java.parse_unit(text % (loop, "2")), java.parse_unit(text % ("while (ready) { " + loop + " } audit(base, 1);", "3"))
+    edits = treediff.simplify(treediff.diff(one, two)[0], one)
+    assert sorted(e.kind for e in edits) == ["insert"] * 3 + ["move", "tree-insert", "update"]
