@@ -119,3 +119,10 @@ def _near_pair():
         other = [*words[:k], "other", *words[k + 1 :]]
         if bin(s.fingerprint(" ".join(words)) ^ s.fingerprint(" ".join(other))).count("1") in (1, 2):
             return " ".join(words), " ".join(other)
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    fps = spark.range(1000).select((F.col("id") * 7919).alias("fp"))  # Spark knows that it is small
+    assert "Broadcast" not in s.links(fps)._jdf.queryExecution().executedPlan().toString()

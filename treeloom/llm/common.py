@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.sources.work import file_system, work_path
+from treeloom.sources.work import file_system, shuffled, work_path
 from treeloom.sources.work import written as materialize
 
-__all__ = ["ascii_lower", "bound_batches", "delete_path", "materialize", "slices", "table", "unwrapped", "whole_rows", "work_path"]
+__all__ = ["ascii_lower", "bound_batches", "delete_path", "materialize", "shuffled", "slices", "table", "unwrapped", "whole_rows", "work_path"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()

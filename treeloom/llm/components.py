@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import delete_path, work_path
+from treeloom.llm.common import delete_path, shuffled, work_path
 
 
 def _least(pairs: DataFrame, node: str) -> DataFrame:
@@ -36,13 +36,13 @@ def _large_star(edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> Data
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written, so that both sides of the join are plain shuffles and a node with very many edges can be split
     least = put(_least(both, "u").select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
     down = put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     least = put(_least(down, "u"))
-    linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = down.join(shuffled(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

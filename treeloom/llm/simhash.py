@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import bound_batches, materialize, slices, table, unwrapped, whole_rows
+from treeloom.llm.common import bound_batches, materialize, shuffled, slices, table, unwrapped, whole_rows
 from treeloom.llm.components import connected_components
 
 SEED = 42
@@ -106,10 +106,10 @@ def links(fps: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     exact = F.transform(segments(), lambda s: F.struct(s["seg"].alias("seg"), s["key"].alias("key"), F.lit(0).cast("long").alias("flip")))
     probes = fps.select("fp", F.explode(F.concat(exact, flips)).alias("p")).select("fp", "p.seg", "p.key", "p.flip")
     # a bucket of one holds the fingerprint itself only, unless the key is flipped
-    met = probes.join(sizes.where("n > 1").unionByName(sizes.where("n = 1 AND seg = 0")), ["seg", "key"]).where("n > 1 OR flip <> 0")
+    met = probes.join(shuffled(sizes.where("n > 1").unionByName(sizes.where("n = 1 AND seg = 0"))), ["seg", "key"]).where("n > 1 OR flip <> 0")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    small = met.where(F.col("n") <= large_bucket).join(tables, ["seg", "key"])
+    small = met.where(F.col("n") <= large_bucket).join(shuffled(tables), ["seg", "key"])
     small = small.where((near <= MAX_DISTANCE) & (near > 0) & ((F.col("flip") != 0) | (F.col("fp") < F.col("other"))))
     small = small.select("fp", "other")
 
@@ -119,7 +119,7 @@ def links(fps: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     large = met.where(F.col("n") > large_bucket).select("fp", "flip", start.alias("start"), F.explode(ball).alias("mask"))
     large = large.select("fp", "flip", F.col("start").bitwiseXOR(F.col("mask")).alias("other"))
     large = large.where("flip <> 0 OR fp < other").select("fp", "other")
-    large = large.join(fps.select(F.col("fp").alias("other")), "other", "left_semi").select("fp", "other")
+    large = large.join(shuffled(fps.select(F.col("fp").alias("other"))), "other", "left_semi").select("fp", "other")
     return small.unionByName(large).select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
@@ -127,15 +127,15 @@ def _components(rows: DataFrame) -> DataFrame:
     """(fp, root, component_id) of the distinct rows.fp; root is the component's own fingerprint, whatever ids it has."""
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(shuffled(roots), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
-    return rooted.join(named, "root").select("fp", "root", "component_id")
+    return rooted.join(shuffled(named), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (smallest id that links reach, itself included) of every row."""
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    out = rows.join(_components(rows).drop("root"), "fp")
+    out = rows.join(shuffled(_components(rows).drop("root")), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -155,9 +155,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = lambda c, name: F.col("row").getField(c).alias(name)
     rows = stored.select(F.struct(own(id_col, "id"), "key", "at").alias("both"), own(text_col, "text"))
     rows = materialize(fingerprints(rows, "both", "text").select("id.id", "id.key", "id.at", "fp"), "simhash")
-    least = rows.join(_components(rows), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    least = rows.join(shuffled(_components(rows)), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = materialize(least.groupBy("root").agg(F.min(F.struct("key", "at")).alias("first")).select("first.at"), "simhash-kept")
-    gone = materialize(rows.select("at").join(kept, "at", "left_anti"), "simhash-gone")
+    gone = materialize(rows.select("at").join(shuffled(kept), "at", "left_anti"), "simhash-gone")
     return unwrapped(stored.select("row", "at").join(gone, "at", "left_anti"), docs.columns)
 
 

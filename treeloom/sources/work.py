@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the data: shuffled, not broadcast, however small its files are (they are compressed, what a broadcast holds isn't)."""
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key before work that outweighs moving it (parsing, comparing): over all cores, and over as many parts as shuffles have, which a cluster sets by its data."""
     spark = df.sparkSession
