@@ -219,3 +219,19 @@ def test_a_block_stays_with_the_method_if_most_of_its_statements_do():
     one, two = java.parse_unit(text % (loop, "2")), java.parse_unit(text % ("while (ready) { " + loop + " } audit(base, 1);", "3"))
     edits = treediff.simplify(treediff.diff(one, two)[0], one)
     assert sorted(e.kind for e in edits) == ["insert"] * 3 + ["move", "tree-insert", "update"]
+
+
+def test_node_tables_are_not_broadcast(spark):
+    from treeloom.sources.files import parsed
+    from treeloom.sources.work import written
+
+    texts = spark.createDataFrame([("1", "class A { void f(int a) { int b = a; g(b); } }")], "tree_id string, text string")
+    nodes = written(parsed(texts, "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(scopes.with_data_deps(nodes)) + plan(scopes.by_statement(nodes))
+    made = registry_java.pattern_table(spark, "class P { void f(int a) { g(a); } }", lambda n, p: n.node_type == "MethodInvocation", ("name", "type", "token"))
+    # a pattern made in the driver is broadcast, not shuffled with its targets by their few types
+    pairs = patterns.candidates(made, nodes)
+    assert "BroadcastHashJoin" in plan(pairs) and [tuple(r)[:2] for r in pairs.select("tree_id", "t_node").collect()] == [
+        (r.tree_id, r.node_id) for r in nodes.where("node_type = 'MethodInvocation'").collect()
+    ]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.operators.treediff import Edit, Item, diff_with_origins, items
+from treeloom.sources.work import shuffled
 from treeloom.tree.nodes import Node, allow_depth
 from treeloom.tree.printing import source_of
 
@@ -115,7 +116,7 @@ def patched(texts: DataFrame, instances: DataFrame, changes: dict[str, tuple[str
     text that can't be read gives a row with its error.
     """
     bound = instances.groupBy("pattern_id", "tree_id", "instance").agg(F.map_from_entries(F.collect_list(F.struct("p_node", "t_node"))).alias("binding"))
-    rows = texts.select("tree_id", "text").join(bound, "tree_id").select("pattern_id", "tree_id", "instance", "text", "binding")
+    rows = texts.select("tree_id", "text").join(shuffled(bound), "tree_id").select("pattern_id", "tree_id", "instance", "text", "binding")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {}

@@ -7,18 +7,20 @@ make a weighted score. The search for one-to-one assignments is exponential in t
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from treeloom.functions.columns import UNKNOWN_TYPE, class_equal, name_equal, slot_fits, type_equal
 from treeloom.functions.sequences import lcs_dice_udf, substring_dice_udf
 from treeloom.plans.structural import innermost, inside
-from treeloom.sources.work import written
+from treeloom.sources.work import shuffled, written
 
 # Fixed values of the matcher and of the frequency abstraction.
 SCORE_THRESHOLD = 0.2
@@ -209,9 +211,11 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     patterns: considered nodes with pattern_id and considered_attrs. Pairs meet by equi-joins: on the name where it counts, else
     on the node type; pairs of different types need common tokens for a score, so they meet on tokens, the most frequent of which
     (brackets, commas) aren't needed as keys. Nodes none of whose attributes count fit every node and score 1: they meet all
-    nodes, as the contract has it, from the pattern's few nodes.
+    nodes, as the contract has it, from the pattern's few nodes. The patterns are written first: of a table made in the driver Spark
+    doesn't know that it is small, and would shuffle the targets by their few types or broadcast them.
     """
     registry = registry or REGISTRY
+    patterns = written(patterns, "patterns")
     own = ["node_id", "parent_id", "name", "expr_type", "node_type", "tokens", *(["role"] if "role" in patterns.columns and "role" in targets.columns else [])]
     p = patterns.select(F.col("pattern_id"), "considered_attrs", *[F.col(c).alias(f"p_{c}") for c in own])
     t = targets.select(F.col("tree_id").alias("t_tree_id"), *[F.col(c).alias(f"t_{c}") for c in own])
@@ -229,7 +233,7 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     token = _rarest_tokens(rest.where(counts("token")).withColumn("_d", least), t)
     other = t.withColumn("_k", F.explode(F.array_distinct("t_tokens")))
     met = token.select("pattern_id", "p_node_id", "_k").join(other.select("t_tree_id", "t_node_id", "_k"), "_k").select("pattern_id", "p_node_id", "t_tree_id", "t_node_id").distinct()
-    by_token = rest.join(met, ["pattern_id", "p_node_id"]).join(t, ["t_tree_id", "t_node_id"]).where(F.col("p_node_type") != F.col("t_node_type"))
+    by_token = rest.join(met, ["pattern_id", "p_node_id"]).join(shuffled(t), ["t_tree_id", "t_node_id"]).where(F.col("p_node_type") != F.col("t_node_type"))
     any_node = rest.where(~scored & ~typed).join(t)
     pairs = by_name.unionByName(by_type).unionByName(by_expr).unionByName(by_token).unionByName(any_node)
     ok = F.lit(True)
@@ -293,29 +297,45 @@ def assignments(options: dict[int, list[int]], p_parent: dict[int, int | None],
 
 
 def match_instances(pairs: DataFrame, patterns: DataFrame, lenient: bool = False, cap: int = MAX_INSTANCES) -> DataFrame:
-    """(pattern_id, tree_id, instance, p_node, t_node, score). A considered node without candidates fails the match unless lenient."""
-    sizes = patterns.groupBy("pattern_id").agg(F.count("*").alias("n_nodes"))
-    seen = ordered_candidates(pairs).join(sizes, "pattern_id")
+    """(pattern_id, tree_id, instance, p_node, t_node, score). A considered node without candidates fails the match unless lenient.
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        cols = ["pattern_id", "tree_id", "instance", "p_node", "t_node", "score"]
-        rows = rows.sort_values(["p_node", "rank"], kind="stable")
+    Pairs are dealt by pattern and tree and sorted, so that a task meets the options of a pattern node best first and holds one tree's pairs at a time.
+    """
+    sizes = written(patterns.groupBy("pattern_id").agg(F.count("*").alias("n_nodes")), "pattern-sizes")
+    seen = pairs.select("pattern_id", "tree_id", "p_node", "p_parent", "t_node", "t_parent", "score").join(sizes, "pattern_id")
+    seen = seen.repartition("pattern_id", "tree_id").sortWithinPartitions("pattern_id", "tree_id", "p_node", F.desc("score"), "t_node")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    fields = f"pattern_id {kinds['pattern_id']}, tree_id {kinds['tree_id']}, instance int, p_node long, t_node long, score double"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+
+    def search(key: tuple, rows: list[tuple], out: list[tuple]) -> None:
         options: dict[int, list[int]] = defaultdict(list)
         score, pp, tp = {}, {}, {}
-        for r in rows.itertuples():
-            options[r.p_node].append(r.t_node)
-            score[r.p_node, r.t_node] = r.score
-            pp[r.p_node] = None if pd.isna(r.p_parent) else int(r.p_parent)
-            tp[r.t_node] = None if pd.isna(r.t_parent) else int(r.t_parent)
-        if not lenient and len(options) < rows["n_nodes"].iloc[0]:
-            return pd.DataFrame(columns=cols)
-        key = (rows["pattern_id"].iloc[0], rows["tree_id"].iloc[0])
-        out = [(*key, k, p, t, score[p, t]) for k, a in enumerate(assignments(options, pp, tp, cap)) for p, t in sorted(a.items())]
-        return pd.DataFrame(out, columns=cols)
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    schema = f"pattern_id {kinds['pattern_id']}, tree_id {kinds['tree_id']}, instance int, p_node long, t_node long, score double"
-    return seen.groupBy("pattern_id", "tree_id").applyInPandas(search, schema)
+        for p, p_up, t, t_up, s, _ in rows:
+            options[p].append(t)
+            score[p, t], pp[p], tp[t] = s, p_up, t_up
+        if lenient or len(options) >= rows[0][-1]:
+            out += [(*key, k, p, t, score[p, t]) for k, a in enumerate(assignments(options, pp, tp, cap)) for p, t in sorted(a.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        key, rows, out = None, [], []
+        for batch in batches:
+            for pattern, tree, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (pattern, tree) != key:
+                    if rows:
+                        search(key, rows, out)
+                    key, rows = (pattern, tree), []
+                    if len(out) >= 10_000:
+                        yield made(out)
+                        out = []
+                rows.append(row)
+        if rows:
+            search(key, rows, out)
+        if out:
+            yield made(out)
+
+    return seen.select("pattern_id", "tree_id", "p_node", "p_parent", "t_node", "t_parent", "score", "n_nodes").mapInArrow(run, fields)
 
 
 def expected_found(results: DataFrame, expected: DataFrame, on: tuple[str, ...] = ("file", "signature")) -> DataFrame:
@@ -336,11 +356,11 @@ def edit_places(operations: DataFrame, mapping: DataFrame, binding: DataFrame, n
     have different ids, of either.
     """
     own = binding.select("tree_id", F.col("p_node").alias("parent_id"), F.col("t_node").alias("_direct"))
-    via = mapping.join(binding, (mapping.tree_id == binding.tree_id) & (mapping.before_id == binding.p_node)).select(
+    via = mapping.join(shuffled(binding), (mapping.tree_id == binding.tree_id) & (mapping.before_id == binding.p_node)).select(
         mapping.tree_id, F.col("after_id").alias("parent_id"), F.col("t_node").alias("_mapped")
     )
     own, via = (own.limit(0), via) if named == "after" else (own, via.limit(0)) if named == "before" else (own, via)
-    out = operations.join(own, ["tree_id", "parent_id"], "left").join(via, ["tree_id", "parent_id"], "left")
+    out = operations.join(shuffled(own), ["tree_id", "parent_id"], "left").join(shuffled(via), ["tree_id", "parent_id"], "left")
     kind = F.when(F.col("_direct").isNotNull(), 1).when(F.col("_mapped").isNotNull(), 2).otherwise(3)
     return out.select(*operations.columns, F.coalesce("_direct", "_mapped").alias("place"), kind.alias("place_type"))
 
@@ -357,7 +377,7 @@ def action_related(operations: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     own = operations.where(F.col("kind").isin("delete", "tree-delete", "move", "update")).select("tree_id", "node_id")
     to = operations.where(F.col("kind").isin("insert", "tree-insert", "move")).select("tree_id", F.col("parent_id").alias("after_id"))
-    to = to.join(mapping, ["tree_id", "after_id"], "left").select("tree_id", F.coalesce("before_id", "after_id").alias("node_id"))
+    to = to.join(shuffled(mapping), ["tree_id", "after_id"], "left").select("tree_id", F.coalesce("before_id", "after_id").alias("node_id"))
     return own.unionByName(to).where("node_id >= 0").distinct()
 
 
@@ -367,28 +387,29 @@ def not_logic(operations: DataFrame, nodes: DataFrame, most: int = MAX_NOT_LOGIC
     operations: an edit script that isn't simplified, so that what inserted blocks and expression statements hold is in it: it stands
     for them, at the first parent above that isn't one. What goes into a moved parent is left out.
     """
+    operations = written(operations, "operations")  # read several times; a script costs the comparison of two trees
     moved = operations.where("kind = 'move'").select("tree_id", F.col("node_id").alias("parent_id"))
     every = operations.where(F.col("kind").isin("insert", "tree-insert")).select("tree_id", "node_id", "parent_id", "node_type")
     wrapper = F.col("node_type").isin("Block", "ExpressionStatement")
     wrappers = every.where(wrapper).select("tree_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_above"))
     ins = every.where(~wrapper)
     for _ in range(2):  # a block around expression statements
-        ins = ins.join(wrappers, ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.coalesce("_above", "parent_id").alias("parent_id"), "node_type")
+        ins = ins.join(shuffled(wrappers), ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.coalesce("_above", "parent_id").alias("parent_id"), "node_type")
     # a node below another inserted one comes with it
     above = every.where(~wrapper).select("tree_id", F.col("node_id").alias("parent_id"))
-    ins = ins.join(above, ["tree_id", "parent_id"], "left_anti").join(moved, ["tree_id", "parent_id"], "left_anti")
+    ins = ins.join(shuffled(above), ["tree_id", "parent_id"], "left_anti").join(shuffled(moved), ["tree_id", "parent_id"], "left_anti")
     ins = ins.select("tree_id", F.lit("insert").alias("kind"), "node_id", "parent_id", "node_type")
     kinds = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"), F.col("parent_id").alias("_up"))
-    into = operations.where("kind = 'move'").select("tree_id", "node_id", "parent_id").join(kinds, ["tree_id", "parent_id"])
+    into = operations.where("kind = 'move'").select("tree_id", "node_id", "parent_id").join(shuffled(kinds), ["tree_id", "parent_id"])
     above = nodes.select("tree_id", F.col("node_id").alias("_up"), F.col("node_type").alias("up_type"))
-    into = into.join(above, ["tree_id", "_up"], "left")
+    into = into.join(shuffled(above), ["tree_id", "_up"], "left")
     lifted = (F.col("parent_type") == "Block") & (F.coalesce("up_type", F.lit("")) != "TryStatement")
     into = into.select("tree_id", "node_id", F.when(lifted, F.col("_up")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(lifted, F.col("up_type")).otherwise(F.col("parent_type")).alias("to_type"))
     own = nodes.select("tree_id", "node_id", "node_type")
-    into = into.where(F.col("to_type").isin(*STRUCTURE_TYPES)).join(own, ["tree_id", "node_id"]).select("tree_id", F.lit("move").alias("kind"), "node_id", "parent_id", "node_type")
+    into = into.where(F.col("to_type").isin(*STRUCTURE_TYPES)).join(shuffled(own), ["tree_id", "node_id"]).select("tree_id", F.lit("move").alias("kind"), "node_id", "parent_id", "node_type")
     found = ins.unionByName(into)
     few = found.groupBy("tree_id", "kind").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("tree_id", "kind")
-    return found.join(few, ["tree_id", "kind"], "left_semi")
+    return found.join(shuffled(few), ["tree_id", "kind"], "left_semi")
 
 
 def walk_verdicts(nodes: DataFrame, verdicts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -426,11 +447,11 @@ def identifier_definitions(uses: DataFrame, defs: DataFrame) -> DataFrame:
     local = defs.where(~F.col("is_global")).select(*key, F.col("def_id").alias("range_id"), F.col("scope_start").alias("start"), F.col("scope_end").alias("end"))
     points = uses.select(*key, F.col("use_id").alias("point_id"), F.col("start").alias("at"), F.col("end").alias("until"))
     found = innermost(points, local, key).select(*key, F.col("point_id").alias("use_id"), F.col("range_id").alias("def_id"))
-    left = uses.select(*key, "use_id", "start", "end").join(found.select(*key, "use_id"), [*key, "use_id"], "left_anti")
-    wide = left.join(defs.where("is_global").select(*key, "def_id", "scope_start", "scope_end"), key).where((F.col("scope_start") <= F.col("start")) & (F.col("scope_end") >= F.col("end")))
+    left = uses.select(*key, "use_id", "start", "end").join(shuffled(found.select(*key, "use_id")), [*key, "use_id"], "left_anti")
+    wide = left.join(shuffled(defs.where("is_global").select(*key, "def_id", "scope_start", "scope_end")), key).where((F.col("scope_start") <= F.col("start")) & (F.col("scope_end") >= F.col("end")))
     first = wide.groupBy(*key, "use_id").agg(F.min(F.struct((F.col("scope_end") - F.col("scope_start")).alias("size"), "scope_start", "def_id")).alias("first"))
     found = found.unionByName(first.select(*key, "use_id", F.col("first.def_id").alias("def_id")))
-    return uses.join(found, [*key, "use_id"], "left")
+    return uses.join(shuffled(found), [*key, "use_id"], "left")
 
 
 def use_index(uses: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from treeloom.operators.patterns import identifier_definitions
 from treeloom.plans.structural import innermost, last_below
+from treeloom.sources.work import shuffled
 
 # Nodes that define a variable.
 LOCAL = ("SingleVariableDeclaration", "VariableDeclarationFragment", "VariableDeclarationStatement", "VariableDeclarationExpression")
@@ -28,11 +29,11 @@ def definitions(nodes: DataFrame) -> DataFrame:
     own = own.withColumn("_of", F.when(F.col("node_type") == "VariableDeclarationFragment", F.col("parent_id")).otherwise(F.col("node_id")))
     above = nodes.select("tree_id", F.col("node_id").alias("_of"), F.col("parent_id").alias("_above"))
     around = F.when(F.col("node_type") == "VariableDeclarationFragment", F.col("_above")).otherwise(F.col("parent_id"))
-    own = own.join(above, ["tree_id", "_of"], "left").withColumn("parent_id", around)
+    own = own.join(shuffled(above), ["tree_id", "_of"], "left").withColumn("parent_id", around)
     up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("_from"), last_below().alias("_to"))
     kind = nodes.where("role = 'type'").select("tree_id", F.col("parent_id").alias("_of"), F.col("label").alias("type")).groupBy("tree_id", "_of").agg(F.first("type").alias("type"))
     is_global, is_parameter = F.col("node_type").isin(*GLOBAL), F.col("node_type") == "SingleVariableDeclaration"
-    found = own.join(up, ["tree_id", "parent_id"]).join(kind, ["tree_id", "_of"], "left")
+    found = own.join(shuffled(up), ["tree_id", "parent_id"]).join(shuffled(kind), ["tree_id", "_of"], "left")
     return found.select(
         "tree_id", "name", F.col("node_id").alias("def_id"),
         F.when(is_global, F.lit(0).cast("long")).when(is_parameter, F.col("_from")).otherwise(F.col("pre")).alias("scope_start"),
@@ -53,7 +54,7 @@ def resolved(nodes: DataFrame) -> DataFrame:
 def with_data_deps(nodes: DataFrame) -> DataFrame:
     """nodes with data_dep_id: the definition that a name means."""
     found = resolved(nodes).where("def_id IS NOT NULL").select("tree_id", F.col("use_id").alias("node_id"), F.col("def_id").alias("_dep"))
-    return nodes.join(found, ["tree_id", "node_id"], "left").withColumn("data_dep_id", F.col("_dep")).select(*nodes.columns)
+    return nodes.join(shuffled(found), ["tree_id", "node_id"], "left").withColumn("data_dep_id", F.col("_dep")).select(*nodes.columns)
 
 
 def renames(pattern: DataFrame, target: DataFrame, binding: DataFrame) -> DataFrame:
@@ -74,5 +75,5 @@ def by_statement(nodes: DataFrame) -> DataFrame:
     heads = nodes.where(is_statement).select("tree_id", F.col("node_id").alias("statement_id"), F.col("node_type").alias("statement_type"))
     ranges = nodes.where(is_statement).select("tree_id", F.col("node_id").alias("range_id"), F.col("pre").alias("start"), last_below().alias("end"))
     inner = innermost(nodes.select("tree_id", F.col("node_id").alias("point_id"), F.col("pre").alias("at")), ranges, ["tree_id"])
-    inner = inner.select("tree_id", F.col("point_id").alias("node_id"), F.col("range_id").alias("statement_id")).join(heads, ["tree_id", "statement_id"])
+    inner = inner.select("tree_id", F.col("point_id").alias("node_id"), F.col("range_id").alias("statement_id")).join(shuffled(heads), ["tree_id", "statement_id"])
     return inner.groupBy("tree_id", "statement_id", "statement_type").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"))

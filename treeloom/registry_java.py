@@ -14,7 +14,7 @@ from treeloom.operators import generate, patch, patterns, scopes, treediff
 from treeloom.plans.compiler import NodePlanner, run
 from treeloom.sources import sinks
 from treeloom.sources.files import method_by_signature, parsed
-from treeloom.sources.work import dealt, written
+from treeloom.sources.work import dealt, shuffled, written
 from treeloom.tree.java import parse_unit
 from treeloom.tree.nodes import Node, methods, neighbourhood, preorder
 
@@ -130,7 +130,7 @@ def java_scopes(spark, d):
     """Uses of each name by the kind of definition that it means."""
     nodes = nodes_of(spark, d)
     kinds = nodes.select("tree_id", F.col("node_id").alias("def_id"), F.col("node_type").alias("defined_by"))
-    found = scopes.resolved(nodes).join(kinds, ["tree_id", "def_id"])
+    found = scopes.resolved(nodes).join(shuffled(kinds), ["tree_id", "def_id"])
     return found.groupBy("tree_id", "name", "defined_by").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -190,7 +190,7 @@ def java_edit_places(spark, d):
   FROM customer, (VALUES ('moves'), ('no moves')) t(m) WHERE {_WRAP} AND NOT ({_DELETE}) GROUP BY 1""")
 def java_edit_modes(spark, d):
     """A wrapped loop in either mode: one move, or a deleted loop and one inserted."""
-    pairs = changes(spark, d).where(f"({_WRAP}) AND NOT ({_DELETE})").select("case_id", "before", "after")
+    pairs = dealt(changes(spark, d).where(f"({_WRAP}) AND NOT ({_DELETE})").select("case_id", "before", "after"), "case_id")
     out = None
     for mode in ("moves", "no moves"):
         edits = treediff.edit_scripts(pairs, parse_unit, moves=mode == "moves", whole=True)
@@ -203,7 +203,7 @@ def java_edit_modes(spark, d):
 @query(f"""SELECT c_custkey::VARCHAR AS case_id, 'insert' AS kind, 'MethodInvocation' AS node_type FROM customer WHERE {_INSERT}""")
 def java_not_logic(spark, d):
     """What an inserted audit asks not to be there yet: the call, not the statement around it; a while that a loop moves into is left out."""
-    pairs = changes(spark, d).select("case_id", "before", "after")
+    pairs = dealt(changes(spark, d).select("case_id", "before", "after"), "case_id")
     edits = treediff.edit_scripts(pairs, parse_unit).withColumnRenamed("case_id", "tree_id")
     found = patterns.not_logic(edits, nodes_of(spark, d)).where("node_type = 'MethodInvocation'")
     return found.select(F.col("tree_id").alias("case_id"), "kind", "node_type")
@@ -221,7 +221,7 @@ def java_mapping(spark, d):
     edits, mapping = treediff.edits_and_mapping(dealt(changes(spark, d), "case_id"), parse_unit)
     n = lambda df, what, name: df.groupBy("case_id").agg(F.count_if(what).cast("int").alias(name))
     pairs = mapping.groupBy("case_id").agg(F.count_if(F.col("before_id") >= 0).cast("int").alias("kept"), F.count_if(F.col("before_id") < 0).cast("int").alias("made"))
-    out = pairs.join(n(edits, F.col("kind") == "delete", "gone"), "case_id", "left")
+    out = pairs.join(shuffled(n(edits, F.col("kind") == "delete", "gone")), "case_id", "left")
     return out.select("case_id", "kept", F.coalesce("gone", F.lit(0)).alias("gone"), "made")
 
 
@@ -295,7 +295,7 @@ def java_slots(spark, d):
     made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "SimpleName" and n.role == "arguments" and n.name == "segment", ("location", "type"))
     names = nodes_of(spark, d).where("node_type = 'SimpleName'")
     n = lambda registry, name: patterns.candidates(made, names, registry=registry).groupBy("tree_id").agg(F.count("*").cast("int").alias(name))
-    return n(patterns.by_slot(), "by_slot").join(n(None, "by_root"), "tree_id")
+    return n(patterns.by_slot(), "by_slot").join(shuffled(n(None, "by_root")), "tree_id")
 
 
 @query(f"SELECT 'p' AS pattern_id, c_custkey::VARCHAR AS tree_id FROM customer WHERE {_LOG}")
@@ -314,7 +314,7 @@ def java_candidate_order(spark, d):
     nodes = nodes_of(spark, d).where("node_type = 'ExpressionStatement'")
     ranked = patterns.ordered_candidates(patterns.candidates(made, nodes))
     logs = nodes.where("tokens[0] = 'log'").select("tree_id", F.col("node_id").alias("t_node"))
-    return ranked.join(logs, ["tree_id", "t_node"]).select("tree_id", F.col("n").cast("int").alias("n_options"), F.col("rank").cast("int").alias("ranked"))
+    return ranked.join(shuffled(logs), ["tree_id", "t_node"]).select("tree_id", F.col("n").cast("int").alias("n_options"), F.col("rank").cast("int").alias("ranked"))
 
 
 _PATCHED = """'class C' || c_custkey || ' { private int limit = ' || c_nationkey || ' ; public ' || CASE WHEN c_nationkey > 12 THEN 'static ' ELSE '' END ||
@@ -352,7 +352,7 @@ def java_not_logic_moves(spark, d):
     nodes = nodes_of(spark, d)
     found = patterns.not_logic(edits, nodes)
     into = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("into_type"))
-    return found.join(into, ["tree_id", "parent_id"]).select(F.col("tree_id").alias("case_id"), "kind", "node_type", "into_type")
+    return found.join(shuffled(into), ["tree_id", "parent_id"]).select(F.col("tree_id").alias("case_id"), "kind", "node_type", "into_type")
 
 
 @query(f"SELECT c_custkey::VARCHAR AS tree_id, 'check' AS name FROM customer WHERE {_LOG} AND NOT ({_MOVE})")
@@ -379,7 +379,7 @@ def java_instances(spark, d):
     each = found.select("tree_id", "instance").distinct().groupBy("tree_id").agg(
         F.count("*").cast("int").alias("instances"), F.count_if(F.col("instance") < patterns.USED_INSTANCES).cast("int").alias("used")
     )
-    return each.join(names.groupBy("tree_id").agg(F.count("*").cast("int").alias("options")), "tree_id")
+    return each.join(shuffled(names.groupBy("tree_id").agg(F.count("*").cast("int").alias("options"))), "tree_id")
 
 
 def _text_sql(log: str, factor: str = "2", early: str = "''") -> str:
@@ -442,7 +442,7 @@ def java_detection_json(spark, d):
     pairs = patterns.candidates(made, nodes.where("node_type IN ('Block', 'ExpressionStatement', 'MethodInvocation')"))
     found = patterns.detect(patterns.match_instances(pairs, made)).select("tree_id", F.lit(True).alias("hit"))
     signature = methods(nodes).select("tree_id", F.try_element_at("props", F.lit("signature")).alias("signature"))
-    rows = signature.join(found, "tree_id", "left")
+    rows = signature.join(shuffled(found), "tree_id", "left")
     file = F.when(F.col("hit"), F.concat(F.lit("C"), "tree_id", F.lit(".java")))
     return sinks.detection_json(rows.select("tree_id", file.alias("file"), F.when(F.col("hit"), F.col("signature")).alias("signature")), ["tree_id"])
 

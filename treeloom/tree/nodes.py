@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.plans.structural import inside
-from treeloom.sources.work import written
+from treeloom.sources.work import shuffled, written
 
 NODE_FIELDS = (
     "tree_id string, node_id bigint, parent_id bigint, role string, child_kind string, pos int, node_type string, dsl_type string, "
@@ -130,7 +130,7 @@ def tree_of(rows: list[dict]) -> Node | None:
 def methods(nodes: DataFrame, node_type: str = "MethodDeclaration") -> DataFrame:
     """Nodes of a type that have no ancestor of it."""
     own = nodes.where(F.col("node_type") == node_type)
-    return own.join(inside(own, own), ["tree_id", "node_id"], "left_anti")
+    return own.join(shuffled(inside(own, own)), ["tree_id", "node_id"], "left_anti")
 
 
 def flatten(nodes: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def neighbourhood(nodes: DataFrame, seeds: DataFrame, hops: int | None = 1, data
         edges = edges.unionByName(nodes.where(F.col("data_dep_id").isNotNull()).select(*key, F.col("data_dep_id").alias("to")))
     edges = edges.unionByName(edges.select("tree_id", F.col("to").alias("node_id"), F.col("node_id").alias("to")))
     found = seeds.select(*key).distinct().withColumn("hops", F.lit(0))
-    step = lambda df, k: df.join(edges, key).select("tree_id", F.col("to").alias("node_id"), F.lit(k).alias("hops"))
+    step = lambda df, k: df.join(shuffled(edges), key).select("tree_id", F.col("to").alias("node_id"), F.lit(k).alias("hops"))
     if hops is not None and hops <= PLAN_HOPS:
         for k in range(hops):
             found = found.unionByName(step(found, k + 1)).groupBy(*key).agg(F.min("hops").alias("hops"))
@@ -166,7 +166,7 @@ def neighbourhood(nodes: DataFrame, seeds: DataFrame, hops: int | None = 1, data
         new = step(frontier, k).distinct()
         # edges go both ways, so a node met before was met in the last two steps
         for seen in met[-2:]:
-            new = new.join(seen.select(*key), key, "left_anti")
+            new = new.join(shuffled(seen.select(*key)), key, "left_anti")
         frontier = written(new, "frontier")
         if frontier.limit(1).count() == 0:
             break
