@@ -178,6 +178,17 @@ def test_similar_texts_against_all_pairs(spark):
         assert got == want, t
 
 
+def test_similar_texts_meet_only_where_they_are_similar(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    names = [f"Customer#{k:09d}" for k in range(0, 3000, 7)] + ["Customer#000000000"] * 3  # one common beginning, and copies
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(names)], "key int, i int, text string")
+    want = {(i, j) for i, x in enumerate(names) for j, y in enumerate(names) if S.substring_dice(x, y) >= 0.85}
+    monkeypatch.setattr(patterns, "substring_dice_udf", lambda a, b: F.lit(1.0))  # whatever meets is a result
+    got = patterns.similar_texts(df, df.select("key", F.col("i").alias("j"), F.col("text").alias("element")), 0.85)
+    assert {(r.i, r.j) for r in got.collect()} == want
+
+
 def test_common_substring_of_long_texts():
     a, b = "ab" * 4000 + "the middle" + "c" * 5000, "d" * 3000 + "xTHE MIDDLEc" + "e" * 4000
     assert S.common_substring(a, b) == len("the middlec")

@@ -10,6 +10,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -459,35 +460,91 @@ def use_index(uses: DataFrame) -> DataFrame:
     return uses.groupBy("tree_id", "name").agg(F.array_sort(F.collect_list("use_id")).alias("uses"))
 
 
-def _block_sizes(n: Column, share: float) -> Column:
-    """The block length for a text of n letters: a common substring as long as its similarity asks for holds a whole aligned block of it."""
-    need = F.ceil(n * (share / (2 - share)) - 1e-9)
-    return F.greatest(F.lit(1), F.floor((need + 1) / 2)).cast("int")
+#: Texts longer than this many letters stand for lengths of six digits in base two, rounded down.
+EXACT_LENGTH = 63
+#: Window hashes that a task holds before it hands them on.
+HELD_WINDOWS = 1 << 17
+
+
+def _length_class(n: Column) -> Column:
+    """n letters rounded down to six digits in base two, so that texts of any length have few classes; up to EXACT_LENGTH it is n."""
+    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(n.cast("double")) + 1e-12).cast("int") - 5))
+    return (F.floor(n / step) * step).cast("int")
+
+
+def _window_hashes(rows: DataFrame) -> DataFrame:
+    """(key, id, own, other, window) of rows (key, id, text, own, sizes of other and size): the distinct hashes of a text's windows of each size, letters in either case."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = f"key {kinds['key']}, id bigint, own int, other int, window bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, wrap = 0x5851F42D4C957F2D, 1 << 64  # odd, so that it can be divided by
+        powers = inverse = np.ones(1, np.uint64)
+        for batch in batches:
+            key, ids, own = (batch.column(i) for i in range(3))
+            at, other, found, held = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                rows = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))  # noqa: B023
+                columns = [c.take(rows) for c in (key, ids, own)]  # noqa: B023
+                more = [np.concatenate(x) if x else np.zeros(0, d) for x, d in ((other, np.int32), (found, np.int64))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*columns, *map(pa.array, more)], names=["key", "id", "own", "other", "window"])
+
+            for i, (text, sizes) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                codes = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                n = len(codes)
+                if n >= len(powers):
+                    steps = lambda f: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, f, np.uint64)]))  # noqa: E731, B023
+                    powers, inverse = steps(factor), steps(pow(factor, -1, wrap))
+                before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:n])])
+                for x in sizes:
+                    size = x["size"]
+                    if size > n:
+                        continue
+                    windows = np.unique((before[size:] - before[: n + 1 - size]) * inverse[: n + 1 - size]).view(np.int64)
+                    at.append(np.full(len(windows), i))
+                    other.append(np.full(len(windows), x["other"], np.int32))
+                    found.append(windows)
+                    held += len(windows)
+                if held >= HELD_WINDOWS:
+                    yield out()
+                    at, other, found, held = [], [], [], 0
+            yield out()
+
+    return rows.select("key", "id", "own", "text", "sizes").mapInArrow(run, fields)
 
 
 def similar_texts(named: DataFrame, elements: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Pairs of rows with equal keys whose `text` and `element` have a common-substring dice of threshold (over 0) or more; without all pairs.
 
-    Texts of n and m letters need a common substring of t (n + m) / 2 letters, so m is n (2 - t) / t at most, and the substring has
-    t n / (2 - t) letters at least. A substring of 2 q - 1 letters holds one of a text's aligned blocks of q letters, q rounded down to a power of
-    two; the element meets it by its grams of that length. Pairs that meet are verified by a suffix automaton.
+    Texts of n and m letters need a common substring of t (n + m) / 2 letters. Lengths are put into classes, and for each two classes of a
+    key that can be similar both sides give the hashes of all their windows of just that length (of the classes' least lengths): texts up to
+    EXACT_LENGTH letters meet only where they are similar, whatever shorter parts they share. Each text of a key counts once: the pairs of
+    different texts are verified by a suffix automaton, and then their rows are joined.
     """
     t = threshold
-    own = named.withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", F.lower("text")).withColumn("_n", F.char_length("_low"))
-    other = elements.withColumn("_element_row", F.monotonically_increasing_id()).withColumn("_element_low", F.lower("element")).withColumn("_m", F.char_length("_element_low"))
-    own, other = written(own.where("_n > 0"), "similar-texts"), written(other.where("_m > 0"), "similar-elements")
-    power = lambda q: F.pow(F.lit(2), F.floor(F.log2(q.cast("double")))).cast("int")
-    q = power(_block_sizes(F.col("_n"), t))
-    cut = lambda col, starts, size: F.array_distinct(F.transform(starts, lambda i: F.substr(col, i.cast("int"), size)))
-    blocks = own.withColumn("_q", q).select("key", "_row", "_n", "_q", F.explode(cut(F.col("_low"), F.sequence(F.lit(1), F.col("_n") - F.col("_q") + 1, F.col("_q")), F.col("_q"))).alias("_g"))
-    # lengths of the texts that an element can be similar to, and the powers of two that they are cut by
-    least, most = F.ceil(F.col("_m") * (t / (2 - t)) - 1e-9), F.floor(F.col("_m") * ((2 - t) / t) + 1e-9)
-    logs = F.sequence(F.floor(F.log2(power(_block_sizes(least, t)).cast("double"))).cast("int"), F.floor(F.log2(power(_block_sizes(most, t)).cast("double"))).cast("int"))
-    sized = other.select("key", "_element_row", "_m", "_element_low", F.explode(F.transform(logs, lambda k: F.pow(F.lit(2), k).cast("int"))).alias("_q"))
-    grams = sized.where(F.col("_q") <= F.col("_m")).select("key", "_element_row", "_m", "_q", F.explode(cut(F.col("_element_low"), F.sequence(F.lit(1), F.col("_m") - F.col("_q") + 1), F.col("_q"))).alias("_g"))
-    met = blocks.join(grams, ["key", "_q", "_g"]).where(2 * F.least("_n", "_m") >= (t - 1e-9) * (F.col("_n") + F.col("_m"))).select("_row", "_element_row").distinct()
-    pairs = own.drop("_low", "_n").join(met, "_row").join(other.drop("key", "_element_low", "_m"), "_element_row").drop("_row", "_element_row")
-    return pairs.withColumn("similarity", substring_dice_udf("text", "element")).where(F.col("similarity") >= t)
+    own = written(named.where(F.col("key").isNotNull() & (F.char_length("text") > 0)), "similar-texts")
+    other = written(elements.where(F.col("key").isNotNull() & (F.char_length("element") > 0)), "similar-elements")
+
+    def distinct(rows: DataFrame, text: str) -> DataFrame:
+        made = rows.select("key", F.col(text).alias("text")).distinct()
+        return written(made.withColumn("id", F.monotonically_increasing_id()).withColumn("own", _length_class(F.char_length("text"))), "similar-distinct")
+
+    a, b = distinct(own, "text"), distinct(other, "element")
+    longest = lambda df, name: df.groupBy("key", F.col("own").alias(name)).agg(F.max(F.char_length(F.lower("text"))).alias(f"{name}_most"))
+    size = F.ceil(t * (F.col("n") + F.col("m")) / 2 - 1e-9)
+    classes = longest(a, "n").join(longest(b, "m"), "key").withColumn("size", F.greatest(size, F.lit(1)).cast("int"))
+    classes = written(classes.where(F.col("size") <= F.least("n_most", "m_most")).select("key", "n", "m", "size"), "similar-lengths")
+    sizes = lambda x, y: classes.groupBy("key", F.col(x).alias("own")).agg(F.collect_list(F.struct(F.col(y).alias("other"), "size")).alias("sizes"))
+    left = _window_hashes(a.join(sizes("n", "m"), ["key", "own"])).select("key", F.col("id").alias("a_id"), F.col("own").alias("n"), F.col("other").alias("m"), "window")
+    right = _window_hashes(b.join(sizes("m", "n"), ["key", "own"])).select("key", F.col("id").alias("b_id"), F.col("other").alias("n"), F.col("own").alias("m"), "window")
+    met = left.join(shuffled(right), ["key", "n", "m", "window"]).select("a_id", "b_id").distinct()
+    met = met.join(shuffled(a.select(F.col("id").alias("a_id"), "key", "text")), "a_id").join(shuffled(b.select(F.col("id").alias("b_id"), F.col("text").alias("element"))), "b_id")
+    alike = met.select("key", "text", "element").withColumn("similarity", substring_dice_udf("text", "element")).where(F.col("similarity") >= t)
+    pairs = own.join(shuffled(written(alike, "similar-pairs")), ["key", "text"]).join(shuffled(other), ["key", "element"])
+    return pairs.select(*named.columns, *[c for c in elements.columns if c != "key"], "similarity")
 
 
 def similar_elements(named: DataFrame, elements: DataFrame, threshold: float = 0.85, similarity: Callable[[str, str], Column] = substring_dice_udf) -> DataFrame:
