@@ -232,3 +232,16 @@ def test_large_and_deep_trees():
         at.add(Node("t", label="end"), "children")
     edits, pairs = diff(*deep)
     assert len(pairs) == 20_002 and {e.kind for e in edits} == {"update"} and len(edits) == 2000
+
+
+def test_parser_tries_only_what_may_fit(monkeypatch):
+    tried = []
+    trying = java.JavaParser.trying
+    monkeypatch.setattr(java.JavaParser, "trying", lambda self, f: tried.append(f) or trying(self, f))
+    root = java.parse_unit("class C { void m(int b) { a(b, c + d * 2, b > 1); b = c; log(b); } }")
+    assert len(tried) <= 6 and "Opaque" not in {n.node_type for n, _ in preorder(root)}
+    assert [n.node_type for n, _ in preorder(java.parse_unit("class C { void m() { f((a) -> a, b -> { }); } }"))].count("LambdaExpression") == 2
+
+
+def test_an_open_block_at_the_start_ends():
+    assert [c.node_type for c in java.parse_unit("{ { }").children] == ["Opaque"]

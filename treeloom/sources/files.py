@@ -38,6 +38,10 @@ def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFr
     return raw.select("path", decode_text(F.col("content")).alias("text"))
 
 
+#: Rows and tokens of trees that a task makes one batch of; a larger tree is one by itself.
+HELD_TOKENS = 1 << 16
+
+
 def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """NODE_FIELDS rows and parse_error of each text; one that can't be read gives a row with its error only. kind: java or html."""
     fields = f"{NODE_FIELDS}, parse_error string"
@@ -50,17 +54,32 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
 
         allow_depth()
         parse = {"java": parse_unit, "html": parse_html}[kind]
+        pairs = lambda values: [None if x is None else list(x.items()) for x in values]
+        held: list[dict] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            columns = []
+            for f in schema:
+                values = [r.get(f.name) for r in held]  # noqa: B023
+                columns.append(pa.array(pairs(values) if f.name in ("props", "flags") else values, f.type))
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for batch in batches:
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     if not text:
                         raise ValueError("empty")
                     rows = rows_of(str(key), parse(text))
-                    for r in rows:
-                        r["props"], r["flags"] = list(r["props"].items()), list(r["flags"].items())
                 except ValueError as e:
                     rows = [{"tree_id": str(key), "parse_error": str(e)}]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                held += rows
+                size += sum(1 + len(r.get("tokens", ())) for r in rows)
+                if size >= HELD_TOKENS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return texts.select(id_col, text_col).mapInArrow(run, fields)
 

@@ -71,40 +71,41 @@ def rows_of(tree_id: str, root: Node) -> list[dict]:
     """The tree's rows in NODE_FIELDS, parents before children."""
     import hashlib
 
-    order = list(preorder(root))
-    ids = {id(n): i for i, (n, _) in enumerate(order)}
-    parent_of = [ids[id(p)] if p is not None else None for _, p in order]
+    order: list[Node] = []
+    parents: list[int | None] = []
+    kids: list[list[int]] = []
+    depth: list[int] = []
+    stack: list[tuple[Node, int | None]] = [(root, None)]
+    while stack:
+        n, p = stack.pop()
+        i = len(order)
+        order.append(n)
+        parents.append(p)
+        kids.append([])
+        depth.append(0 if p is None else depth[p] + 1)
+        if p is not None:
+            kids[p].append(i)
+        stack += [(c, i) for c in reversed(n.children)]
     digest: list[str] = [""] * len(order)
     tokens: list[list[str]] = [[] for _ in order]
-    post: list[int] = [0] * len(order)
+    size = [1] * len(order)
     for i in range(len(order) - 1, -1, -1):  # children come after their parents
-        n = order[i][0]
-        kids = [ids[id(c)] for c in n.children]
-        text = "\0".join([n.node_type, n.label, *(f"{order[k][0].role}={digest[k]}" for k in kids)])
+        n = order[i]
+        text = "\0".join([n.node_type, n.label, *[f"{order[k].role}={digest[k]}" for k in kids[i]]])
         digest[i] = hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
-        tokens[i] = n.own_tokens or [t for k in kids for t in tokens[k]]
-    rank, stack = 0, [(0, False)] if order else []
-    while stack:
-        i, left = stack.pop()
-        if left:
-            post[i] = rank
-            rank += 1
-            continue
-        stack.append((i, True))
-        stack += [(ids[id(c)], False) for c in reversed(order[i][0].children)]
-    depth: list[int] = []
+        tokens[i] = n.own_tokens or [t for k in kids[i] for t in tokens[k]]
+        if parents[i] is not None:
+            size[parents[i]] += size[i]
     rows = []
     position: dict[tuple[int | None, str], int] = {}
-    for i, (n, _) in enumerate(order):
-        p = parent_of[i]
-        depth.append(0 if p is None else depth[p] + 1)
+    for i, (n, p) in enumerate(zip(order, parents, strict=True)):
         at = position.get((p, n.role), 0)
         position[p, n.role] = at + 1
         rows.append(
             {
                 "tree_id": tree_id, "node_id": i, "parent_id": p, "role": n.role, "child_kind": n.child_kind, "pos": at,
                 "node_type": n.node_type, "dsl_type": n.dsl_type, "is_expr": n.is_expr, "is_leaf": not n.children, "depth": depth[i],
-                "pre": i, "post": post[i], "label": n.label, "name": n.name, "expr_type": n.expr_type, "value": n.value,
+                "pre": i, "post": i + size[i] - 1 - depth[i], "label": n.label, "name": n.name, "expr_type": n.expr_type, "value": n.value,
                 "tokens": tokens[i], "props": n.props, "flags": n.flags, "start_line": n.start_line, "end_line": n.end_line,
                 "data_dep_id": None, "subtree_hash": digest[i],
             }
