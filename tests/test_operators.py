@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,8 +180,6 @@ def test_similar_texts_against_all_pairs(spark):
 
 
 def test_similar_texts_meet_only_where_they_are_similar(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     names = [f"Customer#{k:09d}" for k in range(0, 3000, 7)] + ["Customer#000000000"] * 3  # one common beginning, and copies
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(names)], "key int, i int, text string")
     want = {(i, j) for i, x in enumerate(names) for j, y in enumerate(names) if S.substring_dice(x, y) >= 0.85}
@@ -247,3 +246,18 @@ def test_line_differences_of_long_texts():
     added, deleted, changed = S.line_changes("\n".join(a), "\n".join(b))
     assert (added, deleted, changed) == (7, 5000, 0)
     assert S.line_changes("a\nb\nc", "a\nx\ny\nc\nd") == (1, 0, 2) and S.line_totals(None, "a\nb") == (2, 0)
+
+
+def test_copies_of_names_are_scored_once(spark, tmp_path, monkeypatch):
+    rows = [(k, ["red ring", "red hot ring"][k % 2], "B", 1) for k in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def spy(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([S.lcs_dice(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    monkeypatch.setattr(registry, "lcs_dice_udf", spy)
+    assert registry.sim_join_lcs(spark, str(tmp_path)).count() == 40 * 39 // 2
+    assert scored.value <= 8  # four pairs of names; a plan may ask twice

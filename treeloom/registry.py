@@ -16,7 +16,7 @@ from treeloom.functions.sequences import lcs_dice_udf, line_changes_udf, line_to
 from treeloom.operators import matching, metrics, patterns, sampling, sets
 from treeloom.plans.compiler import NodePlanner, RelationalPlanner, run
 from treeloom.sources.files import parsed
-from treeloom.sources.work import dealt, written
+from treeloom.sources.work import dealt, shuffled, written
 from treeloom.tree.relational import STAR, RelationalForest
 
 FLAGSHIP = "dsl_contain"
@@ -416,9 +416,15 @@ def sim_join_hard_soft(spark, d):
   SELECT a, b, round(score::DOUBLE, 9) AS score FROM j WHERE score > 0.2""")
 def sim_join_lcs(spark, d):
     """Parts of a brand and size whose name tokens are alike in order."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.split("p_name", " ").alias("t"))
-    b = p.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
-    return p.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("score", lcs_dice_udf("t", "u")).where(F.col("score") > patterns.SCORE_THRESHOLD).select("a", "b", F.round("score", 9).alias("score"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("x"))
+    names = p.select("p_brand", "p_size", "x").distinct()
+    met = names.join(names.withColumnRenamed("x", "y"), ["p_brand", "p_size"])
+    # a pair of names is scored once, however many parts and groups have it
+    scored = written(met.select("x", "y").distinct().withColumn("score", lcs_dice_udf(F.split("x", " "), F.split("y", " "))).where(F.col("score") > patterns.SCORE_THRESHOLD), "alike-names")
+    alike = written(met.join(shuffled(scored), ["x", "y"]), "alike-names")
+    b = p.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("x").alias("y"))
+    pairs = p.join(shuffled(alike), ["p_brand", "p_size", "x"]).join(shuffled(b), ["p_brand", "p_size", "y"]).where("a < b")
+    return pairs.select("a", "b", F.round("score", 9).alias("score"))
 
 
 @query("""WITH p AS (SELECT c_custkey, s_suppkey, lower(c_name) AS c, lower(s_name) AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey),
