@@ -61,6 +61,18 @@ def test_long_text_and_long_runs_cross_chunks(spark):
     assert {tuple(r) for r in found.collect()} == plain([("en", text)], min_count=100)
 
 
+@pytest.mark.parametrize("places", [3, 1 << 17])
+def test_large_levels_meet_distinct_words_and_pairs(spark, monkeypatch, places):
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", places)
+    met = []
+    decoded = phrases._decoded
+    monkeypatch.setattr(phrases, "_decoded", lambda blocks, rows: met.append(rows.count()) or decoded(blocks, rows))
+    docs = spark.createDataFrame([(r[1], r[2]) for r in ROWS] + [("a b " * 2000, "de")], "text string, lang string").coalesce(1)
+    found = phrases.collocations(docs, min_count=3, broadcast_grams=0)
+    assert {tuple(r) for r in found.select("lang", "phrase", "a", "l", "r", "n", "score").collect()} == plain([(r.lang, r.text) for r in docs.collect()])
+    assert len(met) == 4 and (places == 3 or max(met) < 40)  # a row a distinct word or pair of a block, not one an occurrence
+
+
 def test_held_counts_are_handed_on(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD_COUNTS", 2)
     batch = spark.createDataFrame([("en", "a b a b c d"), ("en", "a b")], "lang string, text string").toArrow().to_batches()

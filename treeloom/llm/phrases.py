@@ -4,8 +4,8 @@ The first pass counts words and gives each frequent word of a language a number;
 for a rare word or a boundary. A frequent phrase of k words is a pair of two frequent phrases of k-1 words that overlap, so the pass for k
 puts the numbers of the frequent (k-1)-grams in the sequences' places, and counts pairs of neighbouring numbers only where both
 are frequent. Tasks count before the shuffle and hand on their counts when these reach a bound. Numbers come to the
-sequences by a broadcast of the level, as long as it has at most `broadcast_grams` entries, and by a shuffled join beyond that; the rows are
-the same. Each level's table carries the counts of a phrase's beginnings and endings, so cuts are scored without another look at the texts.
+sequences by a broadcast of the level, as long as it has at most `broadcast_grams` words or four times as many pairs. Beyond that sequences
+are coded in blocks of bounded size, and a block's distinct words or pairs meet the level in a shuffled join, a row each; the rows are the same. Each level's table carries the counts of a phrase's beginnings and endings, so cuts are scored without another look at the texts.
 
 Defined cases: a null text counts as empty, a null language as `und`. Texts may be of any length: they are cut into chunks of
 `chunk_words` words, each with the words that follow it. Repeated rows and repeated or null ids count as often as they occur. Ties
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.llm.common import bound_batches, materialize, slices, table
+from treeloom.llm.common import bound_batches, materialize, shuffled, slices, table
 
 MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Levels of more entries come to the sequences by a join: 2^18 words are some 30 MB in each Python worker, as many pairs are 4 MB.
+#: Levels of more words, or four times as many pairs, come to the sequences by a join: 2^18 words are some 30 MB in each Python worker, four times as many pairs 24 MB.
 BROADCAST_GRAMS = 1 << 18
 CHUNK_WORDS = 4096
 #: Entries that a task counts before it hands them on.
@@ -38,6 +38,10 @@ SPLITS = b".,;:!?\x0a\x0b\x0c\x0d"
 _BOUNDARY = b"\xff"
 _LOWER = bytes(0xFF if c in SPLITS else c + 32 if 0x41 <= c <= 0x5A else 0x20 if c == 0x09 else c for c in range(256))
 _CHUNK = "own int, ids array<bigint>"
+#: Places of a block, whose distinct words or pairs meet a level that isn't broadcast.
+BLOCK_WORDS = 1 << 17
+_BLOCK_COLUMNS = ("chunk_own", "lengths", "codes")
+_BLOCK = ", ".join(f"{c} binary" for c in _BLOCK_COLUMNS)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -116,22 +120,70 @@ def _numbered_words(docs: DataFrame, level: DataFrame, small: bool, max_words: i
 
         return docs.mapInArrow(number, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Block] = defaultdict(_Block)
+        size = 0
         for lang, words in _texts(batches):
             for n, part in _chunks(words, chunk_words, max_words - 1):
-                known = pa.array([None if w == _BOUNDARY else w for w in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int32()), pa.array([known], pa.list_(pa.string()))], names=["lang", "own", "words"])
-
-    words = materialize(docs.mapInArrow(split, "lang string, own int, words array<string>").withColumn("chunk", F.monotonically_increasing_id()), "phrase-words")
-    each = words.select("chunk", "lang", "own", F.size("words").alias("n"), F.posexplode("words").alias("pos", "phrase"))
-    return _regrouped(each.join(level.select("lang", "phrase", "id"), ["lang", "phrase"]))
-
-
-def _regrouped(found: DataFrame) -> DataFrame:
-    """chunk, own, ids of rows chunk, own, n, pos, id: a chunk's places are bounded."""
-    at = found.groupBy("chunk").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("at"))
-    zero = F.lit(0).cast("long")
-    return at.select("own", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.coalesce(F.try_element_at("at", i), zero)).alias("ids"), "chunk")
+                held[lang].add(n, part)
+                size += len(part)
+                if size >= BLOCK_WORDS:
+                    yield from (held[x].row(x) for x in held)
+                    held.clear()
+                    size = 0
+        yield from (held[x].row(x) for x in held)
+
+    blocks = materialize(docs.mapInArrow(coded, f"{_BLOCK}, lang string, words array<string>").withColumn("block", F.monotonically_increasing_id()), "phrase-words")
+    met = blocks.select("block", "lang", F.posexplode("words").alias("code", "phrase")).join(level.select("lang", "phrase", "id"), ["lang", "phrase"])
+    return _decoded(blocks, met)
+
+
+class _Block:
+    """Chunks of words of one language; each distinct word has a code from 1, and zero is a boundary."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {_BOUNDARY: 0}
+        self.own: list[int] = []
+        self.parts: list[np.ndarray] = []
+
+    def add(self, own: int, part: list[bytes]) -> None:
+        codes = self.codes
+        self.own.append(own)
+        self.parts.append(np.fromiter((codes.setdefault(w, len(codes)) for w in part), np.int32, len(part)))
+
+    def row(self, lang: str) -> pa.RecordBatch:
+        words = pa.array(list(self.codes)[1:], pa.binary()).cast(pa.string())
+        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pa.RecordBatch.from_arrays([*_packed(self.own, [len(x) for x in self.parts], np.concatenate(self.parts)), pa.array([lang], pa.string()), lists], names=[*_BLOCK_COLUMNS, "lang", "words"])
+
+
+def _packed(own, lengths, codes) -> list[pa.Array]:
+    return [pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in (own, lengths, codes)]
+
+
+def _decoded(blocks: DataFrame, met: DataFrame) -> DataFrame:
+    """chunk, own, ids of blocks and of the numbers that their codes have (block, code from 0, id); a block's codes are bounded."""
+    numbers = met.groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list("id").alias("id"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            own, lengths, codes = (np.frombuffer(batch.column(k)[0].as_py(), np.int32) for k in range(3))
+            code, numbers = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
+            known = np.zeros(max(codes.max(initial=0), code.max(initial=-1) + 1) + 1, np.int64)
+            known[code + 1] = numbers
+            # a zero more at the end of each chunk
+            ends = np.cumsum(lengths + 1, dtype=np.int64)
+            ids = np.zeros(ends[-1], np.int64)
+            last = np.zeros(len(ids), bool)
+            last[ends - 1] = True
+            ids[~last] = known[codes]
+            pairs = np.concatenate([(ids[:-1] != 0) & (ids[1:] != 0), [False]])
+            keep = np.add.reduceat(pairs, ends - lengths - 1) > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(own), lists], names=["own", "ids"]).filter(pa.array(keep))
+
+    whole = blocks.select("block", *_BLOCK_COLUMNS).join(shuffled(numbers), "block").select(*_BLOCK_COLUMNS, "code", "id")
+    return whole.mapInArrow(decode, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +208,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """p, q, f of neighbouring numbers, both of frequent phrases."""
     names = ["p", "q", "f"]
     held = (np.zeros(0, np.int64),) * 3
-    for batch in filter(len, batches):
+    for batch in _gathered(batches, 2 * HELD_COUNTS):
         ids, _, own = _flat(batch)
         here = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0) & own[:-1])
         p, q = ids[here], ids[here + 1]
@@ -197,10 +249,42 @@ def _numbered_pairs(chunks: DataFrame, level: DataFrame, small: bool) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["own", "ids", "chunk"]).filter(pa.array(keep))
 
         return chunks.mapInArrow(number, f"{_CHUNK}, chunk bigint")
-    pair = lambda i: F.struct(i.alias("pos"), F.element_at("ids", i + 1).alias("p"), F.element_at("ids", i + 2).alias("q"))
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size("ids") - 2), pair), lambda x: (x["p"] != 0) & (x["q"] != 0))
-    each = chunks.select("chunk", "own", (F.size("ids") - 1).alias("n"), F.explode(pairs).alias("x")).select("chunk", "own", "n", "x.*")
-    return _regrouped(each.join(level.select("p", "q", "id"), ["p", "q"]))
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, BLOCK_WORDS):
+            ids, ends, _ = _flat(batch)
+            here = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+            p, q, _ = _tallied(ids[here], ids[here + 1], np.ones(len(here), np.int64))
+            codes = np.zeros(len(ids), np.int32)
+            codes[here] = 1 + _places(p, q, ids[here], ids[here + 1])
+            last = np.zeros(len(ids), bool)
+            last[ends - 1] = True
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (p, q)]
+            yield pa.RecordBatch.from_arrays([*_packed(batch.column(0), np.diff(ends, prepend=0) - 1, codes[~last]), *lists], names=[*_BLOCK_COLUMNS, "p", "q"])
+
+    blocks = materialize(chunks.select("own", "ids").mapInArrow(coded, f"{_BLOCK}, p array<bigint>, q array<bigint>").withColumn("block", F.monotonically_increasing_id()), "phrase-pairs")
+    each = blocks.select("block", F.posexplode(F.arrays_zip("p", "q")).alias("code", "x")).select("block", "code", "x.p", "x.q")
+    return _decoded(blocks, each.join(level.select("p", "q", "id"), ["p", "q"]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+    """The same rows of chunks in batches of about so many places, without empty ones."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in slices([batch], max(1, places * batch.num_rows // max(1, len(batch.column(1).flatten())))):
+            held.append(piece)
+            size += len(piece.column(1).flatten())
+            if size >= places:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
+def _places(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where in the sorted pairs (p, q), that hold them all, the pairs (a, b) are."""
+    if p.size and max(p.max(), q.max()) < 1 << 31:
+        return np.searchsorted(p << 32 | q, a << 32 | b)
+    return np.searchsorted(np.rec.fromarrays([p, q], names="p,q"), np.rec.fromarrays([a, b], names="p,q"))
 
 
 def _with_numbers(level: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -262,7 +346,7 @@ def levels(
             break
         found.append(level)
         if k < max_words:
-            chunks = materialize(_numbered_pairs(chunks, level, size <= broadcast_grams), "phrase-sequences")
+            chunks = materialize(_numbered_pairs(chunks, level, size <= 4 * broadcast_grams), "phrase-sequences")
     return found, totals
 
 
