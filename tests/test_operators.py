@@ -261,3 +261,14 @@ def test_copies_of_names_are_scored_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "lcs_dice_udf", spy)
     assert registry.sim_join_lcs(spark, str(tmp_path)).count() == 40 * 39 // 2
     assert scored.value <= 8  # four pairs of names; a plan may ask twice
+
+
+def test_all_pairs_of_a_small_table_are_dealt_over_all_cores(spark, tmp_path):
+    rows = [(k, [None, "red red ring", "red hot ring"][k % 3], "B", 1 + k % 2) for k in range(60)] + [(99, "red", None, 1), (98, "red", None, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.sim_join_hard_soft(spark, str(tmp_path))
+    tokens = lambda k: None if k % 3 == 0 else {"red", "ring"} if k % 3 == 1 else {"red", "hot", "ring"}
+    want = {(a, b): None if tokens(a) is None or tokens(b) is None else round(2 * len(tokens(a) & tokens(b)) / (len(tokens(a)) + len(tokens(b))), 9) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2}
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.a, r.b): r.score for r in got} == want and len(got) == len(want)
+    assert len({r.task for r in got}) > 1  # not all of them by the one task that the table's size asks for

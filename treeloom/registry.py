@@ -402,11 +402,15 @@ def doc_freq_rare(spark, d):
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0 * len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / (len(list_distinct(string_split(a.p_name, ' '))) + len(list_distinct(string_split(b.p_name, ' ')))), 9) AS score
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def sim_join_hard_soft(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split("p_name", " ")).alias("t"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
-    j = p.join(b, ["p_brand", "p_size"]).where("p_partkey < b")
-    score = 2.0 * F.size(F.array_intersect("t", "u")) / (F.size("t") + F.size("u"))
-    return j.select(F.col("p_partkey").alias("a"), "b", F.round(score, 9).alias("score"))
+    """All pairs of parts of a brand and size, whatever their score: a pair of names is scored once a group, and small tables that make many pairs are dealt over all cores."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.struct("p_name").alias("x"))  # structs of nulls are equal, too
+    names = p.select("p_brand", "p_size", "x").distinct()
+    t, u = (F.array_distinct(F.split(F.col(c)["p_name"], " ")) for c in "xy")
+    score = F.round(2.0 * F.size(F.array_intersect(t, u)) / (F.size(t) + F.size(u)), 9).alias("score")
+    alike = names.join(names.withColumnRenamed("x", "y"), ["p_brand", "p_size"]).select("p_brand", "p_size", "x", "y", score)
+    left = dealt(p.join(shuffled(alike), ["p_brand", "p_size", "x"]), "p_brand", "p_size", "y")
+    b = dealt(p.select(F.col("a").alias("b"), "p_brand", "p_size", F.col("x").alias("y")), "p_brand", "p_size", "y")
+    return left.join(shuffled(b), ["p_brand", "p_size", "y"]).where("a < b").select("a", "b", "score")
 
 
 @query("""WITH t AS (SELECT p_partkey, p_brand, p_size, string_split(p_name, ' ') AS t FROM part),

@@ -42,7 +42,7 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df dealt out by key before work that outweighs moving it (parsing, comparing): over all cores, and over as many parts as shuffles have, which a cluster sets by its data."""
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys before work that outweighs moving it (parsing, comparing): over all cores, and over as many parts as shuffles have, which a cluster sets by its data."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
