@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +71,16 @@ def inside(inner: DataFrame, outer: DataFrame, segment: int = SEGMENT) -> DataFr
     return events.withColumn("n", _so_far(step)).where("kind = 0 AND n > 0").select(*KEY)
 
 
+def _changes(batch: pa.RecordBatch, key: Sequence[str]) -> list[bool]:
+    """For each row whether its key differs from that of the row before; nulls are equal. The first row has False."""
+    out = np.zeros(batch.num_rows, bool)
+    for c in key:
+        a, b = batch.column(c)[:-1], batch.column(c)[1:]
+        both_null = pc.and_(pc.is_null(a), pc.is_null(b))
+        out[1:] |= pc.and_(pc.fill_null(pc.not_equal(a, b), True), pc.invert(both_null)).to_numpy(zero_copy_only=False)
+    return out.tolist()
+
+
 def innermost(points: DataFrame, ranges: DataFrame, on: Sequence[str], segment: int = SEGMENT) -> DataFrame:
     """on, point_id, range_id: each point with the innermost range that holds it; points without one are left out.
 
@@ -82,18 +94,21 @@ def innermost(points: DataFrame, ranges: DataFrame, on: Sequence[str], segment:
     until = F.col("until" if "until" in points.columns else "at").cast("long")
     place = F.col("at").cast("long")
     met = points.select(*keys, _segment(place, segment).alias("seg"), place.alias("at"), F.lit(1).alias("kind"), place.alias("first"), until.alias("end"), F.col("point_id").alias("id"))
-    rows = opened.unionByName(met).withColumn("_k", F.struct(*on, "seg"))
-    rows = rows.repartition("_k").sortWithinPartitions("_k", "at", "kind")
+    rows = opened.unionByName(met).repartition(*on, "seg").sortWithinPartitions(*on, "seg", "at", "kind")
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heap = None, []
-        for batch in batches:
-            at, kind, first, end, ids, group = (c.to_pylist() for c in batch.columns[len(on) :])
+        before, heap = None, []
+        for batch in filter(len, batches):
+            at, kind, first, end, ids = (c.to_pylist() for c in batch.columns[len(on) + 1 :])
+            key = [*on, "seg"]
+            starts = _changes(batch, key)
+            starts[0] = before is None or before != batch.slice(0, 1).select(key).to_pylist()
+            before = batch.slice(batch.num_rows - 1).select(key).to_pylist()
             hit, found = [], []
             for i in range(batch.num_rows):
-                if group[i] != key:
-                    key, heap = group[i], []
+                if starts[i]:
+                    heap = []
                 if kind[i] == 0:
                     heappush(heap, (end[i] - first[i], first[i], ids[i], end[i]))
                     continue
@@ -109,4 +124,4 @@ def innermost(points: DataFrame, ranges: DataFrame, on: Sequence[str], segment:
             columns = [taken.column(c) for c in on] + [taken.column("id").cast(pa.int64()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*on, "point_id", "range_id"])
 
-    return rows.select(*on, "at", "kind", "first", "end", "id", "_k").mapInArrow(run, f"{kinds}, point_id long, range_id long")
+    return rows.select(*on, "seg", "at", "kind", "first", "end", "id").mapInArrow(run, f"{kinds}, point_id long, range_id long")
