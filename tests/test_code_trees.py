@@ -235,3 +235,21 @@ def test_node_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" in plan(pairs) and [tuple(r)[:2] for r in pairs.select("tree_id", "t_node").collect()] == [
         (r.tree_id, r.node_id) for r in nodes.where("node_type = 'MethodInvocation'").collect()
     ]
+
+
+@pytest.mark.parametrize("name", ["java_by_statement", "java_slots", "java_candidate_order", "java_generated_query", "java_consider", "java_dsl_flags", "java_dsl_roles"])
+def test_only_columns_that_are_read_are_made(spark, monkeypatch, name):
+    from treeloom.sources import work
+
+    made = []
+    monkeypatch.setattr(registry_java, "written", lambda df, what: made.append((what, df.columns)) or work.written(df, what))
+    registry_java.QUERIES[name](spark, "/root/testdata/sf0.001")
+    columns = next(c for what, c in made if what == "java-nodes")
+    assert "subtree_hash" not in columns and len(columns) < 14
+
+
+def test_some_columns_equal_those_of_whole_rows(spark):
+    texts = spark.createDataFrame([("a", "class A { int f(int x) { return x + 1; } }"), ("b", None)], "id string, text string")
+    columns = ["tree_id", "node_id", "name", "tokens", "parse_error"]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert rows(parsed(texts, "java", "id", "text", ("node_id", "name", "tokens"))) == rows(parsed(texts, "java", "id", "text"))

@@ -58,13 +58,19 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("string").alias("tree_id"), text.alias("text"), *c.columns)
 
 
-def nodes_of(spark: SparkSession, d: str) -> DataFrame:
-    """The node table of all classes, written: queries over it read it several times."""
-    return written(parsed(dealt(sources(spark, d).select("tree_id", "text"), "tree_id"), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+#: Columns of the node table that the query language, candidates and ranges read.
+ASKED = ("node_id", "parent_id", "role", "node_type", "dsl_type", "depth", "pre", "post", "name", "value", "props", "flags")
+PAIRED = ("node_id", "parent_id", "role", "node_type", "name", "expr_type", "tokens")
+RANGED = ("node_id", "node_type", "depth", "pre", "post")
+
+
+def nodes_of(spark: SparkSession, d: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The node table of all classes, or some columns of it, written: queries over it read it several times."""
+    return written(parsed(dealt(sources(spark, d).select("tree_id", "text"), "tree_id"), "java", "tree_id", "text", columns).drop("parse_error"), "java-nodes")
 
 
 def ask(spark: SparkSession, d: str, text: str) -> DataFrame:
-    return run(text, NodePlanner(nodes_of(spark, d), JAVA), JAVA).select("tree_id", "name")
+    return run(text, NodePlanner(nodes_of(spark, d, ASKED), JAVA), JAVA).select("tree_id", "name")
 
 
 @query(f"""SELECT c_custkey::VARCHAR AS tree_id, ({_IF})::INT AS ifs, ({_LOOP})::INT AS loops, ({_TRY})::INT AS tries, ({_LOOP})::INT + ({_LOG})::INT + ({_TRY})::INT AS calls,
@@ -147,7 +153,7 @@ def java_data_deps(spark, d):
   UNION ALL SELECT c_custkey::VARCHAR, 'IfStatement', 5 FROM customer WHERE {_IF}""")
 def java_by_statement(spark, d):
     """Nodes by the innermost statement around them: those of a loop's head and block, and of a guard's."""
-    found = scopes.by_statement(nodes_of(spark, d)).where("statement_type IN ('ForStatement', 'IfStatement')")
+    found = scopes.by_statement(nodes_of(spark, d, RANGED)).where("statement_type IN ('ForStatement', 'IfStatement')")
     return found.select("tree_id", "statement_type", F.size("node_ids").alias("n"))
 
 
@@ -285,7 +291,7 @@ def _method_and_call(n: Node, p: Node | None) -> bool:
 @query(f"SELECT 'p' AS pattern_id, c_custkey::VARCHAR AS tree_id, round(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.5 + 0.5 * 5 / 6 END, 9)::DOUBLE AS score FROM customer WHERE {_LOG}")
 def java_candidates(spark, d):
     """Calls by the pattern's name, scored by type and by the tokens they have in common."""
-    pairs = patterns.candidates(pattern_table(spark, _BEFORE, _calls, ("location", "name", "type", "token")), nodes_of(spark, d))
+    pairs = patterns.candidates(pattern_table(spark, _BEFORE, _calls, ("location", "name", "type", "token")), nodes_of(spark, d, PAIRED))
     return pairs.select("pattern_id", "tree_id", F.round("score", 9).alias("score"))
 
 
@@ -293,7 +299,7 @@ def java_candidates(spark, d):
 def java_slots(spark, d):
     """Names that may stand where the pattern's argument stands: those that are arguments; the location that only knows roots takes every name."""
     made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "SimpleName" and n.role == "arguments" and n.name == "segment", ("location", "type"))
-    names = nodes_of(spark, d).where("node_type = 'SimpleName'")
+    names = nodes_of(spark, d, PAIRED).where("node_type = 'SimpleName'")
     n = lambda registry, name: patterns.candidates(made, names, registry=registry).groupBy("tree_id").agg(F.count("*").cast("int").alias(name))
     return n(patterns.by_slot(), "by_slot").join(shuffled(n(None, "by_root")), "tree_id")
 
@@ -302,7 +308,7 @@ def java_slots(spark, d):
 def java_detect(spark, d):
     """Classes in which the pattern's block, statement and call are found together, each under its own parent."""
     made = pattern_table(spark, _BEFORE, _method_and_call, ("location", "name", "type"))
-    nodes = nodes_of(spark, d)
+    nodes = nodes_of(spark, d, PAIRED)
     pairs = patterns.candidates(made, nodes.where("node_type IN ('Block', 'ExpressionStatement', 'MethodInvocation')"))
     return patterns.detect(patterns.match_instances(pairs, made))
 
@@ -311,7 +317,7 @@ def java_detect(spark, d):
 def java_candidate_order(spark, d):
     """Candidates of the pattern's statement: the log's own statement is the best of all statements with a call."""
     made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "ExpressionStatement", ("type", "token"))
-    nodes = nodes_of(spark, d).where("node_type = 'ExpressionStatement'")
+    nodes = nodes_of(spark, d, PAIRED).where("node_type = 'ExpressionStatement'")
     ranked = patterns.ordered_candidates(patterns.candidates(made, nodes))
     logs = nodes.where("tokens[0] = 'log'").select("tree_id", F.col("node_id").alias("t_node"))
     return ranked.join(shuffled(logs), ["tree_id", "t_node"]).select("tree_id", F.col("n").cast("int").alias("n_options"), F.col("rank").cast("int").alias("ranked"))
@@ -364,7 +370,7 @@ def java_generated_not_in(spark, d):
     call = next(i for i, n in enumerate(order) if n.node_type == "MethodInvocation" and n.name == "log")
     loop = next(i for i, n in enumerate(order) if n.node_type == "ForStatement")
     texts = moved_logs(spark, d).select(F.col("case_id").alias("tree_id"), F.col("after").alias("text"))
-    nodes = written(parsed(dealt(texts, "tree_id"), "java", "tree_id", "text").drop("parse_error"), "java-nodes")
+    nodes = written(parsed(dealt(texts, "tree_id"), "java", "tree_id", "text", ASKED).drop("parse_error"), "java-nodes")
     return run(generate.generate_text(method, {call}, moved=[(call, loop)]), NodePlanner(nodes, JAVA), JAVA).select("tree_id", "name")
 
 
@@ -374,7 +380,7 @@ def java_instances(spark, d):
     """Three names of a pattern fit any names of a class, each once: all assignments up to the cap, of which the first few are used."""
     picked = [i for i, (n, _) in enumerate(preorder(parse_unit(_BEFORE))) if n.node_type == "SimpleName"][:3]
     made = pattern_table(spark, _BEFORE, lambda n, p: n.node_type == "SimpleName", ("type",)).where(F.col("node_id").isin(picked))
-    names = nodes_of(spark, d).where("node_type = 'SimpleName'")
+    names = nodes_of(spark, d, PAIRED).where("node_type = 'SimpleName'")
     found = patterns.match_instances(patterns.candidates(made, names), made)
     each = found.select("tree_id", "instance").distinct().groupBy("tree_id").agg(
         F.count("*").cast("int").alias("instances"), F.count_if(F.col("instance") < patterns.USED_INSTANCES).cast("int").alias("used")
@@ -470,8 +476,8 @@ def java_generated_query(spark, d):
 @query(f"""SELECT c_custkey::VARCHAR AS tree_id, ({_LOG})::INT + ({_TRY})::INT AS rare_calls, ({_LOOP})::INT AS usual_calls FROM customer WHERE {_LOG} OR {_TRY} OR {_LOOP}""")
 def java_consider(spark, d):
     """Called names that a frequency table calls rare, by class; `use` is known to be usual."""
-    nodes = nodes_of(spark, d)
-    frequencies = spark.createDataFrame([("api", "use", 1_000_000), ("api", "log", 5)], "kind string, token string, cnt int")
+    nodes = nodes_of(spark, d, ("node_id", "node_type", "name", "expr_type"))
+    frequencies = written(spark.createDataFrame([("api", "use", 1_000_000), ("api", "log", 5)], "kind string, token string, cnt int"), "frequencies")  # so that its size is known
     near = nodes.select("tree_id", "node_id").limit(0)
     calls = patterns.abstracted("frequency", nodes, frequencies=frequencies, near=near).where("node_type = 'MethodInvocation'")
     is_rare = F.element_at("considered_attrs", F.lit("name"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -42,10 +42,23 @@ def source_files(spark: SparkSession, path: str, glob: str = "*.java") -> DataFr
 HELD_TOKENS = 1 << 16
 
 
-def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text") -> DataFrame:
-    """NODE_FIELDS rows and parse_error of each text; one that can't be read gives a row with its error only. kind: java or html."""
-    fields = f"{NODE_FIELDS}, parse_error string"
-    schema = to_arrow_schema(StructType.fromDDL(fields))
+def _maps(values: list[dict | None], kind: pa.MapType) -> pa.Array:
+    ends, keys, items = [], [], []
+    for x in values:
+        ends.append(None if x is None else len(keys))
+        if x:
+            keys += x
+            items += x.values()
+    return pa.MapArray.from_arrays(pa.array([*ends, len(keys)], pa.int32()), pa.array(keys, kind.key_type), pa.array(items, kind.item_type)).cast(kind)
+
+
+def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text", columns: Collection[str] | None = None) -> DataFrame:
+    """NODE_FIELDS rows and parse_error of each text; one that can't be read gives a row with its error only. kind: java or html.
+
+    columns: those of NODE_FIELDS that the rows have, tree_id among them; a mapping in Python isn't pruned by Spark, so who reads few names them.
+    """
+    fields = StructType([f for f in StructType.fromDDL(f"{NODE_FIELDS}, parse_error string") if columns is None or f.name in {*columns, "tree_id", "parse_error"}])
+    schema = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from treeloom.tree.html import parse_html
@@ -54,7 +67,6 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
 
         allow_depth()
         parse = {"java": parse_unit, "html": parse_html}[kind]
-        pairs = lambda values: [None if x is None else list(x.items()) for x in values]
         held: list[dict] = []
         size = 0
 
@@ -62,7 +74,7 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
             columns = []
             for f in schema:
                 values = [r.get(f.name) for r in held]  # noqa: B023
-                columns.append(pa.array(pairs(values) if f.name in ("props", "flags") else values, f.type))
+                columns.append(_maps(values, f.type) if f.name in ("props", "flags") else pa.array(values, f.type))
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
@@ -70,7 +82,7 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
                 try:
                     if not text:
                         raise ValueError("empty")
-                    rows = rows_of(str(key), parse(text))
+                    rows = rows_of(str(key), parse(text), columns)
                 except ValueError as e:
                     rows = [{"tree_id": str(key), "parse_error": str(e)}]
                 held += rows

@@ -6,6 +6,7 @@ ranges (plans/structural.py), and no row grows with its depth but by the tokens
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -67,8 +68,8 @@ def preorder(root: Node):
         stack += [(c, node) for c in reversed(node.children)]
 
 
-def rows_of(tree_id: str, root: Node) -> list[dict]:
-    """The tree's rows in NODE_FIELDS, parents before children."""
+def rows_of(tree_id: str, root: Node, columns: Collection[str] | None = None) -> list[dict]:
+    """The tree's rows in NODE_FIELDS, parents before children; tokens and subtree_hash, which cost most, are left out where columns are named without them."""
     import hashlib
 
     order: list[Node] = []
@@ -89,11 +90,14 @@ def rows_of(tree_id: str, root: Node) -> list[dict]:
     digest: list[str] = [""] * len(order)
     tokens: list[list[str]] = [[] for _ in order]
     size = [1] * len(order)
+    hashed, worded = (columns is None or c in columns for c in ("subtree_hash", "tokens"))
     for i in range(len(order) - 1, -1, -1):  # children come after their parents
         n = order[i]
-        text = "\0".join([n.node_type, n.label, *[f"{order[k].role}={digest[k]}" for k in kids[i]]])
-        digest[i] = hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
-        tokens[i] = n.own_tokens or [t for k in kids[i] for t in tokens[k]]
+        if hashed:
+            text = "\0".join([n.node_type, n.label, *[f"{order[k].role}={digest[k]}" for k in kids[i]]])
+            digest[i] = hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
+        if worded:
+            tokens[i] = n.own_tokens or [t for k in kids[i] for t in tokens[k]]
         if parents[i] is not None:
             size[parents[i]] += size[i]
     rows = []
