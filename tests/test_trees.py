@@ -174,6 +174,34 @@ def test_edits_of_pairs(spark):
     assert edits.where("error IS NOT NULL").count() == 1
 
 
+def test_edits_leave_a_task_as_they_come(spark):
+    """One batch of many pairs: few are read before the first edits go, however large the batch and its scripts are."""
+    import pyarrow as pa
+
+    class Caught:  # what the mapping runs in a task
+        select = lambda self, *_: self
+        mapInArrow = mapInPandas = lambda self, run, _: run  # noqa: E731, N815
+
+    n, read = 400, []
+
+    def parse_counted(text):
+        read.append(text)
+        return html.parse_html(text)
+
+    texts = [(str(k), f"<p>{k}</p>", "<ul>" + f"<li>{k}</li>" * 20 + "</ul>") for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*texts)], names=["case_id", "before", "after"])
+    out = edit_scripts(Caught(), parse_counted, held_chars=4096)(iter([batch]))
+    found = [next(out)]
+    assert len(read) < 20 and found[0].num_rows <= 64
+    found += out
+    assert len(read) == 2 * n and max(b.num_rows for b in found) <= 64
+    pairs = spark.createDataFrame(texts, "case_id string, before string, after string")
+    want = edit_scripts(pairs, html.parse_html)
+    assert sorted(map(str, pa.Table.from_batches(found).to_pylist())) == sorted(str(r.asDict()) for r in want.collect())
+    few = edit_scripts(pairs, html.parse_html, columns=("case_id", "kind"))
+    assert few.columns == ["case_id", "kind"] and sorted(edit_counts(few).collect()) == sorted(edit_counts(want).collect())
+
+
 def test_html():
     t = html.parse_html("<ul><li>a<li>b<br><p>c<p>d</ul>&amp; <img src=x/>")
     shape = [(n.node_type, n.label) for n, _ in preorder(t)]

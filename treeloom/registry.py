@@ -489,7 +489,7 @@ def html_edit_counts(spark, d):
     p = table(spark, d, "pages").select("page_id", F.col("html").alias("before"))
     nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("before").alias("after"))
     pairs = p.join(nxt, "page_id").select(F.col("page_id").cast("string").alias("case_id"), "before", "after")
-    return edit_counts(edit_scripts(pairs, parse_html, whole=True))
+    return edit_counts(edit_scripts(pairs, parse_html, whole=True, columns=("case_id", "kind")))
 
 
 @query("""SELECT conv_id, turn, string_agg(role || ': ' || length(text), '|' ) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS history
