@@ -159,3 +159,46 @@ def test_extension_is_the_common_prefix():
     for x, y, n in zip(a, b, got):
         want = next((k for k in range(30) if raw[x + k] != raw[y + k]), 30)
         assert n == want
+
+
+def test_runs_are_found_once(spark, monkeypatch, tmp_path):
+    """Each text is cut into runs by one task, though runs are counted and then met with the counts; what is written of them goes."""
+    from dataclasses import replace
+    from pathlib import Path
+
+    plain, seen = r.UNITS["bytes"].column, str(tmp_path / "seen")
+
+    def counted(column):
+        with open(seen, "a") as out:
+            out.write(f"{len(column)}\n")
+        return plain(column)
+
+    monkeypatch.setitem(r.UNITS, "bytes", replace(r.UNITS["bytes"], column=counted))
+    rows = corpus(5, 24)
+    assert run(spark, rows, 24) == brute(rows, 24)
+    with open(seen) as lines:
+        assert sum(map(int, lines)) == sum(len((t or "").encode()) >= 24 for _, t in rows)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert list(shared.glob("repeats-shared-*")) and not list(shared.glob("repeats-runs-*"))
+
+
+def test_digests_tell_numbers_and_bytes_apart():
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    at, numbers = np.array([0, 3, 6, 0, 3]), np.array([7, 7, 7, 8, 0])
+    found = list(map(tuple, r.digests(data, at, at + 3, numbers)))
+    assert found[0] == found[1] and len(set(found)) == 4
+    plain = list(map(tuple, r.digests(data, at, at + 3)))
+    assert plain[0] == plain[1] == plain[3] == plain[4] != plain[2]
+
+
+def test_windows_of_spans_as_arrays_or_objects():
+    rng = random.Random(2)
+    texts = [np.frombuffer(bytes(rng.choices(b"ab", k=60)), np.uint8) for _ in range(4)]
+    spans = [[{"low": 3, "high": 9, "witness": False}, {"low": 20, "high": 30, "witness": True}], [], [{"low": 0, "high": 40, "witness": False}], [{"low": 5, "high": 5, "witness": True}]]
+    batch = r.pa.RecordBatch.from_arrays([r.pa.array(range(4)), r.pa.array(range(4)), r.pa.array(spans), r.pa.array([t.tobytes() for t in texts], r.pa.binary())], names=["k1", "k2", "spans", "packed"])
+    (first, got, owner, fields), *more = r._batched(batch.slice(0), r.UNITS["bytes"])
+    assert first == 0 and not more and owner.tolist() == [0, 0, 2, 3]
+    for a, b in zip(r.sorted_windows(got, owner, fields, 8), r.window_rows(texts, spans, 8)):
+        assert a.tolist() == b.tolist()
+    (first, got, owner, fields), *_ = r._batched(batch.slice(2), r.UNITS["bytes"])
+    assert owner.tolist() == [0, 1] and fields["low"].tolist() == [0, 5] and len(got) == 2

@@ -45,8 +45,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import bound_batches, materialize, slices, table
-from treeloom.llm.suffixes import Buffer, equal_neighbours, suffix_order
+from treeloom.llm.common import bound_batches, delete_path, materialize, slices, table, work_path
+from treeloom.llm.suffixes import Buffer, equal_neighbours, mix, suffix_order
 
 LENGTH = 400
 #: Words of a string that the query reports as a repeated passage, whatever its bytes.
@@ -128,13 +128,12 @@ def least_grams(hashes: np.ndarray, n: int) -> np.ndarray:
 def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
     """128-bit BLAKE2b digests, two 64-bit columns, of the bytes from each begin to its end and of the number that goes with them."""
     raw, make, w = data.tobytes(), hashlib.blake2b, data.itemsize
-    begin, end = begin * w, end * w
+    found = [make(raw[a:b], digest_size=16).digest() for a, b in zip((begin * w).tolist(), (end * w).tolist(), strict=True)]
+    out = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
     if extra is None:
-        found = [make(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    else:
-        keys = [x.to_bytes(4, "little") for x in extra.tolist()]
-        found = [make(raw[a:b], digest_size=16, key=k).digest() for a, b, k in zip(begin.tolist(), end.tolist(), keys, strict=True)]
-    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+        return out
+    # mix is a bijection: of equal bytes, digests with other numbers differ; of other bytes they are no likelier to agree than without
+    return np.stack([out[:, 0] ^ mix(extra.astype(np.uint64) + np.uint64(1)), out[:, 1]], axis=1)
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -205,8 +204,8 @@ def _spread(sorted_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_places[np.r_[0, breaks + 1]], sorted_places[np.r_[breaks, len(sorted_places) - 1]]
 
 
-def window_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
-    """Sorts the suffixes at the windows of spans; (text, first, last, w1, w2, kind) rows.
+def sorted_windows(texts: list[np.ndarray], of: np.ndarray, spans: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """Sorts the suffixes at the windows of spans, each of a text by its number; (text, first, last, w1, w2, kind) rows.
 
     kind 0: a window met once here; 1: one of a class met before or of a witness, which others may match; 2: windows
     from first to last, settled here as they repeat each other.
@@ -214,14 +213,9 @@ def window_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.r_[0, np.cumsum(sizes)]
     buffer = Buffer(np.concatenate(texts))
-    starts, owner, witness = [], [], []
-    for i, own in enumerate(spans):
-        for s in own:
-            n = s["high"] - s["low"] + 1
-            starts.append(np.arange(s["low"], s["high"] + 1) + bounds[i])
-            owner.append(np.full(n, i))
-            witness.append(np.full(n, bool(s["witness"])))
-    starts, owner, witness = map(np.concatenate, (starts, owner, witness))
+    n = spans["high"] - spans["low"] + 1
+    starts = np.repeat(spans["low"] + bounds[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    owner, witness = np.repeat(of, n), np.repeat(spans["witness"], n)
     by_place = np.argsort(starts, kind="stable")
     starts, owner, witness = starts[by_place], owner[by_place], witness[by_place]
     order = suffix_order(buffer, starts, length)
@@ -245,12 +239,17 @@ def window_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def block_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
+def window_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) -> tuple[np.ndarray, ...]:
+    """sorted_windows of spans that are Python objects, a list for each text."""
+    fields = {k: np.array([s[k] for own in spans for s in own], kind) for k, kind in (("low", np.int64), ("high", np.int64), ("witness", bool))}
+    return sorted_windows(texts, np.repeat(np.arange(len(spans)), [len(own) for own in spans]), fields, length)
+
+
+def block_rows(texts: list[np.ndarray], text: np.ndarray, spans: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     """(text, first, last, witness, core hash) of each block of the spans' windows."""
     bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
     buffer = Buffer(np.concatenate(texts))
-    flat = [(i, s["low"], s["high"], s["anchor"], bool(s["witness"])) for i, own in enumerate(spans) for s in own]
-    text, low, high, anchor, witness = map(np.array, zip(*flat, strict=True))
+    low, high, anchor, witness = (spans[k] for k in ("low", "high", "anchor", "witness"))
     # blocks count from the anchor backwards: the last window of a span is in its first block
     first, last = (anchor - high) // BLOCK_WINDOWS, (anchor - low) // BLOCK_WINDOWS
     n = last - first + 1
@@ -265,18 +264,26 @@ def block_rows(texts: list[np.ndarray], spans: list[list[dict]], length: int) ->
 _PLACE = "k1 long, k2 long, low int, high int"
 
 
-def _batched(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, list[np.ndarray], list[list[dict]]]]:
-    """(first row, texts, spans) of about a piece of bytes each; one row at a time becomes Python objects."""
-    texts, spans, first, weight = [], [], 0, 0
+def _batched(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, dict[str, np.ndarray]]]:
+    """(first row, texts, the text of each span, fields of the spans) of about a piece of bytes each."""
+    lists = batch.column(2)
+    ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+    flat = lists.flatten()
+    fields = {f.name: pc.struct_field(flat, f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    fields = {k: v.astype(bool if k == "witness" else np.int64) for k, v in fields.items()}
+
+    def spans(first: int, last: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])), {k: v[ends[first] : ends[last]] for k, v in fields.items()}
+
+    texts, first, weight = [], 0, 0
     for at in range(batch.num_rows):
         texts.append(unit.array(_unpack(batch.column(3)[at].as_py())))
-        spans.append(batch.column(2)[at].as_py())
         weight += texts[-1].nbytes
         if weight >= PIECE_BYTES:
-            yield first, texts, spans
-            texts, spans, first, weight = [], [], at + 1, 0
+            yield first, texts, *spans(first, at + 1)
+            texts, first, weight = [], at + 1, 0
     if texts:
-        yield first, texts, spans
+        yield first, texts, *spans(first, batch.num_rows)
 
 
 def _ints(x: np.ndarray) -> pa.Array:
@@ -307,12 +314,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(values, names=["k1", "k2", "low", "high", "place", "anchor", "d1", "d2"])
 
     able = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= least_bytes)
+    # runs are found once and written, as they are counted and then met with the counts; they go as soon as the shared ones are written
+    path = work_path(docs.sparkSession, "repeats-runs")
     found = able.mapInArrow(find_runs, f"{_PLACE}, place int, anchor long, d1 long, d2 long")
+    found.write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.schema(found.schema).parquet(path)
     ends = [f(c).alias(n + c) for c in ("d1", "d2") for f, n in ((F.min, "least_"), (F.max, "most_"))]
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), *ends)
     mixed_up = (F.col("least_d1") != F.col("most_d1")) | (F.col("least_d2") != F.col("most_d2"))
     anchors = materialize(anchors.where("n > 1").select("anchor", mixed_up.alias("mixed")), "repeats-anchors")
     shared = materialize(found.join(anchors, "anchor"), "repeats-shared")
+    delete_path(docs.sparkSession, path)
     plain = shared.where(~F.col("mixed")).select("k1", "k2", "low", "high")
 
     mixed = shared.where("mixed")
@@ -327,8 +339,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts, spans in _batched(batch, of):
-                text, low, high, witness, core = block_rows(texts, spans, length)
+            for first, texts, owner, spans in _batched(batch, of):
+                text, low, high, witness, core = block_rows(texts, owner, spans, length)
                 keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), pa.array(witness), _signed(core)], names=["k1", "k2", "low", "high", "witness", "core"])
 
@@ -338,8 +350,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts, spans in _batched(batch, of):
-                text, low, high, w1, w2, kind = window_rows(texts, spans, length)
+            for first, texts, owner, spans in _batched(batch, of):
+                text, low, high, w1, w2, kind = sorted_windows(texts, owner, spans, length)
                 keys = [c.take(pa.array(text + first)) for c in batch.columns[:2]]
                 yield pa.RecordBatch.from_arrays([*keys, _ints(low), _ints(high), _signed(w1), _signed(w2), _ints(kind)], names=["k1", "k2", "low", "high", "w1", "w2", "kind"])
 
