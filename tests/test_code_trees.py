@@ -221,6 +221,29 @@ def test_a_block_stays_with_the_method_if_most_of_its_statements_do():
     assert sorted(e.kind for e in edits) == ["insert"] * 3 + ["move", "tree-insert", "update"]
 
 
+def test_a_place_counts_what_moves_before_it_later():
+    loop = "for (int i = 0; i < base; i++) { use(i, base); }"
+    text = "class C { int check(int balance) { int base = balance; %s %s return base * 2; } }"
+    for between in ("", "log(base);", "try { send(base); } catch (Exception e) { throw e; }"):
+        one, two = java.parse_unit(text % (loop, between)), java.parse_unit(text % ("while (ready) { " + loop + " }", between + " audit(base, 1);"))
+        edits = treediff.simplify(treediff.diff(one, two)[0], one)
+        # behind the declaration, the guard, the loop that isn't in it yet, and what stands between
+        assert [e.pos for e in edits if (e.kind, e.type) == ("tree-insert", "ExpressionStatement")] == [3 + bool(between)]
+
+
+def test_a_pattern_places_nothing_by_what_leaves():
+    loop, text = "for (int i = 0; i < 3; i++) { use(i); }", "class %s { void f() { a(); %s b(); } }"
+    before, after = text % ("P", loop), text % ("P", "while (ready) { " + loop + " } audit();")
+    p, t = java.parse_unit(before), java.parse_unit(text % ("T", "other(); " + loop))
+    edits, _, origins = treediff.diff_with_origins(p, java.parse_unit(after))
+    mine = {(n.node_type, plain(java.text_of(n)), up and up.node_type): i for i, (n, up) in enumerate(preorder(p)) if n.node_type.endswith("Statement")}
+    theirs = {(n.node_type, plain(java.text_of(n)), up and up.node_type): i for i, (n, up) in enumerate(preorder(t))}
+    block = lambda root: next(i for i, (n, up) in enumerate(preorder(root)) if n.node_type == "Block" and up.node_type == "MethodDeclaration")
+    binding = {i: theirs[k] for k, i in mine.items()} | {block(p): block(t)}
+    out = source_of(patch.apply_pattern(t, edits, binding, {}, origins, p, patch.STRATEGIES["sibling"]))
+    assert out.index("a ( )") < out.index("while") < out.index("audit") < out.index("other") < out.index("b ( )")
+
+
 def test_node_tables_are_not_broadcast(spark):
     from treeloom.sources.files import parsed
     from treeloom.sources.work import written

@@ -55,11 +55,13 @@ def apply_pattern(
     at.setdefault(-1, made[-1])
     label = lambda s: (renames or {}).get(s, s)
     own = {x.key: x for x in items(pattern)} if pattern is not None else {}
+    leaving = {e.node for e in edits if e.kind == "move"}  # until they have moved nothing is placed by them
 
     def left_of(e: Edit) -> Item | None:
         """The target's node for what stands before place pos in the pattern, whose tree follows the edits, too."""
         up = own.get(e.parent)
-        left = up.kids[e.pos - 1] if up is not None and 0 < e.pos <= len(up.kids) else None
+        rest = [k for k in up.kids if k.key != e.node] if up is not None else []
+        left = next((k for k in reversed(rest[: e.pos]) if k.key not in leaving), None)
         return at.get(left.key) if left is not None else None
 
     def follow(e: Edit) -> None:
@@ -70,6 +72,7 @@ def apply_pattern(
             own[e.parent].kids.insert(e.pos, own[e.node])
         elif e.kind == "move":
             x = own[e.node]
+            leaving.discard(e.node)
             x.parent.kids.remove(x)
             x.parent = own[e.parent]
             x.parent.kids.insert(e.pos, x)
