@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from treeloom.operators import patch, patterns, scopes, treediff
 from treeloom.sources.files import parsed
 from treeloom.tree import java
 from treeloom.tree.nodes import NODE_FIELDS, allow_depth, preorder, rows_of
-from treeloom.tree.printing import source_of
+from treeloom.tree.printing import source_of, tokens_of
 
 STATEMENTS = [
     "a(x);", "int v = g(1, y);", "if (x > 1) { b(); } else { c(); }", "for (int i = 0; i < n; i++) { d(i); }", "while (t) e();", "return z;",
@@ -244,6 +245,45 @@ def test_a_pattern_places_nothing_by_what_leaves():
     assert out.index("a ( )") < out.index("while") < out.index("audit") < out.index("other") < out.index("b ( )")
 
 
+def test_a_text_is_read_once_for_all_its_patches(spark, tmp_path):
+    def parse(text):
+        with open(tmp_path / str(zlib.crc32(text.encode())), "a") as f:
+            f.write("x")
+        if text == "bad":
+            raise ValueError("can't be read")
+        return java.parse_unit(text)
+
+    text = "class T { void f() { a(); } }"
+    changes = {p: ("class P { void f() { a(); } }", "class P { void f() { a(); %s(); } }" % p) for p in ("b", "c", "d")}
+    body = next(i for i, (n, _) in enumerate(preorder(java.parse_unit(text))) if n.node_type == "Block")
+    texts = spark.createDataFrame([(str(k), text.replace("T", f"T{k}")) for k in range(4)] + [("x", "bad")], "tree_id string, text string")
+    rows = [(p, t.tree_id, k, body, body) for p in changes for t in texts.collect() for k in range(2)]
+    instances = spark.createDataFrame(rows, "pattern_id string, tree_id string, instance int, p_node long, t_node long")
+    found = patch.patched(texts, instances, changes, parse).collect()
+    assert len(found) == 30 and all((r.error is None) == (r.tree_id != "x") for r in found)
+    assert all(f"T{r.tree_id} {{ void f ( ) {{" in r.patched and f"{r.pattern_id}" in r.patched for r in found if r.error is None)
+    assert [(tmp_path / str(zlib.crc32(t.text.encode()))).read_text() for t in texts.collect()] == ["x"] * 5
+
+
+def test_untouched_parts_print_as_they_are():
+    text = "class T { int a = 1, b; void f(int x) throws E { if (x > a) { g(x, 1); } else { h(); } for (int i = 0; i < b; i++) { g(i, b); } } }"
+    for x in treediff.items(java.parse_unit(text))[1:]:
+        assert tokens_of(x) == x.origin.own_tokens
+    root = java.parse_unit(text)
+    gone = next(i for i, (n, _) in enumerate(preorder(root)) if n.node_type == "ExpressionStatement")
+    top = patch.apply_pattern(root, [treediff.Edit("delete", gone, 0)], {gone: gone})
+    assert source_of(top) == " ".join(root.own_tokens).replace("g ( x , 1 ) ; ", "") and sum(x.whole for x in top.below()) > 20
+
+
+def test_only_the_patched_instance_is_sought_and_only_tokens_that_count_are_compared(spark, monkeypatch):
+    caps, sent = [], []
+    search, dice = patterns.match_instances, patterns.lcs_dice_udf
+    monkeypatch.setattr(patterns, "match_instances", lambda *a, **k: caps.append(k.get("cap")) or search(*a, **k))
+    monkeypatch.setattr(patterns, "lcs_dice_udf", lambda a, b: sent.append(str(a)) or dice(a, b))
+    registry_java.java_patch_kinds(spark, "/root/testdata/sf0.001")
+    assert caps == [1] and sent and all("WHEN" in s for s in sent)
+
+
 def test_node_tables_are_not_broadcast(spark):
     from treeloom.sources.files import parsed
     from treeloom.sources.work import written

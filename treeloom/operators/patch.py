@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.operators.treediff import Edit, Item, diff_with_origins, items
-from treeloom.sources.work import shuffled
-from treeloom.tree.nodes import Node, allow_depth
+from treeloom.sources.work import dealt, shuffled
+from treeloom.tree.nodes import Node, allow_depth, preorder
 from treeloom.tree.printing import source_of
 
 
@@ -31,9 +31,35 @@ class InsertAt:
         return min(pos, len(up.kids))
 
 
+#: Nodes whose labels are names of variables.
+NAMING = ("SimpleName", "SingleVariableDeclaration", "VariableDeclarationStatement", "VariableDeclarationExpression")
 STRATEGIES = {s.name: s for s in (InsertAt("index"), InsertAt("sibling"))}
 
 
+def left_keys(pattern: Node, edits: list[Edit]) -> list[int | None]:
+    """For each edit of a pattern the key of what stands before the place of its insert or move, in the before tree as it is by then."""
+    own = {x.key: x for x in items(pattern, measured=False)}
+    leaving = {e.node for e in edits if e.kind == "move"}  # until they have moved nothing is placed by them
+    out: list[int | None] = []
+    for e in edits:
+        left = None
+        if e.kind in ("insert", "tree-insert", "move"):
+            up = own[e.parent]
+            if e.kind == "move":
+                x = own[e.node]
+                leaving.discard(e.node)
+                x.parent.kids.remove(x)
+                x.parent = up
+            else:
+                x = own[e.node] = Item(e.node, e.type, e.label, e.role, up)
+            left = next((k.key for k in reversed(up.kids[: e.pos]) if k.key not in leaving), None)
+            up.kids.insert(e.pos, x)
+        elif e.kind in ("delete", "tree-delete"):
+            own[e.node].parent.kids.remove(own[e.node])
+        out.append(left)
+    return out
+
+
 def apply_pattern(
     target: Node,
     edits: list[Edit],
@@ -42,53 +68,42 @@ def apply_pattern(
     origins: dict[int, Node] | None = None,
     pattern: Node | None = None,
     strategy: InsertAt = STRATEGIES["index"],
+    lefts: list[int | None] | None = None,
 ) -> Item:
     """target's items with a pattern's edits. binding: pattern keys to target keys (pre-order numbers).
 
-    origins: nodes that inserted ones come from, for printing. pattern: its before tree, which the strategy "sibling" needs.
+    origins: nodes that inserted ones come from, for printing. pattern: its before tree, which the strategy "sibling" needs, or
+    lefts: what left_keys makes of it.
 
     New labels that name the pattern's own variables are renamed to the target's. Edits of nodes that aren't bound are left out, as
     are moves of a node below itself. Positions beyond a parent's children mean its end.
     """
-    made = {x.key: x for x in items(target)}
+    made = {x.key: x for x in items(target, measured=False)}
+    for x in made.values():
+        x.whole = True
+
+    def touch(x: Item | None) -> None:
+        while x is not None and x.whole:
+            x.whole, x = False, x.parent
+
     at: dict[int, Item] = {p: made[t] for p, t in binding.items()}
     at.setdefault(-1, made[-1])
     label = lambda s: (renames or {}).get(s, s)
-    own = {x.key: x for x in items(pattern)} if pattern is not None else {}
-    leaving = {e.node for e in edits if e.kind == "move"}  # until they have moved nothing is placed by them
+    if lefts is None:
+        lefts = left_keys(pattern, edits) if pattern is not None else [None] * len(edits)
 
-    def left_of(e: Edit) -> Item | None:
-        """The target's node for what stands before place pos in the pattern, whose tree follows the edits, too."""
-        up = own.get(e.parent)
-        rest = [k for k in up.kids if k.key != e.node] if up is not None else []
-        left = next((k for k in reversed(rest[: e.pos]) if k.key not in leaving), None)
-        return at.get(left.key) if left is not None else None
-
-    def follow(e: Edit) -> None:
-        if not own:
-            return
-        if e.kind in ("insert", "tree-insert"):
-            own[e.node] = Item(e.node, e.type, e.label, e.role, own[e.parent])
-            own[e.parent].kids.insert(e.pos, own[e.node])
-        elif e.kind == "move":
-            x = own[e.node]
-            leaving.discard(e.node)
-            x.parent.kids.remove(x)
-            x.parent = own[e.parent]
-            x.parent.kids.insert(e.pos, x)
-        elif e.kind in ("delete", "tree-delete"):
-            own[e.node].parent.kids.remove(own[e.node])
-
-    for e in edits:
+    for e, left in zip(edits, lefts, strict=True):
         if e.kind in ("insert", "tree-insert"):
             if e.parent in at:
                 up = at[e.parent]
                 x = Item(e.node, e.type, label(e.label), e.role, up, origin=(origins or {}).get(e.node))
-                up.kids.insert(strategy.place(up, e.pos, left_of(e)), x)
+                touch(up)
+                up.kids.insert(strategy.place(up, e.pos, at.get(left)), x)
                 at[e.node] = x
         elif e.node not in at:
             pass
         elif e.kind == "update":
+            touch(at[e.node])
             at[e.node].label = label(e.label)
         elif e.kind == "move":
             x, to = at[e.node], at.get(e.parent)
@@ -96,15 +111,16 @@ def apply_pattern(
             while up is not None and up is not x:
                 up = up.parent
             if not (to is None or up is x or x.parent is None):
-                left = left_of(e)
+                touch(x.parent)
+                touch(to)
                 x.parent.kids.remove(x)
                 x.parent, x.role = to, e.role
-                to.kids.insert(strategy.place(to, e.pos, left), x)
+                to.kids.insert(strategy.place(to, e.pos, at.get(left)), x)
         elif at[e.node].parent is not None:
             x = at[e.node]
             if x in x.parent.kids:
+                touch(x.parent)
                 x.parent.kids.remove(x)
-        follow(e)
     return made[-1]
 
 
@@ -119,29 +135,40 @@ def patched(texts: DataFrame, instances: DataFrame, changes: dict[str, tuple[str
     text that can't be read gives a row with its error.
     """
     bound = instances.groupBy("pattern_id", "tree_id", "instance").agg(F.map_from_entries(F.collect_list(F.struct("p_node", "t_node"))).alias("binding"))
-    rows = texts.select("tree_id", "text").join(shuffled(bound), "tree_id").select("pattern_id", "tree_id", "instance", "text", "binding")
+    # joined by sorting, so that the rows of a tree come one after another
+    rows = dealt(texts.select("tree_id", "text"), "tree_id").join(shuffled(bound), "tree_id").select("pattern_id", "tree_id", "instance", "text", "binding")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {}
         allow_depth()
         for key, (before, after) in changes.items():
             a = parse(before)
-            known[key] = (a, *diff_with_origins(a, parse(after)))
+            edits, _, origins = diff_with_origins(a, parse(after))
+            new = {e.node for e in edits if e.kind == "insert"}
+            named = [e.parent if e.kind == "insert" else e.node for e in edits]
+            known[key] = ([n for n, _ in preorder(a)], edits, origins, left_keys(a, edits), [n for n in named if n is not None and n != -1 and n not in new])
+        last, target, nodes, error = None, None, [], None  # a text is read once for all that is done to it
         for batch in batches:
             out = []
             for key, tree, k, text, binding in batch.itertuples(index=False):
-                a, edits, _, origins = known[key]
+                if (tree, text) != last:
+                    last, target, nodes, error = (tree, text), None, [], None
+                    try:
+                        target = parse(text)
+                        nodes = [n for n, _ in preorder(target)]
+                    except ValueError as e:
+                        error = str(e)
+                if error is not None:
+                    out.append((key, tree, k, None, None, error))
+                    continue
+                own, edits, origins, lefts, named = known[key]
                 binding = {int(p): int(t) for p, t in dict(binding).items()}
                 try:
-                    target = parse(text)
-                    top = apply_pattern(target, edits, binding, variable_renames(a, target, binding), origins, a, STRATEGIES[strategy])
+                    top = apply_pattern(target, edits, binding, _renames(own, nodes, binding), origins, strategy=STRATEGIES[strategy], lefts=lefts)
                 except ValueError as e:
                     out.append((key, tree, k, None, None, str(e)))
                     continue
-                new = {e.node for e in edits if e.kind == "insert"}
-                away = lambda x: x is not None and x != -1 and x not in binding and x not in new  # noqa: E731, B023
-                skipped = sum(away(e.parent if e.kind == "insert" else e.node) for e in edits)
-                out.append((key, tree, k, source_of(top), skipped, None))
+                out.append((key, tree, k, source_of(top), sum(n not in binding for n in named), None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PATCHED.split(", ")]).astype({"skipped": "Int32"})
 
     return rows.mapInPandas(run, PATCHED)
@@ -149,11 +176,16 @@ def patched(texts: DataFrame, instances: DataFrame, changes: dict[str, tuple[str
 
 def variable_renames(pattern: Node, target: Node, binding: dict[int, int]) -> dict[str, str]:
     """The target's names for the pattern's local variables, from bound declarations and names."""
-    p, t = items(pattern), items(target)
-    by_key, other = {x.key: x for x in p}, {x.key: x for x in t}
-    out = {}
+    return _renames([n for n, _ in preorder(pattern)], [n for n, _ in preorder(target)], binding)
+
+
+def _renames(pattern: list[Node], target: list[Node], binding: dict[int, int]) -> dict[str, str]:
+    """variable_renames of nodes in pre-order."""
+    out: dict[str, str] = {}
     for a, b in sorted(binding.items()):
-        x, y = by_key[a], other[b]
-        if x.type == y.type and x.type in ("SimpleName", "SingleVariableDeclaration", "VariableDeclarationStatement", "VariableDeclarationExpression") and x.label and y.label:
+        if a < 0 or b < 0:  # the artificial roots
+            continue
+        x, y = pattern[a], target[b]
+        if x.node_type == y.node_type and x.node_type in NAMING and x.label and y.label:
             out.setdefault(x.label, y.label)
     return out

@@ -49,6 +49,11 @@ class Attribute:
 REGISTRY: dict[str, Attribute] = {}
 
 
+def _counts(attribute: str) -> Column:
+    """Whether an attribute of a pattern node counts."""
+    return F.coalesce(F.try_element_at("considered_attrs", F.lit(attribute)), F.lit(False))
+
+
 def register(name: str, weight: float, hard: bool, similarity: Callable[[str, str], Column]) -> None:
     REGISTRY[name] = Attribute(name, weight, hard, similarity)
 
@@ -57,7 +62,7 @@ register("location", 1.0, True, lambda p, t: (F.col(f"{p}parent_id").isNull() ==
 register("name", 1.0, True, lambda p, t: F.coalesce(name_equal(F.col(f"{p}name"), F.col(f"{t}name")), F.lit(1.0)))
 register("exprType", 1.0, True, lambda p, t: type_equal(F.coalesce(f"{p}expr_type", F.lit(UNKNOWN_TYPE)), F.coalesce(f"{t}expr_type", F.lit(UNKNOWN_TYPE))))
 register("type", 0.5, False, lambda p, t: class_equal(F.col(f"{p}node_type"), F.col(f"{t}node_type")).cast("double"))
-register("token", 0.5, False, lambda p, t: lcs_dice_udf(F.col(f"{p}tokens"), F.col(f"{t}tokens")))
+register("token", 0.5, False, lambda p, t: lcs_dice_udf(*(F.when(_counts("token"), F.col(f"{x}tokens")) for x in (p, t))))  # Spark asks Python for all rows
 
 
 def by_slot() -> dict[str, Attribute]:
@@ -193,7 +198,7 @@ def _least_dice(type_counts: Column, threshold: float, registry: dict[str, Attri
 
 
 def _rarest_tokens(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row with _k for each token by which a pattern node has to meet its targets.
+    """nodes with _k, a row for each token by which a pattern node has to meet its targets, and _keys, all of these tokens.
 
     A dice over d of n tokens and m others asks for more than d (n + m) / 2 common ones, so for more than n d / (2 - d). Of any n less
     that many tokens one at least is common then; the ones that fewest targets hold are taken.
@@ -203,7 +208,8 @@ def _rarest_tokens(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     order = Window.partitionBy("pattern_id", "p_node_id").orderBy(F.coalesce("_n", F.lit(0)), "_k", "_at")
     n, d = F.size("p_tokens"), F.col("_d")
     kept = every.join(held, "_k", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n - F.floor(n * d / (2 - d) + 1e-9))
-    return kept.select("pattern_id", "p_node_id", "_k").distinct()
+    rest = [F.first(c).alias(c) for c in nodes.columns if c not in ("pattern_id", "p_node_id")]
+    return kept.groupBy("pattern_id", "p_node_id").agg(*rest, F.array_sort(F.collect_set("_k")).alias("_keys")).withColumn("_k", F.explode("_keys"))
 
 
 def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE_THRESHOLD, registry: dict[str, Attribute] | None = None) -> DataFrame:
@@ -211,7 +217,7 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
 
     patterns: considered nodes with pattern_id and considered_attrs. Pairs meet by equi-joins: on the name where it counts, else
     on the node type; pairs of different types need common tokens for a score, so they meet on tokens, the most frequent of which
-    (brackets, commas) aren't needed as keys. Nodes none of whose attributes count fit every node and score 1: they meet all
+    (brackets, commas) aren't needed as keys; each pair counts at the first key that it has in common. Nodes none of whose attributes count fit every node and score 1: they meet all
     nodes, as the contract has it, from the pattern's few nodes. The patterns are written first: of a table made in the driver Spark
     doesn't know that it is small, and would shuffle the targets by their few types or broadcast them.
     """
@@ -220,7 +226,7 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     own = ["node_id", "parent_id", "name", "expr_type", "node_type", "tokens", *(["role"] if "role" in patterns.columns and "role" in targets.columns else [])]
     p = patterns.select(F.col("pattern_id"), "considered_attrs", *[F.col(c).alias(f"p_{c}") for c in own])
     t = targets.select(F.col("tree_id").alias("t_tree_id"), *[F.col(c).alias(f"t_{c}") for c in own])
-    counts = lambda a: F.coalesce(F.try_element_at("considered_attrs", F.lit(a)), F.lit(False))
+    counts = _counts
     by_name = p.where(counts("name") & F.col("p_name").isNotNull()).join(t, F.col("p_name") == F.col("t_name"))
     rest = p.where(~(counts("name") & F.col("p_name").isNotNull()))
     scored = counts("type") | counts("token")
@@ -231,19 +237,23 @@ def candidates(patterns: DataFrame, targets: DataFrame, threshold: float = SCORE
     by_expr = rest.where(~scored & typed).withColumn("_k", F.explode(F.array("p_expr_type", F.lit(UNKNOWN_TYPE))))
     by_expr = by_expr.join(t, F.col("_k") == kind("t_expr_type")).drop("_k")
     least = _least_dice(counts("type"), threshold, registry)
-    token = _rarest_tokens(rest.where(counts("token")).withColumn("_d", least), t)
-    other = t.withColumn("_k", F.explode(F.array_distinct("t_tokens")))
-    met = token.select("pattern_id", "p_node_id", "_k").join(other.select("t_tree_id", "t_node_id", "_k"), "_k").select("pattern_id", "p_node_id", "t_tree_id", "t_node_id").distinct()
-    by_token = rest.join(met, ["pattern_id", "p_node_id"]).join(shuffled(t), ["t_tree_id", "t_node_id"]).where(F.col("p_node_type") != F.col("t_node_type"))
+    token = written(_rarest_tokens(rest.where(counts("token")).withColumn("_d", least), t), "pattern-tokens")  # so that its size is known
+    n, m, d = F.size("p_tokens"), F.size("t_tokens"), F.col("_d")
+    longest = token.agg(F.max(F.when(d > 0, n * (2 - d) / d).otherwise(float("inf"))).alias("_most"))  # a dice of d needs lengths not too far apart
+    other = t.join(longest, m < F.col("_most") + 1e-6).withColumn("_k", F.explode(F.array_distinct("t_tokens"))).drop("_most")
+    alike = (F.col("p_node_type") != F.col("t_node_type")) & (2 * F.least(n, m) > d * (n + m) - 1e-9)
+    ok = F.lit(True)
+    for a in registry.values():
+        if a.hard:
+            ok = ok & (F.coalesce(F.when(counts(a.name), a.similarity("p_", "t_")), F.lit(1.0)) > 0)
+    once = F.array_intersect("_keys", "t_tokens")[0] == F.col("_k")
+    by_token = token.join(other, "_k").where(alike & ok).where(once).drop("_k", "_keys", "_d")
     any_node = rest.where(~scored & ~typed).join(t)
     pairs = by_name.unionByName(by_type).unionByName(by_expr).unionByName(by_token).unionByName(any_node)
-    ok = F.lit(True)
     top = bottom = F.lit(0.0)
     for a in registry.values():
-        sim = F.when(counts(a.name), a.similarity("p_", "t_"))
-        if a.hard:
-            ok = ok & (F.coalesce(sim, F.lit(1.0)) > 0)
-        else:
+        if not a.hard:
+            sim = F.when(counts(a.name), a.similarity("p_", "t_"))
             top = top + F.coalesce(sim * a.weight, F.lit(0.0))
             bottom = bottom + F.when(counts(a.name), a.weight).otherwise(0.0)
     score = F.when(bottom == 0, 1.0).otherwise(F.nanvl(top / bottom, F.lit(0.0)))

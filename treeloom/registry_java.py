@@ -64,9 +64,9 @@ PAIRED = ("node_id", "parent_id", "role", "node_type", "name", "expr_type", "tok
 RANGED = ("node_id", "node_type", "depth", "pre", "post")
 
 
-def nodes_of(spark: SparkSession, d: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """The node table of all classes, or some columns of it, written: queries over it read it several times."""
-    return written(parsed(dealt(sources(spark, d).select("tree_id", "text"), "tree_id"), "java", "tree_id", "text", columns).drop("parse_error"), "java-nodes")
+def nodes_of(spark: SparkSession, d: str, columns: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The node table of all classes, or some columns and types of node of it, written: queries over it read it several times."""
+    return written(parsed(dealt(sources(spark, d).select("tree_id", "text"), "tree_id"), "java", "tree_id", "text", columns, kinds).drop("parse_error"), "java-nodes")
 
 
 def ask(spark: SparkSession, d: str, text: str) -> DataFrame:
@@ -334,8 +334,8 @@ def java_patch(spark, d):
     """The pattern's change applied to every class it matches, printed: an audit right after the log, wherever that stands."""
     texts = sources(spark, d).select("tree_id", "text")
     made = pattern_table(spark, _BEFORE, _method_and_call, ("location", "name", "type", "token"))
-    found = patterns.candidates(made, nodes_of(spark, d).where("node_type IN ('Block', 'ExpressionStatement', 'MethodInvocation')"))
-    first = patterns.match_instances(found, made).where("instance = 0")
+    found = patterns.candidates(made, nodes_of(spark, d, PAIRED, ("Block", "ExpressionStatement", "MethodInvocation")))
+    first = patterns.match_instances(found, made, cap=1)  # the first instance is the one that is patched
     out = patch.patched(texts, first, {"p": (_BEFORE, _AFTER)}, parse_unit, strategy="sibling")
     return out.select("tree_id", "patched", "skipped")
 
@@ -435,8 +435,8 @@ def java_patch_kinds(spark, d):
         made = part if made is None else made.unionByName(part)
     kinds = ("Block", "ExpressionStatement", "MethodInvocation", "ReturnStatement", "InfixExpression", "NumberLiteral", "VariableDeclarationStatement")
     made = written(made, "patterns")
-    found = patterns.candidates(made, nodes_of(spark, d).where(F.col("node_type").isin(*kinds)))
-    first = patterns.match_instances(found, made).where("instance = 0")
+    found = patterns.candidates(made, nodes_of(spark, d, PAIRED, kinds))
+    first = patterns.match_instances(found, made, cap=1)  # the first instance is the one that is patched
     return patch.patched(texts, first, {k: v[:2] for k, v in _CHANGES.items()}, parse_unit, strategy="sibling").select("pattern_id", "tree_id", "patched")
 
 

@@ -52,10 +52,11 @@ def _maps(values: list[dict | None], kind: pa.MapType) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array([*ends, len(keys)], pa.int32()), pa.array(keys, kind.key_type), pa.array(items, kind.item_type)).cast(kind)
 
 
-def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text", columns: Collection[str] | None = None) -> DataFrame:
+def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "text", columns: Collection[str] | None = None, node_types: Collection[str] | None = None) -> DataFrame:
     """NODE_FIELDS rows and parse_error of each text; one that can't be read gives a row with its error only. kind: java or html.
 
     columns: those of NODE_FIELDS that the rows have, tree_id among them; a mapping in Python isn't pruned by Spark, so who reads few names them.
+    node_types: those that rows are wanted of.
     """
     fields = StructType([f for f in StructType.fromDDL(f"{NODE_FIELDS}, parse_error string") if columns is None or f.name in {*columns, "tree_id", "parse_error"}])
     schema = to_arrow_schema(fields)
@@ -83,6 +84,8 @@ def parsed(texts: DataFrame, kind: str, id_col: str = "path", text_col: str = "t
                     if not text:
                         raise ValueError("empty")
                     rows = rows_of(str(key), parse(text), columns)
+                    if node_types is not None:
+                        rows = [r for r in rows if r["node_type"] in node_types]
                 except ValueError as e:
                     rows = [{"tree_id": str(key), "parse_error": str(e)}]
                 held += rows
